@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartloom.llm import simhash
+from chartloom.llm import mixing, quality, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,8 +20,27 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mix of all documents: 150 % of all words, sources weighing 5, 2, 1 in turn, at most twice each."""
+    found = mixing.mixture(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2)
+    return found.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, own rules and host verdicts (host: source) of all documents."""
+    found = quality.with_verdicts(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rate")
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of near equal bytes, equal texts together."""
+    found = sharding.assign_shards(_table(spark, sf_dir, "documents"), shards=40)
+    law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return found.select("doc_id", "size", "text_crc32", law, "shard", F.col("slot").cast("long").alias("slot"), grown)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash}
+    return {"op1_simhash": op1_simhash, "op6_mixing": op6_mixing, "op7_quality": op7_quality, "op9_sharding": op9_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
