@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartloom.llm import mixing, quality, sharding, simhash
+from chartloom.llm import html_text, mixing, pieces, quality, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,21 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
+    """Digests of ids and decoded text of all documents."""
+    if model_path is None:
+        import public_tokenizers
+
+        model_path = public_tokenizers.path("piece_bpe_32k.model")
+    coded = pieces.encode_and_decode(_table(spark, sf_dir, "documents"), model_path, keep=["doc_id"])
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix of all documents: 150 % of all words, sources weighing 5, 2, 1 in turn, at most twice each."""
     found = mixing.mixture(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2)
@@ -39,8 +54,21 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", law, "shard", F.col("slot").cast("long").alias("slot"), grown)
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    found = html_text.with_main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), text_column="text")
+    return found.select("page_id", "url", "text", "n_chars")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op6_mixing": op6_mixing, "op7_quality": op7_quality, "op9_sharding": op9_sharding}
+    return {
+        "op1_simhash": op1_simhash,
+        "op5_sentencepiece": op5_sentencepiece,
+        "op6_mixing": op6_mixing,
+        "op7_quality": op7_quality,
+        "op9_sharding": op9_sharding,
+        "op10_html": op10_html,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
