@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartloom.llm import html_text, mixing, pieces, quality, sharding, simhash
+from chartloom.llm import html_text, mixing, pieces, quality, repeats, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the 50-byte strings that smaller documents have."""
+    found = repeats.remove_repeats(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
     """Digests of ids and decoded text of all documents."""
     if model_path is None:
@@ -63,6 +69,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
+        "op4_repeats": op4_repeats,
         "op5_sentencepiece": op5_sentencepiece,
         "op6_mixing": op6_mixing,
         "op7_quality": op7_quality,
