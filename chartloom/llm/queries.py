@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartloom.llm import html_text, mixing, pieces, quality, repeats, sharding, simhash
+from chartloom.llm import hamming, html_text, licenses, mixing, pieces, pii, quality, repeats, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,23 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest sign codes, among all embeddings, of every embedding whose id is divisible by 50."""
+    codes = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), hamming.sign_code(F.col("embedding")).alias("code"))
+    asked = codes.where("id % 50 = 0").withColumnRenamed("id", "query_id")
+    return hamming.top_k(codes, asked, k=10).select("query_id", "rank", F.col("id").alias("vec_id"), "distance")
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License of every document, its own or that of the nearest directory.
+
+    The table has no paths: a document lies at source/lang/number of its 64 ids/id.
+    """
+    path = F.concat_ws("/", "source", "lang", (F.col("doc_id") / 64).cast("bigint").cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    files = _table(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path"))
+    return licenses.scan(files)
+
+
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the 50-byte strings that smaller documents have."""
     found = repeats.remove_repeats(_table(spark, sf_dir, "documents"))
@@ -53,6 +70,16 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rate")
 
 
+#: Key of the query's pseudonyms; callers of the operator pass their own secret.
+PSEUDONYM_KEY = "query-key"
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with pseudonyms for personal data and secrets."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.with_pseudonyms(docs, PSEUDONYM_KEY, count_column="n_replaced")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near equal bytes, equal texts together."""
     found = sharding.assign_shards(_table(spark, sf_dir, "documents"), shards=40)
@@ -66,17 +93,32 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", "n_chars")
 
 
+OP2_SQL = """
+WITH pairs AS (
+  SELECT q.vec_id AS query_id, r.vec_id AS vec_id,
+         CAST(list_sum(list_transform(list_zip(q.embedding, r.embedding), x -> CAST((x[1] > 0) <> (x[2] > 0) AS INTEGER))) AS INTEGER) AS distance
+  FROM embeddings q, embeddings r WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank, vec_id, distance FROM pairs
+)
+SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
+        "op2_topk": op2_topk,
+        "op3_licenses": op3_licenses,
         "op4_repeats": op4_repeats,
         "op5_sentencepiece": op5_sentencepiece,
         "op6_mixing": op6_mixing,
         "op7_quality": op7_quality,
+        "op8_pii": op8_pii,
         "op9_sharding": op9_sharding,
         "op10_html": op10_html,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_topk": OP2_SQL}
