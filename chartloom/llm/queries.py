@@ -96,7 +96,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP2_SQL = """
 WITH pairs AS (
   SELECT q.vec_id AS query_id, r.vec_id AS vec_id,
-         CAST(list_sum(list_transform(list_zip(q.embedding, r.embedding), x -> CAST((x[1] > 0) <> (x[2] > 0) AS INTEGER))) AS INTEGER) AS distance
+         CAST(list_sum(list_transform(list_zip(q.embedding, r.embedding), lambda x: CAST((x[1] > 0) <> (x[2] > 0) AS INTEGER))) AS INTEGER) AS distance
   FROM embeddings q, embeddings r WHERE q.vec_id % 50 = 0
 ), ranked AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank, vec_id, distance FROM pairs

@@ -162,11 +162,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, id_column: str = "doc_id"
 def keep_representatives(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """The documents whose id is that of their component; one row per component.
 
-    Columns are those of ``docs``.  Of repeated rows with one id, the smallest text stays.
+    Columns are those of ``docs``.  Of repeated rows with one id, one stays, that with the smallest text.
     Rows with a null id cannot be linked and stay.
     """
-    groups = near_duplicates(docs, shingle).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    single = docs.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source", "lang")))
-    ranked = single.where("doc_id is null or _row = 1").drop("_row")
-    unlinked = ranked.where("doc_id is null")
-    return ranked.join(groups, F.col("doc_id") == F.col("_kept")).drop("_kept").unionByName(unlinked)
+    groups = near_duplicates(docs, shingle).where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
+    found = docs.join(groups, F.col("doc_id") == F.col("_kept"))
+    single = found.where("_rows = 1").select(*docs.columns)
+    ranked = found.where("_rows > 1").withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_row = 1")
+    return single.unionByName(ranked.select(*docs.columns)).unionByName(docs.where("doc_id is null"))
