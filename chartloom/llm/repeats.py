@@ -7,9 +7,10 @@ A byte starts a repeat if the ``length`` bytes from it on also start in a docume
 2. Dictionary.  Equal phrases are one entry, owned by the smallest document that has them.  All other occurrences are
    repeats as a whole and need no further look: highly repetitive text shrinks to its dictionary.
 3. Order of the dictionary's suffixes.  Only suffixes that agree in their first ``length`` bytes matter, so the order is
-   worked out to that depth: suffixes are dealt by the hash of their first ``length`` bytes, and each run of equal ones gets its smallest owner.
-   Most suffixes have no equal; they are left out by a test that cannot miss one: two equal windows have the same
-   smallest ``ANCHOR``-byte hash inside them, so a window whose smallest hash occurs in one document alone is not repeated.
+   worked out to that depth: each run of suffixes that agree so far gets its smallest owner.  Most suffixes agree with no
+   other; they are left out by a test that cannot miss one: two equal windows have the same smallest ``ANCHOR``-byte hash
+   inside them, so a window whose smallest hash occurs in one document alone is not repeated.  The others are dealt by that
+   hash, as stretches of text (neighbours share it), and compared where they meet.
 4. Parse and dictionary together give each document's repeated starts, and so its remaining bytes.
 
 Documents are dealt into chunks by id hash once, and every step works on the chunks of that one exchange.  What
@@ -29,10 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LENGTH, ANCHOR, PHRASE = 50, 24, 64
-CHUNK_BYTES, BUCKET_BYTES, SEGMENT = 16 << 20, 24 << 20, 1 << 20
+CHUNK_BYTES, BUCKET_BYTES, SEGMENT = 16 << 20, 24 << 20, 1 << 16
 _LAST = np.int64(2**63 - 1)
 _U = np.uint64
 
+#: Most starts of a stretch.
+STRETCH = 32
 _MESSAGE = "bucket int, chunk int, kind int, h1 binary, h2 binary, doc binary"
 _PHRASES, _ANCHORS, _WINDOWS = 0, 1, 2
 
@@ -130,58 +133,74 @@ class _Segment:
     """Windows that start in bytes [a, b) of a chunk; positions are relative to ``a``."""
 
     def __init__(self, chunk: _Chunk, first: int, last: int, a: int, b: int) -> None:
-        self.chunk, self.a, self.n = chunk, a, b - a
-        begin = np.maximum(chunk.start[first:last], a)
-        end = np.minimum(chunk.stop[first:last], b)
-        self.row = np.repeat(np.arange(first, last), end - begin)  # row of each byte
-        self.doc = chunk.doc[self.row]
-        reach = min(int(chunk.stop[last - 1]), b + LENGTH - 1)
-        self.data = chunk.bytes[a:reach]
-        room = chunk.stop[self.row] - a - np.arange(self.n)
-        self.valid = room >= LENGTH
-        self._first_byte = np.r_[True, self.row[1:] != self.row[:-1]] if self.n else np.zeros(0, bool)
-        self._end = chunk.stop[self.row] - a if self.n else np.zeros(0, np.int64)
+        self.chunk, self.a, self.n, self._first = chunk, a, b - a, first
+        self._begin = np.maximum(chunk.start[first:last], a) - a
+        self._stop = np.minimum(chunk.stop[first:last], b) - a
+        self._end = chunk.stop[first:last] - a
+        self.data = chunk.bytes[a : min(int(chunk.stop[last - 1]), b + LENGTH - 1)]
         self._sums: dict[int, np.ndarray] = {}
+        self._rolled: np.ndarray | None = None
+
+    def _place(self, at: np.ndarray) -> np.ndarray:
+        """Which of the segment's documents each position lies in."""
+        return np.searchsorted(self._stop, at, side="right")
+
+    def docs(self, at: np.ndarray) -> np.ndarray:
+        return self.chunk.doc[self._first + self._place(at)]
+
+    def valid(self) -> np.ndarray:
+        """Whether a whole window starts at each position."""
+        whole = np.clip(self._end - (LENGTH - 1) - self._begin, 0, self._stop - self._begin)
+        runs = np.stack([whole, self._stop - self._begin - whole], axis=1).ravel()
+        return np.repeat(np.arange(len(runs)) % 2 == 0, runs)
 
     def sums(self, which: int) -> np.ndarray:
         if which not in self._sums:
             self._sums[which] = _hasher().sums(self.data, which)
         return self._sums[which]
 
+    def rolled(self) -> np.ndarray:
+        if self._rolled is None:
+            self._rolled = _hasher().rolling(self.sums(0), ANCHOR, 0)
+        return self._rolled
+
     def phrases(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start of each phrase, its two hashes); a phrase ends where the next starts or its document ends."""
-        if not self.n:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        rolled = self.rolled()[: self.n]
         triggers = np.zeros(self.n, dtype=bool)
-        rolled = _hasher().rolling(self.sums(0), ANCHOR, 0)
-        m = min(self.n, len(rolled))
-        triggers[:m] = rolled[:m] % _U(PHRASE) == 0
-        start = np.flatnonzero(triggers | self._first_byte)
-        stop = np.minimum(np.r_[start[1:], self.n] + LENGTH - 1, self._end[start])
+        np.equal(rolled & _U(PHRASE - 1), _U(0), out=triggers[: len(rolled)])
+        triggers[self._begin[self._begin < self._stop]] = True
+        start = np.flatnonzero(triggers)
+        if not len(start):
+            return start, np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        stop = np.minimum(np.r_[start[1:], self.n] + LENGTH - 1, self._end[self._place(start)])
         one = _hasher().ranges(self.sums(0), start, stop, 0) ^ _mixed((stop - start).astype(np.uint64))
         return start, one, _hasher().ranges(self.sums(1), start, stop, 1).astype(np.uint32)
 
     def smallest_hashes(self) -> np.ndarray:
         """For each start, the smallest anchor hash in its window; where the window is not valid, any value."""
-        rolled = _hasher().rolling(self.sums(0), ANCHOR, 0)
         out = np.zeros(self.n, dtype=np.uint64)
         width = LENGTH - ANCHOR + 1
-        if len(rolled) >= width:
-            least = _sliding_min(rolled, width)
-            m = min(self.n, len(least))
-            out[:m] = least[:m]
+        if len(self.rolled()) >= width:
+            least = _sliding_min(self.rolled(), width)[: self.n]
+            out[: len(least)] = least
         return out
 
-    def window_hashes(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return _hasher().ranges(self.sums(0), at, at + LENGTH, 0), _hasher().ranges(self.sums(1), at, at + LENGTH, 1).astype(np.uint32)
+    def hashes(self, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _hasher().ranges(self.sums(0), start, stop, 0), _hasher().ranges(self.sums(1), start, stop, 1).astype(np.uint32)
 
 
 class _Known:
     """Sorted hashes with a smallest document each."""
 
     def __init__(self, h1: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> None:
-        order = np.lexsort((doc, h2, h1))
+        order = np.argsort(h1)
         h1, h2, doc = h1[order], h2[order], doc[order]
+        tied = np.flatnonzero(h1[1:] == h1[:-1]) if len(h1) else np.zeros(0, np.int64)
+        if len(tied):  # equal first hashes are sorted by the rest, on their own
+            rows = np.union1d(tied, tied + 1)
+            inner = np.lexsort((doc[rows], h2[rows], h1[rows]))
+            h2[rows], doc[rows] = h2[rows][inner], doc[rows][inner]
         new = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])] if len(h1) else np.zeros(0, bool)
         self.h1, self.h2, self.doc = h1[new], h2[new], doc[new]
 
@@ -209,11 +228,10 @@ def _joined(column: pa.ChunkedArray, dtype) -> np.ndarray:
 
 def _messages(chunk: int, kind: int, h1: np.ndarray, h2: np.ndarray | None, doc: np.ndarray | None, buckets: int) -> list[tuple]:
     """Hashes, sorted, as one row per bucket."""
-    bucket = ((h1 >> _U(32)) * _U(buckets)) >> _U(32)
-    cuts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(h1)] if len(h1) else np.zeros(1, np.int64)
+    bucket, cuts = _bucket_cuts(h1, buckets)
     small = doc is not None and len(doc) and int(doc.max()) < 2**31
     out = []
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+    for a, b in cuts:
         docs = b"" if doc is None else doc[a:b].astype(np.int32 if small else np.int64).tobytes()
         out.append((int(bucket[a]), chunk, kind, h1[a:b].tobytes(), b"" if h2 is None else h2[a:b].tobytes(), docs))
     return out
@@ -242,19 +260,22 @@ def _concatenated(parts: list[tuple]) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64)]
 
 
-def _chunk_phrases(chunk: _Chunk) -> _Known:
-    parts = []
-    for segment in chunk.segments():
-        start, one, two = segment.phrases()
-        parts.append((one, two, segment.doc[start]))
-    return _Known(*_concatenated(parts))
+class _Parse:
+    """The phrases of a chunk, segment by segment, and its dictionary."""
 
+    def __init__(self, chunk: _Chunk) -> None:
+        self.chunk, self._phrases, parts = chunk, [], []
+        for segment in chunk.segments():
+            start, one, two = segment.phrases()
+            self._phrases.append((start, one, two))
+            parts.append((one, two, segment.docs(start)))
+        self.known = _Known(*_concatenated(parts))
 
-def _owned(segment: _Segment, own: _Known, others: _Known) -> np.ndarray:
-    """Which starts lie in phrases that no smaller document has."""
-    start, one, two = segment.phrases()
-    least = np.minimum(own.least(one, two), others.least(one, two))
-    return np.repeat(segment.doc[start] <= least, np.diff(np.r_[start, segment.n]))
+    def owned(self, others: _Known) -> Iterator[tuple[_Segment, np.ndarray]]:
+        """Each segment with the starts that lie in phrases that no smaller document has."""
+        for segment, (start, one, two) in zip(self.chunk.segments(), self._phrases):
+            least = np.minimum(self.known.least(one, two), others.least(one, two))
+            yield segment, np.repeat(segment.docs(start) <= least, np.diff(np.r_[start, segment.n]))
 
 
 def _key(table: pa.Table) -> int:
@@ -263,63 +284,143 @@ def _key(table: pa.Table) -> int:
 
 def _send_phrases(buckets: int):
     def send(table: pa.Table) -> pa.Table:
-        known = _chunk_phrases(_Chunk(table))
+        known = _Parse(_Chunk(table)).known
         return _as_table(_messages(_key(table), _PHRASES, known.h1, known.h2, known.doc, buckets))
 
     return send
 
 
+def _turns(values: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before."""
+    return np.r_[True, values[1:] != values[:-1]] if len(values) else np.zeros(0, bool)
+
+
+def _anchor_names(least: np.ndarray) -> np.ndarray:
+    """Smallest hashes crowd at low values; mixed again, they spread evenly over the buckets.  The lowest bit is left free."""
+    return _mixed(least) & ~_U(1)
+
+
 def _send_anchors(buckets: int):
     def send(docs: pa.Table, messages: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return _as_table([])
-        chunk, others, parts = _Chunk(docs), _received(messages, _PHRASES), []
-        own = _chunk_phrases(chunk)
-        for segment in chunk.segments():
-            at = np.flatnonzero(segment.valid & _owned(segment, own, others))
-            least, doc = segment.smallest_hashes()[at], segment.doc[at]
-            turn = np.r_[True, (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])] if len(at) else np.zeros(0, bool)
-            parts.append((least[turn], doc[turn]))
-        least, doc = [np.concatenate(x) for x in zip(*parts)] if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        order = np.argsort(least, kind="stable")
-        least, doc = least[order], doc[order]
-        first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]]) if len(least) else np.zeros(0, np.int64)
+        parts = []
+        for segment, owned in _Parse(_Chunk(docs)).owned(_received(messages, _PHRASES)):
+            at = np.flatnonzero(segment.valid() & owned)
+            least = segment.smallest_hashes()[at]
+            turn = _turns(least)  # neighbours share their smallest hash
+            turn[1:] |= np.diff(at) >= LENGTH  # another document begins at least that far on
+            parts.append((_anchor_names(least[turn]), segment.docs(at[turn])))
+        name, doc = [np.concatenate(x) for x in zip(*parts)] if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        order = np.argsort(name)
+        name, doc = name[order], doc[order]
+        first = np.flatnonzero(_turns(name))
         several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first) if len(first) else np.zeros(0, bool)
         # the lowest bit tells whether the chunk itself has the hash in several documents
-        flagged = (least[first] & ~_U(1)) | several.astype(np.uint64)
-        return _as_table(_messages(_key(docs), _ANCHORS, flagged, None, None, buckets))
+        return _as_table(_messages(_key(docs), _ANCHORS, name[first] | several.astype(np.uint64), None, None, buckets))
 
     return send
 
 
-def _candidates(segment: _Segment, owned: np.ndarray, shared: _Known) -> np.ndarray:
-    at = np.flatnonzero(segment.valid & owned)
-    if not len(at) or not len(shared.h1):
-        return at[:0]
-    least = segment.smallest_hashes()[at] & ~_U(1)
-    spot = np.minimum(np.searchsorted(shared.h1, least), len(shared.h1) - 1)
-    return at[shared.h1[spot] == least]
-
-
-def _chunk_windows(chunk: _Chunk, own: _Known, phrases: _Known, shared: _Known) -> _Known:
-    parts = []
-    for segment in chunk.segments():
-        at = _candidates(segment, _owned(segment, own, phrases), shared)
-        parts.append((*segment.window_hashes(at), segment.doc[at]))
-    return _Known(*_concatenated(parts))
+class _Stretches:
+    """Runs of neighbouring starts in owned phrases that have one smallest hash, which several documents have.
 
+    Equal stretches of a chunk are one entry, owned by its smallest document; entries are sorted by the hash's name and their own hashes.
+    """
 
-def _send_windows(buckets: int):
+    def __init__(self, parse: _Parse, phrases: _Known, shared: _Known, each=None) -> None:
+        columns = []
+        for segment, owned in parse.owned(phrases):
+            valid = segment.valid()
+            if each is not None:
+                each(segment, valid & ~owned)
+            at = np.flatnonzero(valid & owned)
+            if not len(at) or not len(shared.h1):
+                continue
+            least = segment.smallest_hashes()[at]
+            turn = _turns(least)
+            turn[1:] |= np.diff(at) > 1
+            first = np.flatnonzero(turn)
+            name = _anchor_names(least[first])
+            hit = shared.h1[np.minimum(np.searchsorted(shared.h1, name), len(shared.h1) - 1)] == name
+            begin, size = at[first][hit], np.diff(np.r_[first, len(at)])[hit]
+            pieces = -(-size // STRETCH)
+            nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            name, begin, size = np.repeat(name[hit], pieces), np.repeat(begin, pieces) + STRETCH * nth, np.minimum(np.repeat(size, pieces) - STRETCH * nth, STRETCH)
+            columns.append((name, *segment.hashes(begin, begin + size + LENGTH - 1), segment.docs(begin), begin + segment.a, size))
+        if columns:
+            name, one, two, self.doc, self.at, self.size = (np.concatenate(x) for x in zip(*columns))
+        else:
+            name, one, two = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+            self.doc = self.at = self.size = np.zeros(0, np.int64)
+        order = np.lexsort((self.doc, two, one, self.size, name))
+        self.doc, self.at, self.size = self.doc[order], self.at[order], self.size[order]
+        name, one, two = name[order], one[order], two[order]
+        new = _turns(one) | _turns(two) | _turns(name) | _turns(self.size)
+        self.first = np.flatnonzero(new)
+        self.entry = np.cumsum(new) - 1  # of each stretch
+        self.name, self.owner = name[self.first], self.doc[self.first]
+        self.bytes = parse.chunk.bytes
+
+    def texts(self, entries: slice) -> bytes:
+        at, size = self.at[self.first[entries]], self.size[self.first[entries]] + LENGTH - 1
+        ends = np.cumsum(size)
+        return self.bytes[np.arange(int(ends[-1])) + np.repeat(at - (ends - size), size)].tobytes()
+
+
+def _bucket_cuts(h: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Bucket of each of some sorted hashes, and where each bucket's begin and end."""
+    bucket = ((h >> _U(32)) * _U(buckets)) >> _U(32)
+    cuts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(h)].tolist() if len(h) else [0]
+    return bucket, list(zip(cuts[:-1], cuts[1:]))
+
+
+def _send_stretches(buckets: int):
     def send(docs: pa.Table, messages: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return _as_table([])
-        chunk = _Chunk(docs)
-        known = _chunk_windows(chunk, _chunk_phrases(chunk), _received(messages, _PHRASES), _received(messages, _ANCHORS))
-        return _as_table(_messages(_key(docs), _WINDOWS, known.h1, known.h2, known.doc, buckets))
+        found = _Stretches(_Parse(_Chunk(docs)), _received(messages, _PHRASES), _received(messages, _ANCHORS))
+        bucket, cuts = _bucket_cuts(found.name, buckets)
+        key, out = _key(docs), []
+        for a, b in cuts:  # sizes travel in h1, texts in h2
+            sizes = found.size[found.first[a:b]].astype(np.uint8).tobytes()
+            out.append((int(bucket[a]), key, _WINDOWS, sizes, found.texts(slice(a, b)), found.owner[a:b].tobytes()))
+        return _as_table(out)
 
     return send
 
 
+def _answer_stretches(table: pa.Table) -> pa.Table:
+    """To each chunk, for each of its stretches, which starts (bits) a smaller document has."""
+    rows = list(zip(*(table.column(c).to_pylist() for c in ("bucket", "chunk", "h1", "h2", "doc"))))
+    size = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).astype(np.int64)
+    data = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
+    owner = np.frombuffer(b"".join(r[4] for r in rows), np.int64)
+    ends = np.cumsum(size + LENGTH - 1)
+    begin = ends - (size + LENGTH - 1)
+    one, two = [], []
+    step = SEGMENT // (STRETCH + LENGTH)
+    for a in range(0, len(size), step):  # a bounded part of the text at a time
+        b = min(a + step, len(size))
+        part = data[begin[a] : ends[b - 1]]
+        at = np.repeat(begin[a:b] - begin[a], size[a:b]) + np.arange(int(size[a:b].sum())) - np.repeat(np.cumsum(size[a:b]) - size[a:b], size[a:b])
+        one.append(_hasher().ranges(_hasher().sums(part, 0), at, at + LENGTH, 0))
+        two.append(_hasher().ranges(_hasher().sums(part, 1), at, at + LENGTH, 1).astype(np.uint32))
+    one, two = np.concatenate(one), np.concatenate(two)
+    doc = np.repeat(owner, size)
+    behind = _Known(one, two, doc).least(one, two) < doc
+    first = np.cumsum(size) - size
+    bits = np.left_shift(_U(1), (np.arange(len(doc)) - np.repeat(first, size)).astype(np.uint64)) * behind
+    masks = np.add.reduceat(bits, first).astype(np.uint32)
+    out, at = [], 0
+    for bucket, chunk, sizes, _, _ in rows:
+        mine = masks[at : at + len(sizes)]
+        at += len(sizes)
+        if mine.any():
+            out.append((bucket, chunk, _WINDOWS, mine.tobytes(), b"", bucket.to_bytes(8, "little")))
+    return _as_table(out)
+
+
 def _answer_least(table: pa.Table) -> pa.Table:
     """Of the hashes in a bucket: to each chunk those that a smaller document of another chunk has."""
     rows = list(zip(*(table.column(c).to_pylist() for c in ("chunk", "kind", "h1", "h2", "doc"))))
@@ -355,23 +456,29 @@ def _answer_shared(table: pa.Table) -> pa.Table:
 _RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
 
 
-def _results():
+def _results(buckets: int):
     def finish(docs: pa.Table, messages: pa.Table) -> pa.Table:
         names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept")
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         if not docs.num_rows:
             return pa.table({n: pa.array([], k) for n, k in zip(names, kinds)})
         chunk = _Chunk(docs)
-        own, phrases, shared, windows = _chunk_phrases(chunk), _received(messages, _PHRASES), _received(messages, _ANCHORS), _received(messages, _WINDOWS)
-        own_windows = _chunk_windows(chunk, own, phrases, shared)
         begins = np.zeros(len(chunk.bytes), dtype=bool)
-        for segment in chunk.segments():
-            owned = _owned(segment, own, phrases)
-            hit = segment.valid & ~owned
-            at = _candidates(segment, owned, shared)
-            one, two = segment.window_hashes(at)
-            hit[at] = np.minimum(own_windows.least(one, two), windows.least(one, two)) < segment.doc[at]
+
+        def mark(segment: _Segment, hit: np.ndarray) -> None:
             begins[segment.a : segment.a + segment.n] = hit
+
+        found = _Stretches(_Parse(chunk), _received(messages, _PHRASES), _received(messages, _ANCHORS), mark)
+        bucket, cuts = _bucket_cuts(found.name, buckets)
+        answers = {int.from_bytes(d, "little"): m for k, m, d in zip(*(messages.column(c).to_pylist() for c in ("kind", "h1", "doc"))) if k == _WINDOWS}
+        masks = np.zeros(len(found.name), dtype=np.uint32)
+        for a, b in cuts:
+            if answer := answers.get(int(bucket[a])):
+                masks[a:b] = np.frombuffer(answer, np.uint32)
+        mask = np.where(found.doc > found.owner[found.entry], np.uint32(0xFFFFFFFF), masks[found.entry]) if len(found.doc) else masks
+        nth = np.arange(int(found.size.sum())) - np.repeat(np.cumsum(found.size) - found.size, found.size)
+        hit = (np.repeat(mask, found.size) >> nth.astype(np.uint32)) & np.uint32(1) == 1
+        begins[(np.repeat(found.at, found.size) + nth)[hit]] = True
         at = np.flatnonzero(begins)
         gone = np.zeros(len(chunk.bytes), dtype=bool)
         if len(at):  # runs of starts that are at most LENGTH apart cover one stretch
@@ -412,5 +519,5 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     phrases = answered(dealt.groupBy("chunk").applyInArrow(_send_phrases(buckets), _MESSAGE), _answer_least)
     shared = answered(with_messages(phrases).applyInArrow(_send_anchors(buckets), _MESSAGE), _answer_shared)
     known = phrases.unionByName(shared)
-    windows = answered(with_messages(known).applyInArrow(_send_windows(buckets), _MESSAGE), _answer_least)
-    return with_messages(known.unionByName(windows)).applyInArrow(_results(), _RESULT)
+    windows = answered(with_messages(known).applyInArrow(_send_stretches(buckets), _MESSAGE), _answer_stretches)
+    return with_messages(known.unionByName(windows)).applyInArrow(_results(buckets), _RESULT)
