@@ -1,0 +1,147 @@
+"""Relational operators that the engine is built from.
+
+Order is explicit everywhere: an operator that says "first" or "latest" takes its ordering.  Per-key choices are aggregates
+(``min_by``/``max_by`` over a struct) where one row is wanted, as those combine before the shuffle and never gather a key's rows;
+window functions are used only where several rows of a key stay.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+
+def _order(*columns: str | Column) -> Column:
+    return F.struct(*columns)
+
+
+def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key by ``order`` (null keys are one key); one shuffle with map-side combining."""
+    rest = [c for c in df.columns if c not in keys]
+    grouped = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), _order(*order)).alias("_row"))
+    return grouped.select(*keys, "_row.*").select(*df.columns)
+
+
+def latest(df: DataFrame, keys: list[str], time: str, tie: str) -> DataFrame:
+    """The row of each key with the greatest time (nulls last), then the smallest ``tie``."""
+    ranked = df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(time).desc_nulls_last(), F.col(tie))))
+    return ranked.where("_n = 1").drop("_n")
+
+
+def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` rows of each key; Spark cuts each map task's groups to ``n`` before the shuffle."""
+    ranked = df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked.where(F.col("_n") <= n).drop("_n")
+
+
+def last_of_series(df: DataFrame, keys: list[str], time: str, tie: str, n: int) -> DataFrame:
+    """The last ``n`` points of each series with ``position`` 1..n in ascending order; unknown times count as latest."""
+    backwards = Window.partitionBy(*keys).orderBy(F.col(time).desc_nulls_first(), F.col(tie).desc())
+    kept = df.withColumn("_n", F.row_number().over(backwards)).where(F.col("_n") <= n)
+    return kept.withColumn("position", F.max("_n").over(Window.partitionBy(*keys)) - F.col("_n") + 1).drop("_n")
+
+
+def modal(df: DataFrame, keys: list[str], category: str, least: int = 1) -> DataFrame:
+    """``keys, category, rows``: the category with the most rows (first by name on ties), if it has ``least`` or more."""
+    counts = df.groupBy(*keys, category).agg(F.count("*").alias("rows")).where(F.col("rows") >= least)
+    best = counts.groupBy(*keys).agg(F.min_by(F.struct(category, "rows"), F.struct(-F.col("rows"), category)).alias("_b"))
+    return best.select(*keys, f"_b.{category}", "_b.rows")
+
+
+def preferred_pool(df: DataFrame, keys: list[str], preferred: Column, least: int) -> DataFrame:
+    """A key's preferred rows if it has ``least`` of them, else all its rows."""
+    flagged = df.withColumn("_p", F.coalesce(preferred, F.lit(False)))
+    enough = F.count_if("_p").over(Window.partitionBy(*keys)) >= least
+    return flagged.withColumn("_e", enough).where(F.col("_p") | ~F.col("_e")).drop("_p", "_e")
+
+
+def first_match(df: DataFrame, keys: list[str], predicate: Column, order: list[str], value: Column, name: str) -> DataFrame:
+    """``keys, name``: the value at each key's first row that satisfies a predicate, null if none does."""
+    return df.groupBy(*keys).agg(F.min_by(F.when(predicate, value), F.when(predicate, _order(*order))).alias(name))
+
+
+def ranked_dedup(df: DataFrame, keys: list[str], rank: list[Column], ordinal: str, source: Column) -> DataFrame:
+    """One row per key, that of the highest rank (first by ordinal on ties), with its losers.
+
+    ``duplicate_sources`` lists ``source`` of the other rows in the order in which a reader from first to last would drop
+    them: a row that is beaten is listed when the better one appears, so the fold runs over the rows in their order.
+    """
+    rows = df.withColumn("_rank", F.struct(*[r.alias(f"r{i}") for i, r in enumerate(rank)])).withColumn("_source", source)
+    rest = [c for c in df.columns if c not in keys]
+    rows = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(ordinal, F.struct("_rank", "_source", F.struct(*rest).alias("row")).alias("x")))).alias("_all"))
+    first = F.element_at("_all", 1)["x"]
+    start = F.struct(first.alias("best"), F.filter(F.array(first["_source"]), lambda s: F.lit(False)).alias("lost"))
+
+    def step(acc: Column, item: Column) -> Column:
+        better = item["x"]["_rank"] > acc["best"]["_rank"]
+        loser = F.when(better, acc["best"]["_source"]).otherwise(item["x"]["_source"])
+        return F.struct(F.when(better, item["x"]).otherwise(acc["best"]).alias("best"), F.concat(acc["lost"], F.array(loser)).alias("lost"))
+
+    rows = rows.withColumn("_r", F.aggregate(F.slice("_all", 2, F.greatest(F.size("_all") - 1, F.lit(0))), start, step))
+    return rows.select(*keys, "_r.best.row.*", F.col("_r.lost").alias("duplicate_sources"))
+
+
+def fallback_union(relations: list[DataFrame], key: str) -> DataFrame:
+    """Per key the rows of the first relation that has any; ``tier`` tells which (1 the first)."""
+    tiers = [r.withColumn("tier", F.lit(i + 1)) for i, r in enumerate(relations)]
+    everything = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tiers)
+    best = reduce(lambda a, b: a.union(b), [r.select(key, "tier") for r in tiers]).groupBy(key).agg(F.min("tier").alias("_best"))
+    return everything.join(best, key).where("tier = _best").drop("_best")
+
+
+def look_up(df: DataFrame, dimension: DataFrame, on: list[tuple[str, str]], values: dict[str, object]) -> DataFrame:
+    """Left join to a dimension's first row by key, with defaults for what is missing or empty."""
+    right_keys = [b for _, b in on]
+    side = dimension.groupBy(*right_keys).agg(*(F.first(v).alias(v) for v in values)) if values else dimension
+    side = side.select(*(F.col(b).alias(f"_k{i}") for i, b in enumerate(right_keys)), *values)
+    joined = df.join(side, [F.col(a) == F.col(f"_k{i}") for i, (a, _) in enumerate(on)], "left")
+    return joined.select(*df.columns, *(F.coalesce(v, F.lit(d)).alias(v) for v, d in values.items()))
+
+
+def band_join(anchors: DataFrame, items: DataFrame, keys: list[str], start: str, end: str, at: str) -> DataFrame:
+    """Items whose position lies in an anchor's half-open band [start, end) of the same keys."""
+    return anchors.join(items, keys).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end)))
+
+
+def unpivot_pairs(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """``keys, field, value``: one row per column, values as strings."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in columns)))
+    return df.select(*keys, pairs.alias("_p")).select(*keys, "_p.*")
+
+
+def pairs_to_map(df: DataFrame, keys: list[str], field: str, value: str, ordinal: str) -> DataFrame:
+    """Per key a map of field to value; of repeated fields the last by ordinal counts."""
+    single = df.groupBy(*keys, field).agg(F.max_by(value, ordinal).alias(value))
+    return single.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(field, value)))).alias("fields"))
+
+
+def pair_lines(lines: Column) -> Column:
+    """(at, name, value) of each line that is followed by one that begins with ':'.
+
+    A line that served as a value does not begin a pair: in a run of ':' lines only every other one can.
+    """
+    start = F.struct(F.lit(False).alias("used"), F.array().cast("array<struct<at:int,name:string,value:string>>").alias("out"))
+    ends = F.transform(lines, lambda x, i: F.struct(x.alias("line"), i.alias("i"), F.get(lines, i + 1).alias("after")))
+
+    def step(acc: Column, x: Column) -> Column:
+        begins = ~acc["used"] & F.coalesce(x["after"].startswith(":"), F.lit(False))
+        pair = F.struct(x["i"].alias("at"), x["line"].alias("name"), x["after"].alias("value"))
+        return F.struct(begins.alias("used"), F.when(begins, F.array_append(acc["out"], pair)).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(ends, start, step)["out"]
+
+
+def set_agreement(final: Column, earlier: Column) -> Column:
+    """How a final set of names agrees with an earlier one."""
+    none_final, none_earlier = F.size(final) == 0, F.size(earlier) == 0
+    same = (F.size(F.array_except(final, earlier)) == 0) & (F.size(F.array_except(earlier, final)) == 0)
+    return (
+        F.when(none_earlier, "consistent")
+        .when(none_final, "needs_review")
+        .when(same, "consistent")
+        .when(F.arrays_overlap(final, earlier), "partial_overlap")
+        .otherwise("discordant_findings")
+    )
