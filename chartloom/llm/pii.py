@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chartloom.llm.shared import let
+
 ROUNDS = 10
 #: The patterns, in the order in which they are tried at a place of the text.
 PATTERNS = {
@@ -35,23 +37,27 @@ def permuted(values: Column, radices: Column, key: str, kind: str) -> Column:
 
     Each round adds to one half a SHA-256 stream of the key, the round, the place and the other half, modulo the radices.
     """
-    half = (F.size(values) / 2).cast("int")
-    rest = F.size(values) - half
-    start = F.struct(
-        F.slice(values, 1, half).alias("a"), F.slice(radices, 1, half).alias("ra"), F.slice(values, half + 1, rest).alias("b"), F.slice(radices, half + 1, rest).alias("rb")
-    )
+    def halves(given: Column) -> Column:
+        half = (F.size(given["v"]) / 2).cast("int")
+        rest = F.size(given["v"]) - half
+        return F.struct(
+            F.slice(given["v"], 1, half).alias("a"), F.slice(given["r"], 1, half).alias("ra"), F.slice(given["v"], half + 1, rest).alias("b"), F.slice(given["r"], half + 1, rest).alias("rb")
+        )
 
     def round_(acc: Column, i: Column) -> Column:
-        other = F.array_join(acc["b"].cast("array<string>"), ",")
+        def added(other: Column) -> Column:
+            def moved(x: Column, place: Column) -> Column:
+                stream = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), place.cast("string"), other).cast("binary"), 256)
+                return F.pmod(x + F.conv(F.substring(stream, 1, 12), 16, 10).cast("bigint"), F.element_at(acc["ra"], place + 1)).cast("int")
 
-        def moved(x: Column, place: Column) -> Column:
-            stream = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), place.cast("string"), other).cast("binary"), 256)
-            return F.pmod(x + F.conv(F.substring(stream, 1, 12), 16, 10).cast("bigint"), F.element_at(acc["ra"], place + 1)).cast("int")
+            return F.transform(acc["a"], moved)
 
-        return F.struct(acc["b"].alias("a"), acc["rb"].alias("ra"), F.transform(acc["a"], moved).alias("b"), acc["ra"].alias("rb"))
+        moved = let(F.array_join(acc["b"].cast("array<string>"), ","), added)
+        return F.struct(acc["b"].alias("a"), acc["rb"].alias("ra"), moved.alias("b"), acc["ra"].alias("rb"))
 
+    start = let(F.struct(values.alias("v"), radices.alias("r")), halves)
     end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, round_)
-    return F.concat(end["a"], end["b"])
+    return let(end, lambda e: F.concat(e["a"], e["b"]))
 
 
 def _characters(value: Column) -> Column:
@@ -67,26 +73,25 @@ def _base(c: Column) -> Column:
 
 
 def _permuted_symbols(symbols: Column, key: str, kind: str) -> Column:
-    """Letters and digits to letters and digits of the same class."""
+    """Letters and digits (an array, worked out before) to letters and digits of the same class."""
     values = F.transform(symbols, lambda c: F.ascii(c) - _base(c))
     radices = F.transform(symbols, lambda c: F.when(c.rlike("[0-9]"), 10).otherwise(26))
-    moved = permuted(values, radices, key, kind)
-    return F.zip_with(symbols, moved, lambda c, v: F.char((_base(c) + v).cast("bigint")))
+    return F.zip_with(symbols, permuted(values, radices, key, kind), lambda c, v: F.char((_base(c) + v).cast("bigint")))
 
 
 def _refilled(value: Column, symbols: Column) -> Column:
     """``value`` with its letters and digits, in turn, replaced by ``symbols``."""
-    start = F.struct(F.lit(1).alias("i"), F.lit("").alias("out"))
 
     def put(acc: Column, c: Column) -> Column:
         here = c.rlike("[A-Za-z0-9]")
-        return F.struct((acc["i"] + F.when(here, 1).otherwise(0)).alias("i"), F.concat(acc["out"], F.when(here, F.try_element_at(symbols, acc["i"])).otherwise(c)).alias("out"))
+        return F.struct((acc["i"] + F.when(here, 1).otherwise(0)).alias("i"), F.concat(acc["out"], F.when(here, F.try_element_at(acc["s"], acc["i"])).otherwise(c)).alias("out"), acc["s"].alias("s"))
 
+    start = F.struct(F.lit(1).alias("i"), F.lit("").alias("out"), symbols.alias("s"))
     return F.aggregate(_characters(value), start, put)["out"]
 
 
 def _general(value: Column, key: str, kind: str) -> Column:
-    return _refilled(value, _permuted_symbols(_symbols(value), key, kind))
+    return _refilled(value, let(_symbols(value), lambda symbols: _permuted_symbols(symbols, key, kind)))
 
 
 def _after(value: Column, prefix: str, key: str, kind: str) -> Column:
@@ -111,14 +116,18 @@ def _luhn_sum(digits: Column, odd: int) -> Column:
 
 
 def _is_card(value: Column) -> Column:
-    return _luhn_sum(_symbols(value), 0) % 10 == 0
+    return let(_symbols(value), lambda digits: _luhn_sum(digits, 0) % 10 == 0)
 
 
 def _card(value: Column, key: str) -> Column:
-    symbols = _symbols(value)
-    body = _permuted_symbols(F.slice(symbols, 1, F.size(symbols) - 1), key, "card")
-    check = F.pmod(-_luhn_sum(body, 1), F.lit(10)).cast("string")
-    return _refilled(value, F.concat(body, F.array(check)))
+    def whole(body: Column) -> Column:
+        return F.concat(body, F.array(F.pmod(-_luhn_sum(body, 1), F.lit(10)).cast("string")))
+
+    def renewed(symbols: Column) -> Column:
+        body = let(F.slice(symbols, 1, F.size(symbols) - 1), lambda digits: _permuted_symbols(digits, key, "card"))
+        return let(body, whole)
+
+    return _refilled(value, let(_symbols(value), renewed))
 
 
 def _iban_rest(symbols: Column) -> Column:
@@ -133,10 +142,15 @@ def _iban_rest(symbols: Column) -> Column:
 
 
 def _iban(value: Column, key: str) -> Column:
-    symbols = _symbols(value)
-    country, account = F.slice(symbols, 1, 2), _permuted_symbols(F.slice(symbols, 5, F.size(symbols) - 4), key, "iban")
-    check = F.lpad((98 - _iban_rest(F.concat(country, F.array(F.lit("0"), F.lit("0")), account))).cast("string"), 2, "0")
-    return _refilled(value, F.concat(country, _characters(check), account))
+    def whole(parts: Column) -> Column:
+        check = F.lpad((98 - _iban_rest(F.concat(parts["country"], F.array(F.lit("0"), F.lit("0")), parts["account"]))).cast("string"), 2, "0")
+        return F.concat(parts["country"], _characters(check), parts["account"])
+
+    def renewed(symbols: Column) -> Column:
+        account = let(F.slice(symbols, 5, F.size(symbols) - 4), lambda own: _permuted_symbols(own, key, "iban"))
+        return let(F.struct(F.slice(symbols, 1, 2).alias("country"), account.alias("account")), whole)
+
+    return _refilled(value, let(_symbols(value), renewed))
 
 
 def _octets(value: Column) -> Column:
@@ -163,7 +177,7 @@ def _date(value: Column, key: str) -> Column:
     high, low = _DAY_RADICES
     parts = F.array((day / low).cast("int"), F.pmod(day, F.lit(low)))
     moved = permuted(parts, F.array(F.lit(high), F.lit(low)), key, "date")
-    new = F.date_add(F.lit(_FIRST_DAY).cast("date"), F.element_at(moved, 1) * low + F.element_at(moved, 2))
+    new = let(moved, lambda m: F.date_add(F.lit(_FIRST_DAY).cast("date"), F.element_at(m, 1) * low + F.element_at(m, 2)))
     out = F.lit(None).cast("string")
     for shape, pattern in _DATE_FORMATS.items():
         out = F.when(value.rlike(shape), F.date_format(new, pattern)).otherwise(out)

@@ -52,6 +52,11 @@ def word_count(text: Column) -> Column:
     return F.when(trimmed == "", F.lit(0)).otherwise(counted).cast("long")
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)`` with the value worked out once, however often ``then`` uses it (lambdas would repeat it)."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def small_side(df: DataFrame, rows: int, limit: int = 50_000) -> DataFrame:
     """Hint a broadcast only where the counted rows are under ``limit``; else leave the join to shuffle."""
     return F.broadcast(df) if rows <= limit else df
