@@ -137,8 +137,8 @@ def is_known_unit(value: Column) -> Column:
 def format_repaired(value: Column) -> Column:
     """Whole numbers without decimals, others with two at most."""
     whole = value == F.floor(value)
-    trimmed = F.regexp_replace(F.format_string("%.2f", value), r"\.?0+$", "")
-    return F.when(whole, value.cast("bigint").cast("string")).otherwise(trimmed)
+    trimmed = F.regexp_replace(F.format_string("%.2f", F.bround(value, 2)), r"\.?0+$", "")
+    return F.when(whole, value.cast("bigint").cast("string")).when(value.isNotNull(), trimmed)
 
 
 def repair_numeric(raw: Column, low: Column, high: Column, flag: Column | None = None) -> Column:

@@ -42,7 +42,7 @@ def infer_reference(description: Column, value: Column) -> Column:
 def format_result(value: Column) -> Column:
     """Whole and large numbers without decimals, from 10 with one, else two; trailing zeros dropped; text as it is, '-' for none."""
     number = parse.safe_float(value)
-    trimmed = lambda places: F.regexp_replace(F.format_string(f"%.{places}f", number), r"(\.\d*?)0+$", "$1")
+    trimmed = lambda places: F.regexp_replace(F.format_string(f"%.{places}f", F.bround(number, places)), r"(\.\d*?)0+$", "$1")
     bare = lambda c: F.regexp_replace(c, r"\.$", "")
     whole = (F.abs(number) >= 100) | (number == F.floor(number))
     shown = F.when(whole, F.bround(number, 0).cast("bigint").cast("string")).when(F.abs(number) >= 10, bare(trimmed(1))).otherwise(bare(trimmed(2)))
