@@ -12,6 +12,7 @@ import heapq
 import re
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -89,6 +90,17 @@ class PieceModel:
                 self.symbols.setdefault(c, len(self.pieces) + len(self.symbols))
         self._stride = len(self.pieces) + len(self.symbols) + 1
         self.no_symbol = self._stride - 1
+        self._symbol_of = np.full(0x110000, self.no_symbol, dtype=np.int32)
+        for piece, i in self.symbols.items():
+            if len(piece) == 1:
+                self._symbol_of[ord(piece)] = i
+        # a byte below 128 is a character of its own, wherever it stands
+        for b, i in self.bytes.items():
+            if b < 128:
+                self.surfaces[i] = chr(b)
+                if self._symbol_of[b] == self.no_symbol:
+                    self._symbol_of[b] = i
+        self._is_byte = np.array([k == _BYTE and self.byte_of[i] > 127 for i, k in enumerate(kinds)])
         order = {s: r for r, s in enumerate(sorted({scores[i] for i in normal.values()}, reverse=True))}
         pairs = {}
         for piece, i in normal.items():
@@ -114,11 +126,10 @@ class PieceModel:
         known = self._keys[at] == keys
         return np.where(known, self._ranks[at], _NO_RANK), self._merged[at]
 
-    def _merge_rounds(self, words: list[list[int]]) -> list[list[int]]:
-        lengths = np.array([len(w) for w in words], dtype=np.int64)
-        symbol = np.fromiter((s for w in words for s in w), dtype=np.int64, count=int(lengths.sum()))
-        word = np.repeat(np.arange(len(words)), lengths)
-        done: list[list[int] | None] = [None] * len(words)
+    def _merge_rounds(self, symbol: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All words' symbols in a row, and each word's number of symbols, before and after merging."""
+        word = np.repeat(np.arange(len(lengths)), lengths)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
         rank = np.full(len(symbol), _NO_RANK)
         result = np.zeros(len(symbol), dtype=np.int64)
 
@@ -136,10 +147,8 @@ class PieceModel:
             size = np.diff(np.r_[first, len(symbol)])
             settled = least == _NO_RANK
             if settled.any():
-                values = symbol.tolist()
-                for k in np.flatnonzero(settled).tolist():
-                    done[word[first[k]]] = values[first[k] : first[k] + size[k]]
                 stay = np.repeat(~settled, size)
+                done.append((symbol[~stay], word[~stay]))
                 symbol, word, rank, result = symbol[stay], word[stay], rank[stay], result[stay]
                 least, size = least[~settled], size[~settled]
                 if not len(symbol):
@@ -152,8 +161,11 @@ class PieceModel:
             stay[leftmost + 1] = False
             moved = leftmost - np.arange(len(leftmost))  # each earlier merge took one symbol out
             symbol, word, rank, result = symbol[stay], word[stay], rank[stay], result[stay]
-            refresh(np.unique(np.r_[moved, moved[moved > 0] - 1]))
-        return done
+            refresh(np.r_[moved, moved[moved > 0] - 1])
+        if not done:
+            return symbol, np.zeros(len(lengths), dtype=np.int64)
+        symbol, word = (np.concatenate(x) for x in zip(*done))
+        return symbol[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(lengths))
 
     def _merge_long(self, symbols: list[int]) -> list[int]:
         """The same merges, one at a time from a heap: lowest rank first, then leftmost."""
@@ -180,30 +192,38 @@ class PieceModel:
 
     def _ids_of(self, symbols: list[int], word: str) -> list[int]:
         """Symbols to ids; characters that are no piece become their UTF-8 bytes."""
-        if max(symbols) < len(self.pieces):
-            return symbols
         ids, at = [], 0
         for s in symbols:
             if s < len(self.pieces):
                 ids.append(s)
-                at += len(self.pieces[s])
+                at += 1 if s in self.byte_of else len(self.pieces[s])
             else:
                 ids.extend(self.bytes[b] for b in word[at].encode("utf-8"))
                 at += 1
         return ids
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word (not empty); a word's spaces are space marks."""
-        get, none = self.symbols.get, self.no_symbol
-        symbols = [[get(c, none) for c in w] for w in words]
-        short = [i for i, s in enumerate(symbols) if len(s) <= LONG_WORD]
-        merged: list[list[int]] = [[]] * len(words)
-        for i, s in zip(short, self._merge_rounds([symbols[i] for i in short])):
-            merged[i] = s
-        for i, s in enumerate(symbols):
-            if len(s) > LONG_WORD:
-                merged[i] = self._merge_long(s)
-        return [self._ids_of(s, w) for s, w in zip(merged, words)]
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in a row, number of ids of each); no word is empty, its spaces are space marks."""
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        symbol = self._symbol_of[points].astype(np.int64)
+        short = lengths <= LONG_WORD
+        merged, sizes = self._merge_rounds(symbol[np.repeat(short, lengths)], lengths[short])
+        odd = np.flatnonzero(~short).tolist()
+        if not odd and not (len(merged) and int(merged.max()) >= len(self.pieces)):
+            return merged.astype(np.int32), sizes
+        # long words, and words with characters that are no piece, one by one
+        ends = np.cumsum(lengths)
+        out: list[list[int]] = []
+        at, k = 0, 0
+        for i, w in enumerate(words):
+            if short[i]:
+                ids = merged[at : at + int(sizes[k])].tolist()
+                at, k = at + len(ids), k + 1
+            else:
+                ids = self._merge_long(symbol[int(ends[i] - lengths[i]) : int(ends[i])].tolist())
+            out.append(ids if max(ids) < len(self.pieces) else self._ids_of(ids, w))
+        return np.fromiter(chain.from_iterable(out), dtype=np.int32), np.fromiter(map(len, out), dtype=np.int64, count=len(out))
 
     # -- texts ---------------------------------------------------------------------------
 
@@ -221,18 +241,17 @@ class PieceModel:
             self.reset()
         cut = [self.words_of(t) for t in texts]
         place = self._place
-        fresh = list(dict.fromkeys(w for words in cut for w in words if w not in place))
+        fresh = [w for w in dict.fromkeys(chain.from_iterable(cut)) if w not in place]
         for start in range(0, len(fresh), 1 << 16):
             part = fresh[start : start + (1 << 16)]
-            ids = self.encode_words(part)
-            for w in part:
-                place[w] = len(place)
-            self._ids.append(np.fromiter((i for x in ids for i in x), dtype=np.int32))
-            self._starts.append(self._size + np.cumsum([len(x) for x in ids]))
-            self._size += len(self._ids[-1])
+            ids, sizes = self.encode_words(part)
+            place.update(zip(part, range(len(place), len(place) + len(part))))
+            self._ids.append(ids)
+            self._starts.append(self._size + np.cumsum(sizes))
+            self._size += len(ids)
         self._ids, self._starts = [np.concatenate(self._ids or [np.zeros(0, np.int32)])], [np.concatenate(self._starts)]
         store, starts = self._ids[0], self._starts[0]
-        which = np.fromiter((place[w] for words in cut for w in words), dtype=np.int64)
+        which = np.fromiter(map(place.__getitem__, chain.from_iterable(cut)), dtype=np.int64)
         begin, size = starts[which], starts[which + 1] - starts[which]
         word_ends = np.cumsum(size)
         total = int(word_ends[-1]) if len(which) else 0
@@ -240,7 +259,13 @@ class PieceModel:
         ends = np.r_[0, word_ends][np.cumsum([len(words) for words in cut], dtype=np.int64)]
         return np.insert(flat, ends, self.end), ends + np.arange(1, len(texts) + 1)
 
-    def decode(self, ids: list[int]) -> str:
+    def decode_batch(self, flat: np.ndarray, ends: np.ndarray) -> list[str]:
+        """Texts of what ``encode_batch`` returns."""
+        values, bounds = flat.tolist(), [0, *ends.tolist()]
+        runs = np.r_[0, np.cumsum(self._is_byte[flat])][np.r_[0, ends]]
+        return [self.decode(values[a:b], has_bytes) for a, b, has_bytes in zip(bounds, bounds[1:], (np.diff(runs) > 0).tolist())]
+
+    def decode(self, ids: list[int], has_bytes: bool = True) -> str:
         """Text of the ids: pieces joined, runs of byte pieces read as UTF-8, the prefix's space dropped."""
         surfaces, byte_of = self.surfaces, self.byte_of
         if self.prefixed:
@@ -248,8 +273,8 @@ class PieceModel:
             dropped = at is not None and ids[at] not in byte_of and ids[at] != self.unknown and surfaces[ids[at]].startswith(" ")
         else:
             dropped = False
-        if byte_of.keys().isdisjoint(ids):
-            text = "".join([surfaces[i] for i in ids])
+        if not has_bytes:
+            text = "".join(map(surfaces.__getitem__, ids))
         else:
             parts, run = [], bytearray()
             for i in ids:
@@ -309,8 +334,7 @@ def encode_and_decode(docs: DataFrame, model_path: str, text_column: str = "text
             for start, stop in _slices([len(t) for t in texts]):
                 flat, ends = coder.encode_batch(texts[start:stop])
                 bounds = [0, *ends.tolist()]
-                values = flat.tolist()
-                decoded = [coder.decode(values[a:b]) for a, b in zip(bounds, bounds[1:])]
+                decoded = coder.decode_batch(flat, ends)
                 ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32()))
                 columns = [batch.column(i).slice(start, stop - start) for i in range(batch.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*columns, ids, pa.array(decoded, pa.string())], [*kept, "ids", "decoded"])
