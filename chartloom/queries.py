@@ -246,7 +246,7 @@ def bbox_envelope(lines: DataFrame) -> DataFrame:
     return lines.groupBy("l_orderkey").agg(geometry.envelope(boxed).alias("b")).select("l_orderkey", "b.*")
 
 
-@_query("SELECT a.l_orderkey, a.l_linenumber AS first_line, b.l_linenumber AS second_line, count(*) AS pairs, sum(CAST(greatest(0, least(a.l_quantity, b.l_quantity) + 20 - greatest(a.l_quantity, b.l_quantity)) AS BIGINT)) AS overlap FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber WHERE abs(a.l_quantity - b.l_quantity) < 20 GROUP BY 1, 2, 3", "lineitem")
+@_query("SELECT a.l_orderkey, a.l_linenumber AS first_line, b.l_linenumber AS second_line, count(*) AS pairs, CAST(sum(CAST(greatest(0, least(a.l_quantity, b.l_quantity) + 20 - greatest(a.l_quantity, b.l_quantity)) AS BIGINT)) AS BIGINT) AS overlap FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber WHERE abs(a.l_quantity - b.l_quantity) < 20 GROUP BY 1, 2, 3", "lineitem")
 def bbox_overlap(lines: DataFrame) -> DataFrame:
     """Boxes of one order that overlap horizontally; all are 20 wide, so the ratio times 20 is the shared width."""
     boxed = lines.select("l_orderkey", "l_linenumber", F.struct(F.col("l_quantity").alias("x0"), F.lit(0.0).alias("y0"), (F.col("l_quantity") + 20).alias("x1"), F.lit(1.0).alias("y1")).alias("b"))
@@ -458,6 +458,107 @@ def latest_distinct_rows(events: DataFrame) -> DataFrame:
     return numbered.where("row_no <= 3").select("user_id", "event_id", "row_no")
 
 
+# -- more relational operators --------------------------------------------------------------
+
+
+@_query("SELECT user_id, session, min(event_id) AS first_event, count(*) AS events FROM (SELECT *, CAST(sum(CASE WHEN gap IS NULL OR gap > INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS session FROM (SELECT *, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events)) GROUP BY 1, 2", "events")
+def sessions(events: DataFrame) -> DataFrame:
+    """Runs of a user's events without a pause of over six hours (gaps and islands)."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    pause = F.col("ts") - F.lag("ts").over(w) > F.expr("INTERVAL '6' HOUR")
+    flagged = events.select("user_id", "event_id", "ts", F.coalesce(pause, F.lit(True)).cast("long").alias("_new"))
+    runs = flagged.withColumn("session", F.sum("_new").over(w))
+    return runs.groupBy("user_id", "session").agg(F.min("event_id").alias("first_event"), F.count("*").alias("events"))
+
+
+@_query("SELECT event_id, CASE WHEN next_type = 'purchase' THEN 'before' WHEN previous_type = 'purchase' THEN 'after' ELSE 'other' END AS position FROM (SELECT event_id, lead(event_type) OVER w AS next_type, lag(event_type) OVER w AS previous_type FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))", "events")
+def neighbour_labels(events: DataFrame) -> DataFrame:
+    """What a row means by the label of the next or the previous one."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    position = F.when(F.lead("event_type").over(w) == "purchase", "before").when(F.lag("event_type").over(w) == "purchase", "after").otherwise("other")
+    return events.select("event_id", position.alias("position"))
+
+
+@_query("SELECT o_custkey, arg_min(o_orderkey, (o_totalprice, o_orderkey)) AS cheapest, arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS dearest FROM orders GROUP BY 1", "orders")
+def argmin_argmax(orders: DataFrame) -> DataFrame:
+    rank = F.struct("o_totalprice", "o_orderkey")
+    return orders.groupBy("o_custkey").agg(F.min_by("o_orderkey", rank).alias("cheapest"), F.max_by("o_orderkey", rank).alias("dearest"))
+
+
+@_query("SELECT user_id, arg_min(event_id, (ts, event_id)) FILTER (event_type = 'error' AND value > 50) AS first_error FROM events GROUP BY 1", "events")
+def first_match(events: DataFrame) -> DataFrame:
+    return rel.first_match(events, ["user_id"], (F.col("event_type") == "error") & (F.col("value") > 50), ["ts", "event_id"], F.col("event_id"), "first_error")
+
+
+@_query("SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem) WHERE n <= 2", "lineitem")
+def limit_per_group(lines: DataFrame) -> DataFrame:
+    rows = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return rel.top_per_group(rows, ["l_orderkey"], [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")], 2).select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@_query("WITH k AS (SELECT user_id, list_sort(list(DISTINCT event_type)) AS seen FROM events WHERE ts < TIMESTAMP '2024-01-05' GROUP BY 1) SELECT user_id, array_to_string(list_filter(['click', 'error', 'purchase', 'signup', 'view'], lambda x: NOT list_contains(seen, x)), ',') AS missing, list_has_all(seen, ['click', 'view']) AS has_both, list_has_any(seen, ['signup', 'error']) AS has_any FROM k", "events")
+def required_minus_present(events: DataFrame) -> DataFrame:
+    """Required names that are absent, a subset test and an overlap test."""
+    seen = events.where(F.col("ts") < F.lit("2024-01-05").cast("timestamp_ntz")).groupBy("user_id").agg(F.collect_set("event_type").alias("seen"))
+    some = lambda *names: F.array(*map(F.lit, names))
+    missing = F.array_join(F.array_sort(F.array_except(some("click", "error", "purchase", "signup", "view"), F.col("seen"))), ",")
+    return seen.select("user_id", missing.alias("missing"), (F.size(F.array_except(some("click", "view"), F.col("seen"))) == 0).alias("has_both"), F.arrays_overlap("seen", some("signup", "error")).alias("has_any"))
+
+
+@_query("SELECT 'customer' AS kind, c_custkey AS id, c_name AS name, c_acctbal > 5000 AS rich FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_name, NULL FROM supplier", "customer", "supplier")
+def union_assets(customer: DataFrame, supplier: DataFrame) -> DataFrame:
+    """Two kinds of rows in one relation; a column that one lacks is null there."""
+    one = customer.select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), (F.col("c_acctbal") > 5000).alias("rich"))
+    return one.unionByName(supplier.select(F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), allowMissingColumns=True)
+
+
+@_query("SELECT n_name, coalesce(c, 0) AS customers, coalesce(s, 0) AS suppliers FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS c FROM customer GROUP BY 1) ON c_nationkey = n_nationkey LEFT JOIN (SELECT s_nationkey, count(*) AS s FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey", "nation", "customer", "supplier")
+def grouped_left_joins(nation: DataFrame, customer: DataFrame, supplier: DataFrame) -> DataFrame:
+    """Each kind of child is grouped before it is joined, so children never multiply each other."""
+    c = customer.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("customers"))
+    s = supplier.groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("suppliers"))
+    return nation.join(c, "n_nationkey", "left").join(s, "n_nationkey", "left").select("n_name", "customers", "suppliers").na.fill(0)
+
+
+@_query("SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_quantity > 45", "lineitem")
+def distinct_pairs(lines: DataFrame) -> DataFrame:
+    return lines.where("l_quantity > 45").select("l_partkey", "l_suppkey").dropDuplicates()
+
+
+@_query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS patient, CAST(c_nationkey AS VARCHAR) AS age, c_mktsegment AS sexe FROM customer", "customer")
+def label_spans(customer: DataFrame) -> DataFrame:
+    """Values between labels of one running text; a label that is not there has none."""
+    shown = F.concat(F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("Patient: "), "c_name", F.lit(" "))).otherwise(""), F.lit("AGE "), F.col("c_nationkey").cast("string"), F.lit(" Sexe : "), "c_mktsegment")
+    found = customer.select("c_custkey", text.find_labels(shown, ["Patient", "Age", "Sexe"]).alias("f"))
+    get = lambda k: F.try_element_at("f", F.lit(k))
+    return found.select("c_custkey", get("Patient").alias("patient"), get("Age").alias("age"), get("Sexe").alias("sexe"))
+
+
+@_query("SELECT o_orderkey, CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR) AS result, strftime(o_orderdate, '%d %b %Y') AS shown, CAST(('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8)) AS BIGINT) AS seed FROM orders WHERE o_totalprice >= 1000 AND abs(o_totalprice - floor(o_totalprice) - 0.5) > 0.01", "orders")
+def report_formats(orders: DataFrame) -> DataFrame:
+    """Large numbers, dates and seeds as reports show them; numbers halfway between two whole ones are left to the unit tests."""
+    kept = orders.where((F.col("o_totalprice") >= 1000) & (F.abs(F.col("o_totalprice") - F.floor("o_totalprice") - 0.5) > 0.01))
+    return kept.select("o_orderkey", reports.format_result(F.col("o_totalprice").cast("decimal(18,2)").cast("string")).alias("result"), reports.format_date(F.col("o_orderdate")).alias("shown"), reports.seed_from_text(F.col("o_orderkey").cast("string")).alias("seed"))
+
+
+_CODES = {"FURNITURE": ("Féminin", "F"), "MACHINERY": ("male", "M"), "HOUSEHOLD": ("?", None)}
+_VISITS = {"FURNITURE": ("externe", "External"), "MACHINERY": ("Urgent care", "Urgent care"), "HOUSEHOLD": ("other", None)}
+
+
+@_query("SELECT c_custkey, CASE c_mktsegment WHEN 'FURNITURE' THEN 'F' WHEN 'MACHINERY' THEN 'M' END AS sex, CASE c_mktsegment WHEN 'FURNITURE' THEN 'External' WHEN 'MACHINERY' THEN 'Urgent care' END AS encounter, upper(replace(c_name, '#', '')) AS report_id FROM customer", "customer")
+def coded_fields(customer: DataFrame) -> DataFrame:
+    """Dictionary lookups by label, null for what is not in the dictionary."""
+    said = lambda d: parse.look_up({k: v[0] for k, v in d.items()}, F.col("c_mktsegment"))
+    return customer.select("c_custkey", identity.sex(said(_CODES)).alias("sex"), identity.encounter_type(said(_VISITS)).alias("encounter"), identity.report_id(F.col("c_name")).alias("report_id"))
+
+
+@_query("SELECT event_type, count(*) FILTER (value >= 60) AS scored, CAST(sum(CAST(floor(value) AS BIGINT)) FILTER (value >= 60) AS BIGINT) AS total FROM events GROUP BY 1", "events")
+def positive_mean_parts(events: DataFrame) -> DataFrame:
+    """Parts of a mean over the values that count only."""
+    counts = F.col("value") >= 60
+    return events.groupBy("event_type").agg(F.count_if(counts).alias("scored"), F.sum(F.when(counts, F.floor("value"))).alias("total"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from chartloom.plans import catalogue
 
