@@ -139,6 +139,48 @@ FROM judged JOIN verdicts ON judged.source IS NOT DISTINCT FROM verdicts.source
 """
 
 
+def _op3_sql() -> str:
+    # every document's path has directories, so a directory's files are those whose path begins with it
+    values = ", ".join(f"({i}, '{name}', '{body}')" for i, (name, body) in enumerate(licenses.TEMPLATES))
+    words = lambda x: f"list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+    spaced = lambda x: f"len(regexp_extract_all({x}, '[^\\x20\\x09-\\x0D]+'))"
+    n = len(licenses.TEMPLATES)
+    return f"""
+WITH templates(template, license, body) AS (VALUES {values}),
+template_counts AS (SELECT template, license, token, count(*) AS tf FROM (SELECT template, license, unnest({words('body')}) AS token FROM templates) GROUP BY ALL),
+idf AS (SELECT token, ln({1 + n}.0 / (1 + count(DISTINCT template))) + 1 AS idf FROM template_counts GROUP BY 1),
+weights AS (SELECT template, license, token, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS weight FROM template_counts JOIN idf USING (token)),
+files AS (SELECT doc_id, text, source || '/' || lang || '/' || CAST(doc_id // 64 AS VARCHAR) || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path FROM documents),
+stated AS (
+  SELECT doc_id, path, n_words, unnest(list_distinct(list_transform(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '{licenses.CUES}')), lambda l: regexp_replace(l, '^\\s+|\\s+$', '', 'g')))) AS statement
+  FROM (SELECT *, {spaced('text')} AS n_words FROM files)
+),
+counts AS (SELECT statement, token, count(*) AS tf FROM (SELECT statement, unnest({words('statement')}) AS token FROM (SELECT DISTINCT statement FROM stated)) GROUP BY ALL),
+own AS (SELECT statement, token, tf * coalesce(idf, ln({1 + n}.0) + 1) AS w FROM counts LEFT JOIN idf USING (token)),
+norms AS (SELECT statement, sqrt(sum(w * w)) AS norm FROM own GROUP BY 1),
+scored AS (
+  SELECT statement, license, round(sum(w * weight) / any_value(norm), 9) AS cosine FROM own JOIN weights USING (token) JOIN norms USING (statement) GROUP BY statement, template, license
+  QUALIFY row_number() OVER (PARTITION BY statement ORDER BY cosine DESC, license) = 1
+),
+hits AS (
+  SELECT doc_id, path, license, cosine, sum({spaced('statement')}) OVER (PARTITION BY doc_id) >= {licenses.MIN_SHARE} * n_words AS mostly FROM stated JOIN scored USING (statement) WHERE cosine >= {licenses.MIN_COSINE}
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, license) = 1
+),
+dirs AS (
+  SELECT regexp_replace(path, '/?[^/]*$', '') AS license_dir, license AS dir_license, cosine AS dir_cosine FROM hits WHERE mostly
+  QUALIFY row_number() OVER (PARTITION BY license_dir ORDER BY cosine DESC, path, license) = 1
+),
+found AS (
+  SELECT f.doc_id, f.path, h.license, h.cosine, d.* FROM files f LEFT JOIN hits h USING (doc_id)
+  LEFT JOIN dirs d ON starts_with(f.path, d.license_dir || '/')
+  QUALIFY row_number() OVER (PARTITION BY f.doc_id ORDER BY length(d.license_dir) DESC NULLS LAST) = 1
+)
+SELECT doc_id, path, coalesce(license, dir_license) AS license, coalesce(cosine, dir_cosine) AS cosine,
+       CASE WHEN license IS NOT NULL THEN 'file' WHEN dir_license IS NOT NULL THEN 'directory' END AS found_in, CASE WHEN license IS NULL THEN license_dir END AS license_dir
+FROM found
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -155,4 +197,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": OP2_SQL, "op7_quality": OP7_SQL}
+    return {"op2_topk": OP2_SQL, "op3_licenses": _op3_sql(), "op7_quality": OP7_SQL}
