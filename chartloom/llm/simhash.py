@@ -166,7 +166,10 @@ def keep_representatives(docs: DataFrame, shingle: int = 3) -> DataFrame:
     Rows with a null id cannot be linked and stay.
     """
     groups = near_duplicates(docs, shingle).where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
+    groups = materialize(groups, "simhash-kept")
     found = docs.join(groups, F.col("doc_id") == F.col("_kept"))
-    single = found.where("_rows = 1").select(*docs.columns)
+    unlinked = docs.where("doc_id is null")
+    if groups.where("_rows > 1").isEmpty():
+        return found.select(*docs.columns).unionByName(unlinked)
     ranked = found.where("_rows > 1").withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_row = 1")
-    return single.unionByName(ranked.select(*docs.columns)).unionByName(docs.where("doc_id is null"))
+    return found.where("_rows = 1").select(*docs.columns).unionByName(ranked.select(*docs.columns)).unionByName(unlinked)

@@ -72,7 +72,10 @@ def test_every_pair_within_three_bits_is_found(spark, monkeypatch, key_rows):
     assert found == want
 
 
-def test_chains_rings_and_stars(spark):
+@pytest.mark.parametrize("few,hub", [(50_000, 20_000), (0, 20_000), (0, 3)])
+def test_chains_rings_and_stars(spark, monkeypatch, few, hub):
+    monkeypatch.setattr(components, "BROADCAST_LINKS", few)
+    monkeypatch.setattr(components, "HUB", hub)
     links = [(i, i + 1) for i in range(20)] + [(30, 31), (31, 32), (32, 30), (5, 5)] + [(40, 40 + i) for i in range(1, 9)] + [(None, 3)]
     found = {r.node: r.component for r in components.connected_components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert found == {**{i: 0 for i in range(21)}, **{i: 30 for i in (30, 31, 32)}, **{i: 40 for i in range(40, 49)}}
