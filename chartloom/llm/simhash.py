@@ -15,6 +15,8 @@ key ever pairs more than 2,048 fingerprints, whatever the data.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -31,7 +33,21 @@ from chartloom.llm.shared import materialize
 BITS, SEGMENT, MAX_DISTANCE, SEED = 64, 16, 3, 42
 #: Fingerprints that may share a key before it is refined; refinement rounds.
 KEY_ROWS, REFINEMENTS = 64, 4
-_SLICE = 1 << 16
+#: Shingles hashed at a time; bytes of a text cut into words at a time.
+_SLICE, _BLOCK = 1 << 16, 1 << 22
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _word_lists(data: bytes) -> Iterator[list[bytes]]:
+    """Words of a text in lists of bounded size, however long the text is; no word is cut."""
+    start = 0
+    while start < len(data):
+        stop = start + _BLOCK
+        if stop < len(data):
+            end = _SPACE.search(data, stop)
+            stop = end.start() if end else len(data)
+        yield data[start:stop].split()  # bytes: split at ASCII white space only
+        start = stop
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -40,16 +56,25 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     Words are those of the text with A-Z lower-cased; fewer words than ``shingle``: the whole
     sequence is the one shingle; no words or null: 0.
     """
-    words = (text or "").encode("utf-8").lower().split()  # bytes: ASCII letters and ASCII white space only
-    if not words:
-        return 0
-    count = max(1, len(words) - shingle + 1)
-    ones = np.zeros(BITS, dtype=np.int64)
-    for start in range(0, count, _SLICE):
-        stop = min(count, start + _SLICE)
-        pieces = [b" ".join(words[i : i + shingle]) for i in range(start, stop)]
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(SEED)), dtype="<u8", count=stop - start)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    ones, count, carried = np.zeros(BITS, dtype=np.int64), 0, []
+
+    def add(pieces: list[bytes]) -> None:
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(SEED)), dtype="<u8", count=len(pieces))
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        np.add(ones, bits.sum(axis=0, dtype=np.int64), out=ones)
+
+    for words in _word_lists((text or "").encode("utf-8").lower()):
+        words = carried + words
+        whole = len(words) - shingle + 1
+        for start in range(0, whole, _SLICE):
+            add([b" ".join(words[i : i + shingle]) for i in range(start, min(whole, start + _SLICE))])
+        count += max(0, whole)
+        carried = words[max(0, whole) :]
+    if not count:
+        if not carried:
+            return 0
+        add([b" ".join(carried)])
+        count = 1
     return int(np.packbits(2 * ones > count, bitorder="little").view("<u8")[0])
 
 

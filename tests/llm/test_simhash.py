@@ -37,8 +37,10 @@ def brute_components(marked):
     return {d: least[find(f)] for d, f in marked}
 
 
-def test_fingerprints_match_brute_force():
-    for text in {r[1] for r in documents()}:
+@pytest.mark.parametrize("block", [1 << 22, 7, 40])
+def test_fingerprints_match_brute_force(monkeypatch, block):
+    monkeypatch.setattr(simhash, "_BLOCK", block)
+    for text in {r[1] for r in documents()} | {"one", "one two", "one two  ", "a b c", " x" * 50}:
         assert simhash.fingerprint(text) == brute_fingerprint(text)
 
 
