@@ -16,14 +16,15 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 SPACE = "▁"
 #: Words with more symbols are merged with a heap (the same rule), as each round costs their whole length.
 LONG_WORD = 192
-#: Characters encoded at a time; words remembered in a worker.
-SLICE_CHARS, REMEMBERED = 1 << 20, 400_000
+#: Bytes of text encoded at a time; words remembered in a worker.
+SLICE_BYTES, REMEMBERED = 1 << 18, 60_000
 _NO_RANK = np.int64(1) << 62
 _NORMAL, _UNKNOWN, _CONTROL, _USER_DEFINED, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 
@@ -306,12 +307,12 @@ def read_model(path: str) -> bytes:
 
 
 def _slices(lengths: list[int]) -> Iterator[tuple[int, int]]:
-    start = chars = 0
+    start = size = 0
     for i, n in enumerate(lengths):
-        if i > start and chars + n > SLICE_CHARS:
+        if i > start and size + n > SLICE_BYTES:
             yield start, i
-            start, chars = i, 0
-        chars += n
+            start, size = i, 0
+        size += n
     if start < len(lengths):
         yield start, len(lengths)
 
@@ -330,13 +331,12 @@ def encode_and_decode(docs: DataFrame, model_path: str, text_column: str = "text
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _loaded(model)
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            for start, stop in _slices([len(t) for t in texts]):
-                flat, ends = coder.encode_batch(texts[start:stop])
-                bounds = [0, *ends.tolist()]
-                decoded = coder.decode_batch(flat, ends)
-                ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32()))
+            texts = batch.column(batch.num_columns - 1)
+            for start, stop in _slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+                flat, ends = coder.encode_batch([t or "" for t in texts.slice(start, stop - start).to_pylist()])
+                ids = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(flat, pa.int32()))
                 columns = [batch.column(i).slice(start, stop - start) for i in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*columns, ids, pa.array(decoded, pa.string())], [*kept, "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([*columns, ids, pa.array(coder.decode_batch(flat, ends), pa.string())], [*kept, "ids", "decoded"])
+            pa.default_memory_pool().release_unused()
 
     return source.mapInArrow(work, schema)
