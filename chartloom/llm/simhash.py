@@ -192,7 +192,8 @@ def keep_representatives(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """
     groups = near_duplicates(docs, shingle).where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
     groups = materialize(groups, "simhash-kept")
-    found = docs.join(groups, F.col("doc_id") == F.col("_kept"))
+    # merged at every size: which ids stay grows with the documents, so it is never broadcast
+    found = docs.join(groups.hint("merge"), F.col("doc_id") == F.col("_kept"))
     unlinked = docs.where("doc_id is null")
     if groups.where("_rows > 1").isEmpty():
         return found.select(*docs.columns).unionByName(unlinked)
