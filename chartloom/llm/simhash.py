@@ -29,6 +29,7 @@ from pyspark.sql.window import Window
 
 from chartloom.llm.components import connected_components
 from chartloom.llm.shared import materialize
+from chartloom.llm.similar import similar_components
 
 BITS, SEGMENT, MAX_DISTANCE, SEED = 64, 16, 3, 42
 #: Fingerprints that may share a key before it is refined; refinement rounds.
@@ -184,13 +185,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, id_column: str = "doc_id"
     return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def keep_representatives(docs: DataFrame, shingle: int = 3) -> DataFrame:
+def keep_representatives(docs: DataFrame, shingle: int = 3, similar_percent: int | None = None) -> DataFrame:
     """The documents whose id is that of their component; one row per component.
 
+    Links are those of ``near_duplicates``; with ``similar_percent``, all those of that Jaccard similarity or more (``similar``).
+
     Columns are those of ``docs``.  Of repeated rows with one id, one stays, that with the smallest text.
     Rows with a null id cannot be linked and stay.
     """
-    groups = near_duplicates(docs, shingle).where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
+    linked = near_duplicates(docs, shingle) if similar_percent is None else similar_components(docs, shingle, similar_percent)
+    groups = linked.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
     groups = materialize(groups, "simhash-kept")
     # merged at every size: which ids stay grows with the documents, so it is never broadcast
     found = docs.join(groups.hint("merge"), F.col("doc_id") == F.col("_kept"))
