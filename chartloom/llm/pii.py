@@ -4,6 +4,7 @@ Values are found by pattern and validated (Luhn check digit, IBAN remainder, IPv
 symbols are permuted by a keyed Feistel network over mixed radices: a digit becomes a digit, a letter a letter of its case,
 an octet an octet, a date a date, and check digits are worked out anew.  The permutation depends on the key, the kind and
 the symbols alone, not on separators, so equal values get equal pseudonyms in all documents, however they are written.
+Slashed dates are day first, or month first where that is the only reading; dates before 1900 or after 2099 stay.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ PATTERNS = {
 #: 1900-01-01 to 2099-12-31 are 17 * 4297 days.
 _FIRST_DAY, _DAY_RADICES = "1900-01-01", (17, 4297)
 _DATE_FORMATS = {r"^\d{4}-": "yyyy-MM-dd", r"^\d{2}/": "dd/MM/yyyy", r"^\d{2}\.": "dd.MM.yyyy"}
+#: Slashed dates that are none with the day first.
+_MONTH_FIRST = "MM/dd/yyyy"
 
 
 def permuted(values: Column, radices: Column, key: str, kind: str) -> Column:
@@ -167,7 +170,7 @@ def _as_date(value: Column) -> Column:
     out = F.lit(None).cast("date")
     for shape, pattern in _DATE_FORMATS.items():
         out = F.when(value.rlike(shape), F.try_to_date(value, pattern)).otherwise(out)
-    return out
+    return F.coalesce(out, F.when(value.rlike("/"), F.try_to_date(value, _MONTH_FIRST)))
 
 
 def _is_date(value: Column) -> Column:
@@ -183,7 +186,8 @@ def _date(value: Column, key: str) -> Column:
     out = F.lit(None).cast("string")
     for shape, pattern in _DATE_FORMATS.items():
         out = F.when(value.rlike(shape), F.date_format(new, pattern)).otherwise(out)
-    return out
+    month_first = value.rlike("/") & F.try_to_date(value, _DATE_FORMATS[r"^\d{2}/"]).isNull()
+    return F.when(month_first, F.date_format(new, _MONTH_FIRST)).otherwise(out)
 
 
 def _whole(kind: str) -> str:

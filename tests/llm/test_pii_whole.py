@@ -11,3 +11,10 @@ def test_no_part_of_a_long_secret_stays(spark, length):
     new = replaced(spark, [f"token={token} end"])[0][0]
     assert re.fullmatch(r"token=[A-Za-z0-9_]{%d} end" % length, new)
     assert all(new[i : i + 12] not in token for i in range(6, 6 + length - 12))
+
+
+def test_slashed_dates_with_the_month_first(spark):
+    found = replaced(spark, ["on 12/31/1999.", "on 1999-12-31.", "on 13/13/1999.", "on 12/31/1899."])
+    month, day, year = re.fullmatch(r"on (\d\d)/(\d\d)/(\d{4})\.", found[0][0]).groups()
+    assert found[1][0] == f"on {year}-{month}-{day}." != "on 1999-12-31."
+    assert found[2] == ("on 13/13/1999.", 0) and found[3] == ("on 12/31/1899.", 0)
