@@ -15,19 +15,29 @@ from pyspark.sql import functions as F
 from chartloom.llm.shared import let
 
 ROUNDS = 10
+#: Put before and after valid cards and IBANs while a text is scanned; how it and the escape are written where a text has them.
+MARK, ESCAPE = "\ufdd0", "\ufdd2"
+_ESCAPED = {ESCAPE: ESCAPE + "\ufdd3", MARK: ESCAPE + "\ufdd4"}
+#: Symbols of an IBAN by country; others may have any number from 15 to 34.
+IBAN_SYMBOLS = {
+    15: "NO", 16: "BE", 18: "DK FO FI GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL OM SO",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 #: The patterns, in the order in which they are tried at a place of the text.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,}+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+\ufdd0-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,}+",
     "access_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9])(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+.=-]{8,}+",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+.=\ufdd0-]{8,}+",
+    "iban": r"(?<=\ufdd0)[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?=\ufdd0)",
     "date": r"(?<![A-Za-z0-9./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![A-Za-z0-9/-]|\.\d)",
     "ipv4": r"(?<![A-Za-z0-9.])(?:\d{1,3}\.){3}\d{1,3}(?![A-Za-z0-9]|\.\d)",
     "phone": r"(?<![A-Za-z0-9.+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![A-Za-z0-9]|[.-]\d)",
-    "international": r"(?<![A-Za-z0-9.])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?![A-Za-z0-9]|[.-]\d)",
+    "international": r"(?<![A-Za-z0-9.])\+\d{1,3}(?:\ufdd0?[ .-]?\ufdd0?\d{2,4}){2,5}(?![A-Za-z0-9]|[.-]\d)",
     "national_id": r"(?<![A-Za-z0-9.-])\d{3}-\d{2}-\d{4}(?![A-Za-z0-9]|[.-]\d)",
-    "card": r"(?<![A-Za-z0-9.])\d(?:[ -]?\d){12,18}(?![A-Za-z0-9]|[.-]\d)",
+    "card": r"(?<=\ufdd0)\d(?:[ -]?\d){12,18}(?=\ufdd0)",
 }
+#: Where a card or an IBAN may start (no width); group 1: the most that it may be, and what follows.
+_START = r"(?s)(?:(?<![A-Za-z0-9.+])(?=\d)|(?<![A-Za-z0-9])(?=[A-Z]{2}\d))(?=((?:\d(?:[ -]?\d){12,18}|[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}).{0,2}))"
 #: 1900-01-01 to 2099-12-31 are 17 * 4297 days.
 _FIRST_DAY, _DAY_RADICES = "1900-01-01", (17, 4297)
 _DATE_FORMATS = {r"^\d{4}-": "yyyy-MM-dd", r"^\d{2}/": "dd/MM/yyyy", r"^\d{2}\.": "dd.MM.yyyy"}
@@ -158,6 +168,43 @@ def _iban(value: Column, key: str) -> Column:
     return _refilled(value, let(_symbols(value), renewed))
 
 
+def _is_iban(value: Column) -> Column:
+    def valid(symbols: Column) -> Column:
+        country, fits = F.array_join(F.slice(symbols, 1, 2), ""), F.lit(True)
+        for size, countries in IBAN_SYMBOLS.items():
+            fits = F.when(country.isin(countries.split()), F.size(symbols) == size).otherwise(fits)
+        return fits & (_iban_rest(symbols) == 1)
+
+    return let(_symbols(value), valid)
+
+
+def _longest_valid(given: Column) -> Column:
+    """The longest prefix, ending where a symbol ends, that is a valid card or IBAN; else an empty text."""
+    cards = [F.regexp_extract(given, rf"(?s)^(\d(?:[ -]?\d){{{n - 1}}})(?![A-Za-z0-9]|[.-]\d)", 1) for n in range(19, 12, -1)]
+    ibans = [F.regexp_extract(given, rf"(?s)^([A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]){{{n - 4}}})(?![A-Za-z0-9])", 1) for n in range(34, 14, -1)]
+    card = F.filter(F.array(*cards), lambda x: (x != "") & _is_card(x))
+    iban = F.filter(F.array(*ibans), lambda x: (x != "") & _is_iban(x))
+    return F.coalesce(F.try_element_at(F.when(given.rlike("^[0-9]"), card).otherwise(iban), F.lit(1)), F.lit(""))
+
+
+def _marked(text: Column) -> Column:
+    """``text`` with marks around its valid cards and IBANs, from the left; what is not one of them is free for the other patterns."""
+    heads = F.transform(F.regexp_extract_all(text, F.lit(_START), F.lit(1)), _longest_valid)
+    parts = F.split(text, _START, -1)  # each but the first starts where a head does; the first also where the text starts with one
+    pairs = let(F.struct(parts.alias("p"), heads.alias("h")), lambda x: F.arrays_zip(x["p"].alias("p"), F.concat(F.array_repeat(F.lit(""), F.size(x["p"]) - F.size(x["h"])), x["h"]).alias("h")))
+
+    def walk(acc: Column, x: Column) -> Column:
+        part, inside = x["p"], acc["left"] > 0
+        left = F.when(inside, acc["left"]).otherwise(F.length(x["h"]))
+        opened = F.when(~inside & (left > 0), F.lit(MARK)).otherwise(F.lit(""))
+        ends = (left > 0) & (F.length(part) >= left)
+        closed = F.concat(F.substr(part, F.lit(1), left), F.lit(MARK), F.substr(part, left + 1))
+        rest = F.when(ends | (left == 0), F.lit(0)).otherwise(left - F.length(part))
+        return F.struct(F.concat(acc["out"], opened, F.when(ends, closed).otherwise(part)).alias("out"), rest.alias("left"))
+
+    return F.aggregate(pairs, F.struct(F.lit("").alias("out"), F.lit(0).alias("left")), walk)["out"]
+
+
 def _octets(value: Column) -> Column:
     return F.transform(F.split(value, r"\."), lambda x: x.cast("int"))
 
@@ -192,7 +239,7 @@ def _date(value: Column, key: str) -> Column:
 
 def _whole(kind: str) -> str:
     """The pattern for a value on its own."""
-    return f"^(?:{PATTERNS[kind]})$"
+    return "^(?:" + PATTERNS[kind].replace(r"(?<=\ufdd0)", "").replace(r"(?=\ufdd0)", "") + ")$"
 
 
 def pseudonym(value: Column, key: str) -> Column:
@@ -201,7 +248,7 @@ def pseudonym(value: Column, key: str) -> Column:
     out = F.when(value.contains("@"), _email(value, key))
     out = out.when(is_("access_key"), _after(value, "^.{4}", key, "access_key"))
     out = out.when(is_("secret"), _after(value, r"^[^=:]*[=:]\s*", key, "secret"))
-    out = out.when(is_("iban"), F.when(_iban_rest(_symbols(value)) == 1, _iban(value, key)).otherwise(value))
+    out = out.when(is_("iban"), F.when(_is_iban(value), _iban(value, key)).otherwise(value))
     out = out.when(is_("date"), F.when(_is_date(value), _date(value, key)).otherwise(value))
     out = out.when(is_("ipv4"), F.when(F.forall(_octets(value), lambda x: x < 256), _ipv4(value, key)).otherwise(value))
     out = out.when(is_("phone") | is_("international"), _after(value, r"^(?:\+\d{1,3})?", key, "phone"))
@@ -216,13 +263,22 @@ def with_pseudonyms(docs: DataFrame, key: str, text_column: str = "text", count_
     repeated rows repeat their result, an empty table gives an empty one.
     """
     anything = "(?<![A-Za-z0-9])(?:" + "|".join(PATTERNS.values()) + ")"  # values start where no word goes on: one look at most places
-    text = F.col(text_column)
-    suspect = F.coalesce(text.rlike("[0-9@=:]"), F.lit(False))
-    found = docs.withColumn("_found", F.when(suspect, F.regexp_extract_all(text, F.lit(anything), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    original = F.col(text_column)
+    suspect = F.coalesce(original.rlike("[0-9@=:]"), F.lit(False))
+    escaped = original
+    for plain, written in _ESCAPED.items():
+        escaped = F.replace(escaped, F.lit(plain), F.lit(written))
+    found = docs.withColumn("_text", F.when(suspect & original.rlike(_START), _marked(escaped)).otherwise(escaped))
+    text = F.col("_text")
+    found = found.withColumn("_found", F.when(suspect, F.regexp_extract_all(text, F.lit(anything), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    found = found.withColumn("_found", F.transform("_found", lambda value: F.replace(value, F.lit(MARK), F.lit(""))))
     found = found.withColumn("_new", F.transform("_found", lambda value: pseudonym(value, key)))
     between = F.split(text, anything, -1)
     woven = F.array_join(F.flatten(F.zip_with(between, F.concat("_new", F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
-    new_text = F.when(F.size("_found") > 0, woven).otherwise(text)
+    woven = F.replace(woven, F.lit(MARK), F.lit(""))
+    for plain, written in reversed(_ESCAPED.items()):
+        woven = F.replace(woven, F.lit(written), F.lit(plain))
+    new_text = F.when(F.size("_found") > 0, woven).otherwise(original)
     columns = [new_text.alias(text_column) if c == text_column else F.col(c) for c in docs.columns if c != count_column]
     if count_column:
         changed = F.size(F.filter(F.arrays_zip("_found", "_new"), lambda x: x["_found"] != x["_new"])).cast("long")
