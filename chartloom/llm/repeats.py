@@ -6,31 +6,34 @@ A byte starts a repeat if the ``length`` bytes from it on also start in a docume
    stands.  A phrase is taken with the ``length - 1`` bytes after it, which makes it hold every window that starts in it.
 2. Dictionary.  Equal phrases are one entry, owned by the smallest document that has them.  All other occurrences are
    repeats as a whole and need no further look: highly repetitive text shrinks to its dictionary.
-3. Order of the dictionary's suffixes.  Only suffixes that agree in their first ``length`` bytes matter, so the order is
-   worked out to that depth: each run of suffixes that agree so far gets its smallest owner.  Most suffixes agree with no
-   other; they are left out by a test that cannot miss one: two equal windows have the same smallest ``ANCHOR``-byte hash
-   inside them, so a window whose smallest hash occurs in one document alone is not repeated.  The others are dealt by that
-   hash, as stretches of text (neighbours share it), and compared where they meet.
-4. Parse and dictionary together give each document's repeated starts, and so its remaining bytes.
-
-Documents are dealt into chunks by id hash once, and every step works on the chunks of that one exchange.  What
-travels between the steps are sorted hash arrays, dealt into buckets by hash; a chunk sends a hash once,
-however often it has it, so that a string that is everywhere weighs no more than the number of chunks.
-Hashes that decide a removal have 96 bits.
+3. Corpus order of the dictionary's suffixes.  Suffixes that can agree with another document's for ``length`` bytes have the same smallest
+   ``ANCHOR``-byte hash in these bytes, a test that cannot miss one; a hash that one document alone has needs no order.  The others are dealt by that
+   hash, as stretches of text (neighbours share it).  Where they meet, the suffix arrays of the stretches' own dictionary and parse
+   (``suffixes``) give their corpus order, in which equal suffixes are neighbours: each run that agrees in ``length`` bytes has a smallest owner.
+4. Parse and order together give each document's repeated starts, and so its remaining bytes.
+
+Documents are dealt into chunks by a hash of id and text once, and every step works on the chunks of that one exchange.  What
+travels between the steps are sorted hash arrays and stretches, dealt into buckets by hash.  A chunk sends a hash once, however often it has it,
+and nothing to a bucket for which it has none, so messages never outnumber the phrases and anchors of the input.
+Runs are compared byte by byte.  Equal phrases are told by 96 bits of BLAKE2b; the rolling hash only places phrases and anchors.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chartloom.llm.suffixes import corpus_order
+
 LENGTH, ANCHOR, PHRASE = 50, 24, 64
-CHUNK_BYTES, BUCKET_BYTES, SEGMENT = 16 << 20, 24 << 20, 1 << 16
+#: Bytes of a chunk: one part of ``SPREAD`` of the input, within these bounds; of the input for a bucket; of a chunk's text looked at at a time.
+LEAST_CHUNK, CHUNK_BYTES, BUCKET_BYTES, SEGMENT, SPREAD = 1 << 16, 8 << 20, 12 << 20, 1 << 16, 256
 _LAST = np.int64(2**63 - 1)
 _U = np.uint64
 
@@ -41,14 +44,13 @@ _PHRASES, _ANCHORS, _WINDOWS = 0, 1, 2
 
 
 class _Hasher:
-    """Two polynomial hashes of byte ranges from prefix sums, modulo 2**64, over random byte values."""
+    """A rolling polynomial hash from prefix sums, modulo 2**64, over random byte values; it places triggers and anchors and decides nothing."""
 
     def __init__(self) -> None:
         rng = np.random.default_rng(20_240_229)
-        self.values = rng.integers(0, 2**64, (2, 256), dtype=np.uint64)
-        self.bases = [int(b) | 1 for b in rng.integers(2**62, 2**63, 2, dtype=np.uint64)]
-        self._powers = [self._progression(b) for b in self.bases]
-        self._inverse = [self._progression(pow(b, -1, 2**64)) for b in self.bases]
+        self.values = rng.integers(0, 2**64, 256, dtype=np.uint64)
+        base = int(rng.integers(2**62, 2**63, dtype=np.uint64)) | 1
+        self._powers, self._inverse = self._progression(base), self._progression(pow(base, -1, 2**64))
 
     @staticmethod
     def _progression(base: int) -> np.ndarray:
@@ -56,17 +58,20 @@ class _Hasher:
         out[0] = 1
         return np.multiply.accumulate(out)
 
-    def sums(self, data: np.ndarray, which: int) -> np.ndarray:
-        out = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(self.values[which][data] * self._powers[which][: len(data)], out=out[1:])
-        return out
+    def rolling(self, data: np.ndarray, size: int) -> np.ndarray:
+        """Hash of the ``size`` bytes from each position on."""
+        sums = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(self.values[data] * self._powers[: len(data)], out=sums[1:])
+        n = max(0, len(sums) - size)
+        return _mixed((sums[size:] - sums[:n]) * self._inverse[:n])
 
-    def ranges(self, sums: np.ndarray, start: np.ndarray, stop: np.ndarray, which: int) -> np.ndarray:
-        return _mixed((sums[stop] - sums[start]) * self._inverse[which][start])
 
-    def rolling(self, sums: np.ndarray, size: int, which: int) -> np.ndarray:
-        n = max(0, len(sums) - size)
-        return _mixed((sums[size:] - sums[:n]) * self._inverse[which][:n])
+def _digests(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits of BLAKE2b of each byte range, as 64 and 32."""
+    view = memoryview(data.tobytes())
+    joined = b"".join(blake2b(view[a:b], digest_size=12).digest() for a, b in zip(start.tolist(), stop.tolist()))
+    both = np.frombuffer(joined, dtype=[("one", "<u8"), ("two", "<u4")])
+    return both["one"].copy(), both["two"].copy()
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -138,7 +143,6 @@ class _Segment:
         self._stop = np.minimum(chunk.stop[first:last], b) - a
         self._end = chunk.stop[first:last] - a
         self.data = chunk.bytes[a : min(int(chunk.stop[last - 1]), b + LENGTH - 1)]
-        self._sums: dict[int, np.ndarray] = {}
         self._rolled: np.ndarray | None = None
 
     def _place(self, at: np.ndarray) -> np.ndarray:
@@ -154,18 +158,13 @@ class _Segment:
         runs = np.stack([whole, self._stop - self._begin - whole], axis=1).ravel()
         return np.repeat(np.arange(len(runs)) % 2 == 0, runs)
 
-    def sums(self, which: int) -> np.ndarray:
-        if which not in self._sums:
-            self._sums[which] = _hasher().sums(self.data, which)
-        return self._sums[which]
-
     def rolled(self) -> np.ndarray:
         if self._rolled is None:
-            self._rolled = _hasher().rolling(self.sums(0), ANCHOR, 0)
+            self._rolled = _hasher().rolling(self.data, ANCHOR)
         return self._rolled
 
     def phrases(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start of each phrase, its two hashes); a phrase ends where the next starts or its document ends."""
+        """(start of each phrase, its digest); a phrase ends where the next starts or its document ends."""
         rolled = self.rolled()[: self.n]
         triggers = np.zeros(self.n, dtype=bool)
         np.equal(rolled & _U(PHRASE - 1), _U(0), out=triggers[: len(rolled)])
@@ -174,8 +173,7 @@ class _Segment:
         if not len(start):
             return start, np.zeros(0, np.uint64), np.zeros(0, np.uint32)
         stop = np.minimum(np.r_[start[1:], self.n] + LENGTH - 1, self._end[self._place(start)])
-        one = _hasher().ranges(self.sums(0), start, stop, 0) ^ _mixed((stop - start).astype(np.uint64))
-        return start, one, _hasher().ranges(self.sums(1), start, stop, 1).astype(np.uint32)
+        return start, *_digests(self.data, start, stop)
 
     def smallest_hashes(self) -> np.ndarray:
         """For each start, the smallest anchor hash in its window; where the window is not valid, any value."""
@@ -186,9 +184,6 @@ class _Segment:
             out[: len(least)] = least
         return out
 
-    def hashes(self, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return _hasher().ranges(self.sums(0), start, stop, 0), _hasher().ranges(self.sums(1), start, stop, 1).astype(np.uint32)
-
 
 class _Known:
     """Sorted hashes with a smallest document each."""
@@ -347,7 +342,7 @@ class _Stretches:
             pieces = -(-size // STRETCH)
             nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
             name, begin, size = np.repeat(name[hit], pieces), np.repeat(begin, pieces) + STRETCH * nth, np.minimum(np.repeat(size, pieces) - STRETCH * nth, STRETCH)
-            columns.append((name, *segment.hashes(begin, begin + size + LENGTH - 1), segment.docs(begin), begin + segment.a, size))
+            columns.append((name, *_digests(segment.data, begin, begin + size + LENGTH - 1), segment.docs(begin), begin + segment.a, size))
         if columns:
             name, one, two, self.doc, self.at, self.size = (np.concatenate(x) for x in zip(*columns))
         else:
@@ -397,18 +392,12 @@ def _answer_stretches(table: pa.Table) -> pa.Table:
     data = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
     owner = np.frombuffer(b"".join(r[4] for r in rows), np.int64)
     ends = np.cumsum(size + LENGTH - 1)
-    begin = ends - (size + LENGTH - 1)
-    one, two = [], []
-    step = SEGMENT // (STRETCH + LENGTH)
-    for a in range(0, len(size), step):  # a bounded part of the text at a time
-        b = min(a + step, len(size))
-        part = data[begin[a] : ends[b - 1]]
-        at = np.repeat(begin[a:b] - begin[a], size[a:b]) + np.arange(int(size[a:b].sum())) - np.repeat(np.cumsum(size[a:b]) - size[a:b], size[a:b])
-        one.append(_hasher().ranges(_hasher().sums(part, 0), at, at + LENGTH, 0))
-        two.append(_hasher().ranges(_hasher().sums(part, 1), at, at + LENGTH, 1).astype(np.uint32))
-    one, two = np.concatenate(one), np.concatenate(two)
-    doc = np.repeat(owner, size)
-    behind = _Known(one, two, doc).least(one, two) < doc
+    starts, order, new = corpus_order(data, ends - (size + LENGTH - 1), ends, LENGTH)
+    doc = np.repeat(owner, size)  # a stretch has as many starts as its size
+    sorted_doc = doc[order]
+    least = np.minimum.reduceat(sorted_doc, np.flatnonzero(new))
+    behind = np.empty(len(starts), dtype=bool)
+    behind[order] = least[np.cumsum(new) - 1] < sorted_doc
     first = np.cumsum(size) - size
     bits = np.left_shift(_U(1), (np.arange(len(doc)) - np.repeat(first, size)).astype(np.uint64)) * behind
     masks = np.add.reduceat(bits, first).astype(np.uint32)
@@ -501,14 +490,16 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """``doc_id, n_bytes, n_removed, n_spans, kept`` for every row; ``kept`` are the remaining bytes.
 
     A null text has no bytes.  Texts of fewer than ``LENGTH`` bytes are untouched.  Matches never cross documents.
-    Rows with equal ids do not remove each other's bytes; a null id counts as larger than any other.  An empty table
-    gives an empty result; other columns are ignored.  Memory in a task: a chunk's text (about 16 MiB, or
-    one document where that is longer) and its hashes, a megabyte of text at a time.
+    Rows with equal ids, repeated rows among them, do not remove each other's bytes; a null id counts as larger than any other, so
+    rows with null ids lose to all others and not to each other.  An empty table gives an empty result; other columns are ignored,
+    whatever their names.  Memory in a task: a chunk's text (at most 8 MiB, or one document where that is longer) and its hashes, a bounded part of the text at a time.
     """
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     total = int(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    chunks, buckets = max(1, math.ceil(total / CHUNK_BYTES)), max(1, math.ceil(total / BUCKET_BYTES))
-    dealt = texts.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
+    size = min(CHUNK_BYTES, max(LEAST_CHUNK, total // SPREAD))
+    chunks, buckets = max(1, math.ceil(total / size)), max(1, math.ceil(total / BUCKET_BYTES))
+    # the text belongs to the key: rows without an id, or with one id, are spread as well
+    dealt = texts.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
 
     def answered(sent: DataFrame, answer) -> DataFrame:
         return sent.groupBy("bucket").applyInArrow(answer, _MESSAGE).drop("bucket")

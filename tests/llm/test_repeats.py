@@ -50,6 +50,7 @@ def corpus(seed):
 def test_remaining_bytes_match_brute_force(spark, monkeypatch, chunk, segment):
     """The small sizes cut documents over segments and deal them over many chunks and buckets."""
     monkeypatch.setattr(repeats, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(repeats, "LEAST_CHUNK", chunk)
     monkeypatch.setattr(repeats, "BUCKET_BYTES", chunk)
     monkeypatch.setattr(repeats, "SEGMENT", segment)
     rows = corpus(1)
@@ -60,11 +61,34 @@ def test_remaining_bytes_match_brute_force(spark, monkeypatch, chunk, segment):
         assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) in want[r.doc_id]
 
 
+def assert_like_brute_force(spark, rows):
+    found = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    want = brute(rows)
+    assert len(found) == len(rows)
+    for r in found:
+        assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) in want[r.doc_id]
+    return found
+
+
+def test_texts_that_collide_under_power_of_two_moduli(spark):
+    """A Thue-Morse string and its complement have one polynomial hash modulo 2**64, whatever the base."""
+    morse = "".join("ab"[i.bit_count() & 1] for i in range(2048))
+    rows = [(1, "x" * 30 + morse + "END"), (2, "x" * 30 + morse.translate(str.maketrans("ab", "ba")) + "END")]
+    assert_like_brute_force(spark, rows)
+
+
+def test_null_and_repeated_ids(spark):
+    passage = "a passage of more than fifty bytes that several rows have in common, " * 3
+    rows = [(None, passage + str(i)) for i in range(8)] + [(7, f"{i} " + passage) for i in range(4)] + [(9, passage), (9, passage), (None, None), (None, passage + "0")]
+    found = assert_like_brute_force(spark, rows)
+    assert all(r.n_removed == 0 for r in found if r.doc_id == 7) and all(r.n_removed >= len(passage) for r in found if r.doc_id is None and r.n_bytes)
+
+
 def test_query_and_clashing_columns(spark, tmp_path):
     from chartloom.llm.queries import op4_repeats
 
     rows = documents(4)
-    frame(spark, rows).withColumnRenamed("h", "chunk").withColumnRenamed("group", "kind").write.parquet(f"{tmp_path}/documents.parquet")
+    frame(spark, rows).withColumnsRenamed({"h": "chunk", "group": "kind", "size": "n_bytes", "fp": "kept"}).write.parquet(f"{tmp_path}/documents.parquet")
     want = brute([r[:2] for r in rows])
     found = op4_repeats(spark, str(tmp_path)).collect()
     assert len(found) == len(rows)
