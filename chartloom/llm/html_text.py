@@ -1,14 +1,16 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines (one per block element).  Lines of menus, notices, adverts and the like weigh
-nothing, every other line weighs its length.  The sum over a sliding window of lines jumps where the article
-begins (surge) and falls to nothing where it ends (dive); what lies between is kept.
+Markup is stripped into lines, one per block element.  A line weighs its length, up to ``CAP``; lines of menus, notices, adverts and the like weigh
+nothing, lines inside an ``article`` or ``main`` element weigh ``RAISE`` more.  The sum over a sliding window of lines jumps where the article
+begins (surge) and falls to nothing where it ends (dive); what lies between is kept.  Raised lines lift the level of the whole page: what
+weighs little beside them counts as nothing, so a page's marked article leaves out the lines around it, and a teaser does not leave out long paragraphs.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,22 +18,42 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WINDOW, SURGE = 3, 86
+#: Most that a line's length weighs; what a line inside the marked article weighs more.
+CAP = 3 * SURGE
+RAISE = 3 * CAP
 
-#: Elements whose content is no text, that break lines, that hold no article text, that have no end tag.
-RAW = "script style noscript template svg math iframe object canvas textarea select head title"
+#: Elements whose content is text without markup, that show no text, that break lines, that hold no article text, that have no end tag.
+RAW_TEXT = "script style textarea title iframe noembed noframes xmp"
+SILENT = "head noscript template svg math object canvas select audio video map"
 BLOCKS = (
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul caption"
 )
-BOILERPLATE = "nav footer aside form dialog menu button search header"
+BOILERPLATE = "nav footer aside dialog menu button search"
+#: These may also hold the article (a form around a whole page).
+WRAPPERS = "form header"
 VOID = "area base br col embed hr img input link meta param source track wbr"
-#: Words in class, id or role that mark what is not the article.
+#: Words in class, id or role that mark what is not the article; words that may stand beside them; words that mark reader comments.
 MARKS = (
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay "
     "newsletter subscribe subscription paywall sidebar side rail widget widgets related recommended recommendations share sharing social nav navbar navigation menu "
-    "breadcrumb breadcrumbs pagination pager footer copyright masthead comment comments disqus reply replies respond login signup search complementary contentinfo toolbar skip"
+    "breadcrumb breadcrumbs pagination pager footer copyright masthead login signup search complementary contentinfo toolbar skip"
 )
-_RAW, _BLOCKS, _BOILERPLATE, _VOID, _MARKS = (frozenset(x.split()) for x in (RAW, BLOCKS, BOILERPLATE, VOID, MARKS))
+COMMENT_MARKS = "comment comments disqus reply replies respond"
+BESIDE = (
+    "a the site page main top bottom left right upper lower inner outer header head body bar box block area section container content wrapper wrap holder panel list item items link links row col column "
+    "group unit slot zone region small large sm md lg xl mobile desktop primary secondary global fixed sticky form field input button buttons icon icons text title module component layout js"
+)
+#: Elements that the start of another ends, and where the search for them stops.
+ENDED_BY = {"li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "td": ("td th", "table tr"), "th": ("td th", "table tr"), "tr": ("tr", "table"), "option": ("option", "select")}
+P_SCOPE = "table td th caption button object article main body html"
+
+_words = lambda x: frozenset(x.split())
+_RAW, _SILENT, _BLOCKS, _BOILERPLATE, _WRAPPERS, _VOID = map(_words, (RAW_TEXT, SILENT, BLOCKS, BOILERPLATE, WRAPPERS, VOID))
+_COMMENTS, _P_SCOPE = _words(COMMENT_MARKS), _words(P_SCOPE)
+_MARKS, _BESIDE = _words(MARKS) | _COMMENTS, _words(BESIDE)
+_ENDED_BY = {k: (_words(a), _words(b)) for k, (a, b) in ENDED_BY.items()}
+_SCOPED = _words("p li dt dd")
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"  # comment
@@ -41,100 +63,178 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_MARK_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_QUOTED, _HIDDEN = re.compile(r"\"[^\"]*\"|'[^']*'"), re.compile(r"\bhidden\b")
 
+#: How far a place is from the article: nothing marks it; a mark that an article inside lifts; a mark that nothing lifts.
+_PLAIN, _MARKED, _OUT = 0, 1, 2
 
-def _is_marked(attributes: str) -> bool:
-    for groups in _ATTRIBUTE.findall(attributes):
-        if any(word.lower() in _MARKS for word in _MARK_WORD.findall("".join(groups))):
-            return True
-    return "hidden" in attributes and re.search(r"\bhidden\b", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)) is not None
 
+class Line(NamedTuple):
+    text: str
+    inside: bool  #: of an article or main element
+    marked: bool  #: as boilerplate
+    linked: bool  #: mostly link text
+
+
+class _State(NamedTuple):
+    silent: bool
+    mark: int
+    inside: bool
+
+
+def mark_of(attributes: str) -> int:
+    """Whether a whole class, id or role says that the element is not the article: all its words do, or may stand beside those that do."""
+    found = _PLAIN
+    for groups in _ATTRIBUTE.findall(attributes):
+        for token in "".join(groups).split():
+            parts = {p.lower() for p in _PART.findall(token)}
+            if parts & _MARKS and parts <= _MARKS | _BESIDE:
+                found = max(found, _OUT if parts & _COMMENTS else _MARKED)
+    if found < _OUT and "hidden" in attributes and _HIDDEN.search(_QUOTED.sub("", attributes)):
+        found = _OUT
+    return found
 
-class _Lines:
-    """Collects lines as [text, weight counts, inside the article]."""
 
-    def __init__(self) -> None:
-        self.lines: list[tuple[str, bool, bool]] = []
-        self._parts: list[str] = []
-        self._linked = 0
+class _Reader:
+    """Walks over a page's tags with the stack of open elements, and collects its lines."""
 
-    def add(self, raw: str, linked: bool) -> None:
-        self._parts.append(raw)
-        if linked:
-            self._linked += len(raw)
+    def __init__(self, page: str) -> None:
+        self.lines: list[Line] = []
+        self._page, self._parts, self._linked, self._links = page, [], 0, 0
+        self._stack: list[tuple[str, _State]] = []  # each with the state outside it
+        self._state = _State(False, _PLAIN, False)
+        self._last_end = {m[1].lower(): m.start() for m in re.finditer(r"</([a-zA-Z][a-zA-Z0-9:-]*)", page)}
+        at, size = 0, len(page)
+        while at < size:
+            token = _TOKEN.search(page, at)
+            stop = token.start() if token else size
+            if stop > at and not self._state.silent:
+                self._parts.append(page[at:stop])
+                if self._links:
+                    self._linked += stop - at
+            if token is None:
+                break
+            at = token.end()
+            if token["name"]:
+                name = token["name"].lower()
+                if token["end"]:
+                    self._close(name)
+                else:
+                    at = self._open(name, token["attributes"], at)
+        self._break()
 
-    def end(self, article: bool) -> None:
+    def _break(self) -> None:
         if self._parts:
             raw = "".join(self._parts)
             text = " ".join(html.unescape(raw).split())
             if text:
-                self.lines.append((text, article or 2 * self._linked <= len(raw), article))
+                self.lines.append(Line(text, self._state.inside, self._state.mark > _PLAIN, 2 * self._linked > len(raw)))
             self._parts, self._linked = [], 0
 
+    def _pop(self, at: int) -> None:
+        self._state = self._stack[at][1]
+        del self._stack[at:]
 
-def lines_of(page: str) -> list[tuple[str, bool, bool]]:
-    """Lines of a page: (text, whether it weighs anything, whether inside the article element); lines of boilerplate elements are left out."""
-    out, at = _Lines(), 0
-    closes = {name.lower() for name in re.findall(r"</([a-zA-Z][a-zA-Z0-9:-]*)", page)}
-    skipped, depth, article, links = "", 0, 0, 0
-    size = len(page)
-    while at < size:
-        token = _TOKEN.search(page, at)
-        stop = token.start() if token else size
-        if stop > at and not skipped:
-            out.add(page[at:stop], links > 0)
-        if token is None:
-            break
-        at = token.end()
-        if not token["name"]:
-            continue
-        name, ending = token["name"].lower(), bool(token["end"])
-        if skipped:
-            if name == skipped:
-                depth += -1 if ending else 1
-                if depth == 0:
-                    skipped = ""
-            continue
-        if name in _RAW and not ending:
-            if found := re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at):
-                at = found.end()
-            elif name != "head":
-                at = size
-            continue
-        if name in ("article", "main"):
-            out.end(article > 0)
-            article = max(0, article + (-1 if ending else 1))
-            continue
+    def _end_implied(self, names: frozenset[str], scope: frozenset[str]) -> None:
+        for i in range(len(self._stack) - 1, -1, -1):
+            open_ = self._stack[i][0]
+            if open_ in names:
+                return self._pop(i)
+            if open_ in scope:
+                return None
+        return None
+
+    def _close(self, name: str) -> None:
+        if name == "a":
+            self._links = max(0, self._links - 1)
+        elif name == "br":
+            self._parts.append(" ")
+        block = name in _BLOCKS
+        if block:
+            self._break()
+            self._links = 0
+        for i in range(len(self._stack) - 1, -1, -1):
+            open_ = self._stack[i][0]
+            if open_ == name:
+                return self._pop(i)
+            if (not block and open_ in _BLOCKS) or (name in _SCOPED and open_ in _P_SCOPE):
+                return None
+        return None
+
+    def _open(self, name: str, attributes: str, at: int) -> int:
+        """Returns where to read on."""
+        state, single = self._state, attributes.endswith("/") or name in _VOID
+        if name in _RAW and not single:
+            found = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(self._page, at)
+            if found or name in ("script", "style"):
+                return found.end() if found else len(self._page)
+            return at  # never closed: as if empty
         if name == "a":
-            links = max(0, links + (-1 if ending else 1))
+            self._links += not single
         elif name == "br":
-            out.add(" ", False)
-        if name in _BLOCKS:
-            out.end(article > 0)
-            links = 0
-        boilerplate = name in _BOILERPLATE and not (name == "header" and article) or (name not in _VOID and name not in ("html", "body") and _is_marked(token["attributes"]))
-        if boilerplate and not ending and name in closes and not token["attributes"].endswith("/"):
-            out.end(article > 0)
-            skipped, depth = name, 1
-    out.end(article > 0)
-    return out.lines
+            self._parts.append(" ")
+        block = name in _BLOCKS
+        if block:
+            self._break()
+            self._links = 0
+            self._end_implied(frozenset(("p",)), _P_SCOPE)
+            if name in _ENDED_BY:
+                self._end_implied(*_ENDED_BY[name])
+            if name == "body" or state.silent:
+                self._end_implied(frozenset(("head",)), frozenset())
+            state = self._state
+        if single:
+            return at
+        mark = _PLAIN if name in ("html", "body") else mark_of(attributes)
+        if name in _SILENT:
+            if self._last_end.get(name, -1) < at and name != "head":
+                return at
+            new = state._replace(silent=True)
+        elif name in ("article", "main"):
+            own = _OUT if mark and name == "article" else _PLAIN
+            outer = state.mark if state.mark == _OUT else _PLAIN
+            new = _State(state.silent, max(own, outer), not own and not outer or state.inside)
+        elif name in _BOILERPLATE:
+            new = state._replace(mark=_OUT)
+        elif mark or (name in _WRAPPERS and not (name == "header" and state.inside)):
+            mark = max(mark, _MARKED)
+            new = state._replace(mark=max(state.mark, mark)) if block else state._replace(silent=True)
+        else:
+            new = state
+        self._stack.append((name, state))
+        self._state = new
+        return at
+
+
+def lines_of(page: str) -> list[Line]:
+    """All lines of a page in order, those of boilerplate elements included."""
+    return _Reader(page).lines
+
+
+def weights_of(lines: list[Line]) -> list[int]:
+    return [0 if x.marked or (x.linked and not x.inside) else min(len(x.text), CAP) + (RAISE if x.inside else 0) for x in lines]
 
 
 def kept_lines(weights: list[int]) -> list[bool]:
     """Which lines lie between a surge and the dive after it.
 
-    The surge begins where the window's sum leaves zero on its way above ``SURGE`` (or, on a page that never reaches it, to its highest sum).
+    The highest sum of a window is the page's level.  Where it is above what plain lines can reach, lines that weigh less than a third of the difference a line count as
+    nothing.  A stretch between two dives (windows that sum to nothing) is kept if a window in it surges: ``SURGE``, or the page's level where that is lower, and three such least lines.
     """
-    sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
-    surge = min(SURGE, max(sums, default=0))
+    window_sums = lambda values: [sum(values[i : i + WINDOW]) for i in range(len(values))]
+    level = max(window_sums(weights), default=0)
+    least = max(0, level - WINDOW * CAP) // (WINDOW * 3)
+    heavy = [w if w >= least else 0 for w in weights]
+    sums = window_sums(heavy)
+    surge = max(min(SURGE, level), WINDOW * least)
     kept, start = [False] * len(weights), 0
     while start < len(sums):
         stop = start
         while stop < len(sums) and sums[stop] > 0:
             stop += 1
         if max(sums[start:stop], default=0) >= surge > 0:
-            kept[start:stop] = [w > 0 for w in weights[start:stop]]
+            kept[start:stop] = [w > 0 for w in heavy[start:stop]]
         start = stop + 1
     return kept
 
@@ -142,9 +242,7 @@ def kept_lines(weights: list[int]) -> list[bool]:
 def main_text(page: str | None) -> str:
     """Article of a page: its lines joined by two line feeds; '' if there is none (null, empty, markup only)."""
     lines = lines_of(page or "")
-    in_article = any(inside for _, _, inside in lines)
-    weights = [len(text) if weighs and (inside or not in_article) else 0 for text, weighs, inside in lines]
-    return "\n\n".join(text for (text, _, _), keep in zip(lines, kept_lines(weights)) if keep)
+    return "\n\n".join(x.text for x, keep in zip(lines, kept_lines(weights_of(lines))) if keep)
 
 
 def main_text_column(page: Column) -> Column:
@@ -156,8 +254,9 @@ def main_text_column(page: Column) -> Column:
 
 
 def with_main_text(pages: DataFrame, html_column: str = "html", text_column: str = "main_text") -> DataFrame:
-    """``pages`` plus the article's text (never null) and ``n_chars``, its code points.
+    """``pages`` plus the article's text (never null) and ``n_chars``, its code points; columns of these names are replaced.
 
-    Every row is worked on alone: repeated rows give repeated results, a null or empty page gives '', an empty table an empty result.
+    Every row is worked on alone, whatever its other columns hold: repeated rows give repeated results, a null or empty page gives '', an empty table an empty result.
+    A page's memory is a few times its length, however long it is.  Windows of equal sums need no choice: all that lies between a surge and its dive stays.
     """
     return pages.withColumn(text_column, main_text_column(F.col(html_column))).withColumn("n_chars", F.length(text_column).cast("long"))

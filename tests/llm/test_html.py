@@ -1,5 +1,8 @@
+import random
 import re
 
+import pytest
+
 from chartloom.llm import html_text
 from chartloom.llm.html_text import main_text
 
@@ -42,6 +45,75 @@ def test_surge_and_dive():
     assert html_text.kept_lines([]) == []
 
 
+def brute_kept(weights):
+    """The rule line by line: level, least weight, then each line's stretch between dives looked at on its own."""
+    n, w = len(weights), html_text.WINDOW
+    window = lambda values, i: sum(values[i : i + w])
+    level = max([window(weights, i) for i in range(n)] or [0])
+    least = max(0, level - w * html_text.CAP) // (3 * w)
+    heavy = [x if x >= least else 0 for x in weights]
+    surge = max(min(html_text.SURGE, level), w * least)
+    kept = []
+    for i in range(n):
+        a = b = i
+        while a > 0 and window(heavy, a - 1) > 0:
+            a -= 1
+        while b < n and window(heavy, b) > 0:
+            b += 1
+        kept.append(heavy[i] > 0 and surge > 0 and any(window(heavy, j) >= surge for j in range(a, b)))
+    return kept
+
+
+def test_kept_lines_match_brute_force():
+    rng = random.Random(2)
+    for _ in range(400):
+        plain = [rng.choice([0, 0, 0, 3, 20, 60, 200, 258]) for _ in range(rng.randrange(30))]
+        raised = [x + html_text.RAISE if x and rng.random() < 0.2 else x for x in plain]
+        for weights in (plain, raised):
+            assert html_text.kept_lines(weights) == brute_kept(weights), weights
+
+
+LONG = "word " * 120
+
+
+@pytest.mark.parametrize("odd", ['<svg class="i"/>', '<iframe src="x"/>', "<select>", "<object>", "<canvas>", "<math>", "<template>", "<noscript>", "<iframe>", "<svg/>", '<p class="notice">no', '<ul><li class="share">x<li>y</ul>'])
+def test_self_closed_and_unclosed_elements_lose_nothing(odd):
+    assert main_text(f"<body>{odd}<p>{LONG}</p><svg></svg><p>{LONG}</p>").count("word") == 240
+
+
+@pytest.mark.parametrize("name", ["side-by-side", "share-price", "notice-board", "related-work", "search-history", "banner-story", "layout no-sidebar", "page has-banner", "comments-policy"])
+def test_marks_are_whole_class_tokens(name):
+    assert main_text(f'<div class="{name}"><p>{LONG}</p></div>').count("word") == 120
+
+
+@pytest.mark.parametrize("name", ["ad", "cookie-notice", "site-footer", "sidebarLeft", "top-banner x", "ad_box", "Comments", "related-posts-list related"])
+def test_marked_elements_weigh_nothing(name):
+    assert main_text(f'<p>{LONG}</p><div class="{name}"><p>other text {"x " * 200}</p></div>').split("\n\n") == [LONG.strip()]
+
+
+def test_an_article_lifts_the_marks_around_it_but_for_comments():
+    assert main_text(f'<form class="sidebar"><article><p>{LONG}</p></article></form>').count("word") == 120
+    page = f'<article><p>{LONG}</p></article><section class="comments"><article><p>{LONG} reader</p></article></section><article class="comment">{LONG}</article>'
+    assert main_text(page) == LONG.strip()
+
+
+def test_a_teaser_does_not_replace_the_paragraphs():
+    for page in (f"<p>{LONG}</p><p>{LONG}</p><article><p>Teaser</p></article>", f"<article><p>Teaser</p></article><p>{LONG}</p><p>{LONG}</p>"):
+        assert main_text(page).count("word") == 240
+
+
+def test_pages_without_an_article_element():
+    menu = "<ul>" + "".join(f"<li><a href='/{i}'>entry {i}</a></li>" for i in range(9)) + "</ul>"
+    body = "".join(f"<div>{LONG}{i}<div>short {i}</div></div>" for i in range(5))
+    footer = "".join(f"<div class='footer'>line {i}</div>" for i in range(4))
+    found = main_text(f"<body><div>Site</div>{menu}{body}{footer}<div>Imprint</div>")
+    assert found.startswith("word") and found.endswith("short 4") and found.count("word") == 600 and "Imprint" not in found and "Site" not in found
+
+
+def test_table_cells_and_lists_without_end_tags():
+    assert main_text("<table><tr><td>a<td>b<p>c<tr><td class=ad>x<td>d</table><dl><dt class=ad>x<dd>e</dl>").split("\n\n") == ["a", "b", "c", "d", "e"]
+
+
 def test_query_over_the_table(spark, tmp_path):
     rows = [(1, "u", PAGE), (2, None, None), (3, "v", ""), (3, "v", ""), (4, "w", "<article><p>" + "long text. " * 50_000)]
     spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("_x", __import__("pyspark").sql.functions.lit(1)).write.parquet(f"{tmp_path}/pages.parquet")
