@@ -1,14 +1,14 @@
 """SentencePiece (BPE) encoding and decoding in vectorised merge rounds.
 
 A text is cut into words: runs of the space mark with what follows them.  No piece of a vocabulary that this
-module accepts for cutting has a space mark after another character, so no merge crosses a cut.  Distinct words are encoded together:
-all their symbols lie in one flat array; each round finds every word's lowest pair rank by a segmented minimum, merges the
-leftmost such pair of all words at once, compacts the array, and drops the words in which no pair is left.
+module accepts for cutting has a space mark after another character, so no merge crosses a cut.  Nor does one cross two neighbouring characters that stand
+together in no piece, so words are cut there too, which keeps even a text without spaces in short stretches.  Distinct words are encoded together:
+all their symbols lie in one flat array; each round finds every stretch's lowest pair rank by a segmented minimum, merges such pairs of all stretches at once from the left, as far as no
+merge makes a pair that would come before the next of them, compacts the array, and drops the stretches in which no pair is left.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 import struct
 from collections.abc import Iterator
@@ -21,8 +21,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 SPACE = "▁"
-#: Words with more symbols are merged with a heap (the same rule), as each round costs their whole length.
-LONG_WORD = 192
 #: Bytes of text encoded at a time; words remembered in a worker.
 SLICE_BYTES, REMEMBERED = 1 << 18, 60_000
 _NO_RANK = np.int64(1) << 62
@@ -109,10 +107,10 @@ class PieceModel:
                 left, right = self.symbols.get(piece[:cut]), self.symbols.get(piece[cut:])
                 if left is not None and right is not None:
                     pairs[left * self._stride + right] = (order[scores[i]], i)
-        self._pairs = pairs
         self._keys = np.array(sorted(pairs), dtype=np.int64)
         self._ranks = np.array([pairs[k][0] for k in self._keys.tolist()], dtype=np.int64)
         self._merged = np.array([pairs[k][1] for k in self._keys.tolist()], dtype=np.int64)
+        self._together = np.array(sorted({ord(a) << 21 | ord(b) for piece in normal for a, b in zip(piece, piece[1:])}), dtype=np.int64)
         self.reset()
 
     def reset(self) -> None:
@@ -156,11 +154,11 @@ class PieceModel:
                     break
                 first = np.r_[0, np.cumsum(size)[:-1]]
             hits = np.flatnonzero(rank == np.repeat(least, size))
-            leftmost = hits[np.r_[True, word[hits[1:]] != word[hits[:-1]]]]
-            symbol[leftmost] = result[leftmost]
+            merged = self._without_interruption(hits, symbol, word, rank, result)
+            symbol[merged] = result[merged]
             stay = np.ones(len(symbol), dtype=bool)
-            stay[leftmost + 1] = False
-            moved = leftmost - np.arange(len(leftmost))  # each earlier merge took one symbol out
+            stay[merged + 1] = False
+            moved = merged - np.arange(len(merged))  # each earlier merge took one symbol out
             symbol, word, rank, result = symbol[stay], word[stay], rank[stay], result[stay]
             refresh(np.r_[moved, moved[moved > 0] - 1])
         if not done:
@@ -168,28 +166,33 @@ class PieceModel:
         symbol, word = (np.concatenate(x) for x in zip(*done))
         return symbol[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(lengths))
 
-    def _merge_long(self, symbols: list[int]) -> list[int]:
-        """The same merges, one at a time from a heap: lowest rank first, then leftmost."""
-        n, stride, pairs = len(symbols), self._stride, self._pairs
-        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = []
-
-        def offer(i: int) -> None:
-            if i >= 0 and after[i] < n and (found := pairs.get(symbols[i] * stride + symbols[after[i]])):
-                heapq.heappush(heap, (found[0], i, after[i], symbols[i], symbols[after[i]], found[1]))
-
-        for i in range(n - 1):
-            offer(i)
-        while heap:
-            _, i, j, left, right, merged = heapq.heappop(heap)
-            if not (alive[i] and j < n and alive[j] and after[i] == j and symbols[i] == left and symbols[j] == right):
-                continue
-            symbols[i], alive[j], after[i] = merged, False, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            offer(before[i])
-            offer(i)
-        return [s for s, a in zip(symbols, alive) if a]
+    def _without_interruption(self, hits: np.ndarray, symbol: np.ndarray, word: np.ndarray, rank: np.ndarray, result: np.ndarray) -> np.ndarray:
+        """Of the lowest pairs of each word those that are merged one after the other, from the left, before any other pair.
+
+        Of overlapping pairs every other one; and none after a merge whose new pairs, with the symbols that stand beside it at that time, rank as low.
+        """
+        if not len(hits):
+            return hits
+        n, at = len(symbol), np.arange(len(hits))
+        run = np.maximum.accumulate(np.where(np.r_[True, hits[1:] != hits[:-1] + 1], at, 0))
+        hits = hits[(at - run) % 2 == 0]
+        of = word[hits]
+        several = np.r_[False, of[1:] == of[:-1]]
+        several[:-1] |= several[1:]
+        if not several.any():
+            return hits
+        some = hits[several]
+        made, own, least = result[some], word[some], rank[some]
+        right, left = np.minimum(some + 2, n - 1), np.maximum(some - 1, 0)
+        has_right, has_left = (some + 2 < n) & (word[right] == own), (some > 0) & (word[left] == own)
+        before = np.where(np.r_[False, some[1:] == some[:-1] + 2], np.r_[made[:1], made[:-1]], symbol[left])
+        bad = has_right & (self._lookup(made, symbol[right])[0] <= least)
+        bad |= has_left & (self._lookup(before, made)[0] <= least)
+        earlier = np.cumsum(bad) - bad
+        first = np.maximum.accumulate(np.where(np.r_[True, own[1:] != own[:-1]], np.arange(len(some)), 0))
+        keep = np.ones(len(hits), dtype=bool)
+        keep[several] = earlier == earlier[first]
+        return hits[keep]
 
     def _ids_of(self, symbols: list[int], word: str) -> list[int]:
         """Symbols to ids; characters that are no piece become their UTF-8 bytes."""
@@ -206,23 +209,24 @@ class PieceModel:
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in a row, number of ids of each); no word is empty, its spaces are space marks."""
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
         symbol = self._symbol_of[points].astype(np.int64)
-        short = lengths <= LONG_WORD
-        merged, sizes = self._merge_rounds(symbol[np.repeat(short, lengths)], lengths[short])
-        odd = np.flatnonzero(~short).tolist()
-        if not odd and not (len(merged) and int(merged.max()) >= len(self.pieces)):
-            return merged.astype(np.int32), sizes
-        # long words, and words with characters that are no piece, one by one
+        keys = (points[:-1] << 21) | points[1:]
+        at = np.minimum(np.searchsorted(self._together, keys), len(self._together) - 1)
+        cut = np.r_[True, self._together[at] != keys]
         ends = np.cumsum(lengths)
+        cut[ends[:-1]] = True
+        start = np.flatnonzero(cut)
+        merged, sizes = self._merge_rounds(symbol, np.diff(np.r_[start, len(symbol)]))
+        sizes = np.add.reduceat(sizes, np.searchsorted(start, ends - lengths))
+        if not (len(merged) and int(merged.max()) >= len(self.pieces)):
+            return merged.astype(np.int32), sizes
+        # words with characters that are no piece, one by one
         out: list[list[int]] = []
-        at, k = 0, 0
-        for i, w in enumerate(words):
-            if short[i]:
-                ids = merged[at : at + int(sizes[k])].tolist()
-                at, k = at + len(ids), k + 1
-            else:
-                ids = self._merge_long(symbol[int(ends[i] - lengths[i]) : int(ends[i])].tolist())
+        at = 0
+        for w, size in zip(words, sizes.tolist()):
+            ids = merged[at : at + size].tolist()
+            at += size
             out.append(ids if max(ids) < len(self.pieces) else self._ids_of(ids, w))
         return np.fromiter(chain.from_iterable(out), dtype=np.int32), np.fromiter(map(len, out), dtype=np.int64, count=len(out))
 
@@ -320,8 +324,9 @@ def _slices(lengths: list[int]) -> Iterator[tuple[int, int]]:
 def encode_and_decode(docs: DataFrame, model_path: str, text_column: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) plus ``ids array<int>`` (with an end id) and ``decoded string``.
 
-    Whole texts; a null or empty text has the end id alone and decodes to ''.  Rows are independent, so repeated rows
-    repeat their result and an empty table gives an empty one.  The model file is read on the driver and its bytes travel with the task.
+    Whole texts of any length; a null or empty text has the end id alone and decodes to ''.  Of pairs with one rank the leftmost is merged first.  Rows are independent, so repeated rows
+    repeat their result and an empty table gives an empty one.  Columns of ``docs`` named ``ids`` or ``decoded`` are replaced, other names do not matter.
+    The model file is read on the driver and its bytes travel with the task.
     """
     model = read_model(model_path)
     kept = [c for c in (keep if keep is not None else docs.columns) if c not in ("ids", "decoded")]

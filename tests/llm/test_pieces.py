@@ -40,6 +40,28 @@ def test_random_texts(model, library):
     assert_same(model, library, ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 40))) for _ in range(3000)])
 
 
+def test_long_words_without_spaces(model, library):
+    """Unspaced scripts, encoded bytes, long runs: all of them go through the rounds."""
+    import base64
+
+    rng = random.Random(8)
+    cjk = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(20_000))
+    letters = "".join(rng.choice("etaoinshrdlu") for _ in range(20_000))
+    blocks = [rng.choice(["ab", "aab", "aba", "tion", "ing", "inging", "ssss", "mississippi", "ea"]) for _ in range(4000)]
+    assert_same(model, library, [cjk, letters, "".join(blocks), base64.b64encode(rng.randbytes(30_000)).decode(), " " * 10_001, "=" * 5003, "a" * 9999, "-=" * 3000, "ha" * 5001])
+
+
+def test_interrupted_merges(model, library):
+    """Repeats of short strings, where merging one pair can make a pair that comes before the next of its kind."""
+    rng = random.Random(9)
+    alphabets = ["ab", "esr", "ntio", "=-", "the", "aeiou", "01", "ing", "()"]
+    texts = []
+    for _ in range(4000):
+        letters = rng.choice(alphabets)
+        texts.append("".join(rng.choice(letters) for _ in range(rng.randrange(1, 6))) * rng.randrange(1, 12) + rng.choice(letters))
+    assert_same(model, library, texts)
+
+
 def test_forgetting_words_changes_nothing(model, library, monkeypatch):
     monkeypatch.setattr(pieces, "REMEMBERED", 3)
     for _ in range(3):
