@@ -1,7 +1,8 @@
-"""License scan: TF-IDF cosine of licence statements to templates, then inheritance from the nearest directory.
+"""License scan: TF-IDF cosine of headers and licence files to templates, then inheritance from the nearest directory.
 
-Lines of the whole text that use a licensing word are compared with the templates as sparse TF-IDF vectors.  A file that
-is mostly licence statement (or is named like one) licenses its directory; a file without a statement of its own takes
+What is compared with the templates as sparse TF-IDF vectors: the lines of the whole text that use a licensing word, each alone and with its neighbours (headers are wrapped), the
+blocks of lines around them, and of licence files (told by name) the title, which is the first two blocks, and the whole text.  Comment marks do not count.  A file that
+is mostly licence statement, or a licence file, licenses its directory; a file without a statement of its own takes
 the licence of its nearest ancestor directory that has one.  All of it is DataFrame functions and joins.
 """
 
@@ -11,9 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chartloom.llm.shared import NON_WHITESPACE_CLASS, materialize, small_side, word_count
+from chartloom.llm.shared import let, materialize, small_side, word_count
 
-#: Licence statements, several per licence where wording differs.
+#: Licence statements, headers, titles and short licences as a whole.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
@@ -30,13 +31,58 @@ TEMPLATES = [
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License, CC BY 4.0."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License, CC BY-SA 4.0."),
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions"),
+    (
+        "MIT",
+        "MIT License Copyright (c) Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation "
+        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this "
+        "permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A "
+        "PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
+        "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+        "following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of "
+        "the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
 ]
-#: Words without which a line is no licence statement; file names that are licence files.
-CUES = r"(?i)licen[sc]|permission is hereby|redistribut|public domain|copyright|\bCC0\b"
+#: Words without which a line is no licence statement; file names that are licence files; what comments put around their lines.
+CUES = r"(?i)licen[sc]|permission is hereby|permission to use|redistribut|public domain|copyright|\bCC0\b"
 LICENSE_NAMES = r"(?i)(?:^|/)(?:licen[sc]e|copying|unlicense|notice)(?:[.-][^/]*)?$"
+COMMENT_MARKS = r"""^[\s#/*;%!<>"'-]+|[\s*/<>-]+$"""
 MIN_COSINE, MIN_SHARE = 0.65, 0.3
 
 
+def _statements(text: Column, licence_file: Column) -> Column:
+    """What of a text is compared with the templates, without repeats."""
+
+    def around(lines: Column) -> Column:
+        cues = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(CUES))
+        run = lambda i, a, b: F.concat_ws(" ", *(F.get(lines, i + k) for k in range(a, b + 1)))
+        near = F.flatten(F.transform(cues, lambda i: F.array(run(i, 0, 0), run(i, -1, 0), run(i, 0, 1), run(i, -1, 1))))
+        blocks = F.transform(F.split(F.array_join(lines, "\n"), "\n\n+"), lambda x: F.btrim(F.translate(x, "\n", " ")))
+        whole = let(blocks, lambda b: F.concat(F.filter(b, lambda x: x.rlike(CUES)), F.when(licence_file, F.array(F.concat_ws(" ", F.slice(b, 1, 2)), F.array_join(b, " "))).otherwise(F.array().cast("array<string>"))))
+        return F.array_distinct(F.transform(F.concat(near, whole), lambda x: F.btrim(x)))
+
+    return let(F.transform(F.split(text, r"\R"), lambda x: F.regexp_replace(x, COMMENT_MARKS, "")), around)
+
+
 def _tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
@@ -70,25 +116,25 @@ def score_statements(statements: DataFrame, templates: list[tuple[str, str]] = T
 def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, id_column: str = "doc_id", text_column: str = "text", path_column: str = "path") -> DataFrame:
     """``doc_id, path, license, cosine, found_in, license_dir`` for every row.
 
-    found_in: 'file' for a statement of its own (the one with the highest cosine, ties by licence name), 'directory' for
+    found_in: 'file' for a statement of its own (the one with the highest cosine, ties by licence name, then the one with the most words), 'directory' for
     an inherited licence (license_dir names the directory), null for none.  A directory's licence is that of its licence
-    file with the highest cosine, then the smallest path.  Null texts have no statement, null paths inherit nothing.
-    Repeated rows repeat their result; an empty table gives an empty one.
+    file with the highest cosine, then the smallest path.  Null and empty texts have no statement, long ones are read whole, null paths inherit nothing.
+    Repeated rows repeat their result; an empty table gives an empty one; other columns are ignored, whatever their names.
     """
-    text = F.coalesce(F.col(text_column), F.lit(""))
-    base = files.select(F.col(id_column).alias("doc_id"), F.col(path_column).alias("path"), text.alias("_text"))
-    lines = F.transform(F.filter(F.split("_text", r"\R"), lambda x: x.rlike(CUES)), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
-    base = base.select("doc_id", "path", word_count(F.col("_text")).alias("n_words"), F.when(F.col("_text").rlike(CUES), F.array_distinct(lines)).otherwise(F.array().cast("array<string>")).alias("statements"))
+    text = F.coalesce(files[text_column], F.lit(""))
+    base = files.select(files[id_column].alias("doc_id"), files[path_column].alias("path"), text.alias("body"))
+    named = F.coalesce(F.col("path").rlike(LICENSE_NAMES), F.lit(False))
+    none = F.array().cast("array<string>")
+    base = base.select("doc_id", "path", word_count(F.col("body")).alias("n_words"), F.when(F.col("body").rlike(CUES), _statements(F.col("body"), named)).otherwise(none).alias("statements"))
     base = materialize(base, "license-lines")
     distinct = base.where(F.size("statements") > 0).select(F.explode("statements").alias("statement")).distinct()
     scored = materialize(score_statements(distinct, templates).where(F.col("cosine") >= MIN_COSINE), "license-scores")
     n_scored = scored.count()
     stated = base.where(F.size("statements") > 0).select("doc_id", "path", "n_words", F.explode("statements").alias("statement"))
     hits = stated.join(small_side(scored, n_scored), "statement")
-    own = hits.groupBy("doc_id", "path").agg(
-        F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("best"), F.sum(word_count(F.col("statement"))).alias("stated"), F.max("n_words").alias("n_words")
-    )
-    own = materialize(own.select("doc_id", "path", F.col("best.license").alias("license"), (-F.col("best.c")).alias("cosine"), (F.col("stated") >= MIN_SHARE * F.col("n_words")).alias("mostly")), "license-own")
+    said = word_count(F.col("statement"))
+    own = hits.groupBy("doc_id", "path").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license", (-said).alias("w"))).alias("best"), F.max("n_words").alias("n_words"))
+    own = materialize(own.select("doc_id", "path", F.col("best.license").alias("license"), (-F.col("best.c")).alias("cosine"), (-F.col("best.w") >= MIN_SHARE * F.col("n_words")).alias("mostly")), "license-own")
     directory = F.regexp_replace(F.col("path"), r"/?[^/]*$", "")
     licensing = own.where(F.col("path").isNotNull() & (F.col("mostly") | F.col("path").rlike(LICENSE_NAMES)))
     of_directory = licensing.groupBy(directory.alias("license_dir")).agg(F.min(F.struct((-F.col("cosine")).alias("c"), "path", "license")).alias("best"))
