@@ -1,12 +1,12 @@
 """Sharding by best-fit-decreasing bin packing of indivisible groups.
 
-Groups (rows with equal texts) stay whole.  Best fit needs all item sizes in one order, so the number of
-items is bounded first, whatever the input: groups of at least 1/``GRAIN`` of a shard are items of their own
-(at most ``shards * GRAIN`` can exist), all smaller groups are bundled by hash into ``shards * GRAIN`` bundles.
-Only a group that is larger than a shard cannot stay whole; its rows are dealt by id hash into parts of about
-1/``GRAIN`` of a shard.  Items, in decreasing size, go into the bin with the tightest room that still holds
-them, found in a balanced tree of the bins' room; the smallest capacity for which this needs no more than the
-wanted shards is found by bisection.
+Groups (rows with equal texts) stay whole.  Best fit takes items in decreasing order of size, so items of one size follow each other, and
+the tightest bin that holds one of them stays the tightest until it is full for that size: a size is packed at once for all its groups, and
+what is packed is the histogram of sizes, whatever the number of groups (sizes that differ sum to their square, so no more than
+``sqrt(2 * bytes)`` of them exist).  Bins are found in a balanced tree of their room; the smallest capacity for which this needs no more than the
+wanted shards is found by bisection.  Groups of one size are numbered, and the number tells the shard.
+
+Only a group that is larger than a shard cannot stay whole; its rows are dealt by id hash into parts of about 1/``GRAIN`` of a shard.
 """
 
 from __future__ import annotations
@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chartloom.llm.shared import materialize, small_side
+from chartloom.llm.shared import materialize, release, small_side
 
 GRAIN = 128
 ROW_OVERHEAD = 16
 #: Rows that one numbering task may hold.
-SLOT_ROWS = 100_000
+LANE_ROWS = 100_000
 
 
 class RoomTree:
@@ -74,37 +74,50 @@ class RoomTree:
         return best
 
 
-def best_fit_decreasing(sizes: list[int], capacity: int, most: int | None = None) -> list[int] | None:
-    """Bin of each item, bins numbered as they open; None if an item is too large or over ``most`` bins are needed."""
-    tree, bins, placed = RoomTree(), 0, [0] * len(sizes)
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        found = tree.tightest(sizes[i])
-        if found is None:
-            if sizes[i] > capacity or bins == most:
-                return None
-            found, bins = (capacity, bins), bins + 1
-        else:
-            tree.remove(*found)
-        placed[i] = found[1]
-        tree.insert(found[0] - sizes[i], found[1])
+#: (size, bin, number): so many of the items of a size, in their order, go into the bin.
+Placed = list[tuple[int, int, int]]
+
+
+def best_fit_decreasing(histogram: list[tuple[int, int]], capacity: int, most: int | None = None) -> Placed | None:
+    """Places the items of ``histogram`` (size, number), sizes decreasing; bins are numbered as they open.
+
+    None if an item is too large or over ``most`` bins are needed.
+    """
+    tree, bins, placed = RoomTree(), 0, []
+    for size, number in histogram:
+        while number:
+            found = tree.tightest(size)
+            if found is None:
+                if size > capacity or bins == most:
+                    return None
+                found, bins = (capacity, bins), bins + 1
+            else:
+                tree.remove(*found)
+            fits = min(number, found[0] // size)
+            placed.append((size, found[1], fits))
+            number -= fits
+            tree.insert(found[0] - fits * size, found[1])
     return placed
 
 
-def pack(sizes: list[int], shards: int) -> list[int]:
-    """Best-fit-decreasing with the smallest capacity, to 0.1 %, that needs at most ``shards`` bins.
+def pack(histogram: list[tuple[int, int]], shards: int) -> Placed:
+    """Best-fit-decreasing with the smallest capacity, to 0.1 %, that needs at most ``shards`` bins; sizes decrease.
 
     An item that is larger than an even share gets a bin of its own, so that the others still share the rest evenly.
     """
-    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
-    placed, alone, left = [0] * len(sizes), 0, sum(sizes)
-    while alone < min(shards - 1, len(order)) and sizes[order[alone]] * (shards - alone) > left:
-        placed[order[alone]] = alone
-        left -= sizes[order[alone]]
+    placed, alone, left = [], 0, sum(size * number for size, number in histogram)
+    rest = [list(x) for x in histogram]
+    at = 0
+    while at < len(rest) and alone < shards - 1 and rest[at][0] * (shards - alone) > left:
+        placed.append((rest[at][0], alone, 1))
+        left -= rest[at][0]
         alone += 1
-    rest, bins = [sizes[i] for i in order[alone:]], shards - alone
+        rest[at][1] -= 1
+        at += rest[at][1] == 0
+    rest, bins = [(s, n) for s, n in rest[at:] if n], shards - alone
     if not rest:
         return placed
-    low = max(rest[0], -(-left // bins))
+    low = max(rest[0][0], -(-left // bins))
     high, best = low, best_fit_decreasing(rest, low, bins)
     while best is None:
         high += max(1, high // 64)
@@ -113,54 +126,63 @@ def pack(sizes: list[int], shards: int) -> list[int]:
         middle = (low + high) // 2
         found = best_fit_decreasing(rest, middle, bins)
         low, high, best = (low, middle, found) if found is not None else (middle, high, best)
-    for i, which in zip(order[alone:], best):
-        placed[i] = alone + which
-    return placed
+    return placed + [(size, alone + which, number) for size, which, number in best]
+
 
+def _packed(histogram: DataFrame, shards: int) -> DataFrame:
+    """histogram(bytes, n) to ``bytes, shard, first, stop``: the numbers of the groups of a size that go into a shard."""
 
-def _packed(items: DataFrame, shards: int) -> DataFrame:
     def place(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["bytes", "unit"], ascending=[False, True]).reset_index(drop=True)
-        return pd.DataFrame({"unit": frame["unit"], "shard": pd.Series(pack(frame["bytes"].tolist(), shards), dtype="int32")})
+        frame = frame.sort_values("bytes", ascending=False)
+        placed = pd.DataFrame(pack(list(zip(frame["bytes"].tolist(), frame["n"].tolist())), shards), columns=["bytes", "shard", "number"])
+        stop = placed.groupby("bytes")["number"].cumsum()
+        return pd.DataFrame({"bytes": placed["bytes"], "shard": placed["shard"].astype("int32"), "first": stop - placed["number"], "stop": stop})
+
+    return histogram.groupBy().applyInPandas(place, "bytes bigint, shard int, first bigint, stop bigint")
 
-    return items.groupBy().applyInPandas(place, "unit string, shard int")
+
+def _numbered(rows: DataFrame, n_rows: int, within: str, order: list[str], name: str) -> DataFrame:
+    """``rows`` with a number from 0 without gaps among those with one ``within``: by a hash of ``order``, then by ``order``.
+
+    Rows are dealt into lanes by that hash, so no task numbers more than a lane.
+    """
+    lanes = max(16, math.ceil(n_rows / LANE_ROWS))
+    laned = rows.withColumn("lane", F.pmod(F.xxhash64(*order, F.lit("lane")), F.lit(lanes)).cast("int"))
+    counts = laned.groupBy(within, "lane").agg(F.count("*").alias("rows_"))
+    earlier = Window.partitionBy(within).orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = materialize(counts.select(within, "lane", F.coalesce(F.sum("rows_").over(earlier), F.lit(0)).alias("offset")), "shard-lanes")
+    number = F.row_number().over(Window.partitionBy(within, "lane").orderBy(*order))
+    return laned.withColumn("n_", number).join(small_side(offsets, offsets.count()), [within, "lane"]).withColumn(name, F.col("offset") + F.col("n_") - 1).drop("lane", "offset", "n_")
 
 
 def assign_shards(docs: DataFrame, shards: int = 40, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, size, text_crc32, shard, slot`` for every row; shards of near equal bytes.
 
-    Size: UTF-8 bytes of the text (null: none) plus 16.  Null and empty texts are one group (no bytes; CRC 0).
-    ``slot`` numbers a shard's rows from 0 without gaps, ordered by an id hash and then by id; repeated rows take
-    slots of their own.  An empty table gives an empty result; other columns are ignored.
+    Size: UTF-8 bytes of the text, however long (null: none), plus 16.  Null and empty texts are one group (no bytes; CRC 0).  Groups of one size are
+    told apart by their text's SHA-256.  ``slot`` numbers a shard's rows from 0 without gaps, by an id hash and then by id; repeated rows and rows without an id take
+    slots of their own.  An empty table gives an empty result; other columns are ignored, whatever their names.
     """
-    text = F.coalesce(F.col(text_column), F.lit(""))
+    text = F.coalesce(docs[text_column], F.lit(""))
     narrow = docs.select(
-        F.col(id_column).alias("doc_id"),
+        docs[id_column].alias("doc_id"),
         (F.octet_length(text) + ROW_OVERHEAD).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.unhex(F.sha2(text.cast("binary"), 256)).alias("group_key"),
     )
     narrow = materialize(narrow, "shard-rows")
-    groups = materialize(narrow.groupBy("group_key").agg(F.sum("size").alias("bytes")), "shard-groups")
     totals = narrow.agg(F.sum("size"), F.count("*")).first()
     total, rows = int(totals[0] or 0), int(totals[1])
     fair = max(1, math.ceil(total / shards))
     grain = max(1, fair // GRAIN)
-    large = groups.where(F.col("bytes") >= grain)  # at most total / grain rows
-    parts = F.when(F.col("bytes") > fair, F.ceil(F.col("bytes") / grain)).otherwise(1).cast("int")
-    large = materialize(large.select("group_key", parts.alias("parts")), "shard-large")
-    part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.col("parts"))
-    bundle = F.pmod(F.xxhash64("group_key", F.lit("bundle")), F.lit(shards * GRAIN))
-    unit = F.when(F.col("parts").isNull(), F.concat(F.lit("b"), bundle)).otherwise(F.concat(F.hex("group_key"), F.lit("-"), part))
-    units = narrow.join(F.broadcast(large), "group_key", "left").withColumn("unit", unit)
-    items = units.groupBy("unit").agg(F.sum("size").alias("bytes"))
-    placed = materialize(_packed(items, shards), "shard-units")
-    sharded = units.join(F.broadcast(placed), "unit")  # units: at most 3 * shards * GRAIN, see above
-    lanes = max(16, math.ceil(rows / shards / SLOT_ROWS) * 4)
-    sharded = sharded.select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", F.lit("lane")), F.lit(lanes)).cast("int").alias("lane"))
-    counts = sharded.groupBy("shard", "lane").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy("shard").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "lane", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
-    within = F.row_number().over(Window.partitionBy("shard", "lane").orderBy("doc_id", "text_crc32"))
-    numbered = sharded.withColumn("_n", within).join(small_side(offsets, shards * lanes), ["shard", "lane"])
-    return numbered.select("doc_id", "size", "text_crc32", "shard", (F.col("offset") + F.col("_n") - 1).alias("slot"))
+    large = narrow.groupBy("group_key").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > fair)  # fewer than there are shards
+    large = materialize(large.select("group_key", F.ceil(F.col("bytes") / grain).cast("int").alias("parts")), "shard-large")
+    part = F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit("part")), F.col("parts")).cast("int"), F.lit(0))
+    parted = narrow.join(F.broadcast(large), "group_key", "left").withColumn("part", part).drop("parts")
+    groups = materialize(parted.groupBy("group_key", "part").agg(F.sum("size").alias("bytes")), "shard-groups")
+    placed = materialize(_packed(groups.groupBy("bytes").agg(F.count("*").alias("n")), shards), "shard-sizes")
+    sides = small_side(placed, placed.count())
+    numbered = _numbered(groups, groups.count(), "bytes", ["group_key", "part"], "nth")
+    sharded = numbered.join(sides, "bytes").where((F.col("nth") >= F.col("first")) & (F.col("nth") < F.col("stop"))).select("group_key", "part", "shard")
+    found = materialize(parted.join(sharded.hint("merge"), ["group_key", "part"]).select("doc_id", "size", "text_crc32", "shard"), "shard-placed")
+    release(narrow, large, groups, placed)
+    return _numbered(found, rows, "shard", ["doc_id", "text_crc32"], "slot").select("doc_id", "size", "text_crc32", "shard", "slot")
