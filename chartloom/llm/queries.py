@@ -132,7 +132,7 @@ WITH w AS (
 ), prior AS (
   SELECT m, greatest(1.0, least(1e6, m * (1 - m) / greatest(q - m * m - m * (1 - m) * k / d, 1e-9) - 1)) AS weight FROM sums
 ), verdicts AS (
-  SELECT source, (f + m * weight) / (d + weight) <= 0.8 AS host_kept FROM hosts, prior
+  SELECT source, (f + m * weight) / (d + weight) <= least(0.8, m + 0.35 + 3 * sqrt(m * (1 - m) / (weight + 1))) AS host_kept FROM hosts, prior
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_kept AS kept
 FROM judged JOIN verdicts ON judged.source IS NOT DISTINCT FROM verdicts.source
@@ -141,7 +141,8 @@ FROM judged JOIN verdicts ON judged.source IS NOT DISTINCT FROM verdicts.source
 
 def _op3_sql() -> str:
     # every document's path has directories, so a directory's files are those whose path begins with it
-    values = ", ".join(f"({i}, '{name}', '{body}')" for i, (name, body) in enumerate(licenses.TEMPLATES))
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    values = ", ".join(f"({i}, '{name}', {quoted(body)})" for i, (name, body) in enumerate(licenses.TEMPLATES))
     words = lambda x: f"list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
     spaced = lambda x: f"len(regexp_extract_all({x}, '[^\\x20\\x09-\\x0D]+'))"
     n = len(licenses.TEMPLATES)
@@ -151,9 +152,16 @@ template_counts AS (SELECT template, license, token, count(*) AS tf FROM (SELECT
 idf AS (SELECT token, ln({1 + n}.0 / (1 + count(DISTINCT template))) + 1 AS idf FROM template_counts GROUP BY 1),
 weights AS (SELECT template, license, token, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS weight FROM template_counts JOIN idf USING (token)),
 files AS (SELECT doc_id, text, source || '/' || lang || '/' || CAST(doc_id // 64 AS VARCHAR) || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path FROM documents),
+lines AS (
+  SELECT doc_id, path, {spaced('text')} AS n_words, list_transform(string_split(text, chr(10)), lambda l: regexp_replace(l, {quoted(licenses.COMMENT_MARKS)}, '', 'g')) AS l
+  FROM files WHERE regexp_matches(text, '{licenses.CUES}')
+),
+near AS (SELECT doc_id, path, n_words, l, unnest(list_filter(range(1, len(l) + 1), lambda i: regexp_matches(l[i], '{licenses.CUES}'))) AS i FROM lines),
 stated AS (
-  SELECT doc_id, path, n_words, unnest(list_distinct(list_transform(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '{licenses.CUES}')), lambda l: regexp_replace(l, '^\\s+|\\s+$', '', 'g')))) AS statement
-  FROM (SELECT *, {spaced('text')} AS n_words FROM files)
+  SELECT DISTINCT doc_id, path, n_words, trim(s, ' ') AS statement FROM (
+    SELECT doc_id, path, n_words, unnest([l[i], concat_ws(' ', CASE WHEN i > 1 THEN l[i - 1] END, l[i]), concat_ws(' ', l[i], l[i + 1]), concat_ws(' ', CASE WHEN i > 1 THEN l[i - 1] END, l[i], l[i + 1])]) AS s FROM near
+    UNION ALL SELECT * FROM (SELECT doc_id, path, n_words, unnest(list_transform(regexp_split_to_array(array_to_string(l, chr(10)), '\n\n+'), lambda b: replace(b, chr(10), ' '))) AS s FROM lines) WHERE regexp_matches(s, '{licenses.CUES}')
+  )
 ),
 counts AS (SELECT statement, token, count(*) AS tf FROM (SELECT statement, unnest({words('statement')}) AS token FROM (SELECT DISTINCT statement FROM stated)) GROUP BY ALL),
 own AS (SELECT statement, token, tf * coalesce(idf, ln({1 + n}.0) + 1) AS w FROM counts LEFT JOIN idf USING (token)),
@@ -163,8 +171,8 @@ scored AS (
   QUALIFY row_number() OVER (PARTITION BY statement ORDER BY cosine DESC, license) = 1
 ),
 hits AS (
-  SELECT doc_id, path, license, cosine, sum({spaced('statement')}) OVER (PARTITION BY doc_id) >= {licenses.MIN_SHARE} * n_words AS mostly FROM stated JOIN scored USING (statement) WHERE cosine >= {licenses.MIN_COSINE}
-  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, license) = 1
+  SELECT doc_id, path, license, cosine, {spaced('statement')} >= {licenses.MIN_SHARE} * n_words AS mostly FROM stated JOIN scored USING (statement) WHERE cosine >= {licenses.MIN_COSINE}
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, license, {spaced('statement')} DESC) = 1
 ),
 dirs AS (
   SELECT regexp_replace(path, '/?[^/]*$', '') AS license_dir, license AS dir_license, cosine AS dir_cosine FROM hits WHERE mostly
