@@ -17,9 +17,9 @@ from chartloom.llm.shared import materialize, small_side, word_count
 HASH_BITS, STEP_BITS = 60, 12
 
 
-def document_hash(id_column: str = "doc_id", seed: int = 0) -> Column:
-    """60-bit hash of the id and the seed."""
-    return F.call_function("shiftrightunsigned", F.xxhash64(F.lit(seed), F.col(id_column)), F.lit(64 - HASH_BITS))
+def document_hash(id_: Column, text: Column, seed: int = 0) -> Column:
+    """60-bit hash of id, text and seed; the text tells rows apart whose id is null or repeated."""
+    return F.call_function("shiftrightunsigned", F.xxhash64(F.lit(seed), id_, text), F.lit(64 - HASH_BITS))
 
 
 def source_targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
@@ -60,7 +60,7 @@ def thresholds(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: flo
 
     A document is taken ``whole`` times, and once more if its hash is below ``threshold``.
     """
-    narrow = docs.select(F.col(id_column).alias(id_column), "source", word_count(F.col("text")).alias("size"), document_hash(id_column, seed).alias("h"))
+    narrow = docs.select(docs[id_column].alias("id"), docs["source"].alias("source"), word_count(docs["text"]).alias("size"), document_hash(docs[id_column], docs["text"], seed).alias("h"))
     narrow = materialize(narrow, "mix-sizes")
     shift = HASH_BITS - STEP_BITS
     histogram = materialize(_histogram(narrow, shift), "mix-histogram")
@@ -83,28 +83,32 @@ def thresholds(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: flo
     return narrow, materialize(plans, "mix-thresholds"), n_sources
 
 
-def _with_copies(rows: DataFrame, plans: DataFrame, n_sources: int, h: Column) -> DataFrame:
+def _with_copies(rows: DataFrame, plans: DataFrame, n_sources: int) -> DataFrame:
+    """rows(source, h, ...) plus the plan of their source and ``copies``."""
     keys = small_side(plans.withColumnRenamed("source", "_s"), n_sources)
     joined = rows.join(keys, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    return joined.withColumn("copies", F.col("whole") + F.when(h < F.col("threshold"), 1).otherwise(0))
+    return joined.withColumn("copies", F.col("whole") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0))
 
 
 def mixture(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 0) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies, taken`` for every row.
 
-    Size: words of the text (null: 0).  ``taken`` = copies * size; copies are 0 to ``most``.  A source's taken
-    words differ from its target by half of one document at most (rows that repeat an id are taken together).
-    Null sources form a source of their own, last in order.  A pure function of ids, sizes, sources and seed, so
-    reruns agree.  An empty table gives an empty result; other columns are ignored.
+    Size: words of the text, however long (null and empty: 0, never taken but as whole repeats of their source).  ``taken`` = copies * size; copies are 0 to
+    ``most``.  A source's taken words differ from its target by half of one document at most; rows that agree in id and text, null ids included, are taken together and count as one document.
+    Null sources form a source of their own, last in order.  A pure function of ids, texts, sources and seed, so
+    reruns agree; documents of equal size are told apart by their hash.  An empty table gives an empty result; other columns are ignored, whatever their names.
     """
     narrow, plans, n_sources = thresholds(docs, weights, share, most, seed)
-    return _with_copies(narrow, plans, n_sources, F.col("h")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    found = _with_copies(narrow, plans, n_sources)
+    return found.select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 0) -> DataFrame:
-    """The mix itself: every document as often as it is taken, with the columns of ``docs``."""
+    """The mix itself: every document as often as ``mixture`` takes it, with the columns of ``docs``, whatever their names.
+
+    Nulls, empty texts, repeated rows, ties and empty tables as for ``mixture``.
+    """
     _, plans, n_sources = thresholds(docs, weights, share, most, seed)
-    plans = plans.select("source", "whole", "threshold")
-    clear = plans.toDF("source", "whole", "threshold")
-    taken = _with_copies(docs.select(*docs.columns), clear, n_sources, document_hash("doc_id", seed)).where("copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["source"].alias("source"), document_hash(docs["doc_id"], docs["text"], seed).alias("h"))
+    taken = _with_copies(rows, plans.select("source", "whole", "threshold"), n_sources).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select(*(F.col("row")[c].alias(c) for c in docs.columns))
