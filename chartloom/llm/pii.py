@@ -31,8 +31,9 @@ PATTERNS = {
     "iban": r"(?<=\ufdd0)[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?=\ufdd0)",
     "date": r"(?<![A-Za-z0-9./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![A-Za-z0-9/-]|\.\d)",
     "ipv4": r"(?<![A-Za-z0-9.])(?:\d{1,3}\.){3}\d{1,3}(?![A-Za-z0-9]|\.\d)",
+    "french_phone": r"(?<![A-Za-z0-9.+-])0[1-9](?:[ .-]\d{2}){4}(?![A-Za-z0-9]|[ .-]\d)",
     "phone": r"(?<![A-Za-z0-9.+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![A-Za-z0-9]|[.-]\d)",
-    "international": r"(?<![A-Za-z0-9.])\+\d{1,3}(?:\ufdd0?[ .-]?\ufdd0?\d{2,4}){2,5}(?![A-Za-z0-9]|[.-]\d)",
+    "international": r"(?<![A-Za-z0-9.])\+\d{1,3}(?:[ .-]\d(?=[ .-]\d))?(?:\ufdd0?[ .-]?\ufdd0?\d{2,4}){2,5}(?![A-Za-z0-9]|[.-]\d)",
     "national_id": r"(?<![A-Za-z0-9.-])\d{3}-\d{2}-\d{4}(?![A-Za-z0-9]|[.-]\d)",
     "card": r"(?<=\ufdd0)\d(?:[ -]?\d){12,18}(?=\ufdd0)",
 }
@@ -251,7 +252,7 @@ def pseudonym(value: Column, key: str) -> Column:
     out = out.when(is_("iban"), F.when(_is_iban(value), _iban(value, key)).otherwise(value))
     out = out.when(is_("date"), F.when(_is_date(value), _date(value, key)).otherwise(value))
     out = out.when(is_("ipv4"), F.when(F.forall(_octets(value), lambda x: x < 256), _ipv4(value, key)).otherwise(value))
-    out = out.when(is_("phone") | is_("international"), _after(value, r"^(?:\+\d{1,3})?", key, "phone"))
+    out = out.when(is_("phone") | is_("international") | is_("french_phone"), _after(value, r"^(?:\+\d{1,3})?", key, "phone"))
     out = out.when(is_("national_id"), _general(value, key, "national_id"))
     return out.when(is_("card"), F.when(_is_card(value), _card(value, key)).otherwise(value)).otherwise(value)
 
@@ -259,28 +260,31 @@ def pseudonym(value: Column, key: str) -> Column:
 def with_pseudonyms(docs: DataFrame, key: str, text_column: str = "text", count_column: str | None = None) -> DataFrame:
     """``docs`` with pseudonyms in the text; with ``count_column``, also how many values were replaced (long).
 
-    The key is the caller's secret.  Texts without digit or ``@``, null texts included, pass through unread by the patterns.  Rows are independent:
-    repeated rows repeat their result, an empty table gives an empty one.
+    The key is the caller's secret.  Texts without digit or ``@``, null and empty texts included, pass through unread by the patterns; texts may have any length.  Of overlapping
+    candidates the leftmost wins, then the first of ``PATTERNS``, then the longest valid card or IBAN.  Dates outside 1900 to 2099, dates with one-digit days or months or with month names,
+    and domains of e-mail addresses stay.  Rows are independent, whatever their other columns are called: repeated rows repeat their result, an empty table gives an empty one.
+    A column named ``count_column`` is replaced.
     """
     anything = "(?<![A-Za-z0-9])(?:" + "|".join(PATTERNS.values()) + ")"  # values start where no word goes on: one look at most places
-    original = F.col(text_column)
+    found = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[text_column].alias("original"))
+    original = F.col("original")
     suspect = F.coalesce(original.rlike("[0-9@=:]"), F.lit(False))
     escaped = original
     for plain, written in _ESCAPED.items():
         escaped = F.replace(escaped, F.lit(plain), F.lit(written))
-    found = docs.withColumn("_text", F.when(suspect & original.rlike(_START), _marked(escaped)).otherwise(escaped))
-    text = F.col("_text")
-    found = found.withColumn("_found", F.when(suspect, F.regexp_extract_all(text, F.lit(anything), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    found = found.withColumn("_found", F.transform("_found", lambda value: F.replace(value, F.lit(MARK), F.lit(""))))
-    found = found.withColumn("_new", F.transform("_found", lambda value: pseudonym(value, key)))
+    found = found.withColumn("text", F.when(suspect & original.rlike(_START), _marked(escaped)).otherwise(escaped))
+    text = F.col("text")
+    found = found.withColumn("found", F.when(suspect, F.regexp_extract_all(text, F.lit(anything), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    found = found.withColumn("found", F.transform("found", lambda value: F.replace(value, F.lit(MARK), F.lit(""))))
+    found = found.withColumn("new", F.transform("found", lambda value: pseudonym(value, key)))
     between = F.split(text, anything, -1)
-    woven = F.array_join(F.flatten(F.zip_with(between, F.concat("_new", F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
+    woven = F.array_join(F.flatten(F.zip_with(between, F.concat("new", F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
     woven = F.replace(woven, F.lit(MARK), F.lit(""))
     for plain, written in reversed(_ESCAPED.items()):
         woven = F.replace(woven, F.lit(written), F.lit(plain))
-    new_text = F.when(F.size("_found") > 0, woven).otherwise(original)
-    columns = [new_text.alias(text_column) if c == text_column else F.col(c) for c in docs.columns if c != count_column]
+    new_text = F.when(F.size("found") > 0, woven).otherwise(original)
+    columns = [new_text.alias(text_column) if c == text_column else F.col("row")[c].alias(c) for c in docs.columns if c != count_column]
     if count_column:
-        changed = F.size(F.filter(F.arrays_zip("_found", "_new"), lambda x: x["_found"] != x["_new"])).cast("long")
+        changed = F.size(F.filter(F.arrays_zip("found", "new"), lambda x: x["found"] != x["new"])).cast("long")
         columns.append(changed.alias(count_column))
     return found.select(*columns)

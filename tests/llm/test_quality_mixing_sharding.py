@@ -1,11 +1,13 @@
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from chartloom.llm import mixing, quality, sharding
-from tests.llm.fixtures import documents, frame
+from chartloom.llm import mixing, pii, quality, sharding, simhash
+from tests.llm.fixtures import documents, frame, text_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -77,6 +79,55 @@ def test_mixture_meets_targets(spark, seed):
     assert sorted(map(str, again)) == sorted(map(str, found))
 
 
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_taken_words_match_a_brute_force_mix(spark, seed):
+    """Documents in order of their hash up to the target, the last one if that comes nearer."""
+    rows = documents(seed) + [(None, text_of(random.Random(i), 30 + i), "en", "b", 1, 1, 1, "g", "x") for i in range(20)]
+    docs = frame(spark, rows)
+    found = mixing.mixture(docs).collect()
+    hashes = {(r.doc_id, r.text): r.h for r in docs.select("doc_id", "text", mixing.document_hash(F.col("doc_id"), F.col("text")).alias("h")).collect()}
+    by_source = defaultdict(lambda: defaultdict(int))
+    for r in rows:
+        by_source[r[3]][hashes[r[0], r[1]]] += len(WORD.findall(r[1] or ""))
+    sizes = {s: sum(v.values()) for s, v in by_source.items()}
+    want = {}
+    for s, target in brute_targets(sizes).items():
+        whole = min(2, int(target // sizes[s])) if sizes[s] else 0
+        total, rest = whole * sizes[s], target - whole * sizes[s]
+        part = 0
+        for h in sorted(by_source[s]):
+            if rest <= 0 or part >= rest:
+                break
+            n = by_source[s][h]
+            if part + n >= rest and not part + n - rest < rest - part:
+                break
+            part += n
+        want[s] = total + part
+    taken = defaultdict(int)
+    for r in found:
+        taken[r.source] += r.taken
+    assert dict(taken) == want
+
+
+CLASHES = ["n_words", "n_symbols", "rate", "base_failed", "kept", "counts", "row", "host", "of", "h", "whole", "threshold", "copies", "copy", "id", "size", "before", "need", "bucket", "_s", "lane", "shard", "part", "bytes", "group_key", "slot", "original", "found", "new", "fp", "digest", "node"]
+
+
+def test_columns_may_have_any_name(spark):
+    rows = [r[:5] for r in documents(4)] + [(None, "a text without an id " * 9, "en", "a", 1), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    extra = docs.select("*", *(F.lit("mine").alias(c) for c in CLASHES))
+    plain = lambda df: sorted(map(str, df.collect()))
+    for operator in (quality.kept_documents, mixing.mixed_documents, simhash.keep_representatives, lambda d: pii.with_pseudonyms(d, "k")):
+        out = operator(extra)
+        assert out.columns == extra.columns and {r[c] for r in out.collect() for c in CLASHES} == {"mine"}
+        assert plain(out.select(docs.columns)) == plain(operator(docs))
+    for operator in (mixing.mixture, sharding.assign_shards, simhash.near_duplicates):
+        assert plain(operator(extra)) == plain(operator(docs))
+    added = quality.COUNTS + ["base_failed", "rate", "kept"]
+    judged = quality.with_verdicts(extra)
+    assert len(judged.columns) == len(set(judged.columns)) and plain(judged.select("doc_id", *added)) == plain(quality.with_verdicts(docs).select("doc_id", *added))
+
+
 def test_larger_budgets_take_supersets(spark):
     rows = [r for r in documents(2) if r[1]]
     small = {r.doc_id: r.copies for r in mixing.mixture(frame(spark, rows), share=0.5).collect()}
@@ -94,25 +145,66 @@ def test_mixed_documents_repeat_what_is_taken_twice(spark):
     assert count == {d: c * repeated.get(d, 1) for d, c in copies.items() if c}
 
 
+def naive_best_fit(sizes, capacity):
+    """Room left in each bin, one item and one bin at a time."""
+    room = []
+    for size in sorted(sizes, reverse=True):
+        fitting = [i for i, r in enumerate(room) if r >= size]
+        if fitting:
+            room[min(fitting, key=lambda i: (room[i], i))] -= size
+        else:
+            room.append(capacity - size)
+    return room
+
+
+def histogram(sizes):
+    return sorted(Counter(sizes).items(), reverse=True)
+
+
+def rooms(placed, capacity):
+    room = {}
+    for size, which, number in placed:
+        room[which] = room.get(which, capacity) - size * number
+    return [room[i] for i in sorted(room)]
+
+
 def test_best_fit_decreasing_uses_the_tightest_room():
-    assert sharding.best_fit_decreasing([6, 5, 4, 3], 10) == [0, 1, 0, 1]
-    assert sharding.best_fit_decreasing([11], 10) is None
+    assert sharding.best_fit_decreasing(histogram([6, 5, 4, 3]), 10) == [(6, 0, 1), (5, 1, 1), (4, 0, 1), (3, 1, 1)]
+    assert sharding.best_fit_decreasing(histogram([11]), 10) is None
+    assert sharding.best_fit_decreasing(histogram([5, 5, 5]), 10, most=1) is None
+    rng = random.Random(3)
+    for _ in range(200):
+        sizes = [rng.choice([rng.randrange(1, 100), 7, 30]) for _ in range(rng.randrange(1, 120))]
+        capacity = rng.randrange(100, 300)
+        assert sorted(rooms(sharding.best_fit_decreasing(histogram(sizes), capacity), capacity)) == sorted(naive_best_fit(sizes, capacity))
+
+
+def test_shards_are_packed_as_tight_as_naive_best_fit_allows():
     sizes = [(i * 7919) % 97 + 1 for i in range(500)]
-    placed = sharding.pack(sizes, 8)
+    placed = sharding.pack(histogram(sizes), 8)
+    assert Counter(s for s, _, n in placed for _ in range(n)) == Counter(sizes)
     load = Counter()
-    for s, b in zip(sizes, placed):
-        load[b] += s
-    assert set(placed) <= set(range(8)) and max(load.values()) <= 1.005 * sum(sizes) / 8
+    for size, which, number in placed:
+        load[which] += size * number
+    best = next(c for c in range(-(-sum(sizes) // 8), sum(sizes)) if len(naive_best_fit(sizes, c)) <= 8)
+    assert set(load) <= set(range(8)) and best <= max(load.values()) <= 1.002 * best + 1
+    assert sharding.pack([(1000, 1), (1, 70)], 8)[0] == (1000, 0, 1)
+    assert sharding.pack([], 8) == []
 
 
 def test_shards_are_even_gapless_and_keep_groups(spark):
     rows = documents(3, 400)
-    rows += [(5000 + i, "copy of a very common text " * 3, "en", "a", 1, 1, 1, "g", "x") for i in range(700)]
+    rows += [(5000 + i, "copy of a very common text " * 3, "en", "a", 1, 1, 1, "g", "x") for i in range(1500)]
+    rows += [(None, f"no id {i}", "en", "a", 1, 1, 1, "g", "x") for i in range(5)]
     found = sharding.assign_shards(frame(spark, rows), shards=8).collect()
     assert len(found) == len(rows)
     load, slots, of_text = Counter(), defaultdict(list), defaultdict(set)
     text = {r[0]: r[1] for r in rows}
     for r in found:
+        if r.doc_id is None:
+            load[r.shard] += r["size"]
+            slots[r.shard].append(r.slot)
+            continue
         data = (text[r.doc_id] or "").encode()
         assert r["size"] == len(data) + 16 and r.text_crc32 == zlib.crc32(data)
         load[r.shard] += r["size"]
