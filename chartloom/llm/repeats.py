@@ -497,7 +497,8 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     total = int(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     size = min(CHUNK_BYTES, max(LEAST_CHUNK, total // SPREAD))
-    chunks, buckets = max(1, math.ceil(total / size)), max(1, math.ceil(total / BUCKET_BYTES))
+    chunks = max(1, math.ceil(total / size))
+    buckets = max(1, math.ceil(total / min(BUCKET_BYTES, 2 * size)))
     # the text belongs to the key: rows without an id, or with one id, are spread as well
     dealt = texts.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
 
