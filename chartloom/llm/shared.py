@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,17 +17,22 @@ NON_WHITESPACE_CLASS = r"[^\x20\x09-\x0D]"
 def work_dir(spark: SparkSession) -> str:
     """Folder that the driver and every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset (tests
-    on one machine) a temporary folder is made and set.
+    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset and the driver runs all tasks itself (tests on one
+    machine) a temporary folder is made and set; elsewhere executors could not see it, so its absence is an error.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="chartloom-checkpoint-")
         context.setCheckpointDir(named)
     return named
 
 
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -36,7 +42,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[written] = path
+    return written
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote.  Only for tables on which nothing depends that is still to be run."""
+    for table in tables:
+        if path := _WRITTEN.pop(table, None):
+            context = table.sparkSession.sparkContext
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def words_of(text: Column) -> Column:
