@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chartloom import dims
 from chartloom.functions import parse, text
+from chartloom.functions.text import let
 
 UUID = r"^[a-f0-9]{8}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{12}$"
 _LENGTHS = (8, 4, 4, 4, 12)
@@ -18,9 +19,6 @@ def canonical_uuid(value: Column) -> Column:
     Letters o, i, l stand for 0, 1, 1.  A part that is too long keeps its end if it is the first, else its beginning;
     parts beyond the fifth belong to the fifth.
     """
-    cleaned = F.regexp_replace(F.lower(text.inline(value)), "[^a-z0-9-]", "")
-    parts = F.filter(F.split(cleaned, "-"), lambda p: p != "")
-    digits = F.transform(parts, lambda p: F.translate(p, "oil", "011"))
     cut = lambda p, i, n: F.when(i == 0, F.right(p, F.lit(n))).otherwise(F.left(p, F.lit(n)))
 
     def clipped(p: Column, i: Column) -> Column:
@@ -29,12 +27,17 @@ def canonical_uuid(value: Column) -> Column:
             out = F.when(i == k, cut(p, i, n)).otherwise(out)
         return out
 
-    whole = F.transform(digits, clipped)
-    last = F.left(F.array_join(F.slice(whole, 5, F.greatest(F.size(whole) - 4, F.lit(1))), ""), F.lit(12))
-    five = F.concat_ws("-", *(F.get(whole, F.lit(k)) for k in range(4)), last)
-    loose = F.btrim(F.regexp_replace(cleaned, "-+", "-"), F.lit("-"))
-    complete = (F.size(whole) >= 5) & five.rlike(r"^[a-z0-9]{8}(-[a-z0-9]{4}){3}-[a-z0-9]{12}$")
-    return F.nullif(F.when(complete, five).otherwise(loose), F.lit(""))
+    def repaired(cleaned: Column) -> Column:
+        def joined(whole: Column) -> Column:
+            last = F.left(F.array_join(F.slice(whole, 5, F.greatest(F.size(whole) - 4, F.lit(1))), ""), F.lit(12))
+            five = F.concat_ws("-", *(F.get(whole, F.lit(k)) for k in range(4)), last)
+            complete = lambda x: (F.size(whole) >= 5) & x.rlike(r"^[a-z0-9]{8}(-[a-z0-9]{4}){3}-[a-z0-9]{12}$")
+            return let(five, lambda x: F.when(complete(x), x).otherwise(F.btrim(F.regexp_replace(cleaned, "-+", "-"), F.lit("-"))))
+
+        parts = F.filter(F.split(cleaned, "-"), lambda p: p != "")
+        return let(F.transform(F.transform(parts, lambda p: F.translate(p, "oil", "011")), clipped), joined)
+
+    return F.nullif(let(F.regexp_replace(F.lower(text.inline(value)), "[^a-z0-9-]", ""), repaired), F.lit(""))
 
 
 def is_uuid(value: Column) -> Column:
@@ -62,7 +65,7 @@ def specialty(value: Column) -> Column:
 
 
 _NORMALIZERS = {
-    "patient_id": lambda v: F.when(is_uuid(canonical_uuid(v)), canonical_uuid(v)),
+    "patient_id": lambda v: let(canonical_uuid(v), lambda x: F.when(is_uuid(x), x)),
     "birth_date": parse.parse_iso_date,
     "report_date": parse.parse_iso_date,
     "observation_date": parse.parse_iso_date,
@@ -76,8 +79,14 @@ _NORMALIZERS = {
 
 def named_field(name: str, value: Column) -> Column:
     """struct(raw, canonical, normalization_status) by the rule of the field's name; a value that fails its rule stays as it is."""
-    raw = text.business_value(value)
-    candidate = _NORMALIZERS[name](raw) if name in _NORMALIZERS else raw
-    canonical = F.coalesce(candidate, raw)
-    status = F.when(raw.isNull(), "missing").when(candidate.isNull(), "needs_review").when(canonical == raw, "as_extracted").otherwise("canonicalized")
-    return F.struct(raw.alias("raw"), canonical.alias("canonical"), status.alias("normalization_status"))
+
+
+    def judged(raw: Column) -> Column:
+        def status(candidate: Column) -> Column:
+            canonical = F.coalesce(candidate, raw)
+            said = F.when(raw.isNull(), "missing").when(candidate.isNull(), "needs_review").when(canonical == raw, "as_extracted").otherwise("canonicalized")
+            return F.struct(raw.alias("raw"), canonical.alias("canonical"), said.alias("normalization_status"))
+
+        return let(_NORMALIZERS[name](raw) if name in _NORMALIZERS else raw, status)
+
+    return let(text.business_value(value), judged)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chartloom import dims
 from chartloom.functions import text
+from chartloom.functions.text import let
 
 NUMBER = r"-?\d+(?:\.\d+)?"
 
@@ -48,24 +49,31 @@ def _iso(year: Column, month: Column, day: Column) -> Column:
 
 def parse_iso_date(value: Column) -> Column:
     """ISO string of a date written as ISO (not range-checked), day/month/year, or day, French month name, year; else null."""
-    raw = F.btrim(F.lower(text.inline(value)), F.lit(". "))
-    numeric = r"\b(\d{1,2})[/-](\d{1,2})[/-](\d{4})\b"
-    part = lambda i: F.regexp_extract(raw, numeric, i)
-    named = r"(\d{1,2})\s+([a-z]+)\s+(\d{4})"
-    plain = F.replace(text.without_accents(raw), F.lit("."), F.lit(""))
-    word = lambda i: F.regexp_extract(plain, named, i)
-    month = look_up(dims.FRENCH_MONTHS, word(2)).cast("string")
-    return F.when(raw.rlike(r"^\d{4}-\d{2}-\d{2}$"), raw).when(raw.rlike(numeric), _iso(part(3), part(2), part(1))).otherwise(_iso(word(3), month, word(1)))
+    numeric, named = r"\b(\d{1,2})[/-](\d{1,2})[/-](\d{4})\b", r"(\d{1,2})\s+([a-z]+)\s+(\d{4})"
+
+    def spelled(plain: Column) -> Column:
+        word = lambda i: F.regexp_extract(plain, named, i)
+        return _iso(word(3), look_up(dims.FRENCH_MONTHS, word(2)).cast("string"), word(1))
+
+    def dated(raw: Column) -> Column:
+        part = lambda i: F.regexp_extract(raw, numeric, i)
+        other = let(F.replace(text.without_accents(raw), F.lit("."), F.lit("")), spelled)
+        return F.when(raw.rlike(r"^\d{4}-\d{2}-\d{2}$"), raw).when(raw.rlike(numeric), _iso(part(3), part(2), part(1))).otherwise(other)
+
+    return let(F.btrim(F.lower(text.inline(value)), F.lit(". ")), dated)
 
 
 def parse_datetime(value: Column) -> Column:
     """ISO string of 'd/m/Y H:M[:S]', else of a date alone, else null."""
     pattern = r"(\d{1,2})[/-](\d{1,2})[/-](\d{4})\s+(\d{1,2}):(\d{2})(?::(\d{2}))?"
-    one = text.inline(value)
-    part = lambda i: F.lpad(F.coalesce(_some(F.regexp_extract(one, pattern, i)), F.lit("0")), 2, "0")
-    joined = F.concat(F.regexp_extract(one, pattern, 3), F.lit("-"), part(2), F.lit("-"), part(1), F.lit(" "), part(4), F.lit(":"), part(5), F.lit(":"), part(6))
-    full = F.date_format(F.try_to_timestamp(joined, F.lit("yyyy-MM-dd HH:mm:ss")), "yyyy-MM-dd'T'HH:mm:ss")
-    return F.when(one.rlike(pattern), full).otherwise(parse_iso_date(value))
+
+    def timed(one: Column) -> Column:
+        part = lambda i: F.lpad(F.coalesce(_some(F.regexp_extract(one, pattern, i)), F.lit("0")), 2, "0")
+        joined = F.concat(F.regexp_extract(one, pattern, 3), F.lit("-"), part(2), F.lit("-"), part(1), F.lit(" "), part(4), F.lit(":"), part(5), F.lit(":"), part(6))
+        full = F.date_format(F.try_to_timestamp(joined, F.lit("yyyy-MM-dd HH:mm:ss")), "yyyy-MM-dd'T'HH:mm:ss")
+        return F.when(one.rlike(pattern), full).otherwise(parse_iso_date(one))
+
+    return let(text.inline(value), timed)
 
 
 def calendar_age(birth: Column, at: Column) -> Column:
@@ -89,28 +97,37 @@ def age_status(reported: Column, computed: Column) -> Column:
 
 def reference_range(value: Column) -> Column:
     """struct(text, low, high): the first 'a - b', else the first two signed numbers."""
-    shown = text.inline(F.coalesce(value, F.lit("")))
-    dotted = F.translate(shown, ",", ".")
     pair = rf"({NUMBER})\s*-\s*({NUMBER})"
-    number = lambda i: _some(F.regexp_extract(dotted, pair, i)).try_cast("double")
-    loose = F.regexp_extract_all(dotted, F.lit(NUMBER), F.lit(0))
-    is_pair = dotted.rlike(pair)
-    low = F.when(is_pair, number(1)).otherwise(F.get(loose, F.lit(0)).try_cast("double"))
-    high = F.when(is_pair, number(2)).otherwise(F.get(loose, F.lit(1)).try_cast("double"))
-    return F.struct(_some(shown).alias("text"), low.alias("low"), high.alias("high"))
+
+    def ranged(shown: Column) -> Column:
+        def bounds(dotted: Column) -> Column:
+            number = lambda i: _some(F.regexp_extract(dotted, pair, i)).try_cast("double")
+            loose = lambda i: F.get(F.regexp_extract_all(dotted, F.lit(NUMBER), F.lit(0)), F.lit(i)).try_cast("double")
+            is_pair = dotted.rlike(pair)
+            return F.struct(_some(shown).alias("text"), F.when(is_pair, number(1)).otherwise(loose(0)).alias("low"), F.when(is_pair, number(2)).otherwise(loose(1)).alias("high"))
+
+        return let(F.translate(shown, ",", "."), bounds)
+
+    return let(text.inline(F.coalesce(value, F.lit(""))), ranged)
 
 
 def simple_reference_range(value: Column) -> Column:
     """struct(text, low, high): '< x' bounds above, '> x' below, two numbers with a connector bound both."""
-    shown = text.inline(F.coalesce(value, F.lit("")))
-    dotted = F.translate(shown, ",", ".")
-    numbers = F.regexp_extract_all(dotted, F.lit(r"\d+(?:\.\d+)?"), F.lit(0))
-    first, second = F.get(numbers, F.lit(0)).try_cast("double"), F.get(numbers, F.lit(1)).try_cast("double")
-    below, above = dotted.rlike(r"^\(?\s*<"), dotted.rlike(r"^\(?\s*>")
-    both = (F.size(numbers) == 2) & dotted.rlike(r"(?iu)\d\s*(?:-|à|a)\s*\d")
-    low = F.when(above, first).when(both & ~below, first)
-    high = F.when(below, first).when(both & ~above, second)
-    return F.struct(_some(shown).alias("text"), low.alias("low"), high.alias("high"))
+
+    def ranged(shown: Column) -> Column:
+        def bounds(x: Column) -> Column:
+            dotted, numbers = x["dotted"], x["numbers"]
+            first, second = F.get(numbers, F.lit(0)).try_cast("double"), F.get(numbers, F.lit(1)).try_cast("double")
+            below, above = dotted.rlike(r"^\(?\s*<"), dotted.rlike(r"^\(?\s*>")
+            both = (F.size(numbers) == 2) & dotted.rlike(r"(?iu)\d\s*(?:-|à|a)\s*\d")
+            low = F.when(above, first).when(both & ~below, first)
+            high = F.when(below, first).when(both & ~above, second)
+            return F.struct(_some(shown).alias("text"), low.alias("low"), high.alias("high"))
+
+        dotted = F.translate(shown, ",", ".")
+        return let(F.struct(dotted.alias("dotted"), F.regexp_extract_all(dotted, F.lit(r"\d+(?:\.\d+)?"), F.lit(0)).alias("numbers")), bounds)
+
+    return let(text.inline(F.coalesce(value, F.lit(""))), ranged)
 
 
 def infer_flag(value: Column, low: Column, high: Column) -> Column:
@@ -119,15 +136,13 @@ def infer_flag(value: Column, low: Column, high: Column) -> Column:
 
 
 def normalize_flag(value: Column) -> Column:
-    flag = F.upper(text.inline(value))
     # What stands for no flag.
-    return F.when(flag.isin("", "-", "N", "NAN", "NONE", "NULL", ":", ";", "."), None).otherwise(flag)
+    return let(F.upper(text.inline(value)), lambda flag: F.when(flag.isin("", "-", "N", "NAN", "NONE", "NULL", ":", ";", "."), None).otherwise(flag))
 
 
 def normalize_unit(value: Column) -> Column:
     """Unit without spaces and with misreadings repaired; null for nothing."""
-    unit = F.replace(text.inline(value), F.lit(" "), F.lit(""))
-    return _some(F.coalesce(look_up(dims.UNIT_REPAIRS, unit), unit))
+    return let(F.replace(text.inline(value), F.lit(" "), F.lit("")), lambda unit: _some(F.coalesce(look_up(dims.UNIT_REPAIRS, unit), unit)))
 
 
 def is_known_unit(value: Column) -> Column:

@@ -35,8 +35,9 @@ def let(value: Column, then) -> Column:
 
 
 def strip(value: Column) -> Column:
-    """Without white space of any script at both ends."""
-    return F.regexp_replace(value, f"^{_SPACE}+|{_SPACE}+$", "")
+    """Without white space of any script at both ends; only a text that begins or ends with some is searched for it."""
+    edges = lambda x: F.concat(F.left(x, F.lit(1)), F.right(x, F.lit(1)))
+    return let(value, lambda x: F.when(edges(x).rlike(_SPACE), F.regexp_replace(x, f"^{_SPACE}+|{_SPACE}+$", "")).otherwise(x))
 
 
 def clean_text(value: Column) -> Column:
@@ -53,30 +54,50 @@ def inline(value: Column) -> Column:
 
 def without_accents(value: Column) -> Column:
     """Letters and digits of compatibility forms as ASCII, combining marks dropped; ASCII passes through untouched."""
-    plain = value
-    for c in "ﬁﬂ":
-        plain = F.replace(plain, F.lit(c), F.lit(_SEVERAL[c]))
-    return F.when(value.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(plain, _FROM, _TO), r"\p{M}+", "")).otherwise(value)
+
+    def plain(x: Column) -> Column:
+        out = x
+        for c in "ﬁﬂ":
+            out = F.replace(out, F.lit(c), F.lit(_SEVERAL[c]))
+        return F.when(x.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(out, _FROM, _TO), r"\p{M}+", "")).otherwise(x)
+
+    return let(value, plain)
+
+
+def key(line: Column) -> Column:
+    """The label of a text that is on one line already."""
+    return F.btrim(F.regexp_replace(without_accents(F.lower(line)), "[^a-z0-9]+", "_"), F.lit("_"))
 
 
 def label(value: Column) -> Column:
     """The key by which texts are compared: lower case, no accents, every other run of characters one underscore."""
-    return F.btrim(F.regexp_replace(without_accents(F.lower(inline(value))), "[^a-z0-9]+", "_"), F.lit("_"))
+    return key(inline(value))
 
 
 def lines(value: Column) -> Column:
-    """Lines that are not blank, each on one line, in order."""
-    return F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), inline), lambda x: x != "")
+    """Lines that are not blank, each on one line, in order; the text is cleaned as a whole before it is cut."""
+    return F.filter(F.transform(F.split(F.regexp_replace(F.translate(F.coalesce(value, F.lit("")), "\0", " "), r"[ \t]+", " "), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), strip), lambda x: x != "")
+
+
+_FURNITURE = "|".join(dims.BOILERPLATE)
 
 
 def is_boilerplate(value: Column) -> Column:
-    return label(value).rlike("|".join(dims.BOILERPLATE))
+    return label(value).rlike(_FURNITURE)
 
 
 def strip_page_boilerplate(value: Column) -> Column:
-    """Text without blank lines, furniture lines and page numbers; null gives ''."""
-    kept = F.filter(lines(clean_text(value)), lambda x: ~is_boilerplate(x) & ~x.rlike(r"(?i)^page\s+\d+$"))
-    return clean_text(F.array_join(kept, "\n"))
+    """Text without blank lines, furniture lines and page numbers; null gives ''.
+
+    A text whose label as a whole names no furniture has no such line, so lines are labelled only where it does.
+    """
+    numbered = lambda x: x.rlike(r"(?i)^page\s+\d+$")
+
+    def kept(given: Column) -> Column:
+        named = key(F.array_join(given, " ")).rlike(_FURNITURE)
+        return F.array_join(F.when(named, F.filter(given, lambda x: ~key(x).rlike(_FURNITURE) & ~numbered(x))).otherwise(F.filter(given, lambda x: ~numbered(x))), "\n")
+
+    return let(lines(value), kept)
 
 
 def safe_stem(value: Column) -> Column:

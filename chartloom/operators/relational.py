@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -26,7 +27,14 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def latest(df: DataFrame, keys: list[str], time: str, tie: str) -> DataFrame:
-    """The row of each key with the greatest time (nulls last), then the smallest ``tie``."""
+    """The row of each key with the greatest time (nulls last), then the smallest ``tie``.
+
+    With a numeric tie it is an aggregate that combines before the shuffle.
+    """
+    if isinstance(df.schema[tie].dataType, T.NumericType):
+        rest = [c for c in df.columns if c not in keys]
+        grouped = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(time, -F.col(tie))).alias("_row"))
+        return grouped.select(*keys, "_row.*").select(*df.columns)
     ranked = df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(time).desc_nulls_last(), F.col(tie))))
     return ranked.where("_n = 1").drop("_n")
 
@@ -67,21 +75,17 @@ def ranked_dedup(df: DataFrame, keys: list[str], rank: list[Column], ordinal: st
     """One row per key, that of the highest rank (first by ordinal on ties), with its losers.
 
     ``duplicate_sources`` lists ``source`` of the other rows in the order in which a reader from first to last would drop
-    them: a row that is beaten is listed when the better one appears, so the fold runs over the rows in their order.
+    them: a row that is beaten is listed when the better one appears.  What a row drops depends on the best before it only, a running
+    maximum, so no list grows row by row.
     """
-    rows = df.withColumn("_rank", F.struct(*[r.alias(f"r{i}") for i, r in enumerate(rank)])).withColumn("_source", source)
+    order = Window.partitionBy(*keys).orderBy(ordinal)
+    rows = df.select("*", F.struct(*[r.alias(f"r{i}") for i, r in enumerate(rank)]).alias("_rank"), source.alias("_source"), F.row_number().over(order).alias("_n"))
+    before = F.max(F.struct("_rank", (-F.col("_n")).alias("m"), "_source")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_b", before)
+    lost = F.when(F.col("_n") > 1, F.struct("_n", F.when(F.col("_rank") > F.col("_b._rank"), F.col("_b._source")).otherwise(F.col("_source")).alias("s")))
     rest = [c for c in df.columns if c not in keys]
-    rows = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(ordinal, F.struct("_rank", "_source", F.struct(*rest).alias("row")).alias("x")))).alias("_all"))
-    first = F.element_at("_all", 1)["x"]
-    start = F.struct(first.alias("best"), F.filter(F.array(first["_source"]), lambda s: F.lit(False)).alias("lost"))
-
-    def step(acc: Column, item: Column) -> Column:
-        better = item["x"]["_rank"] > acc["best"]["_rank"]
-        loser = F.when(better, acc["best"]["_source"]).otherwise(item["x"]["_source"])
-        return F.struct(F.when(better, item["x"]).otherwise(acc["best"]).alias("best"), F.concat(acc["lost"], F.array(loser)).alias("lost"))
-
-    rows = rows.withColumn("_r", F.aggregate(F.slice("_all", 2, F.greatest(F.size("_all") - 1, F.lit(0))), start, step))
-    return rows.select(*keys, "_r.best.row.*", F.col("_r.lost").alias("duplicate_sources"))
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("_rank", -F.col("_n"))).alias("_row"), F.array_sort(F.collect_list(lost)).alias("_lost"))
+    return best.select(*keys, "_row.*", F.transform("_lost", lambda x: x["s"]).alias("duplicate_sources"))
 
 
 def fallback_union(relations: list[DataFrame], key: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,23 +43,41 @@ def synced_checks(checks: Column, root: Column) -> Column:
     return F.coalesce(checks, root)
 
 
-def extract(pages: DataFrame, jitter: bool = False) -> dict[str, DataFrame]:
-    """pages(doc_id, page_number, final_text, native_text) to documents, header, results, stats, consistency, facility.
+class Relations(dict):
+    """Named relations; each is planned when it is first asked for."""
+
+    def __init__(self, makers: dict[str, Callable[["Relations"], DataFrame]]) -> None:
+        super().__init__()
+        self._makers = makers
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = self._makers[name](self)
+        return self[name]
+
+
+def extract(pages: DataFrame, jitter: bool = False) -> Relations:
+    """pages(doc_id, page_number, final_text, native_text) to documents, header, stool_results, stool_stats, consistency, hospital_results, facility.
 
     Documents are routed by type: stool reports through the section parser, other hospital reports through running text.
     A document's rows are only ever joined to its own, so everything scales with the number of documents.
     """
     docs = head.document_lines(pages)
     docs = docs.withColumn("document_type", head.document_type())
-    headers = head.header(docs)
     is_stool = F.col("document_type") == "parasitology_stool_report"
-    rows, stats = stool.results(docs.where(is_stool), headers, jitter)
-    other = docs.where(~is_stool & head.is_hospital_lab(F.col("first")))
-    dates = headers.select(F.col("doc_id").cast("string").alias("doc_id"), head.observation_date(headers).alias("observation_date"))
-    found = hospital.results(other, dates)
-    return {
-        "documents": docs.select("doc_id", "document_type", F.size("pages").alias("page_count")), "header": headers, "stool_results": rows, "stool_stats": stats, "consistency": stool.consistency(rows), "hospital_results": found, "facility": head.facility(docs),
-    }
+
+    def stool_rows(r: Relations) -> tuple[DataFrame, DataFrame]:
+        return stool.results(docs.where(is_stool), r["header"], jitter)
+
+    def found(r: Relations) -> DataFrame:
+        dates = r["header"].select(F.col("doc_id").cast("string").alias("doc_id"), head.observation_date(r["header"]).alias("observation_date"))
+        return hospital.results(docs.where(~is_stool & head.is_hospital_lab(F.col("first"))), dates)
+
+    return Relations(
+        {
+            "lines": lambda r: docs, "documents": lambda r: docs.select("doc_id", "document_type", F.size("pages").alias("page_count")), "header": lambda r: head.header(docs), "facility": lambda r: head.facility(docs),
+            "stool_results": lambda r: stool_rows(r)[0], "stool_stats": lambda r: stool_rows(r)[1], "consistency": lambda r: stool.consistency(r["stool_results"]), "hospital_results": found,
+        }
+    )
 
 
 def export(extracted: dict[str, DataFrame]) -> DataFrame:

@@ -63,21 +63,24 @@ def dedup_key() -> Column:
 
 def quality_points() -> Column:
     """0 to 10: name +2, nothing suspect in it +2, known unit +2 (another -3), valid range +2, value in it or flagged by it +2, range by context +1."""
-    key, low, high, value = text.label(F.col("analyte")), F.col("reference_range.low"), F.col("reference_range.high"), F.col("value_numeric")
+    low, high, value = F.col("reference_range.low"), F.col("reference_range.high"), F.col("value_numeric")
     valid = F.coalesce(high >= low, F.lit(False))
     # a value outside the range agrees with the flag that is inferred from that very range
-    points = F.when(key != "", 2.0).otherwise(0.0) + F.when((key != "") & ~key.rlike("|".join(SUSPECT)), 2.0).otherwise(0.0)
+    points = text.let(text.label(F.col("analyte")), lambda key: F.when(key != "", 2.0).otherwise(0.0) + F.when((key != "") & ~key.rlike("|".join(SUSPECT)), 2.0).otherwise(0.0))
     points += F.when(parse.is_known_unit(F.col("unit")), 2.0).when(F.coalesce("unit", F.lit("")) != "", -3.0).otherwise(0.0)
     points += F.when(valid, F.when(value.isNotNull(), 4.0).otherwise(2.0)).when(F.col("reference_range.text") == "Selon contexte", 1.0).otherwise(0.0)
     return points
 
 
 def is_reliable(points: Column) -> Column:
-    name, key = F.col("analyte"), text.label(F.col("analyte"))
-    single = (F.size(F.split(key, "_")) < 2) & ~key.isin("body_height", "body_weight")
+    name = F.col("analyte")
     unknown = ~parse.is_known_unit(F.col("unit")) & ~F.coalesce(F.col("reference_range.text") == "Selon contexte", F.lit(False))
-    bad = (key == "") | key.isin("pinema", "plasma") | key.startswith("automated_count") | name.rlike(r"\[.*\[") | single | unknown | (key.rlike("|".join(SUSPECT)) & (points < 8.0)) | (points < 4.5)
-    return ~bad
+
+    def bad(key: Column) -> Column:
+        single = (F.size(F.split(key, "_")) < 2) & ~key.isin("body_height", "body_weight")
+        return (key == "") | key.isin("pinema", "plasma") | key.startswith("automated_count") | name.rlike(r"\[.*\[") | single | unknown | (key.rlike("|".join(SUSPECT)) & (points < 8.0)) | (points < 4.5)
+
+    return ~text.let(text.label(name), bad)
 
 
 def canonical(raw: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -25,26 +25,32 @@ def _section_at(lines: Column, title: str) -> Column:
 
 
 def _is_false(section: Column, name: Column, value: Column) -> Column:
-    key, said = text.label(name), text.label(value)
-    return (
-        (key == "") | name.startswith(":") | key.isin("examen_macroscopique", "examen_microscopique", *VALUE_WORDS) | ((section != "final_result") & key.isin(*FINAL_TITLES)) | ((key == "resultat_final") & (said == "resultat_final"))
-    )
+
+    def disguised(x: Column) -> Column:
+        key, said = x["key"], x["said"]
+        return (key == "") | name.startswith(":") | key.isin("examen_macroscopique", "examen_microscopique", *VALUE_WORDS) | ((section != "final_result") & key.isin(*FINAL_TITLES)) | ((key == "resultat_final") & (said == "resultat_final"))
+
+    return text.let(F.struct(text.label(name).alias("key"), text.label(value).alias("said")), disguised)
 
 
 def semantics(section: Column, name: Column, value: Column) -> Column:
     """struct(result_kind, meaning, abnormal) of a result; the first rule that applies counts."""
-    key, said = text.label(name), text.label(value)
     out = lambda kind, meaning, abnormal: F.struct(F.lit(kind).alias("result_kind"), F.lit(meaning).alias("meaning"), (abnormal if isinstance(abnormal, Column) else F.lit(abnormal)).alias("abnormal"))
-    many = said == "assez_nombreux"
-    return (
-        F.when(section == "final_result", out("pathogen_identification", "pathogen_detected", ~said.isin("negatif", "absence")))
-        .when((section == "staining_exam") & said.rlike("oeufs|parasite|ankylostoma|trichuris"), out("microscopy_finding", "parasite_elements_detected", True))
-        .when((key == "leucocytes") & many, out("microscopy_finding", "inflammatory_finding", True))
-        .when((key == "hematies") & many, out("microscopy_finding", "blood_cells_detected", True))
-        .when(key.isin("glaire", "pus") & (said == "presence"), out("qualitative", "positive_finding", True))
-        .when(section == "microscopic_exam", out("microscopy_finding", "normal_or_absent_finding", False))
-        .otherwise(out("qualitative", "not_significant_or_expected", False))
-    )
+
+    def meant(x: Column) -> Column:
+        key, said = x["key"], x["said"]
+        many = said == "assez_nombreux"
+        return (
+            F.when(section == "final_result", out("pathogen_identification", "pathogen_detected", ~said.isin("negatif", "absence")))
+            .when((section == "staining_exam") & said.rlike("oeufs|parasite|ankylostoma|trichuris"), out("microscopy_finding", "parasite_elements_detected", True))
+            .when((key == "leucocytes") & many, out("microscopy_finding", "inflammatory_finding", True))
+            .when((key == "hematies") & many, out("microscopy_finding", "blood_cells_detected", True))
+            .when(key.isin("glaire", "pus") & (said == "presence"), out("qualitative", "positive_finding", True))
+            .when(section == "microscopic_exam", out("microscopy_finding", "normal_or_absent_finding", False))
+            .otherwise(out("qualitative", "not_significant_or_expected", False))
+        )
+
+    return text.let(F.struct(text.label(name).alias("key"), text.label(value).alias("said")), meant)
 
 
 def _paired(section: str, start: Column, end: Column) -> Column:

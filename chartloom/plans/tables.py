@@ -21,8 +21,7 @@ REPORT_FIELDS = ("numero_de_rapport", "date_du_document", "type_de_rencontre", "
 
 
 def clean_cell(value: Column) -> Column:
-    shown = text.inline(F.coalesce(value, F.lit("")))
-    return F.when(text.is_boilerplate(shown), "").otherwise(shown)
+    return text.let(text.inline(F.coalesce(value, F.lit(""))), lambda shown: F.when(text.is_boilerplate(shown), "").otherwise(shown))
 
 
 def shown_name(value: Column) -> Column:
@@ -47,24 +46,42 @@ def is_field_value(rows: Column) -> Column:
     return known >= F.greatest(F.lit(2), F.floor(F.size(some) / 2))
 
 
+def _normal(cells: Column) -> Column:
+    """struct(columns, records, table_role) of a table's cells; one expression whose steps are bound once, so that a filter on the role does not repeat them."""
+    let = text.let
+
+    def shaped(rows: Column) -> Column:
+        top = F.coalesce(F.get(rows, F.lit(0)), F.array().cast("array<string>"))
+        bad = F.exists(top, lambda c: c == "") | (F.size(F.array_distinct(top)) < F.size(top))
+        return F.struct(rows.alias("rows"), is_field_value(rows).alias("fv"), top.alias("top"), bad.alias("bad"))
+
+    def named(x: Column) -> Column:
+        plain = F.transform(x["top"], lambda c, i: F.concat(F.lit("column_"), (i + 1).cast("string")))
+        names = F.when(x["fv"], F.array(F.lit("Field"), F.lit("Value"))).when(x["bad"], plain).otherwise(header_names(x["top"]))
+        data = F.when(x["fv"] | x["bad"], x["rows"]).otherwise(F.slice(x["rows"], 2, F.greatest(F.size(x["rows"]) - 1, F.lit(0))))
+        return F.struct(x["fv"].alias("fv"), names.alias("columns"), data.alias("data"))
+
+    def recorded(x: Column) -> Column:
+        record = lambda r: F.map_from_entries(F.transform(x["columns"], lambda n, i: F.struct(n, F.coalesce(F.get(r, i), F.lit("")))))
+        fields = F.transform(F.slice(x["data"], 1, 6), lambda r: text.key(F.coalesce(F.get(r, F.lit(0)), F.lit(""))))
+        labels = F.transform(x["columns"], text.label)
+        return F.struct(x["fv"].alias("fv"), x["columns"].alias("columns"), F.transform(x["data"], record).alias("records"), labels.alias("labels"), fields.alias("fields"))
+
+    def with_role(x: Column) -> Column:
+        has = lambda pool, a: F.arrays_overlap(a, F.array(*map(F.lit, pool)))
+        result = F.size(F.array_except(F.array(*map(F.lit, RESULT_COLUMNS)), x["labels"])) == 0
+        role = F.when(result, "results_table").when(x["fv"] & has(PATIENT_FIELDS, x["fields"]), "patient_info_table").when(x["fv"] & has(REPORT_FIELDS, x["fields"]), "report_info_table").otherwise("unknown")
+        return F.struct(x["columns"].alias("columns"), x["records"].alias("records"), role.alias("table_role"))
+
+    cleaned = F.transform(cells, lambda r: F.transform(r, clean_cell))
+    rows = F.array_distinct(F.filter(cleaned, lambda r: F.exists(r, lambda c: c != "")))
+    return let(let(let(let(rows, shaped), named), recorded), with_role)
+
+
 def normalized(tables: DataFrame) -> DataFrame:
     """Adds columns (names), records (maps), table_role, is_indexable to doc_id, table_id, cells: blank and repeated rows go, field/value tables are told apart."""
-    cleaned = F.transform("cells", lambda r: F.transform(r, clean_cell))
-    rows = tables.withColumn("_rows", F.array_distinct(F.filter(cleaned, lambda r: F.exists(r, lambda c: c != ""))))
-    rows = rows.withColumn("_fv", is_field_value(F.col("_rows")))
-    top = F.coalesce(F.get("_rows", F.lit(0)), F.array().cast("array<string>"))
-    bad = F.exists(top, lambda c: c == "") | (F.size(F.array_distinct(top)) < F.size(top))
-    plain = F.transform(top, lambda c, i: F.concat(F.lit("column_"), (i + 1).cast("string")))
-    names = F.when(F.col("_fv"), F.array(F.lit("Field"), F.lit("Value"))).when(bad, plain).otherwise(header_names(top))
-    rows = rows.withColumn("columns", names).withColumn("_data", F.when(F.col("_fv") | bad, F.col("_rows")).otherwise(F.slice("_rows", 2, F.greatest(F.size("_rows") - 1, F.lit(0)))))
-    record = lambda r: F.map_from_entries(F.transform("columns", lambda n, i: F.struct(n, F.coalesce(F.get(r, i), F.lit("")))))
-    rows = rows.withColumn("records", F.transform("_data", record))
-    labels = F.transform("columns", text.label)
-    fields = F.transform(F.slice("records", 1, 6), lambda r: text.label(F.coalesce(F.try_element_at(r, F.lit("Field")), F.lit(""))))
-    has = lambda pool, a: F.arrays_overlap(a, F.array(*map(F.lit, pool)))
-    result = F.size(F.array_except(F.array(*map(F.lit, RESULT_COLUMNS)), labels)) == 0
-    role = F.when(result, "results_table").when(F.col("_fv") & has(PATIENT_FIELDS, fields), "patient_info_table").when(F.col("_fv") & has(REPORT_FIELDS, fields), "report_info_table").otherwise("unknown")
-    return rows.withColumn("table_role", role).withColumn("is_indexable", role == "results_table").drop("_rows", "_fv", "_data")
+    found = tables.withColumn("_n", _normal(F.col("cells")))
+    return found.select("*", "_n.columns", "_n.records", "_n.table_role", (F.col("_n.table_role") == "results_table").alias("is_indexable")).drop("_n")
 
 
 def fingerprint(role: Column, columns: Column, records: Column) -> Column:

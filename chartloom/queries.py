@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from chartloom import dims
 from chartloom.functions import confidence, geometry, identity, parse, text
 from chartloom.operators import relational as rel
-from chartloom.plans import qa, reports
+from chartloom.plans import documents, pages, qa, reports
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -56,7 +56,7 @@ def label_documents(docs: DataFrame) -> DataFrame:
 def exact_duplicate_documents(docs: DataFrame) -> DataFrame:
     """The first document of each label."""
     keyed = docs.select("doc_id", F.md5(text.label(F.col("text")).cast("binary")).alias("label"))
-    return keyed.groupBy("label").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "label")
+    return rel.keep_first(keyed, ["label"], ["doc_id"])
 
 
 @_query(f"SELECT md5({_label_sql('text')}) AS label, count(*) AS copies, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1", "documents")
@@ -75,14 +75,6 @@ def line_ordinals(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(text.lines(F.col("text"))).alias("i", "line")).select("doc_id", (F.col("i") + 1).alias("line_no"), "line")
 
 
-@_query("SELECT conv_id, turn, role, next_role, length(next_text) AS next_chars FROM (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next_role = 'assistant'", "conversations")
-def label_value_pairs(turns: DataFrame) -> DataFrame:
-    """A turn of the user with the answer after it (each line paired with the next)."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    paired = turns.select("conv_id", "turn", "role", F.lead("role").over(w).alias("next_role"), F.length(F.lead("text").over(w)).cast("long").alias("next_chars"))
-    return paired.where("role = 'user' and next_role = 'assistant'")
-
-
 @_query(
     f"""WITH n AS (SELECT doc_id, i, {_label_sql('l[i]')} AS label FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, {_lines_sql('text')} AS l FROM documents))),
     s AS (SELECT doc_id, min(i) AS band_start FROM n WHERE contains(label, 'the') GROUP BY 1),
@@ -93,7 +85,7 @@ def label_value_pairs(turns: DataFrame) -> DataFrame:
 )
 def section_band(docs: DataFrame) -> DataFrame:
     """Lines from the first that mentions a start word up to the next that mentions a stop word; all within the row."""
-    numbered = docs.select("doc_id", F.transform(text.lines(F.col("text")), text.label).alias("labels"))
+    numbered = docs.select("doc_id", F.transform(text.lines(F.col("text")), text.key).alias("labels"))
     ordinal = lambda word, after: F.array_min(F.filter(F.transform("labels", lambda x, i: F.when(x.contains(word) & (i + 1 > after), i + 1)), lambda i: i.isNotNull()))
     started = numbered.withColumn("band_start", ordinal("the", F.lit(0))).where("band_start is not null")
     ended = started.withColumn("band_end", F.coalesce(ordinal("licen", F.col("band_start")), F.size("labels") + 1))
@@ -105,16 +97,25 @@ def meaningful_text_filter(docs: DataFrame) -> DataFrame:
     return docs.groupBy("source").agg(F.count("*").alias("documents"), F.count_if(text.is_meaningful(F.col("text"), 200)).alias("meaningful"))
 
 
-@_query("SELECT source, count(*) FILTER (n_chars >= 2000) AS text_pages, count(*) FILTER (n_chars < 300) AS image_pages, CASE WHEN count(*) FILTER (n_chars >= 2000) = 0 THEN 'scanned' WHEN count(*) FILTER (n_chars >= 2000) = count(*) AND count(*) FILTER (n_chars < 300) = 0 THEN 'digital' ELSE 'mixed' END AS class FROM documents GROUP BY 1", "documents")
+@_query(
+    """SELECT source AS doc_id, count(*) AS page_count, count(*) FILTER (n_chars % 400 >= 30) AS text_pages, count(*) FILTER (doc_id % 50 = 0) AS image_pages,
+    CASE WHEN count(*) FILTER (n_chars % 400 >= 30) = 0 THEN 'scanned' WHEN count(*) FILTER (n_chars % 400 >= 30) = count(*) AND count(*) FILTER (doc_id % 50 = 0) = 0 THEN 'digital' ELSE 'mixed' END AS pdf_type FROM documents GROUP BY 1""",
+    "documents",
+)
 def doc_class_signals(docs: DataFrame) -> DataFrame:
-    counts = docs.groupBy("source").agg(F.count_if(F.col("n_chars") >= 2000).alias("text_pages"), F.count_if(F.col("n_chars") < 300).alias("image_pages"), F.count("*").alias("_n"))
-    kind = F.when(F.col("text_pages") == 0, "scanned").when((F.col("text_pages") == F.col("_n")) & (F.col("image_pages") == 0), "digital").otherwise("mixed")
-    return counts.select("source", "text_pages", "image_pages", kind.alias("class"))
+    """Each source as a document, its texts as pages."""
+    return pages.classes(docs.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_number"), (F.col("n_chars") % 400).alias("native_text_chars"), (F.col("doc_id") % 50 == 0).cast("int").alias("image_count")))
+
+
+@_query("SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN n_chars % 90 END AS native_text_chars FROM documents WHERE doc_id % 3 = 0 OR n_chars % 90 < 30", "documents")
+def short_pages(docs: DataFrame) -> DataFrame:
+    """Pages that need recognition: too little native text, or none."""
+    return pages.to_recognise(docs.select("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("n_chars") % 90).alias("native_text_chars")))
 
 
 @_query("SELECT page_id, coalesce(nullif(trim(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), '._-'), ''), 'document') AS stem, coalesce(nullif(trim(regexp_replace(url, '[^A-Za-z0-9]+', '_', 'g'), '_'), ''), 'patient') AS slug FROM pages", "pages")
-def safe_stem_urls(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", text.safe_stem(F.col("url")).alias("stem"), text.slugify(F.col("url")).alias("slug"))
+def safe_stem_urls(found: DataFrame) -> DataFrame:
+    return found.select("page_id", text.safe_stem(F.col("url")).alias("stem"), text.slugify(F.col("url")).alias("slug"))
 
 
 # -- parsing ------------------------------------------------------------------------------
@@ -211,9 +212,9 @@ def _birth() -> Column:
     return F.date_add(F.lit("1940-01-01").cast("date"), (F.col("o_custkey") * 37 % 21000).cast("int"))
 
 
-@_query(f"SELECT o_orderkey, a AS age, CASE WHEN abs(a - 40) <= 1 THEN 'consistent' ELSE 'inconsistent_with_birth_date' END AS status FROM (SELECT o_orderkey, CAST(year(o_orderdate) - year(b) - CASE WHEN month(o_orderdate) * 100 + day(o_orderdate) < month(b) * 100 + day(b) THEN 1 ELSE 0 END AS INTEGER) AS a FROM (SELECT *, {_BIRTH_SQL} AS b FROM orders)) WHERE a >= 0", "orders")
+@_query(f"SELECT o_orderkey, a AS age, CASE WHEN abs(a - 40) <= 1 THEN 'consistent' WHEN a IS NULL THEN 'unknown' ELSE 'inconsistent_with_birth_date' END AS status FROM (SELECT o_orderkey, CASE WHEN n >= 0 THEN n END AS a FROM (SELECT o_orderkey, CAST(year(o_orderdate) - year(b) - CASE WHEN month(o_orderdate) * 100 + day(o_orderdate) < month(b) * 100 + day(b) THEN 1 ELSE 0 END AS INTEGER) AS n FROM (SELECT *, {_BIRTH_SQL} AS b FROM orders)))", "orders")
 def age_calendar(orders: DataFrame) -> DataFrame:
-    aged = orders.select("o_orderkey", parse.calendar_age(_birth().cast("string"), F.col("o_orderdate").cast("date").cast("string")).alias("age")).where("age is not null")
+    aged = orders.select("o_orderkey", parse.calendar_age(_birth().cast("string"), F.col("o_orderdate").cast("date").cast("string")).alias("age"))
     return aged.withColumn("status", parse.age_status(F.lit(40), F.col("age")))
 
 
@@ -279,11 +280,12 @@ def modal_category(events: DataFrame) -> DataFrame:
     return rel.modal(events, ["user_id"], "event_type", 3)
 
 
-@_query("SELECT o_custkey, c_name, n AS orders FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, o_custkey LIMIT 10) JOIN customer ON c_custkey = o_custkey", "orders", "customer")
+@_query("SELECT c_custkey AS patient, c_name FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, o_custkey LIMIT 10) JOIN customer ON c_custkey = o_custkey UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey = 7", "orders", "customer")
 def top_n_entities(orders: DataFrame, customer: DataFrame) -> DataFrame:
-    """The ten customers with the most orders; ten rows are a proven size for a broadcast."""
-    top = orders.groupBy("o_custkey").agg(F.count("*").alias("orders")).orderBy(F.desc("orders"), "o_custkey").limit(10)
-    return customer.join(F.broadcast(top), F.col("c_custkey") == F.col("o_custkey")).select("o_custkey", "c_name", "orders")
+    """The ten customers with the most orders, and one that is asked for."""
+    patients = customer.select(F.col("c_custkey").alias("patient"), "c_name")
+    observed = orders.select(F.col("o_custkey").alias("patient"))
+    return reports.choose_patients(patients, observed, 10).union(reports.choose_patients(patients, observed, 10, patient="7"))
 
 
 @_query("SELECT event_id, user_id FROM (SELECT *, count(*) FILTER (event_type = 'purchase') OVER (PARTITION BY user_id) AS n FROM events) WHERE event_type = 'purchase' OR n < 12", "events")
@@ -420,10 +422,9 @@ def quality_score(orders: DataFrame, lines: DataFrame) -> DataFrame:
     return qa.evaluate(orders.select(F.col("o_orderkey").alias("doc_id")), _issues(orders, lines)).select("doc_id", "score")
 
 
-@_query("SELECT user_id, count(*) AS scores, count(DISTINCT CAST(floor(value / 50) AS INTEGER)) AS kinds, count(*) >= 6 AND count(DISTINCT CAST(floor(value / 50) AS INTEGER)) <= 2 AS uniform FROM events GROUP BY 1", "events")
-def uniform_scores(events: DataFrame) -> DataFrame:
-    counts = events.groupBy("user_id").agg(F.count("*").alias("scores"), F.count_distinct(F.floor(F.col("value") / 50)).alias("kinds"))
-    return counts.withColumn("uniform", (F.col("scores") >= 6) & (F.col("kinds") <= 2))
+@_query(f"WITH i AS ({_ISSUES_SQL}), d AS (SELECT o_orderkey, count(*) FILTER (severity = 'FAIL') AS f, count(*) FILTER (severity = 'WARNING') AS w FROM orders LEFT JOIN i ON doc_id = o_orderkey GROUP BY 1) SELECT count(*) AS documents, count(*) FILTER (f = 0 AND w = 0) AS pass, count(*) FILTER (f = 0 AND w > 0) AS warning, count(*) FILTER (f > 0) AS fail FROM d", "orders", "lineitem")
+def qa_summary(orders: DataFrame, lines: DataFrame) -> DataFrame:
+    return qa.summarize(qa.evaluate(orders.select(F.col("o_orderkey").alias("doc_id")), _issues(orders, lines)))
 
 
 @_query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS value FROM events", "events")
@@ -512,12 +513,13 @@ def union_assets(customer: DataFrame, supplier: DataFrame) -> DataFrame:
     return one.unionByName(supplier.select(F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), allowMissingColumns=True)
 
 
-@_query("SELECT n_name, coalesce(c, 0) AS customers, coalesce(s, 0) AS suppliers FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS c FROM customer GROUP BY 1) ON c_nationkey = n_nationkey LEFT JOIN (SELECT s_nationkey, count(*) AS s FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey", "nation", "customer", "supplier")
+@_query("SELECT n_nationkey AS doc_id, coalesce(c, 0) AS customers, coalesce(s, 0) AS suppliers, coalesce(f, '') AS first_supplier FROM nation LEFT JOIN (SELECT c_nationkey, CAST(count(*) AS INTEGER) AS c FROM customer GROUP BY 1) ON c_nationkey = n_nationkey LEFT JOIN (SELECT s_nationkey, CAST(count(*) AS INTEGER) AS s, arg_min(s_name, s_suppkey) AS f FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey", "nation", "customer", "supplier")
 def grouped_left_joins(nation: DataFrame, customer: DataFrame, supplier: DataFrame) -> DataFrame:
-    """Each kind of child is grouped before it is joined, so children never multiply each other."""
-    c = customer.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("customers"))
-    s = supplier.groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("suppliers"))
-    return nation.join(c, "n_nationkey", "left").join(s, "n_nationkey", "left").select("n_name", "customers", "suppliers").na.fill(0)
+    """Nations as pages, customers and suppliers as their assets: each kind is grouped before it is joined, so children never multiply each other."""
+    page = F.lit(1).alias("page_number")
+    assets = {"c": customer.select(F.col("c_nationkey").alias("doc_id"), page, "c_custkey"), "s": supplier.select(F.col("s_nationkey").alias("doc_id"), page, "s_suppkey", "s_name")}
+    found = documents.by_page(nation.select(F.col("n_nationkey").alias("doc_id"), page), assets)
+    return found.select("doc_id", F.size("c").alias("customers"), F.size("s").alias("suppliers"), F.coalesce(F.get("s", F.lit(0))["s_name"], F.lit("")).alias("first_supplier"))
 
 
 @_query("SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_quantity > 45", "lineitem")
@@ -534,11 +536,23 @@ def label_spans(customer: DataFrame) -> DataFrame:
     return found.select("c_custkey", get("Patient").alias("patient"), get("Age").alias("age"), get("Sexe").alias("sexe"))
 
 
-@_query("SELECT o_orderkey, CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR) AS result, strftime(o_orderdate, '%d %b %Y') AS shown, CAST(('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8)) AS BIGINT) AS seed FROM orders WHERE o_totalprice >= 1000 AND abs(o_totalprice - floor(o_totalprice) - 0.5) > 0.01", "orders")
+# a number as whole hundredths; halves are rounded to the even neighbour, at the place that its size asks for
+_HUNDREDTHS = "CAST(round(o_totalprice * 100) AS BIGINT)"
+_ROUNDED = "(c // {p} + CASE WHEN 2 * (c % {p}) > {p} OR (2 * (c % {p}) = {p} AND (c // {p}) % 2 = 1) THEN 1 ELSE 0 END)"
+
+
+@_query(
+    f"""SELECT o_orderkey, CASE WHEN c >= 10000 OR c % 100 = 0 THEN CAST({_ROUNDED.format(p=100)} AS VARCHAR) WHEN c >= 1000 THEN regexp_replace(CAST(CAST({_ROUNDED.format(p=10)} AS DECIMAL(18, 1)) / 10 AS VARCHAR), '[.]?0*$', '')
+    ELSE regexp_replace(CAST(c // 100 AS VARCHAR) || '.' || lpad(CAST(c % 100 AS VARCHAR), 2, '0'), '0+$', '') END AS result,
+    strftime(o_orderdate, '%d %b %Y') AS shown, CAST(('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8)) AS BIGINT) AS seed FROM (SELECT *, CASE o_orderkey % 4 WHEN 0 THEN {_HUNDREDTHS} % 1000 WHEN 1 THEN {_HUNDREDTHS} % 10000 ELSE {_HUNDREDTHS} END AS c FROM orders)""",
+    "orders",
+)
 def report_formats(orders: DataFrame) -> DataFrame:
-    """Large numbers, dates and seeds as reports show them; numbers halfway between two whole ones are left to the unit tests."""
-    kept = orders.where((F.col("o_totalprice") >= 1000) & (F.abs(F.col("o_totalprice") - F.floor("o_totalprice") - 0.5) > 0.01))
-    return kept.select("o_orderkey", reports.format_result(F.col("o_totalprice").cast("decimal(18,2)").cast("string")).alias("result"), reports.format_date(F.col("o_orderdate")).alias("shown"), reports.seed_from_text(F.col("o_orderkey").cast("string")).alias("seed"))
+    """Numbers of every size, dates and seeds as reports show them."""
+    cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
+    part = F.when(F.col("o_orderkey") % 4 == 0, cents % 1000).when(F.col("o_orderkey") % 4 == 1, cents % 10000).otherwise(cents)
+    shown = F.concat(F.floor(part / 100).cast("string"), F.lit("."), F.lpad((part % 100).cast("string"), 2, "0"))
+    return orders.select("o_orderkey", reports.format_result(shown).alias("result"), reports.format_date(F.col("o_orderdate")).alias("shown"), reports.seed_from_text(F.col("o_orderkey").cast("string")).alias("seed"))
 
 
 _CODES = {"FURNITURE": ("Féminin", "F"), "MACHINERY": ("male", "M"), "HOUSEHOLD": ("?", None)}
@@ -560,10 +574,12 @@ def positive_mean_parts(events: DataFrame) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from chartloom.plans import catalogue
+    from chartloom import rendered  # noqa: F401  registers its queries
 
-    return _QUERIES | catalogue.queries()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from chartloom import rendered  # noqa: F401
+
     return dict(_SQL)
