@@ -44,16 +44,22 @@ def synced_checks(checks: Column, root: Column) -> Column:
 
 
 class Relations(dict):
-    """Named relations; each is planned when it is first asked for."""
+    """Named relations; each is planned when it is first asked for.  Those named in ``shared`` are used by several others and persisted, until ``release``."""
 
-    def __init__(self, makers: dict[str, Callable[["Relations"], DataFrame]]) -> None:
+    def __init__(self, makers: dict[str, Callable[["Relations"], DataFrame]], shared: tuple[str, ...] = ()) -> None:
         super().__init__()
-        self._makers = makers
+        self._makers, self._shared = makers, shared
 
     def __missing__(self, name: str) -> DataFrame:
-        self[name] = self._makers[name](self)
+        made = self._makers[name](self)
+        self[name] = made.persist() if name in self._shared else made
         return self[name]
 
+    def release(self) -> None:
+        for name in self._shared:
+            if name in self:
+                self[name].unpersist()
+
 
 def extract(pages: DataFrame, jitter: bool = False) -> Relations:
     """pages(doc_id, page_number, final_text, native_text) to documents, header, stool_results, stool_stats, consistency, hospital_results, facility.
@@ -80,13 +86,8 @@ def extract(pages: DataFrame, jitter: bool = False) -> Relations:
     )
 
 
-def export(extracted: dict[str, DataFrame]) -> DataFrame:
-    """doc_id, document: one JSON string per stool report, in the view of its type."""
-    view = stool.result_view(extracted["stool_results"])
-    rest = [c for c in view.columns if c != "doc_id"]
-    results = view.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*rest))).alias("results"))
-    patient = F.struct(F.col("patient").alias("name"), F.col("patient_field.canonical").alias("patient_id"), F.col("patient_field.normalization_status").alias("patient_id_status"), F.col("birth_iso").alias("birth_date"), "age", "age_status", "sex")
-    report = F.struct("sample_id", "sample_label", F.col("request_iso").alias("request_date"), F.col("received_iso").alias("received_date"), F.col("edited_iso").alias("edited_date"), "edited_by", "prescriber", "encounter_type", "validation_actor_status")
-    headed = extracted["header"].select("doc_id", patient.alias("patient"), report.alias("report"))
-    joined = extracted["documents"].join(headed, "doc_id").join(results, "doc_id").join(extracted["consistency"].select("doc_id", F.struct("status", "detected", "message").alias("consistency_checks")), "doc_id")
-    return joined.select("doc_id", compact_json("document_type", "patient", "report", "results", "consistency_checks").alias("document"))
+def export(extracted: Relations) -> DataFrame:
+    """doc_id, document: one JSON string per document, in the view of its type."""
+    from chartloom.plans import pipeline
+
+    return pipeline.export_all(extracted).select("doc_id", "document")

@@ -5,15 +5,19 @@ A renderer writes a document per customer (or order) around that row's own value
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chartloom.functions import confidence, geometry, identity, parse, text
+from chartloom.functions import confidence, geometry, parse, text
 from chartloom.operators import relational as rel
-from chartloom.plans import documents, generic, hospital, ocr_tables, pages, qa, reports, results, segments, stool, tables, visuals
+from chartloom.plans import documents, generic, ocr_tables, pages, pipeline, qa, reports, results, segments, stool, tables, visuals
 from chartloom.plans import header as head
+from chartloom.plans.documents import Relations
 from chartloom.queries import _query
+from chartloom.sources import readers
 
 
 def _pick(key: Column, *values: str | None) -> Column:
@@ -764,3 +768,123 @@ def label_value_pairs(customer: DataFrame) -> DataFrame:
     """Lines followed by one that begins with a colon; a line that served as a value begins no pair."""
     lines = F.array(F.lit("Name"), F.concat(F.lit(": "), "c_name"), F.lit("Segment"), F.concat(F.lit(": "), "c_mktsegment"), F.lit(": again"), F.lit("Key"), F.concat(F.lit(": "), K.cast("string")), F.lit("end"))
     return customer.select("c_custkey", F.explode(rel.pair_lines(lines)).alias("p")).select("c_custkey", F.col("p.at").alias("line"), "p.name", "p.value")
+
+
+# -- the whole pipeline of generic reports -----------------------------------------------------------------------------
+
+
+def _generic_report(customer: DataFrame) -> Relations:
+    doc = K.cast("string").alias("doc_id")
+    shown = F.concat(F.lit("Rapport d'imagerie de "), "c_name")
+    pages_ = customer.select(doc, F.lit(1).alias("page_number"), shown.alias("final_text"), shown.alias("native_text"))
+    said = [
+        (F.concat(F.lit("Hopital "), "c_mktsegment", F.lit(" - Tel. 05 36 "), K.cast("string")), 40, 20), (F.lit("Résultats"), 40, 200), (F.lit("Synthèse clinique"), 40, 400), (F.concat(F.lit("Etat stable de "), "c_name"), 40, 420), (F.lit("Validation médicale"), 40, 600),
+        (F.lit("Dr. Z"), 40, 620), (F.lit("CARDIO"), 40, 640), (F.lit("Document synthétique"), 40, 800),
+    ]
+    box = lambda x, y, w, h: geometry.box(F.lit(x), F.lit(y), F.lit(x + w), F.lit(y + h))
+    every = F.posexplode(F.array(*(F.struct(t.alias("text"), box(x, y, 200, 12).alias("bbox")) for t, x, y in said))).alias("pos", "b")
+    blocks = customer.select(doc, F.lit(1).alias("page_number"), every).select("doc_id", "page_number", "pos", "b.text", "b.bbox", F.lit("native").alias("source"))
+    pictures = F.explode(F.array(*(F.struct(F.lit(n).alias("image_id"), F.lit(i).alias("xref"), b.alias("bbox")) for i, (n, b) in enumerate([("sign", box(60, 655, 80, 40)), ("scan", box(0, 0, 595, 842))])))).alias("i")
+    images = customer.select(doc, F.lit(1).alias("page_number"), pictures).select("doc_id", "page_number", "i.*", F.lit(595.0).alias("width"), F.lit(842.0).alias("height"))
+    return pipeline.extract(pages_, blocks, raw_tables(customer).withColumn("page_number", F.lit(1)), images)
+
+
+@_query(
+    f"""SELECT {_ID}, 'imaging_report' AS document_type, 4 AS tables, c_name AS patient, {_UUID_SQL} AS patient_id, 'RAP' || c_custkey AS report_id, 'Hopital ' || c_mktsegment AS address, 'Dr. Z' AS validated_by, 'CARDIO' AS specialty, 1 AS images, 'signature' AS image_type, 2 AS results, 2 AS matched, 'PASS' AS status, 100 AS score FROM customer""",
+    "customer",
+)
+def generic_pipeline(customer: DataFrame) -> DataFrame:
+    """Tables, images, blocks, fields, results and quality of a report, composed."""
+    r = _generic_report(customer)
+    counted = lambda name: r[name].groupBy("doc_id").agg(F.count("*").cast("int").alias(name))
+    kinds = r["images"].groupBy("doc_id").agg(F.count("*").cast("int").alias("images"), F.max("type").alias("image_type"))
+    out = r["documents"].select("doc_id", "document_type").join(counted("tables"), "doc_id").join(kinds, "doc_id").join(r["facility"].select("doc_id", "address"), "doc_id").join(r["validation"], "doc_id")
+    out = out.join(r["patient"].select("doc_id", F.col("name.canonical").alias("patient"), F.col("patient_id.canonical").alias("patient_id")), "doc_id").join(r["report"].select("doc_id", F.col("report_id.canonical").alias("report_id")), "doc_id")
+    return out.join(r["validation_report"].select("doc_id", F.col("results").cast("int").alias("results"), F.col("matched").cast("int").alias("matched")), "doc_id").join(r["judged"].select("doc_id", "status", "score"), "doc_id")
+
+
+@_query(
+    f"SELECT {_ID}, printf('block_%03d', place) AS block_id, block_type, body FROM "
+    + _rows_sql(
+        "place, block_type, body",
+        [
+            "1, 'document_header', 'Hopital ' || c_mktsegment || ' - Tel. 05 36 ' || c_custkey", "2, 'facility_block', 'Hopital ' || c_mktsegment || ' - Tel. 05 36 ' || c_custkey",
+            *(f"{i + 3}, '{kind}', replace(({row.split(', ', 5)[5]}), chr(10), ' ')" for i, (kind, row) in enumerate(zip(("patient_info_block", "report_info_block", "results_table_block"), _TABLES))),
+            "6, 'summary_block', 'Synthèse clinique Etat stable de ' || c_name", "7, 'validation_block', 'Validation médicale Dr. Z CARDIO'", "8, 'footer_block', 'Document synthétique'",
+        ],
+    ),
+    "customer",
+)
+def generic_report_blocks(customer: DataFrame) -> DataFrame:
+    """The semantic blocks of a generic report's page."""
+    return _generic_report(customer)["blocks"].select("doc_id", "block_id", "block_type", F.col("text").alias("body"))
+
+
+@_query(f"SELECT {_ID}, 'imaging_report' AS document_type, c_name AS patient, 2 AS results, 8 AS blocks, 4 AS tables, 'signature' AS image FROM customer", "customer")
+def generic_export(customer: DataFrame) -> DataFrame:
+    """Generic reports as JSON documents, read back."""
+    schema = "document_type string, patient struct<name string>, results array<struct<analyte string>>, blocks array<struct<block_id string>>, tables array<struct<table_id string>>, images array<struct<type string>>"
+    d = pipeline.export(_generic_report(customer)).select("doc_id", F.from_json("document", schema).alias("d"))
+    return d.select("doc_id", "d.document_type", F.col("d.patient.name").alias("patient"), *(F.size(f"d.{c}").alias(c) for c in ("results", "blocks", "tables")), F.col("d.images")[0]["type"].alias("image"))
+
+
+@_query(
+    f"""SELECT CAST(c_custkey AS VARCHAR) AS doc_id, CASE WHEN c_custkey % 3 = 0 THEN 'parasitology_stool_report' ELSE 'biology_report' END AS document_type, c_name AS patient, CASE WHEN c_custkey % 3 = 0 THEN 8 ELSE 3 END AS results, CASE WHEN c_custkey % 3 = 0 THEN 5 ELSE -1 END AS blocks,
+    CASE WHEN c_custkey % 3 = 0 THEN {_COLOUR} END AS colour FROM customer""",
+    "customer",
+)
+def export_by_type(customer: DataFrame) -> DataFrame:
+    """Documents of several types in one extraction, each exported in its own view."""
+    pages_ = stool_pages(customer.where("c_custkey % 3 = 0")).union(hospital_pages(customer.where("c_custkey % 3 > 0")))
+    schema = "document_type string, patient struct<name string>, results array<struct<row_index int>>, blocks array<struct<block_type string, fields map<string,string>>>"
+    d = documents.export(documents.extract(pages_)).select("doc_id", F.from_json("document", schema).alias("d"))
+    colour = F.get(F.filter("d.blocks", lambda b: b["block_type"] == "macroscopic_exam_block"), F.lit(0))["fields"]
+    return d.select("doc_id", "d.document_type", F.col("d.patient.name").alias("patient"), F.size("d.results").alias("results"), F.coalesce(F.size("d.blocks"), F.lit(-1)).alias("blocks"), F.try_element_at(colour, F.lit("Couleur")).alias("colour"))
+
+
+# -- sources and sinks ----------------------------------------------------------------------------------------------------
+
+
+def _folder(df: DataFrame, name: str) -> str:
+    return f"{readers.work_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+
+
+@_query("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_name END AS name, 'c_custkey' AS found, 0 AS missing FROM customer", "customer")
+def csv_source(customer: DataFrame) -> DataFrame:
+    """A CSV file: strings, trimmed names, nothing for null; a file that is not there is an empty table."""
+    path = _folder(customer, "csv")
+    customer.select("c_custkey", F.when(K % 5 > 0, F.col("c_name")).alias(" name ")).write.option("header", True).csv(path)
+    read = readers.csv(customer.sparkSession, path)
+    none = readers.optional_csv(customer.sparkSession, path + "-missing", ["a", "b"]).agg(F.count("a").cast("int").alias("missing"))
+    return read.select("*", F.lit(readers.column_named(read, ["Id", "C_CUSTKEY"])).alias("found")).join(none)
+
+
+@_query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'new' ELSE 'old' END AS version, CASE WHEN c_custkey % 3 > 0 THEN c_acctbal END AS balance, CASE WHEN c_custkey % 3 > 0 THEN c_acctbal END AS inner_balance FROM customer", "customer")
+def json_document_sink(customer: DataFrame) -> DataFrame:
+    """JSON documents: those written again are replaced, the others stay; numbers that JSON cannot hold are null at any depth."""
+    path = _folder(customer, "documents")
+    odd = F.when(K % 3 > 0, F.col("c_acctbal")).otherwise(float("nan"))
+    rows = customer.select("c_custkey", odd.alias("balance"), F.array(F.struct(odd.alias("x"))).alias("nested"), F.pmod(K, F.lit(2)).alias("bucket"))
+    readers.write_documents(rows.withColumn("version", F.lit("old")), path, "bucket")
+    readers.write_documents(rows.where("bucket = 0").withColumn("version", F.lit("new")), path, "bucket")
+    read = customer.sparkSession.read.schema("c_custkey bigint, version string, balance double, nested array<struct<x double>>, bucket int").json(path)
+    return read.select("c_custkey", "version", "balance", F.col("nested")[0]["x"].alias("inner_balance"))
+
+
+@_query(f"SELECT {_ID}, table_id, CASE WHEN table_id = 't1' THEN 5 ELSE records END AS n_records FROM " + _rows_sql("table_id, table_role, is_indexable, columns, records, body", _TABLES), "customer")
+def table_sink(customer: DataFrame) -> DataFrame:
+    """Records of tables as JSON and CSV, by table, read back."""
+    path = _folder(customer, "tables")
+    t = tables.normalized(raw_tables(customer)).withColumn("table_id", F.concat_ws("_", "table_id", F.pmod(F.xxhash64("doc_id"), F.lit(4)).cast("string")))
+    readers.write_tables(t.withColumn("records", F.transform("records", lambda r: F.map_concat(r, F.create_map(F.lit("doc"), F.col("doc_id"))))), path)
+    read = customer.sparkSession.read.schema("row int, record map<string,string>, table_id string").json(f"{path}/json")
+    return read.groupBy(F.element_at("record", "doc").alias("doc_id"), F.substring_index("table_id", "_", 1).alias("table_id")).agg(F.count("*").cast("int").alias("n_records"))
+
+
+@_query("SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, CASE WHEN o_totalprice > 490000 THEN 'FAIL' ELSE 'PASS' END AS status FROM orders", "orders")
+def qa_report_sink(orders: DataFrame) -> DataFrame:
+    """The quality report as JSON, read back."""
+    path = _folder(orders, "report")
+    fired = orders.where("o_totalprice > 490000").select(O.cast("string").alias("doc_id"))
+    readers.report(qa.evaluate(orders.select(O.cast("string").alias("doc_id")), qa.rule(1, "FAIL", "x", fired)), path)
+    return orders.sparkSession.read.schema("doc_id string, status string").json(path)

@@ -3,16 +3,29 @@
 from __future__ import annotations
 
 import importlib.util
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PAGES = "doc_id string, page_number int, width double, height double, native_text string, image_count int"
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A folder that the driver and all executors share, as ``spark.checkpoint.dir`` names it; a temporary one only where the driver runs all tasks itself."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="chartloom-work-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
 def available(module: str) -> bool:
     """Whether an optional library is installed."""
     return importlib.util.find_spec(module) is not None
@@ -68,15 +81,30 @@ def pdf_pages(spark: SparkSession, path: str, parse: Callable[[bytes], Iterator[
     return files.mapInPandas(work, PAGES)
 
 
+def _strict(value: Column, kind: T.DataType) -> Column:
+    """``value`` with NaN and infinities as null, wherever in it they stand."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.when(F.isnan(value) | (F.abs(value) == float("inf")), None).otherwise(value)
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*(_strict(value[f.name], f.dataType).alias(f.name) for f in kind.fields)))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _strict(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, x: _strict(x, kind.valueType))
+    return value
+
+
 def without_non_finite(df: DataFrame) -> DataFrame:
-    """NaN and infinities of float columns as null, as strict JSON asks."""
-    fix = lambda c: F.when(F.isnan(c) | (F.abs(F.col(c)) == float("inf")), None).otherwise(F.col(c)).alias(c)
-    return df.select(*(fix(c) if kind in ("double", "float") else F.col(c) for c, kind in df.dtypes))
+    """NaN and infinities as null, as strict JSON asks, also inside arrays, maps and structs."""
+    return df.select(*(_strict(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields))
 
 
 def write_documents(df: DataFrame, path: str, partition: str = "doc_id") -> None:
-    """One folder per document, replaced if it is there."""
-    without_non_finite(df).write.mode("overwrite").partitionBy(partition).json(path)
+    """One folder per value of ``partition``; only the folders of ``df`` are replaced, all others stay.
+
+    At scale, partition by a bucket of the ids rather than by the id, so that files stay large.
+    """
+    without_non_finite(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).json(path)
 
 
 def write_tables(tables: DataFrame, path: str) -> None:
