@@ -84,7 +84,8 @@ def extract(pages: DataFrame, blocks: DataFrame, cells: DataFrame, images: DataF
 def _listed(rows: DataFrame, order: list[str], columns: list[str | Column], name: str) -> DataFrame:
     """One array of structs per document, in order."""
     item = F.struct(F.struct(*order).alias("o"), F.struct(*columns).alias("v"))
-    return rows.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["v"]).alias(name))
+    by_order = lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0)  # noqa: E731  values may hold maps, which have no order
+    return rows.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(item), by_order), lambda x: x["v"]).alias(name))
 
 
 def export(r: Relations) -> DataFrame:
