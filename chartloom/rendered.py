@@ -34,7 +34,9 @@ def _text(lines: list[str | Column]) -> Column:
     return F.concat_ws("\n", *(F.lit(x) if isinstance(x, str) else x for x in lines))
 
 
-K = F.col("c_custkey")
+def _k() -> Column:
+    return F.col("c_custkey")
+
 
 # -- the stool report and the hospital report of a customer -------------------------------------------
 
@@ -45,36 +47,34 @@ FINAL = ("TRICHURIS TRICHIURA", "Ankylostoma duodenale", "Négatif", "ABSENCE")
 
 def stool_pages(customer: DataFrame) -> DataFrame:
     lines = [
-        F.concat(F.lit("IP Patient : "), K.cast("string")), F.concat(F.lit("Patient : "), "c_name"), F.concat(F.lit("Né(e) le : 01/02/"), (F.lit(1940) + K % 60).cast("string"), F.lit(" - 40 ans")), "Sexe : F", "Origine : Externe", "Prescripteur : Dr. X",
-        "Date Demande : 03/06/2024 10:15", "Date Réception : 03/06/2024 11:00", F.concat(F.lit("N° d'échantillon : "), (K + 240_000).cast("string")), "Nature : SELLES", "LABORATOIRE CENTRAL", "Laboratoire de Parasitologie Mycologie",
-        "Centre Hospitalo-Universitaire Mohammed VI - Oujda", "EXAMEN PARASITOLOGIQUE DES SELLES", "ECHANTILLON BIOLOGIQUE", "NATURE DE PRÉLÈVEMENT : SELLES N°1", "EXAMEN MACROSCOPIQUE", "Couleur", F.concat(F.lit(": "), _pick(K, *COLOURS)), "Consistance", ": Molle",
-        "Glaire", ": Présence", "EXAMEN MICROSCOPIQUE", "Leucocytes", F.concat(F.lit(": "), _pick(K, *WHITE_CELLS)), "Hématies", ": Absence", "EXAMEN APRÈS ENRICHISSEMENT", ": Négatif", "EXAMEN APRÈS COLORATION", F.concat(F.lit(": "), _pick(K, *STAINED)),
-        "RÉSULTAT FINAL", F.concat(F.lit(": "), _pick(K, *FINAL)), "Le : 04/06/2024 12:04:25", "Edité(e) par : A B",
+        F.concat(F.lit("IP Patient : "), _k().cast("string")), F.concat(F.lit("Patient : "), "c_name"), F.concat(F.lit("Né(e) le : 01/02/"), (F.lit(1940) + _k() % 60).cast("string"), F.lit(" - 40 ans")), "Sexe : F", "Origine : Externe", "Prescripteur : Dr. X",
+        "Date Demande : 03/06/2024 10:15", "Date Réception : 03/06/2024 11:00", F.concat(F.lit("N° d'échantillon : "), (_k() + 240_000).cast("string")), "Nature : SELLES", "LABORATOIRE CENTRAL", "Laboratoire de Parasitologie Mycologie",
+        "Centre Hospitalo-Universitaire Mohammed VI - Oujda", "EXAMEN PARASITOLOGIQUE DES SELLES", "ECHANTILLON BIOLOGIQUE", "NATURE DE PRÉLÈVEMENT : SELLES N°1", "EXAMEN MACROSCOPIQUE", "Couleur", F.concat(F.lit(": "), _pick(_k(), *COLOURS)), "Consistance", ": Molle",
+        "Glaire", ": Présence", "EXAMEN MICROSCOPIQUE", "Leucocytes", F.concat(F.lit(": "), _pick(_k(), *WHITE_CELLS)), "Hématies", ": Absence", "EXAMEN APRÈS ENRICHISSEMENT", ": Négatif", "EXAMEN APRÈS COLORATION", F.concat(F.lit(": "), _pick(_k(), *STAINED)),
+        "RÉSULTAT FINAL", F.concat(F.lit(": "), _pick(_k(), *FINAL)), "Le : 04/06/2024 12:04:25", "Edité(e) par : A B",
     ]
-    return customer.select(K.cast("string").alias("doc_id"), F.lit(1).alias("page_number"), _text(lines).alias("final_text"), F.lit(None).cast("string").alias("native_text"))
+    return customer.select(_k().cast("string").alias("doc_id"), F.lit(1).alias("page_number"), _text(lines).alias("final_text"), F.lit(None).cast("string").alias("native_text"))
 
 
 def hospital_pages(customer: DataFrame) -> DataFrame:
     lines = [
-        "LABORATOIRE CENTRAL", F.concat(F.lit("IP Patient : "), K.cast("string")), F.concat(F.lit("Patient : "), "c_name"), "Date Demande : 05/06/2024 08:00", F.concat(F.lit("N° d'échantillon : "), (K + 980_000).cast("string")), "PARAMETRES", "Glycémie à jeun",
-        F.concat((K % 9).cast("string"), F.lit(",4")), "mmol/L", "4,1 - 6,1", "Créatinine", F.concat((K % 20).cast("string"), F.lit(",8")), "mg/l", "( 7 - 13 )", "Cholestérol total", "< 2,0 g/L", "1,8g/L", "Page 1 sur 1", "Tel : 0536",
+        "LABORATOIRE CENTRAL", F.concat(F.lit("IP Patient : "), _k().cast("string")), F.concat(F.lit("Patient : "), "c_name"), "Date Demande : 05/06/2024 08:00", F.concat(F.lit("N° d'échantillon : "), (_k() + 980_000).cast("string")), "PARAMETRES", "Glycémie à jeun",
+        F.concat((_k() % 9).cast("string"), F.lit(",4")), "mmol/L", "4,1 - 6,1", "Créatinine", F.concat((_k() % 20).cast("string"), F.lit(",8")), "mg/l", "( 7 - 13 )", "Cholestérol total", "< 2,0 g/L", "1,8g/L", "Page 1 sur 1", "Tel : 0536",
     ]
-    return customer.select(K.cast("string").alias("doc_id"), F.lit(1).alias("page_number"), _text(lines).alias("final_text"), F.lit(None).cast("string").alias("native_text"))
+    return customer.select(_k().cast("string").alias("doc_id"), F.lit(1).alias("page_number"), _text(lines).alias("final_text"), F.lit(None).cast("string").alias("native_text"))
 
 
 def words_pages(customer: DataFrame) -> DataFrame:
     """Hospital reports whose results are words."""
-    lines = ["LABORATOIRE CENTRAL", F.concat(F.lit("IP Patient : "), K.cast("string")), "EXAMEN DIRECT", "Cellules", _pick(K, "Absence", "Présence"), "Commentaire : à contrôler", "dans un mois", "Resultat final : ", F.concat(F.lit("Flore "), _pick(K, "normale", "pauvre", "riche")), "Page 1 sur 1"]
-    return customer.select(K.cast("string").alias("doc_id"), F.lit(1).alias("page_number"), _text(lines).alias("final_text"), F.lit(None).cast("string").alias("native_text"))
+    lines = ["LABORATOIRE CENTRAL", F.concat(F.lit("IP Patient : "), _k().cast("string")), "EXAMEN DIRECT", "Cellules", _pick(_k(), "Absence", "Présence"), "Commentaire : à contrôler", "dans un mois", "Resultat final : ", F.concat(F.lit("Flore "), _pick(_k(), "normale", "pauvre", "riche")), "Page 1 sur 1"]
+    return customer.select(_k().cast("string").alias("doc_id"), F.lit(1).alias("page_number"), _text(lines).alias("final_text"), F.lit(None).cast("string").alias("native_text"))
 
 
 # -- tables of a customer ------------------------------------------------------------------------------
 
-_DIGEST = F.md5(K.cast("string").cast("binary"))
-
-
 def _uuid(misread: bool = False) -> Column:
-    parts = F.concat_ws("-", *(F.substring(_DIGEST, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+    digest = F.md5(_k().cast("string").cast("binary"))
+    parts = F.concat_ws("-", *(F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
     return F.upper(F.translate(parts, "01", "ol")) if misread else parts
 
 
@@ -87,35 +87,35 @@ def _cells(rows: list[list]) -> Column:
 
 def raw_tables(customer: DataFrame) -> DataFrame:
     """Five detected tables: a patient's fields, a report's fields, results, the same results again (other case), and one that is neither."""
-    sugar, potassium = (K % 120 + 40).cast("string"), F.concat((K % 3 + 3).cast("string"), F.lit(",5"))
+    sugar, potassium = (_k() % 120 + 40).cast("string"), F.concat((_k() % 3 + 3).cast("string"), F.lit(",5"))
     header = ["Analyse / Observation", "Resultat", "Unites", "Valeurs de reference", "Alerte", "Date"]
     rows = [["Glucose [Mass/volume] in Blood", sugar, "mg/dl", "70 - 99", "", "12 févr. 2023"], ["Potassium [Moles/volume] in Serum or Plasma", potassium, "mmol/L", "3,5 - 5,1", "", "12/02/2023"]]
     kinds = [
-        ("t1", _cells([["Patient", F.col("c_name")], ["Identifiant", _uuid(True)], ["", ""], ["Date de naissance", F.concat(F.lit("07/03/"), (F.lit(1950) + K % 40).cast("string"))], ["Sexe", _pick(K, "Féminin", "male", "?")], ["Age", (K % 90).cast("string")], ["Age", (K % 90).cast("string")]])),
-        ("t2", _cells([["Numero de rapport", F.concat(F.lit("rap#"), K.cast("string"))], ["Date du document", "01/03/2023"], ["Type de rencontre", _pick(K, "externe", "Urgent care")], ["Specialite", "médecine  interne"]])),
+        ("t1", _cells([["Patient", F.col("c_name")], ["Identifiant", _uuid(True)], ["", ""], ["Date de naissance", F.concat(F.lit("07/03/"), (F.lit(1950) + _k() % 40).cast("string"))], ["Sexe", _pick(_k(), "Féminin", "male", "?")], ["Age", (_k() % 90).cast("string")], ["Age", (_k() % 90).cast("string")]])),
+        ("t2", _cells([["Numero de rapport", F.concat(F.lit("rap#"), _k().cast("string"))], ["Date du document", "01/03/2023"], ["Type de rencontre", _pick(_k(), "externe", "Urgent care")], ["Specialite", "médecine  interne"]])),
         ("t3", _cells([header, *rows, rows[0], ["", "", "", "", "", ""]])),
         ("t4", _cells([[h.upper() for h in header], *rows])),
         ("t5", _cells([["Nom", "", "Nom"], [F.col("c_mktsegment"), "x", "y"], ["Document synthétique", "usage exclusif pour tests OCR", "z"]])),
     ]
     every = F.explode(F.array(*(F.struct(F.lit(n).alias("table_id"), F.lit(i + 1).alias("table_no"), c.alias("cells")) for i, (n, c) in enumerate(kinds))))
-    return customer.select(K.cast("string").alias("doc_id"), every.alias("t")).select("doc_id", "t.*")
+    return customer.select(_k().cast("string").alias("doc_id"), every.alias("t")).select("doc_id", "t.*")
 
 
 def ocr_pages(customer: DataFrame) -> DataFrame:
     lines = [
-        "Compte rendu", "Analyse / Observation Resultat Unites", F.concat(F.lit("Glucose [Mass/volume] in Blood "), (K % 120 + 40).cast("string"), F.lit(" mg/dl 70 - 99 12 févr. 2023")),
-        F.concat(F.lit("Potassium [Moles/volume] in "), (K % 3 * 10 + 35).cast("string"), F.lit(" mmol/L 3.5 - 5.1 H 12 févr. 2023")), "Serum or Plasma", "Alert", "Body Weight 70.0 kg Selon contexte - 13 mars 2023", "no result 12", "Validation medicale", "Later 5 mg/L 1 - 2 12 mars 2023",
+        "Compte rendu", "Analyse / Observation Resultat Unites", F.concat(F.lit("Glucose [Mass/volume] in Blood "), (_k() % 120 + 40).cast("string"), F.lit(" mg/dl 70 - 99 12 févr. 2023")),
+        F.concat(F.lit("Potassium [Moles/volume] in "), (_k() % 3 * 10 + 35).cast("string"), F.lit(" mmol/L 3.5 - 5.1 H 12 févr. 2023")), "Serum or Plasma", "Alert", "Body Weight 70.0 kg Selon contexte - 13 mars 2023", "no result 12", "Validation medicale", "Later 5 mg/L 1 - 2 12 mars 2023",
     ]
-    return customer.select(K.cast("string").alias("doc_id"), F.lit(1).alias("page_number"), F.array(*(F.lit(x) if isinstance(x, str) else x for x in lines)).alias("lines"))
+    return customer.select(_k().cast("string").alias("doc_id"), F.lit(1).alias("page_number"), F.array(*(F.lit(x) if isinstance(x, str) else x for x in lines)).alias("lines"))
 
 
 def ocr_header_pages(customer: DataFrame) -> DataFrame:
     spoilt = _uuid(True)
     lines = [
-        "Document synthétique", F.concat(F.lit("Patient "), "c_name", F.lit(" Numero de rapport rap-"), K.cast("string")), F.concat(F.substring(spoilt, 1, 19), F.lit("- Date du document 01/03/2023")), F.concat(F.lit("Identifiant "), F.substring(spoilt, 25, 12)),
+        "Document synthétique", F.concat(F.lit("Patient "), "c_name", F.lit(" Numero de rapport rap-"), _k().cast("string")), F.concat(F.substring(spoilt, 1, 19), F.lit("- Date du document 01/03/2023")), F.concat(F.lit("Identifiant "), F.substring(spoilt, 25, 12)),
         "Type de rencontre Ambulatory", "Date de naissance 07/03/1950", "Prescripteur Dr. Y", "Age 70", "Specialite CARDIO", "Sexe F", "Statut final", "12 rue Haute", F.concat(F.lit("Adresse "), "c_mktsegment"), "75001 Paris", "Resultats selectionnes", "Sexe M",
     ]
-    return customer.select(K.cast("string").alias("doc_id"), F.lit(1).alias("page_number"), F.array(*(F.lit(x) if isinstance(x, str) else x for x in lines)).alias("lines"))
+    return customer.select(_k().cast("string").alias("doc_id"), F.lit(1).alias("page_number"), F.array(*(F.lit(x) if isinstance(x, str) else x for x in lines)).alias("lines"))
 
 
 def _rows_sql(columns: str, rows: list[str]) -> str:
@@ -329,14 +329,14 @@ def table_fields(customer: DataFrame) -> DataFrame:
 def table_row_duplicates(customer: DataFrame) -> DataFrame:
     """The first of results that agree in name, value and unit over all tables of a document."""
     rows = [(1, 0, "Glucose", "5", "mg/dl"), (2, 1, "glucose ", "5", "mg/dL"), (2, 2, "Glucose", None, "mg/dL")]
-    every = F.explode(F.array(*(F.struct(F.lit(t).alias("table_no"), F.lit(n).alias("row_no"), F.lit(a).alias("analyte"), (F.lit(v) if v else F.when(K % 2 == 1, "6").otherwise("5")).alias("value"), F.lit(u).alias("unit")) for t, n, a, v, u in rows)))
-    return tables.deduplicated_rows(customer.select(K.cast("string").alias("doc_id"), every.alias("r")).select("doc_id", "r.*")).select("doc_id", "row_no", "analyte")
+    every = F.explode(F.array(*(F.struct(F.lit(t).alias("table_no"), F.lit(n).alias("row_no"), F.lit(a).alias("analyte"), (F.lit(v) if v else F.when(_k() % 2 == 1, "6").otherwise("5")).alias("value"), F.lit(u).alias("unit")) for t, n, a, v, u in rows)))
+    return tables.deduplicated_rows(customer.select(_k().cast("string").alias("doc_id"), every.alias("r")).select("doc_id", "r.*")).select("doc_id", "row_no", "analyte")
 
 
 @_query(f"SELECT {_ID}, CASE WHEN c_custkey % 3 = 0 THEN 'second' ELSE 'first' END AS table_id FROM customer", "customer")
 def table_fallback(customer: DataFrame) -> DataFrame:
     """Tables of the second detector only where the first found none."""
-    given = customer.select(K.cast("string").alias("doc_id"), K.alias("k"))
+    given = customer.select(_k().cast("string").alias("doc_id"), _k().alias("k"))
     first = given.where("k % 3 > 0").select("doc_id", F.lit("first").alias("table_id"))
     return tables.with_fallback_source(first, given.select("doc_id", F.lit("second").alias("table_id")))
 
@@ -388,8 +388,8 @@ def _raw_results(customer: DataFrame) -> DataFrame:
 
 
 def _result_lines(customer: DataFrame) -> DataFrame:
-    lines = F.array(F.concat(F.lit("Sodium level "), (K % 20 + 130).cast("string"), F.lit(" mmol/L 135 - 145 H 12/03/2023")), F.lit("no result here"), F.lit("Urea 5 mmol/L 2 - 8 - "), F.lit("Potassium level 45 mmol/L 3,5 - 5,1 "))
-    return results.from_lines(customer.select(K.cast("string").alias("doc_id"), F.lit(1).alias("block_no"), F.lit(2).alias("page_number"), lines.alias("lines")))
+    lines = F.array(F.concat(F.lit("Sodium level "), (_k() % 20 + 130).cast("string"), F.lit(" mmol/L 135 - 145 H 12/03/2023")), F.lit("no result here"), F.lit("Urea 5 mmol/L 2 - 8 - "), F.lit("Potassium level 45 mmol/L 3,5 - 5,1 "))
+    return results.from_lines(customer.select(_k().cast("string").alias("doc_id"), F.lit(1).alias("block_no"), F.lit(2).alias("page_number"), lines.alias("lines")))
 
 
 @_query(
@@ -435,14 +435,14 @@ _NAMES = ("Glucose [Mass/volume] in Blood by Automated count", "The Body Weight"
 
 @_query(f"SELECT c_custkey, {_pick_sql('c_custkey', 'glucose_mass_volume', 'body_weight', 'of', 'sodium')} AS fingerprint, {_pick_sql('c_custkey', 'high', 'medium', 'low')} AS band FROM customer", "customer")
 def analyte_fingerprints(customer: DataFrame) -> DataFrame:
-    return customer.select("c_custkey", generic.analyte_fingerprint(_pick(K, *_NAMES)).alias("fingerprint"), generic.points_band(F.element_at(F.array(*map(F.lit, (8.0, 6.5, 5.9))), (K % 3 + 1).cast("int"))).alias("band"))
+    return customer.select("c_custkey", generic.analyte_fingerprint(_pick(_k(), *_NAMES)).alias("fingerprint"), generic.points_band(F.element_at(F.array(*map(F.lit, (8.0, 6.5, 5.9))), (_k() % 3 + 1).cast("int"))).alias("band"))
 
 
 # -- fields of patient and report from tables, blocks and the first page -------------------------------------
 
 
 def _generic_inputs(customer: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    ids = customer.select(K.cast("string").alias("doc_id"), K.alias("k"), "c_name")
+    ids = customer.select(_k().cast("string").alias("doc_id"), _k().alias("k"), "c_name")
     normal = tables.normalized(raw_tables(customer.where("c_custkey % 3 = 0"))).where("table_role like '%_info_table'")
     found = tables.key_values(normal).join(normal.select("doc_id", "table_id", "table_no", "table_role"), ["doc_id", "table_id"]).select("doc_id", "table_no", "table_role", "fields", F.lit(True).alias("has_box"))
     said = F.concat(F.lit("Patient: "), "c_name", F.lit(" Identifiant: p-"), F.col("k").cast("string"), F.lit(" Sexe: masculin Age: 30 ans"))
@@ -474,8 +474,8 @@ def generic_report(customer: DataFrame) -> DataFrame:
 
 @_query(f"SELECT {_ID}, 'Hopital ' || c_mktsegment || ' - Tel. 05 36 ' || c_custkey AS raw_text, 'Hopital ' || c_mktsegment AS address, '05 36 ' || c_custkey AS phone FROM customer WHERE c_custkey % 2 = 0", "customer")
 def generic_facility(customer: DataFrame) -> DataFrame:
-    lines = F.posexplode(F.array(F.lit("Title"), F.when(K % 2 == 0, F.concat(F.lit("Hopital "), "c_mktsegment", F.lit(" - Tel. 05 36 "), K.cast("string"))), F.lit("Tel. later"))).alias("pos", "text")
-    blocks = customer.select(K.cast("string").alias("doc_id"), lines).where("text is not null").withColumn("page_number", F.when(F.col("text") == "Tel. later", 2).otherwise(1))
+    lines = F.posexplode(F.array(F.lit("Title"), F.when(_k() % 2 == 0, F.concat(F.lit("Hopital "), "c_mktsegment", F.lit(" - Tel. 05 36 "), _k().cast("string"))), F.lit("Tel. later"))).alias("pos", "text")
+    blocks = customer.select(_k().cast("string").alias("doc_id"), lines).where("text is not null").withColumn("page_number", F.when(F.col("text") == "Tel. later", 2).otherwise(1))
     return generic.facility(blocks)
 
 
@@ -538,9 +538,9 @@ _PLACES = [(1, 0, 0, 10, 10)] * 4 + [(1, 0, 10, 40, 30), (2, 0, 50, 40, 70), (3,
 @_query("SELECT c_custkey, " + ", ".join(f"{_pick_sql('c_custkey', *(str(k[i]) for k in _KINDS))} AS {n}" for i, n in enumerate(("type", "role", "shown"))) + " FROM customer", "customer")
 def image_kinds(customer: DataFrame) -> DataFrame:
     """What an image is, by the words near it, then by its place."""
-    at = lambda i: F.element_at(F.array(*(F.lit(float(p[i])) for p in _PLACES)), (K % 9 + 1).cast("int"))
+    at = lambda i: F.element_at(F.array(*(F.lit(float(p[i])) for p in _PLACES)), (_k() % 9 + 1).cast("int"))
     box = F.struct(at(1).alias("x0"), at(2).alias("y0"), at(3).alias("x1"), at(4).alias("y1"))
-    found = customer.select("c_custkey", visuals.classify(at(0).cast("int"), F.lit(100.0), F.lit(100.0), box, _pick(K, *_NEAR)).alias("c"))
+    found = customer.select("c_custkey", visuals.classify(at(0).cast("int"), F.lit(100.0), F.lit(100.0), box, _pick(_k(), *_NEAR)).alias("c"))
     return found.select("c_custkey", "c.type", "c.role", F.initcap(F.col("c.is_indexable").cast("string")).alias("shown"))
 
 
@@ -590,12 +590,14 @@ def ocr_merge(docs: DataFrame) -> DataFrame:
 
 # -- quality rules over documents ------------------------------------------------------------------------------
 
-O = F.col("o_orderkey")
+def _o() -> Column:
+    return F.col("o_orderkey")
+
 
 
 def _qa_inputs(orders: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """A document per order; each rule fires where the order's key is divisible by a number of its own."""
-    hit = lambda n: O % n == 0
+    hit = lambda n: _o() % n == 0
     required = ["blocks", "images", "pages", "patient", "report", "results", "tables", "validation_report"]
     keys = F.when(hit(11), F.array(*map(F.lit, required[:-2]))).otherwise(F.array(*map(F.lit, required)))
     names = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
@@ -603,17 +605,17 @@ def _qa_inputs(orders: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Data
     sections = ["final_result", "staining_exam", "enrichment_exam", "microscopic_exam"]
     detected = F.when(hit(13), F.create_map(F.lit("final_result"), final)).when(hit(17), F.create_map(F.lit("none"), final).cast("map<string,array<string>>")).otherwise(F.map_from_arrays(names(*sections), F.array(final, stained, F.when(hit(19), F.lit(None).cast("array<string>")).otherwise(names()), names())))
     docs = orders.select(
-        O.cast("string").alias("doc_id"), keys.alias("keys"), F.when(hit(2), "parasitology_stool_report").otherwise("biology_report").alias("document_type"), F.when(hit(23), "").when(hit(29), "bad id!").otherwise("p-1").alias("patient_id"), F.when(~hit(31), "s1").alias("sample_id"),
+        _o().cast("string").alias("doc_id"), keys.alias("keys"), F.when(hit(2), "parasitology_stool_report").otherwise("biology_report").alias("document_type"), F.when(hit(23), "").when(hit(29), "bad id!").otherwise("p-1").alias("patient_id"), F.when(~hit(31), "s1").alias("sample_id"),
         F.when(hit(37), None).when(hit(41), "01/02/2024").otherwise("2024-02-01").alias("report_date"), F.when(~hit(43), 5).alias("raw_rows"), F.lit(3).alias("canonical_rows"), F.when(hit(47), 1).otherwise(2).alias("removed_rows"), F.when(hit(53), 1).otherwise(0).alias("consistency_issues"),
         F.when(hit(59), 2).otherwise(0).alias("missing_from_raw"), F.when(~hit(61), "c").alias("checks"), F.when(hit(67), None).when(hit(71), "d").otherwise("c").alias("root_checks"), F.when(hit(73), None).when(hit(79), "inconsistent").when(hit(83), "odd").when(hit(3), "consistent").otherwise("discordant_findings").alias("status"), detected.alias("detected"),
     )
     nth = lambda n: F.explode(F.sequence(F.lit(1), n)).alias("row")
     rows = orders.where(~hit(89)).select(
-        O.cast("string").alias("doc_id"), nth(F.when(hit(97), 2).otherwise(1)), F.when(hit(101), "qualitative").otherwise("numeric").alias("result_kind"), F.when(~hit(103), "Glucose").alias("analyte"), F.lit("5").alias("value_raw"), F.when(~hit(107), 5.0).alias("value_numeric"), F.when(~hit(109), "mg/dL").alias("unit"), F.lit("s").alias("section"),
+        _o().cast("string").alias("doc_id"), nth(F.when(hit(97), 2).otherwise(1)), F.when(hit(101), "qualitative").otherwise("numeric").alias("result_kind"), F.when(~hit(103), "Glucose").alias("analyte"), F.lit("5").alias("value_raw"), F.when(~hit(107), 5.0).alias("value_numeric"), F.when(~hit(109), "mg/dL").alias("unit"), F.lit("s").alias("section"),
         F.when(~hit(113), 1).alias("page_number"), F.when(hit(127), "2024/01/01").otherwise("2024-01-01").alias("observation_date"), F.when(hit(131), 9.0).otherwise(1.0).alias("low"), F.lit(8.0).alias("high"), F.lit("k").alias("dedup_key"), F.lit(0.9).alias("score"),
     )
-    blocks = orders.where(~hit(137)).select(O.alias("k"), O.cast("string").alias("doc_id"), nth(F.when(hit(139), 6).when(hit(149), 2).otherwise(1))).select("doc_id", F.col("row").alias("pos"), F.when(F.col("k") % 149 == 0, "Same text").otherwise(F.concat(F.lit("text "), F.col("row").cast("string"))).alias("text"), F.lit(True).alias("is_indexable"), F.lit(0.9).alias("score"))
-    shown = orders.select(O.cast("string").alias("doc_id"), F.lit(1).alias("page_number"), F.when(hit(151), "Document synthétique").otherwise("text").alias("final_text"))
+    blocks = orders.where(~hit(137)).select(_o().alias("k"), _o().cast("string").alias("doc_id"), nth(F.when(hit(139), 6).when(hit(149), 2).otherwise(1))).select("doc_id", F.col("row").alias("pos"), F.when(F.col("k") % 149 == 0, "Same text").otherwise(F.concat(F.lit("text "), F.col("row").cast("string"))).alias("text"), F.lit(True).alias("is_indexable"), F.lit(0.9).alias("score"))
+    shown = orders.select(_o().cast("string").alias("doc_id"), F.lit(1).alias("page_number"), F.when(hit(151), "Document synthétique").otherwise("text").alias("final_text"))
     return docs, rows, blocks, shown
 
 
@@ -651,7 +653,7 @@ def qa_document_rules(orders: DataFrame) -> DataFrame:
 @_query("SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, 'FAIL' AS status, CAST(80 AS INTEGER) AS score, 'extraction_exception' AS code, 'error ' || o_orderkey AS message FROM orders WHERE o_orderkey % 50 = 0", "orders")
 def qa_failed_documents(orders: DataFrame) -> DataFrame:
     """Documents whose extraction broke off, judged like all others."""
-    failed = orders.where("o_orderkey % 50 = 0").select(O.cast("string").alias("doc_id"), F.concat(F.lit("error "), O.cast("string")).alias("error"))
+    failed = orders.where("o_orderkey % 50 = 0").select(_o().cast("string").alias("doc_id"), F.concat(F.lit("error "), _o().cast("string")).alias("error"))
     judged = qa.evaluate(failed, qa.failed_documents(failed))
     return judged.select("doc_id", "status", "score", F.col("issues")[0]["code"].alias("code"), F.col("issues")[0]["message"].alias("message"))
 
@@ -690,7 +692,7 @@ def report_result_rows(events: DataFrame) -> DataFrame:
 )
 def report_impressions(events: DataFrame, orders: DataFrame) -> DataFrame:
     """Flagged rows and the newest conditions in words."""
-    conditions = orders.select(F.col("o_custkey").alias("patient"), O.alias("row"), F.col("o_orderpriority").alias("description"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("start"))
+    conditions = orders.select(F.col("o_custkey").alias("patient"), _o().alias("row"), F.col("o_orderpriority").alias("description"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("start"))
     return reports.impression(reports.report_rows(_observations(events)), reports.conditions_of(conditions))
 
 
@@ -716,10 +718,10 @@ def report_trends(events: DataFrame) -> DataFrame:
 )
 def report_contexts(customer: DataFrame, orders: DataFrame, nation: DataFrame, supplier: DataFrame) -> DataFrame:
     """Patients with the organisation and provider of their latest encounter, or defaults."""
-    encounters = orders.select(F.col("o_custkey").alias("patient"), O.alias("row"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("start"), (O % 30).cast("string").alias("organization"), (O % 120).cast("string").alias("provider"))
+    encounters = orders.select(F.col("o_custkey").alias("patient"), _o().alias("row"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("start"), (_o() % 30).cast("string").alias("organization"), (_o() % 120).cast("string").alias("provider"))
     places = nation.select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name"), F.concat(F.lit(" Street "), F.col("n_nationkey").cast("string")).alias("address"), F.lit("").alias("city"), F.lit("MA").alias("state"), F.lit(None).cast("string").alias("phone"))
     people = supplier.select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("name"), F.lit("GENERAL").alias("speciality"))
-    found = reports.patient_context(customer.select(K.alias("patient")), encounters, places, people, {"facility_name": "Unknown facility"})
+    found = reports.patient_context(customer.select(_k().alias("patient")), encounters, places, people, {"facility_name": "Unknown facility"})
     return found.select("patient", "facility_name", "facility_address", "provider_name", "provider_specialty")
 
 
@@ -739,12 +741,12 @@ _FRAGMENTS = ((["Alpha beta", "alpha  BETA", "gamma"], "Alpha beta/gamma"), (["b
     "customer",
 )
 def scalar_cleanup(customer: DataFrame) -> DataFrame:
-    numbers = F.element_at(F.array(*(F.lit(a) for a, _ in _NUMBERS)), (K % len(_NUMBERS) + 1).cast("int"))
-    parts = F.element_at(F.array(*(F.array(*map(F.lit, a)) for a, _ in _FRAGMENTS)), (K % len(_FRAGMENTS) + 1).cast("int"))
-    said = F.when(K % 4 == 0, "12 mg").otherwise(F.concat(F.lit(" "), (K % 100).cast("string"), F.lit(",5 ")))
-    place = F.when(K % 2 == 0, F.concat(F.lit("/root/dir/"), K.cast("string"))).otherwise(F.concat(F.lit("/other/"), K.cast("string")))
+    numbers = F.element_at(F.array(*(F.lit(a) for a, _ in _NUMBERS)), (_k() % len(_NUMBERS) + 1).cast("int"))
+    parts = F.element_at(F.array(*(F.array(*map(F.lit, a)) for a, _ in _FRAGMENTS)), (_k() % len(_FRAGMENTS) + 1).cast("int"))
+    said = F.when(_k() % 4 == 0, "12 mg").otherwise(F.concat(F.lit(" "), (_k() % 100).cast("string"), F.lit(",5 ")))
+    place = F.when(_k() % 2 == 0, F.concat(F.lit("/root/dir/"), _k().cast("string"))).otherwise(F.concat(F.lit("/other/"), _k().cast("string")))
     return customer.select(
-        "c_custkey", text.page_name((K % 1000).cast("int")).alias("page"), parse.normalize_flag(_pick(K, *(a for a, _ in _FLAGS))).alias("flag"), text.ocr_analyte(_pick(K, *(a for a, _ in _ANALYTES))).alias("analyte"), parse.format_repaired(numbers).alias("number"),
+        "c_custkey", text.page_name((_k() % 1000).cast("int")).alias("page"), parse.normalize_flag(_pick(_k(), *(a for a, _ in _FLAGS))).alias("flag"), text.ocr_analyte(_pick(_k(), *(a for a, _ in _ANALYTES))).alias("analyte"), parse.format_repaired(numbers).alias("number"),
         F.array_join(text.dedupe_fragments(parts), "/").alias("fragments"), parse.safe_float(said).alias("safe"), documents.relative_path(place, "/root").alias("path"),
     )
 
@@ -766,7 +768,7 @@ def value_bands(events: DataFrame) -> DataFrame:
 @_query("SELECT c_custkey, line, name, value FROM " + _rows_sql("line, name, value", ["0, 'Name', ': ' || c_name", "2, 'Segment', ': ' || c_mktsegment", "5, 'Key', ': ' || c_custkey"]), "customer")
 def label_value_pairs(customer: DataFrame) -> DataFrame:
     """Lines followed by one that begins with a colon; a line that served as a value begins no pair."""
-    lines = F.array(F.lit("Name"), F.concat(F.lit(": "), "c_name"), F.lit("Segment"), F.concat(F.lit(": "), "c_mktsegment"), F.lit(": again"), F.lit("Key"), F.concat(F.lit(": "), K.cast("string")), F.lit("end"))
+    lines = F.array(F.lit("Name"), F.concat(F.lit(": "), "c_name"), F.lit("Segment"), F.concat(F.lit(": "), "c_mktsegment"), F.lit(": again"), F.lit("Key"), F.concat(F.lit(": "), _k().cast("string")), F.lit("end"))
     return customer.select("c_custkey", F.explode(rel.pair_lines(lines)).alias("p")).select("c_custkey", F.col("p.at").alias("line"), "p.name", "p.value")
 
 
@@ -774,11 +776,11 @@ def label_value_pairs(customer: DataFrame) -> DataFrame:
 
 
 def _generic_report(customer: DataFrame) -> Relations:
-    doc = K.cast("string").alias("doc_id")
+    doc = _k().cast("string").alias("doc_id")
     shown = F.concat(F.lit("Rapport d'imagerie de "), "c_name")
     pages_ = customer.select(doc, F.lit(1).alias("page_number"), shown.alias("final_text"), shown.alias("native_text"))
     said = [
-        (F.concat(F.lit("Hopital "), "c_mktsegment", F.lit(" - Tel. 05 36 "), K.cast("string")), 40, 20), (F.lit("Résultats"), 40, 200), (F.lit("Synthèse clinique"), 40, 400), (F.concat(F.lit("Etat stable de "), "c_name"), 40, 420), (F.lit("Validation médicale"), 40, 600),
+        (F.concat(F.lit("Hopital "), "c_mktsegment", F.lit(" - Tel. 05 36 "), _k().cast("string")), 40, 20), (F.lit("Résultats"), 40, 200), (F.lit("Synthèse clinique"), 40, 400), (F.concat(F.lit("Etat stable de "), "c_name"), 40, 420), (F.lit("Validation médicale"), 40, 600),
         (F.lit("Dr. Z"), 40, 620), (F.lit("CARDIO"), 40, 640), (F.lit("Document synthétique"), 40, 800),
     ]
     box = lambda x, y, w, h: geometry.box(F.lit(x), F.lit(y), F.lit(x + w), F.lit(y + h))
@@ -853,7 +855,7 @@ def _folder(df: DataFrame, name: str) -> str:
 def csv_source(customer: DataFrame) -> DataFrame:
     """A CSV file: strings, trimmed names, nothing for null; a file that is not there is an empty table."""
     path = _folder(customer, "csv")
-    customer.select("c_custkey", F.when(K % 5 > 0, F.col("c_name")).alias(" name ")).write.option("header", True).csv(path)
+    customer.select("c_custkey", F.when(_k() % 5 > 0, F.col("c_name")).alias(" name ")).write.option("header", True).csv(path)
     read = readers.csv(customer.sparkSession, path)
     none = readers.optional_csv(customer.sparkSession, path + "-missing", ["a", "b"]).agg(F.count("a").cast("int").alias("missing"))
     return read.select("*", F.lit(readers.column_named(read, ["Id", "C_CUSTKEY"])).alias("found")).join(none)
@@ -863,8 +865,8 @@ def csv_source(customer: DataFrame) -> DataFrame:
 def json_document_sink(customer: DataFrame) -> DataFrame:
     """JSON documents: those written again are replaced, the others stay; numbers that JSON cannot hold are null at any depth."""
     path = _folder(customer, "documents")
-    odd = F.when(K % 3 > 0, F.col("c_acctbal")).otherwise(float("nan"))
-    rows = customer.select("c_custkey", odd.alias("balance"), F.array(F.struct(odd.alias("x"))).alias("nested"), F.pmod(K, F.lit(2)).alias("bucket"))
+    odd = F.when(_k() % 3 > 0, F.col("c_acctbal")).otherwise(float("nan"))
+    rows = customer.select("c_custkey", odd.alias("balance"), F.array(F.struct(odd.alias("x"))).alias("nested"), F.pmod(_k(), F.lit(2)).alias("bucket"))
     readers.write_documents(rows.withColumn("version", F.lit("old")), path, "bucket")
     readers.write_documents(rows.where("bucket = 0").withColumn("version", F.lit("new")), path, "bucket")
     read = customer.sparkSession.read.schema("c_custkey bigint, version string, balance double, nested array<struct<x double>>, bucket int").json(path)
@@ -885,6 +887,6 @@ def table_sink(customer: DataFrame) -> DataFrame:
 def qa_report_sink(orders: DataFrame) -> DataFrame:
     """The quality report as JSON, read back."""
     path = _folder(orders, "report")
-    fired = orders.where("o_totalprice > 490000").select(O.cast("string").alias("doc_id"))
-    readers.report(qa.evaluate(orders.select(O.cast("string").alias("doc_id")), qa.rule(1, "FAIL", "x", fired)), path)
+    fired = orders.where("o_totalprice > 490000").select(_o().cast("string").alias("doc_id"))
+    readers.report(qa.evaluate(orders.select(_o().cast("string").alias("doc_id")), qa.rule(1, "FAIL", "x", fired)), path)
     return orders.sparkSession.read.schema("doc_id string, status string").json(path)
