@@ -791,20 +791,6 @@ def _generic_report(customer: DataFrame) -> Relations:
     return pipeline.extract(pages_, blocks, raw_tables(customer).withColumn("page_number", F.lit(1)), images)
 
 
-@_query(
-    f"""SELECT {_ID}, 'imaging_report' AS document_type, 4 AS tables, c_name AS patient, {_UUID_SQL} AS patient_id, 'RAP' || c_custkey AS report_id, 'Hopital ' || c_mktsegment AS address, 'Dr. Z' AS validated_by, 'CARDIO' AS specialty, 1 AS images, 'signature' AS image_type, 2 AS results, 2 AS matched, 'PASS' AS status, 100 AS score FROM customer""",
-    "customer",
-)
-def generic_pipeline(customer: DataFrame) -> DataFrame:
-    """Tables, images, blocks, fields, results and quality of a report, composed."""
-    r = _generic_report(customer)
-    counted = lambda name: r[name].groupBy("doc_id").agg(F.count("*").cast("int").alias(name))
-    kinds = r["images"].groupBy("doc_id").agg(F.count("*").cast("int").alias("images"), F.max("type").alias("image_type"))
-    out = r["documents"].select("doc_id", "document_type").join(counted("tables"), "doc_id").join(kinds, "doc_id").join(r["facility"].select("doc_id", "address"), "doc_id").join(r["validation"], "doc_id")
-    out = out.join(r["patient"].select("doc_id", F.col("name.canonical").alias("patient"), F.col("patient_id.canonical").alias("patient_id")), "doc_id").join(r["report"].select("doc_id", F.col("report_id.canonical").alias("report_id")), "doc_id")
-    return out.join(r["validation_report"].select("doc_id", F.col("results").cast("int").alias("results"), F.col("matched").cast("int").alias("matched")), "doc_id").join(r["judged"].select("doc_id", "status", "score"), "doc_id")
-
-
 @_query(
     f"SELECT {_ID}, printf('block_%03d', place) AS block_id, block_type, body FROM "
     + _rows_sql(
@@ -822,14 +808,6 @@ def generic_report_blocks(customer: DataFrame) -> DataFrame:
     return _generic_report(customer)["blocks"].select("doc_id", "block_id", "block_type", F.col("text").alias("body"))
 
 
-@_query(f"SELECT {_ID}, 'imaging_report' AS document_type, c_name AS patient, 2 AS results, 8 AS blocks, 4 AS tables, 'signature' AS image FROM customer", "customer")
-def generic_export(customer: DataFrame) -> DataFrame:
-    """Generic reports as JSON documents, read back."""
-    schema = "document_type string, patient struct<name string>, results array<struct<analyte string>>, blocks array<struct<block_id string>>, tables array<struct<table_id string>>, images array<struct<type string>>"
-    d = pipeline.export(_generic_report(customer)).select("doc_id", F.from_json("document", schema).alias("d"))
-    return d.select("doc_id", "d.document_type", F.col("d.patient.name").alias("patient"), *(F.size(f"d.{c}").alias(c) for c in ("results", "blocks", "tables")), F.col("d.images")[0]["type"].alias("image"))
-
-
 @_query(
     f"""SELECT CAST(c_custkey AS VARCHAR) AS doc_id, CASE WHEN c_custkey % 3 = 0 THEN 'parasitology_stool_report' ELSE 'biology_report' END AS document_type, c_name AS patient, CASE WHEN c_custkey % 3 = 0 THEN 8 ELSE 3 END AS results, CASE WHEN c_custkey % 3 = 0 THEN 5 ELSE -1 END AS blocks,
     CASE WHEN c_custkey % 3 = 0 THEN {_COLOUR} END AS colour FROM customer""",
