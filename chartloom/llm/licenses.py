@@ -1,7 +1,7 @@
 """License scan: TF-IDF cosine of headers and licence files to templates, then inheritance from the nearest directory.
 
-What is compared with the templates as sparse TF-IDF vectors: the lines of the whole text that use a licensing word, each alone and with its neighbours (headers are wrapped), the
-blocks of lines around them, and of licence files (told by name) the title, which is the first two blocks, and the whole text.  Comment marks do not count.  A file that
+What is compared with the templates as sparse TF-IDF vectors: the lines of the whole text that use a licensing word, each alone and, where headers are wrapped, with its neighbours,
+and of licence files (told by name) the title, which is the first two blocks of lines, and the whole text.  Comment marks do not count.  A file that
 is mostly licence statement, or a licence file, licenses its directory; a file without a statement of its own takes
 the licence of its nearest ancestor directory that has one.  All of it is DataFrame functions and joins.
 """
@@ -67,6 +67,8 @@ CUES = r"(?i)licen[sc]|permission is hereby|permission to use|redistribut|public
 LICENSE_NAMES = r"(?i)(?:^|/)(?:licen[sc]e|copying|unlicense|notice)(?:[.-][^/]*)?$"
 COMMENT_MARKS = r"""^[\s#/*;%!<>"'-]+|[\s*/<>-]+$"""
 MIN_COSINE, MIN_SHARE = 0.65, 0.3
+#: Most characters of a line that may be part of a wrapped statement; a longer line is compared alone.
+WRAPPED = 160
 
 
 def _statements(text: Column, licence_file: Column) -> Column:
@@ -74,10 +76,11 @@ def _statements(text: Column, licence_file: Column) -> Column:
 
     def around(lines: Column) -> Column:
         cues = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(CUES))
-        run = lambda i, a, b: F.concat_ws(" ", *(F.get(lines, i + k) for k in range(a, b + 1)))
-        near = F.flatten(F.transform(cues, lambda i: F.array(run(i, 0, 0), run(i, -1, 0), run(i, 0, 1), run(i, -1, 1))))
+        wrapped = lambda i: F.when(F.length(F.get(lines, i)) <= WRAPPED, F.get(lines, i))
+        run = lambda i, a, b: F.when(F.length(F.get(lines, i)) <= WRAPPED, F.concat_ws(" ", *(wrapped(i + k) for k in range(a, b + 1))))
+        near = F.array_compact(F.flatten(F.transform(cues, lambda i: F.array(F.get(lines, i), run(i, -1, 0), run(i, 0, 1), run(i, -1, 1)))))
         blocks = F.transform(F.split(F.array_join(lines, "\n"), "\n\n+"), lambda x: F.btrim(F.translate(x, "\n", " ")))
-        whole = let(blocks, lambda b: F.concat(F.filter(b, lambda x: x.rlike(CUES)), F.when(licence_file, F.array(F.concat_ws(" ", F.slice(b, 1, 2)), F.array_join(b, " "))).otherwise(F.array().cast("array<string>"))))
+        whole = F.when(licence_file, let(blocks, lambda b: F.array(F.concat_ws(" ", F.slice(b, 1, 2)), F.array_join(b, " ")))).otherwise(F.array().cast("array<string>"))
         return F.array_distinct(F.transform(F.concat(near, whole), lambda x: F.btrim(x)))
 
     return let(F.transform(F.split(text, r"\R"), lambda x: F.regexp_replace(x, COMMENT_MARKS, "")), around)

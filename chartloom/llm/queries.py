@@ -159,8 +159,8 @@ lines AS (
 near AS (SELECT doc_id, path, n_words, l, unnest(list_filter(range(1, len(l) + 1), lambda i: regexp_matches(l[i], '{licenses.CUES}'))) AS i FROM lines),
 stated AS (
   SELECT DISTINCT doc_id, path, n_words, trim(s, ' ') AS statement FROM (
-    SELECT doc_id, path, n_words, unnest([l[i], concat_ws(' ', CASE WHEN i > 1 THEN l[i - 1] END, l[i]), concat_ws(' ', l[i], l[i + 1]), concat_ws(' ', CASE WHEN i > 1 THEN l[i - 1] END, l[i], l[i + 1])]) AS s FROM near
-    UNION ALL SELECT * FROM (SELECT doc_id, path, n_words, unnest(list_transform(regexp_split_to_array(array_to_string(l, chr(10)), '\n\n+'), lambda b: replace(b, chr(10), ' '))) AS s FROM lines) WHERE regexp_matches(s, '{licenses.CUES}')
+    SELECT doc_id, path, n_words, unnest([m, CASE WHEN short THEN concat_ws(' ', b, m) END, CASE WHEN short THEN concat_ws(' ', m, a) END, CASE WHEN short THEN concat_ws(' ', b, m, a) END]) AS s
+    FROM (SELECT *, l[i] AS m, length(l[i]) <= {licenses.WRAPPED} AS short, CASE WHEN i > 1 AND length(l[i - 1]) <= {licenses.WRAPPED} THEN l[i - 1] END AS b, CASE WHEN length(l[i + 1]) <= {licenses.WRAPPED} THEN l[i + 1] END AS a FROM near)
   )
 ),
 counts AS (SELECT statement, token, count(*) AS tf FROM (SELECT statement, unnest({words('statement')}) AS token FROM (SELECT DISTINCT statement FROM stated)) GROUP BY ALL),
