@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartloom.llm import hamming, html_text, licenses, mixing, pieces, pii, quality, repeats, sharding, simhash
+from chartloom.llm import fill_in_middle, hamming, html_text, licenses, mixing, pieces, pii, quality, repeats, sharding, simhash, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,6 +93,24 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", "n_chars")
 
 
+def op11_tokens(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    """Token counts of all documents."""
+    if tokenizer_path is None:
+        import public_tokenizers
+
+        tokenizer_path = public_tokenizers.path("byte_bpe_50k.json")
+    counted = token_counts.with_token_counts(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path, limit=512)
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-middle form of all documents, with digests of what comes out and of the text rebuilt from it."""
+    made = fill_in_middle.with_fill_in_middle(_table(spark, sf_dir, "documents").select("doc_id", "text"), seed=42, cut_percent=50, spm_percent=80)
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(back).alias("restored_sha256"))
+
+
 OP2_SQL = """
 WITH pairs AS (
   SELECT q.vec_id AS query_id, r.vec_id AS vec_id,
@@ -139,6 +157,26 @@ FROM judged JOIN verdicts ON judged.source IS NOT DISTINCT FROM verdicts.source
 """
 
 
+OP13_SQL = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS tokens, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x
+  FROM documents
+), hashed AS (
+  SELECT doc_id, text, tokens, CAST(len(tokens) AS BIGINT) AS n, list_transform(range(0, 4), lambda i: CAST('0x' || substr(x, 8 * i + 1, 8) AS BIGINT)) AS h FROM cut
+), formed AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM hashed
+), parts AS (
+  SELECT *, array_to_string(tokens[1:a], '') AS prefix, array_to_string(tokens[a + 1:b], '') AS middle, array_to_string(tokens[b + 1:], '') AS suffix FROM formed
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
 def _op3_sql() -> str:
     # every document's path has directories, so a directory's files are those whose path begins with it
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
@@ -201,8 +239,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": op8_pii,
         "op9_sharding": op9_sharding,
         "op10_html": op10_html,
+        "op11_tokens": op11_tokens,
+        "op13_fim": op13_fim,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": OP2_SQL, "op3_licenses": _op3_sql(), "op7_quality": OP7_SQL}
+    return {"op2_topk": OP2_SQL, "op3_licenses": _op3_sql(), "op7_quality": OP7_SQL, "op13_fim": OP13_SQL}
