@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartloom.llm import fill_in_middle, hamming, html_text, licenses, mixing, pieces, pii, quality, repeats, sharding, simhash, token_counts
+from chartloom.llm import fill_in_middle, hamming, html_text, licenses, mixing, pieces, pii, prefix_trie, quality, repeats, sharding, simhash, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,6 +103,11 @@ def op11_tokens(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = N
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all conversations."""
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fill-in-middle form of all documents, with digests of what comes out and of the text rebuilt from it."""
     made = fill_in_middle.with_fill_in_middle(_table(spark, sf_dir, "documents").select("doc_id", "text"), seed=42, cut_percent=50, spm_percent=80)
@@ -157,6 +162,32 @@ FROM judged JOIN verdicts ON judged.source IS NOT DISTINCT FROM verdicts.source
 """
 
 
+OP12_SQL = """
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS n, {'r': coalesce(role, ''), 't': coalesce(text, '')} AS x FROM conversations WHERE conv_id IS NOT NULL
+), whole AS (
+  SELECT conv_id, list(x ORDER BY n) AS l FROM turns GROUP BY 1
+), hashed AS (
+  -- CRC-32 bit by bit over the digits of the id
+  SELECT conv_id, l, CAST(xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS UBIGINT))),
+    lambda a, c: list_reduce([xor(a, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda s, i: xor(s >> 1, CASE WHEN s % 2 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END))), 4294967295::UBIGINT) % 6 AS INTEGER) AS h
+  FROM whole
+), rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.l[1:h], []), c.l[h + 1:]) AS s FROM hashed c LEFT JOIN whole b ON b.conv_id = c.conv_id - c.conv_id % 100
+), members AS (
+  SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM rebuilt
+), nodes AS (
+  SELECT d, s[1:d] AS node, min(conv_id) AS conv_id, count(*) AS n, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(s) = d) AS ends FROM members GROUP BY 1, 2
+), marked AS (
+  SELECT a.*, CASE WHEN d = 0 THEN 0 ELSE (n - 1) * length(node[d].t) END AS saved, (SELECT count(*) FROM nodes b WHERE b.d = a.d + 1 AND b.node[1:a.d] = a.node) AS children FROM nodes a
+)
+SELECT a.conv_id, a.d AS depth, max(p.conv_id) AS parent_conv_id, any_value(a.n) AS n_convs, any_value(a.children) AS n_children, CAST(count(*) FILTER (b.children = 0) AS BIGINT) AS n_leaves, CAST(sum(b.saved) AS BIGINT) AS saved_tokens,
+       sha256(coalesce(any_value(a.ends), '')) AS ends_sha256
+FROM marked a JOIN marked b ON b.d >= a.d AND b.node[1:a.d] = a.node LEFT JOIN nodes p ON p.d = a.d - 1 AND p.node = a.node[1:a.d - 1]
+GROUP BY a.conv_id, a.d, a.node
+"""
+
+
 OP13_SQL = r"""
 WITH cut AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS tokens, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x
@@ -240,9 +271,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_sharding": op9_sharding,
         "op10_html": op10_html,
         "op11_tokens": op11_tokens,
+        "op12_trie": op12_trie,
         "op13_fim": op13_fim,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": OP2_SQL, "op3_licenses": _op3_sql(), "op7_quality": OP7_SQL, "op13_fim": OP13_SQL}
+    return {"op2_topk": OP2_SQL, "op3_licenses": _op3_sql(), "op7_quality": OP7_SQL, "op12_trie": OP12_SQL, "op13_fim": OP13_SQL}
