@@ -96,11 +96,15 @@ def fallback_union(relations: list[DataFrame], key: str) -> DataFrame:
     return everything.join(best, key).where("tier = _best").drop("_best")
 
 
-def look_up(df: DataFrame, dimension: DataFrame, on: list[tuple[str, str]], values: dict[str, object]) -> DataFrame:
-    """Left join to a dimension's first row by key, with defaults for what is missing or empty."""
+def look_up(df: DataFrame, dimension: DataFrame, on: list[tuple[str, str]], values: dict[str, object], order: list[str] | None = None) -> DataFrame:
+    """Left join to a dimension's first row by key, with defaults for what is missing or empty.
+
+    Of several rows of a key the first by ``order`` counts, whole; without an order the smallest by its values.
+    """
     right_keys = [b for _, b in on]
-    side = dimension.groupBy(*right_keys).agg(*(F.first(v).alias(v) for v in values)) if values else dimension
-    side = side.select(*(F.col(b).alias(f"_k{i}") for i, b in enumerate(right_keys)), *values)
+    row = F.struct(*values)
+    side = dimension.groupBy(*right_keys).agg((F.min_by(row, _order(*order)) if order else F.min(row)).alias("_row")) if values else dimension
+    side = side.select(*(F.col(b).alias(f"_k{i}") for i, b in enumerate(right_keys)), *(["_row.*"] if values else []))
     joined = df.join(side, [F.col(a) == F.col(f"_k{i}") for i, (a, _) in enumerate(on)], "left")
     return joined.select(*df.columns, *(F.coalesce(v, F.lit(d)).alias(v) for v, d in values.items()))
 

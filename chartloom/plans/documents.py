@@ -11,6 +11,7 @@ from chartloom.functions import text
 from chartloom.operators import relational as rel
 from chartloom.plans import header as head
 from chartloom.plans import hospital, stool
+from chartloom.sources import stages
 
 
 def relative_path(value: Column, root: str) -> Column:
@@ -44,7 +45,7 @@ def synced_checks(checks: Column, root: Column) -> Column:
 
 
 class Relations(dict):
-    """Named relations; each is planned when it is first asked for.  Those named in ``shared`` are used by several others and persisted, until ``release``."""
+    """Named relations; each is planned when it is first asked for.  Those named in ``shared`` are used by several others and staged, until ``release``."""
 
     def __init__(self, makers: dict[str, Callable[["Relations"], DataFrame]], shared: tuple[str, ...] = ()) -> None:
         super().__init__()
@@ -52,37 +53,39 @@ class Relations(dict):
 
     def __missing__(self, name: str) -> DataFrame:
         made = self._makers[name](self)
-        self[name] = made.persist() if name in self._shared else made
+        self[name] = stages.staged(made, name) if name in self._shared else made
         return self[name]
 
     def release(self) -> None:
-        for name in self._shared:
-            if name in self:
-                self[name].unpersist()
+        stages.release(*(self.pop(name) for name in self._shared if name in self))
 
 
-def extract(pages: DataFrame, jitter: bool = False) -> Relations:
+def extract(pages: DataFrame, jitter: bool = False, share: bool = False) -> Relations:
     """pages(doc_id, page_number, final_text, native_text) to documents, header, stool_results, stool_stats, consistency, hospital_results, facility.
 
     Documents are routed by type: stool reports through the section parser, other hospital reports through running text.
-    A document's rows are only ever joined to its own, so everything scales with the number of documents.
+    A document's rows are only ever joined to its own, so everything scales with the number of documents.  With ``share``, for callers that use several relations, texts are cut into
+    lines and headers are read once and staged.
     """
-    docs = head.document_lines(pages)
-    docs = docs.withColumn("document_type", head.document_type())
+
+    def lines(r: Relations) -> DataFrame:
+        return head.document_lines(pages).withColumn("document_type", head.document_type())
+
     is_stool = F.col("document_type") == "parasitology_stool_report"
 
     def stool_rows(r: Relations) -> tuple[DataFrame, DataFrame]:
-        return stool.results(docs.where(is_stool), r["header"], jitter)
+        return stool.results(r["lines"].where(is_stool), r["header"], jitter)
 
     def found(r: Relations) -> DataFrame:
         dates = r["header"].select(F.col("doc_id").cast("string").alias("doc_id"), head.observation_date(r["header"]).alias("observation_date"))
-        return hospital.results(docs.where(~is_stool & head.is_hospital_lab(F.col("first"))), dates)
+        return hospital.results(r["lines"].where(~is_stool & head.is_hospital_lab(F.col("first"))), dates)
 
     return Relations(
         {
-            "lines": lambda r: docs, "documents": lambda r: docs.select("doc_id", "document_type", F.size("pages").alias("page_count")), "header": lambda r: head.header(docs), "facility": lambda r: head.facility(docs),
+            "lines": lines, "documents": lambda r: r["lines"].select("doc_id", "document_type", F.size("pages").alias("page_count")), "header": lambda r: head.header(r["lines"]), "facility": lambda r: head.facility(r["lines"]),
             "stool_results": lambda r: stool_rows(r)[0], "stool_stats": lambda r: stool_rows(r)[1], "consistency": lambda r: stool.consistency(r["stool_results"]), "hospital_results": found,
-        }
+        },
+        shared=("lines", "header", "stool_results") if share else (),
     )
 
 

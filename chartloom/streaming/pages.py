@@ -23,8 +23,9 @@ def extract_stream(pages: DataFrame, output: str, checkpoint: str) -> StreamingQ
     """Results of each micro-batch go to ``output``/batch=n, which a retried batch replaces, so nothing is written twice."""
 
     def batch(df: DataFrame, number: int) -> None:
-        extracted = documents.extract(df.drop("at"))
+        extracted = documents.extract(df.drop("at"), share=True)
         documents.export(extracted).write.mode("overwrite").json(f"{output}/batch={number}")
+        extracted.release()
 
     return pages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from chartloom.operators import relational as rel
 from chartloom.plans import catalogue, documents, pages, qa, reports, results, segments, tables, visuals
 from chartloom.sources import readers
 
@@ -252,4 +253,17 @@ def test_stream(spark, tmp_path):
     catalogue.fixture(spark).withColumn("at", F.lit("2024-01-01T00:00:00").cast("timestamp")).write.json(str(tmp_path / "in"))
     query = stream.extract_stream(stream.read_pages(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"))
     query.awaitTermination(120)
-    assert [r.doc_id for r in spark.read.json(str(tmp_path / "out")).collect()] == ["stool"]
+    found = {r.doc_id: r.document for r in spark.read.json(str(tmp_path / "out")).collect()}
+    assert sorted(found) == ["hospital", "note", "stool"]
+    assert '"document_type":"parasitology_stool_report"' in found["stool"] and '"parameter"' in found["stool"] and '"consistency_checks"' in found["stool"]
+    assert '"document_type":"biology_report"' in found["hospital"] and '"analyte"' in found["hospital"] and '"parameter"' not in found["hospital"]
+    assert '"document_type":"imaging_report"' in found["note"] and '"results"' not in found["note"]
+
+
+def test_look_up_of_a_repeated_key(spark):
+    """A repeated key gives one whole row: the first by order, or the smallest."""
+    facts = spark.createDataFrame([(1,), (2,), (3,)], "k int")
+    side = spark.createDataFrame([(1, 2, "b", "y"), (1, 1, "c", "x"), (2, 1, None, "z")], "id int, n int, name string, place string").repartition(3)
+    look = lambda order: sorted(tuple(r) for r in rel.look_up(facts, side, [("k", "id")], {"name": "?", "place": "-"}, order).collect())
+    assert look(["n"]) == [(1, "c", "x"), (2, "?", "z"), (3, "?", "-")]
+    assert look(None) == [(1, "b", "y"), (2, "?", "z"), (3, "?", "-")]
