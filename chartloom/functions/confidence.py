@@ -22,9 +22,10 @@ def rounded(score: Column) -> Column:
     return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)), 3)
 
 
-def field_confidence(value: Column, source: Column, parsed: bool = False) -> Column:
+def field_confidence(value: Column, source: Column, parsed: bool | Column = False) -> Column:
     """struct(label, score): nothing has 0; a parsed value loses 0.03."""
-    score = F.when(value.isNull() | (value.cast("string") == ""), 0.0).otherwise(rounded(source - (0.03 if parsed else 0.0)))
+    loss = F.when(parsed, 0.03).otherwise(0.0) if isinstance(parsed, Column) else 0.03 if parsed else 0.0
+    score = F.when(value.isNull() | (value.cast("string") == ""), 0.0).otherwise(rounded(source - loss))
     return F.struct(band(score).alias("label"), score.alias("score"))
 
 

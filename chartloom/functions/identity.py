@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,16 +79,27 @@ _NORMALIZERS = {
 }
 
 
+def _judged(raw: Column, candidate: Column) -> Column:
+    def status(found: Column) -> Column:
+        canonical = F.coalesce(found, raw)
+        said = F.when(raw.isNull(), "missing").when(found.isNull(), "needs_review").when(canonical == raw, "as_extracted").otherwise("canonicalized")
+        return F.struct(raw.alias("raw"), canonical.alias("canonical"), said.alias("normalization_status"))
+
+    return let(candidate, status)
+
+
 def named_field(name: str, value: Column) -> Column:
     """struct(raw, canonical, normalization_status) by the rule of the field's name; a value that fails its rule stays as it is."""
+    return let(text.business_value(value), lambda raw: _judged(raw, _NORMALIZERS[name](raw) if name in _NORMALIZERS else raw))
 
 
-    def judged(raw: Column) -> Column:
-        def status(candidate: Column) -> Column:
-            canonical = F.coalesce(candidate, raw)
-            said = F.when(raw.isNull(), "missing").when(candidate.isNull(), "needs_review").when(canonical == raw, "as_extracted").otherwise("canonicalized")
-            return F.struct(raw.alias("raw"), canonical.alias("canonical"), said.alias("normalization_status"))
+def named_by_rule(rules: Iterable[str], rule: Column, value: Column) -> Column:
+    """As ``named_field``, for values that each carry the name of their rule, one of ``rules`` or another for none: one expression for any number of fields."""
 
-        return let(_NORMALIZERS[name](raw) if name in _NORMALIZERS else raw, status)
+    def candidate(raw: Column) -> Column:
+        out = F
+        for name in sorted(set(rules) & set(_NORMALIZERS)):
+            out = out.when(rule == name, _NORMALIZERS[name](raw))
+        return raw if out is F else out.otherwise(raw)
 
-    return let(text.business_value(value), judged)
+    return let(text.business_value(value), lambda raw: _judged(raw, candidate(raw)))

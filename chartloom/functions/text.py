@@ -83,7 +83,11 @@ _FURNITURE = "|".join(dims.BOILERPLATE)
 
 
 def is_boilerplate(value: Column) -> Column:
-    return label(value).rlike(_FURNITURE)
+    return is_furniture_label(label(value))
+
+
+def is_furniture_label(key: Column) -> Column:
+    return key.rlike(_FURNITURE)
 
 
 def strip_page_boilerplate(value: Column) -> Column:

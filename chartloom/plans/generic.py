@@ -21,7 +21,7 @@ def source_score(has_table: Column, has_box: Column, block_score: Column) -> Col
 
 
 def fields(documents: DataFrame, tables: DataFrame, blocks: DataFrame, pages: DataFrame, wanted: dict, role: str, block_type: str) -> DataFrame:
-    """doc_id and each field's raw, canonical value, status and confidence.
+    """doc_id, each field's raw, canonical value and status, the record's confidence, and ``sources`` (which candidate each field came from).
 
     tables(doc_id, table_no, table_role, fields map<string,string>, has_box), blocks(doc_id, pos, block_type, text, score),
     pages(doc_id, page_number, native_text).  A field's value comes from the first of table, block and first page that has it; identifiers and
@@ -33,13 +33,23 @@ def fields(documents: DataFrame, tables: DataFrame, blocks: DataFrame, pages: Da
     first = pages.where("page_number = 1").select("doc_id", text.find_labels(text.inline(F.col("native_text")), labels).alias("_p"))
     joined = documents.select("doc_id").join(table, "doc_id", "left").join(block, "doc_id", "left").join(first, "doc_id", "left")
     joined = joined.withColumn("_source", source_score(F.col("_t").isNotNull(), F.coalesce("has_box", F.lit(False)), F.col("_score")))
-    get = lambda m, n: F.nullif(F.try_element_at(m, F.lit(n)), F.lit(""))
-    for name, (shown, rule) in wanted.items():
-        value = F.coalesce(get("_t", shown), F.when(F.col("_t").isNull(), get("_b", shown)))
-        raw = F.coalesce(F.when(F.coalesce("has_box", F.lit(True)), get("_p", shown)), get("_t", shown), value) if rule else value
-        joined = joined.withColumn(name, identity.named_field(rule or name + "_text", raw))
-    scores = F.array(*(confidence.field_confidence(F.col(f"{n}.canonical"), F.col("_source"), n.endswith("_date") or n == "age")["score"] for n in wanted))
-    return joined.withColumn("confidence", confidence.mean_positive(scores)).drop("_t", "_b", "_p", "_score", "_source", "has_box")
+    get = lambda m, n: F.nullif(F.try_element_at(m, n), F.lit(""))
+    asked = F.array(*(F.struct(F.lit(shown).alias("shown"), F.lit(rule or "").alias("rule"), F.lit(n.endswith("_date") or n == "age").alias("parsed")) for n, (shown, rule) in wanted.items()))
+
+    def chosen(x: Column) -> Column:
+        """The candidates of a field in the order in which they count; what is chosen keeps its source."""
+        shown, ruled = x["shown"], x["rule"] != ""
+        candidate = lambda source, value, when: F.struct(F.lit(source).alias("source"), F.when(when, value).alias("value"))
+        every = F.array(candidate("page", get("_p", shown), ruled & F.coalesce("has_box", F.lit(True))), candidate("table", get("_t", shown), F.lit(True)), candidate("block", get("_b", shown), F.col("_t").isNull()))
+        return F.get(F.filter(every, lambda c: c["value"].isNotNull()), F.lit(0))
+
+    def normal(x: Column) -> Column:
+        return text.let(chosen(x), lambda c: F.struct(identity.named_by_rule([r for _, r in wanted.values() if r], x["rule"], c["value"]).alias("f"), c["source"].alias("source"), x["parsed"].alias("parsed")))
+
+    joined = joined.withColumn("_n", F.transform(asked, normal))
+    scores = F.transform("_n", lambda x: confidence.field_confidence(x["f"]["canonical"], F.col("_source"), x["parsed"])["score"])
+    sources = F.map_from_arrays(F.array(*map(F.lit, wanted)), F.transform("_n", lambda x: x["source"]))
+    return joined.select("doc_id", *(F.get("_n", F.lit(i))["f"].alias(n) for i, n in enumerate(wanted)), confidence.mean_positive(scores).alias("confidence"), sources.alias("sources"))
 
 
 def patient(documents: DataFrame, tables: DataFrame, blocks: DataFrame, pages: DataFrame) -> DataFrame:

@@ -41,18 +41,20 @@ def extract(pages: DataFrame, blocks: DataFrame, cells: DataFrame, images: DataF
     def placed(r: Relations) -> DataFrame:
         return r["blocks"].select("doc_id", "page_number", (F.col("page_number") * 1000 + F.col("place")).alias("pos"), "block_type", "text", "is_indexable", F.col("confidence_score").alias("score"))
 
-    def fields(r: Relations) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    def maps(r: Relations) -> DataFrame:
         info = r["tables"].where("table_role like '%_info_table'")
-        maps = tables.key_values(info).join(info.select("doc_id", "table_id", "table_no", "table_role"), ["doc_id", "table_id"]).withColumn("has_box", F.lit(True))
-        return r["documents"], maps, placed(r), pages
+        return tables.key_values(info).join(info.select("doc_id", "table_id", "table_no", "table_role"), ["doc_id", "table_id"]).withColumn("has_box", F.lit(True))
+
+    def fields(r: Relations) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        return r["documents"], r["maps"], placed(r), pages
 
     def semantic(r: Relations) -> DataFrame:
         bodies = r["tables"].select("doc_id", "page_number", "table_no", "table_role", tables.as_text(F.col("columns"), F.col("records")).alias("body"))
         return segments.finished(segments.generic_blocks(blocks, bodies, r["images"]))
 
     def raw(r: Relations) -> DataFrame:
-        said = results.from_lines(lines.select("doc_id", F.col("page_number").alias("block_no"), "page_number", "lines"))
-        return results.with_fallback([results.from_tables(r["tables"]), said]).drop("tier")
+        said = lines.select("doc_id", F.col("page_number").alias("block_no"), "page_number", "lines")
+        return results.from_tables_or_lines(r["tables"], said).drop("tier")
 
     def checked(r: Relations) -> DataFrame:
         none = F.lit(None).cast("string")
@@ -73,11 +75,11 @@ def extract(pages: DataFrame, blocks: DataFrame, cells: DataFrame, images: DataF
 
     return Relations(
         {
-            "documents": typed, "tables": lambda r: _all_tables(cells, lines), "images": lambda r: _classified(images, blocks), "blocks": semantic, "patient": lambda r: generic.patient(*fields(r)), "report": lambda r: generic.report(*fields(r)), "facility": lambda r: generic.facility(blocks),
+            "documents": typed, "tables": lambda r: _all_tables(cells, lines), "maps": maps, "images": lambda r: _classified(images, blocks), "blocks": semantic, "patient": lambda r: generic.patient(*fields(r)), "report": lambda r: generic.report(*fields(r)), "facility": lambda r: generic.facility(blocks),
             "validation": lambda r: generic.reconciled_validator(segments.validation_fields(blocks, r["images"]), r["report"]), "raw_results": raw, "results": lambda r: results.canonical(r["raw_results"])[0], "stats": lambda r: results.canonical(r["raw_results"])[1],
             "validation_report": lambda r: results.validation_report(r["results"], r["raw_results"]), "issues": checked, "judged": lambda r: qa.evaluate(r["documents"], r["issues"]),
         },
-        shared=("documents", "tables", "images", "blocks", "patient", "report", "raw_results", "results", "stats", "validation_report"),
+        shared=("documents", "tables", "maps", "images", "blocks", "patient", "report", "facility", "validation", "raw_results", "results", "stats", "validation_report", "issues", "judged"),
     )
 
 

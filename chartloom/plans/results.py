@@ -15,8 +15,9 @@ INFERRED = "decimal inferred from reference range and expected numeric format"
 QUALITATIVE = ("qualitative", "pathogen_identification", "microscopy_finding")
 
 
-def _raw(base: DataFrame, from_ocr: Column, kind: Column) -> DataFrame:
-    """Adds the fields of raw results to doc_id, ordinal, page_number, table_id, row_index, analyte, value, unit_text, reference_text, date_text."""
+def _raw(base: DataFrame) -> DataFrame:
+    """Adds the fields of raw results to doc_id, ordinal, page_number, table_id, row_index, analyte, value, unit_text, reference_text, date_text, from_ocr, kind."""
+    from_ocr, kind, more = F.col("from_ocr"), F.col("kind"), [c for c in ("tier",) if c in base.columns]
     reference = parse.reference_range(F.col("reference_text"))
     base = base.withColumn("reference_range", reference).withColumn("_ocr", from_ocr)
     base = base.withColumn("_fix", parse.repair_numeric(F.col("value"), F.col("reference_range.low"), F.col("reference_range.high")))
@@ -28,33 +29,46 @@ def _raw(base: DataFrame, from_ocr: Column, kind: Column) -> DataFrame:
         F.when(fixed, F.col("_fix.value_raw")).otherwise(text.inline(F.col("value"))).alias("value_raw"), F.when(fixed, F.col("_fix.value_numeric")).otherwise(parse.parse_float(F.col("value"))).alias("value_numeric"),
         F.col("_u.raw").alias("unit_raw"), parse.normalize_unit(F.col("_u.canonical")).alias("unit"), F.col("_u.normalization_status").alias("unit_normalization_status"), "reference_range",
         F.col("_d.raw").alias("observation_date_raw"), F.col("_d.canonical").alias("observation_date"), F.col("_d.normalization_status").alias("observation_date_normalization_status"), applied.alias("ocr_correction_applied"),
-        F.when(F.col("corrected"), F.col("ocr_value")).when(fixed, text.inline(F.col("value"))).alias("raw_ocr_value"), F.when(applied, F.coalesce("reason", F.lit(INFERRED))).alias("normalization_reason"), F.lit("numeric").alias("result_kind"),
+        F.when(F.col("corrected"), F.col("ocr_value")).when(fixed, text.inline(F.col("value"))).alias("raw_ocr_value"), F.when(applied, F.coalesce("reason", F.lit(INFERRED))).alias("normalization_reason"), F.lit("numeric").alias("result_kind"), *more,
     )
 
 
-def from_tables(tables: DataFrame) -> DataFrame:
+def _table_rows(tables: DataFrame) -> DataFrame:
     """tables(doc_id, table_no, table_id, page_number, table_role, from_ocr, records array<map<string,string>>): raw results of the results tables."""
     rows = tables.where("table_role = 'results_table'").select("doc_id", "table_no", "table_id", "page_number", "from_ocr", F.posexplode("records").alias("i", "record"))
     cell = lambda k: F.coalesce(F.try_element_at("record", F.lit(COLUMNS[k])), F.lit(""))
-    base = rows.select(
+    return rows.select(
         "doc_id", F.struct("table_no", "i").alias("ordinal"), "page_number", "table_id", (F.col("i") + 1).alias("row_index"), cell("analyte").alias("analyte"), cell("value").alias("value"), cell("unit").alias("unit_text"), cell("reference").alias("reference_text"),
         cell("date").alias("date_text"), (F.lower(cell("corrected")) == "true").alias("corrected"), F.nullif(cell("ocr_value"), F.lit("")).alias("ocr_value"), F.nullif(cell("reason"), F.lit("")).alias("reason"), "from_ocr",
+        F.when(F.col("from_ocr"), "ocr_results_table").otherwise("results_table").alias("kind"),
     )
-    return _raw(base, F.col("from_ocr"), F.when(F.col("from_ocr"), "ocr_results_table").otherwise("results_table"))
 
 
-def from_lines(blocks: DataFrame) -> DataFrame:
+def _line_rows(blocks: DataFrame) -> DataFrame:
     """blocks(doc_id, block_no, page_number, lines array<string>): raw results of the lines that read as results.
 
     Lines are taken as they are, before a block's text is put on one line.
     """
     rows = blocks.select("doc_id", "block_no", "page_number", F.posexplode("lines").alias("i", "line")).withColumn("p", parse.parse_result_line(F.col("line"))).where("p.analyte is not null")
     none = F.lit(None).cast("string")
-    base = rows.select(
+    return rows.select(
         "doc_id", F.struct(F.col("block_no").alias("table_no"), "i").alias("ordinal"), "page_number", none.alias("table_id"), (F.col("i") + 1).alias("row_index"), "p.analyte", F.col("p.value_raw").alias("value"), F.col("p.unit").alias("unit_text"),
         F.col("p.reference").alias("reference_text"), F.col("p.observation_date").alias("date_text"), F.lit(False).alias("corrected"), none.alias("ocr_value"), none.alias("reason"),
+        F.lit(True).alias("from_ocr"), F.lit("ocr_derived_text").alias("kind"),
     )
-    return _raw(base, F.lit(True), F.lit("ocr_derived_text"))
+
+
+def from_tables(tables: DataFrame) -> DataFrame:
+    return _raw(_table_rows(tables))
+
+
+def from_lines(blocks: DataFrame) -> DataFrame:
+    return _raw(_line_rows(blocks))
+
+
+def from_tables_or_lines(tables: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Raw results of a document's tables, of its lines where it has none (``tier`` 1 or 2); what follows the choice is planned once."""
+    return _raw(with_fallback([_table_rows(tables), _line_rows(blocks)]))
 
 
 def dedup_key() -> Column:

@@ -161,30 +161,75 @@ def column_blocks(blocks: DataFrame, bands: DataFrame, page_width: float) -> Dat
     return parts[0].unionByName(parts[1])
 
 
+#: Bands of text by their title: place, kind, section, whether it is indexed, titles, stops.
+BANDS = [
+    (40, "results_table_block", "Resultats", True, RESULT_TITLES, RESULT_STOPS), (50, "summary_block", "Synthese", True, SUMMARY_TITLES, VALIDATION_TITLES), (70, "validation_block", "Validation", False, VALIDATION_TITLES, ["document_synthetique"]),
+]
+
+
+def _assets(df: DataFrame, name: str, *columns: str | Column) -> DataFrame:
+    return df.groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+
+
+def with_assets(blocks: DataFrame, tables: DataFrame, images: DataFrame) -> DataFrame:
+    """doc_id, page_number and arrays of a page's text (with labels), known tables and clinical images; each input is read once, a page's rows meet once."""
+    keyed = blocks.select("doc_id", "page_number", "pos", "text", F.col("bbox.y0").alias("y0"), "source", text.label(F.col("text")).alias("key"))
+    marked = keyed.withColumn("furniture", text.is_furniture_label(F.col("key")))
+    said = _assets(marked, "said", "pos", "text", "y0", "source", "key", "furniture")
+    known = _assets(tables.where("table_role <> 'unknown'"), "known", "table_no", "table_role", "body")
+    seen = _assets(images.where("role in ('clinical_visual', 'analytics')"), "seen", "image_id", "context_text")
+    return said.join(known, ["doc_id", "page_number"], "full").join(seen, ["doc_id", "page_number"], "full")
+
+
 def generic_blocks(blocks: DataFrame, tables: DataFrame, images: DataFrame, page_width: float = 595.0, page_height: float = 842.0) -> DataFrame:
     """Blocks of other reports: header, facility, tables, results, summary, image context, validation, footer.
 
     blocks(doc_id, page_number, pos, text, bbox, source), tables(doc_id, page_number, table_no, table_role, body),
     images(doc_id, page_number, image_id, role, context_text).  No interpretation block is made: its title is never set.
+    A page's assets are gathered once, and all its blocks are expressions over them.
     """
-    column = lambda df, place, kind, title, shown, indexable, table, image: df.select("doc_id", "page_number", F.lit("native").alias("source") if "source" not in df.columns else F.col("source"), place.alias("place"), kind.alias("block_type"), title.alias("section_title"), shown.alias("text"), indexable.alias("is_indexable"), F.lit(table).alias("has_table"), F.lit(image).alias("has_image"), F.lit(1).alias("sources"))
-    first = blocks.where("page_number = 1")
-    top = rel.keep_first(first.where(~text.is_boilerplate(F.col("text"))), ["doc_id"], ["pos"])
-    phones = rel.keep_first(first.where(F.col("text").rlike(r"Tel[. ]")), ["doc_id"], ["pos"])
-    lowest = blocks.where(text.is_boilerplate(F.col("text"))).groupBy("doc_id", "page_number").agg(F.max_by("text", "bbox.y0").alias("text"), F.max_by("source", "bbox.y0").alias("source"))
-    role = F.when(F.col("table_role") == "results_table", "results_table_block").when(F.col("table_role") == "patient_info_table", "patient_info_block").otherwise("report_info_block")
-    known = tables.where("table_role <> 'unknown'")
-    clinical = images.where("role in ('clinical_visual', 'analytics')")
-    return (
-        column(top, F.lit(0), F.lit("document_header"), F.lit("Header"), F.col("text"), F.lit(False), False, False)
-        .unionByName(column(phones, F.lit(1), F.lit("facility_block"), F.lit("Facility"), F.col("text"), F.lit(False), False, False))
-        .unionByName(column(known, F.lit(10) + F.col("table_no"), role, F.col("table_role"), F.col("body"), F.col("table_role") == "results_table", True, False))
-        .unionByName(_band_text(blocks, anchors(blocks, RESULT_TITLES, RESULT_STOPS, page_height).join(known.where("table_role = 'results_table'"), ["doc_id", "page_number"], "left_anti"), "results_table_block", "Resultats", True, 40))
-        .unionByName(_band_text(blocks, anchors(blocks, SUMMARY_TITLES, VALIDATION_TITLES, page_height), "summary_block", "Synthese", True, 50))
-        .unionByName(column(clinical, F.lit(60), F.lit("image_context_block"), F.lit("Image"), F.col("context_text"), F.lit(True), False, True))
-        .unionByName(_band_text(blocks, anchors(blocks, VALIDATION_TITLES, ["document_synthetique"], page_height), "validation_block", "Validation", False, 70))
-        .unionByName(column(lowest, F.lit(90), F.lit("footer_block"), F.lit("Footer"), F.col("text"), F.lit(False), False, False))
+    said = F.coalesce("said", F.array().cast("array<struct<pos:int,text:string,y0:double,source:string,key:string,furniture:boolean>>"))
+    first = lambda rows: F.get(rows, F.lit(0))
+    is_first = F.col("page_number") == 1
+
+    def block(place: Column, kind: Column, title: Column, shown: Column, indexable: Column, source: Column, table: bool = False, image: bool = False, sources: Column | None = None) -> Column:
+        return F.struct(
+            source.alias("source"), place.cast("int").alias("place"), kind.alias("block_type"), title.alias("section_title"), shown.alias("text"), indexable.alias("is_indexable"), F.lit(table).alias("has_table"), F.lit(image).alias("has_image"),
+            (F.lit(1) if sources is None else sources).cast("int").alias("sources"),
+        )
+
+    def single(place: int, kind: str, title: str, row: Column) -> Column:
+        return block(F.lit(place), F.lit(kind), F.lit(title), row["text"], F.lit(False), row["source"])
+
+    def of_table(t: Column) -> Column:
+        kind = F.when(t["table_role"] == "results_table", "results_table_block").when(t["table_role"] == "patient_info_table", "patient_info_block").otherwise("report_info_block")
+        return block(t["table_no"] + 10, kind, t["table_role"], t["body"], t["table_role"] == "results_table", F.lit("native"), table=True)
+
+    def band(spec: Column) -> Column:
+        """From the first text with a title to the nearest stop below it, or 95 % of the page."""
+        start = first(F.filter("said", lambda b: F.rlike(b["key"], spec["titles"])))["y0"]
+        stop = lambda y: F.coalesce(F.array_min(F.transform(F.filter("said", lambda b: F.rlike(b["key"], spec["stops"]) & (b["y0"] > y)), lambda b: b["y0"])), F.lit(page_height * 0.95))
+        inside = lambda y, end: F.filter("said", lambda b: (b["y0"] >= y) & (b["y0"] < end) & ~b["furniture"])
+
+        def joined(rows: Column) -> Column:
+            shown = F.array_join(text.dedupe_fragments(F.transform(rows, lambda b: b["text"])), "\n")
+            return F.when(F.size(rows) > 0, block(spec["place"], spec["kind"], spec["title"], shown, spec["indexable"], first(rows)["source"], sources=F.size(rows)))
+
+        return text.let(start, lambda y: text.let(stop(y), lambda end: text.let(inside(y, end), joined)))
+
+    tabled = F.exists("known", lambda t: t["table_role"] == "results_table")
+    specs = F.array(*(F.struct(F.lit(place).alias("place"), F.lit(kind).alias("kind"), F.lit(title).alias("title"), F.lit(shown).alias("indexable"), F.lit("|".join(titles)).alias("titles"), F.lit("|".join(stops)).alias("stops")) for place, kind, title, shown, titles, stops in BANDS))
+    bands = F.transform(F.filter(specs, lambda x: (x["kind"] != "results_table_block") | ~F.coalesce(tabled, F.lit(False))), band)
+    head_text = F.filter("said", lambda b: is_first & ~b["furniture"])
+    phones = F.filter("said", lambda b: is_first & b["text"].rlike(r"Tel[. ]"))
+    low = F.reduce(F.filter("said", lambda b: b["furniture"]), F.get("said", F.lit(-1)), lambda a, b: F.when(a.isNull() | (b["y0"] > a["y0"]), b).otherwise(a))
+    ones = F.array(
+        *(F.when(row.isNotNull(), single(place, kind, title, row)) for place, kind, title, row in ((0, "document_header", "Header", first(head_text)), (1, "facility_block", "Facility", first(phones)), (90, "footer_block", "Footer", low)))
     )
+    of_tables = F.transform(F.coalesce("known", F.array().cast("array<struct<table_no:int,table_role:string,body:string>>")), of_table)
+    of_images = F.transform(F.coalesce("seen", F.array().cast("array<struct<image_id:string,context_text:string>>")), lambda i: block(F.lit(60), F.lit("image_context_block"), F.lit("Image"), i["context_text"], F.lit(True), F.lit("native"), image=True))
+    paged = with_assets(blocks, tables, images).withColumn("said", said)
+    return paged.select("doc_id", "page_number", F.explode(F.array_compact(F.concat(ones, of_tables, bands, of_images))).alias("b")).select("doc_id", "page_number", "b.*")
 
 
 def validation_fields(blocks: DataFrame, images: DataFrame, page_width: float = 595.0, reach: float = 80.0) -> DataFrame:

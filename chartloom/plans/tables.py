@@ -105,9 +105,8 @@ def deduplicated_rows(rows: DataFrame) -> DataFrame:
 def key_values(tables: DataFrame) -> DataFrame:
     """doc_id, table_id, fields: a field/value table as a map, known fields normalised; of repeated fields the last counts."""
     pairs = tables.select("doc_id", "table_id", F.posexplode("records").alias("i", "r")).select("doc_id", "table_id", "i", shown_name(F.try_element_at("r", F.lit("Field"))).alias("field"), F.try_element_at("r", F.lit("Value")).alias("value"))
-    value = F.col("value")
-    for field, rule in NORMALIZED.items():
-        value = F.when(F.col("field") == field, identity.named_field(rule, F.col("value"))["canonical"]).otherwise(value)
+    rule = parse.look_up(NORMALIZED, F.col("field"))
+    value = F.when(rule.isNotNull(), identity.named_by_rule(NORMALIZED.values(), rule, F.col("value"))["canonical"]).otherwise(F.col("value"))
     return rel.pairs_to_map(pairs.withColumn("value", value).where("field is not null"), ["doc_id", "table_id"], "field", "value", "i")
 
 

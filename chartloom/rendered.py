@@ -775,9 +775,15 @@ def label_value_pairs(customer: DataFrame) -> DataFrame:
 # -- the whole pipeline of generic reports -----------------------------------------------------------------------------
 
 
-def _generic_report(customer: DataFrame) -> Relations:
+def _generic_report(customer: DataFrame, varied: bool = False) -> Relations:
+    """One report per customer; ``varied``: some without a patient's table, some without tables of results, of which half have a result in their text."""
     doc = _k().cast("string").alias("doc_id")
     shown = F.concat(F.lit("Rapport d'imagerie de "), "c_name")
+    cells = raw_tables(customer).withColumn("page_number", F.lit(1))
+    if varied:
+        k = F.col("doc_id").cast("bigint")
+        cells = cells.where(~((k % 6 == 5) & (F.col("table_id") == "t1")) & ~((k % 4 == 1) & F.col("table_id").isin("t3", "t4")))
+        shown = F.when(_k() % 8 == 1, F.concat(shown, F.lit("\nSodium level "), (_k() % 20 + 130).cast("string"), F.lit(" mmol/L 135 - 145 12/03/2023"))).otherwise(shown)
     pages_ = customer.select(doc, F.lit(1).alias("page_number"), shown.alias("final_text"), shown.alias("native_text"))
     said = [
         (F.concat(F.lit("Hopital "), "c_mktsegment", F.lit(" - Tel. 05 36 "), _k().cast("string")), 40, 20), (F.lit("Résultats"), 40, 200), (F.lit("Synthèse clinique"), 40, 400), (F.concat(F.lit("Etat stable de "), "c_name"), 40, 420), (F.lit("Validation médicale"), 40, 600),
@@ -788,7 +794,7 @@ def _generic_report(customer: DataFrame) -> Relations:
     blocks = customer.select(doc, F.lit(1).alias("page_number"), every).select("doc_id", "page_number", "pos", "b.text", "b.bbox", F.lit("native").alias("source"))
     pictures = F.explode(F.array(*(F.struct(F.lit(n).alias("image_id"), F.lit(i).alias("xref"), b.alias("bbox")) for i, (n, b) in enumerate([("sign", box(60, 655, 80, 40)), ("scan", box(0, 0, 595, 842))])))).alias("i")
     images = customer.select(doc, F.lit(1).alias("page_number"), pictures).select("doc_id", "page_number", "i.*", F.lit(595.0).alias("width"), F.lit(842.0).alias("height"))
-    return pipeline.extract(pages_, blocks, raw_tables(customer).withColumn("page_number", F.lit(1)), images)
+    return pipeline.extract(pages_, blocks, cells, images)
 
 
 @_query(
@@ -808,6 +814,32 @@ def generic_report_blocks(customer: DataFrame) -> DataFrame:
     return _generic_report(customer)["blocks"].select("doc_id", "block_id", "block_type", F.col("text").alias("body"))
 
 
+@_query(
+    f"""WITH r AS (SELECT *, c_custkey % 6 = 5 AS nameless, c_custkey % 4 = 1 AS tableless, c_custkey % 8 = 5 AS resultless FROM customer)
+    SELECT {_ID}, 'imaging_report' AS document_type, 1 AS page_count, CASE WHEN NOT nameless THEN c_name END AS patient, CASE WHEN NOT nameless THEN {_UUID_SQL} END AS patient_id, CASE WHEN NOT nameless THEN {_pick_sql('c_custkey', 'F', 'M', '?')} END AS sex,
+    'RAP' || c_custkey AS report_id, '2023-03-01' AS report_date, 'Hopital ' || c_mktsegment AS address, 'Dr. Z' AS validated_by, CASE WHEN NOT tableless THEN 'Glucose [Mass/volume] in Blood=' || {_SUGAR} || ';Potassium [Moles/volume] in Serum or Plasma=' || {_POTASSIUM} WHEN NOT resultless THEN 'Sodium level=' || (c_custkey % 20 + 130) ELSE '' END AS results,
+    'document_header,facility_block,' || CASE WHEN nameless THEN '' ELSE 'patient_info_block,' END || 'report_info_block,results_table_block,summary_block,validation_block,footer_block' AS blocks,
+    CASE WHEN nameless THEN '' ELSE 't1,' END || 't2,' || CASE WHEN tableless THEN '' ELSE 't3,' END || 't5' AS tables, 'sign/signature' AS images, CASE WHEN NOT resultless THEN 0 END AS missing_from_raw,
+    CASE WHEN nameless OR resultless THEN 'FAIL' ELSE 'PASS' END AS status, CAST(100 - 20 * CAST(nameless AS INTEGER) - 20 * CAST(resultless AS INTEGER) AS INTEGER) AS score,
+    concat_ws(',', CASE WHEN nameless THEN 'missing_patient_id' END, CASE WHEN resultless THEN 'missing_results' END) AS codes FROM r""",
+    "customer",
+)
+def generic_documents(customer: DataFrame) -> DataFrame:
+    """The whole pipeline of generic reports: extraction, quality rules and export as one JSON document each, read back."""
+    r = _generic_report(customer, varied=True)
+    schema = (
+        "document_type string, page_count int, patient struct<name string, patient_id string, sex string>, report struct<report_id string, report_date string>, facility struct<address string>, validation struct<validated_by string>, results array<struct<analyte string, value_raw string>>, "
+        "blocks array<struct<block_type string>>, tables array<struct<table_id string>>, images array<struct<image_id string, type string>>, validation_report struct<missing_from_raw int>, judged struct<status string, score int>"
+    )
+    d = pipeline.export(r).select("doc_id", F.from_json("document", schema).alias("d")).join(r["judged"].select("doc_id", F.array_join("issues.code", ",").alias("codes")), "doc_id")
+    said = lambda c, f: F.coalesce(F.array_join(F.transform(c, f), ","), F.lit("")).alias(c.split(".")[-1])
+    found = F.coalesce(F.array_join(F.transform("d.results", lambda x: F.concat(x["analyte"], F.lit("="), x["value_raw"])), ";"), F.lit(""))
+    return d.select(
+        "doc_id", "d.document_type", "d.page_count", F.col("d.patient.name").alias("patient"), "d.patient.patient_id", "d.patient.sex", "d.report.report_id", "d.report.report_date", "d.facility.address", "d.validation.validated_by", found.alias("results"), said("d.blocks", lambda b: b["block_type"]),
+        said("d.tables", lambda t: t["table_id"]), said("d.images", lambda i: F.concat_ws("/", i["image_id"], i["type"])), "d.validation_report.missing_from_raw", "d.judged.status", "d.judged.score", "codes",
+    )
+
+
 @_query(
     f"""SELECT CAST(c_custkey AS VARCHAR) AS doc_id, CASE WHEN c_custkey % 3 = 0 THEN 'parasitology_stool_report' ELSE 'biology_report' END AS document_type, c_name AS patient, CASE WHEN c_custkey % 3 = 0 THEN 8 ELSE 3 END AS results, CASE WHEN c_custkey % 3 = 0 THEN 5 ELSE -1 END AS blocks,
     CASE WHEN c_custkey % 3 = 0 THEN {_COLOUR} END AS colour FROM customer""",
