@@ -40,12 +40,12 @@ STOOL_SECTIONS = {
 }
 STOOL_MARKERS = ["laboratoire_de_parasitologie_mycologie", "examen_parasitologique_des_selles", "examen_macroscopique", "examen_microscopique", "resultat_final"]
 
-# Parasites, the words that name them, and the genus that a species makes redundant.
+# Parasites, the patterns that name them, and the genus that a species makes redundant.
 PARASITES = {
-    "ankylostoma duodenale": r"\bankylostom[ae]\s+duodenale\b",
-    "ankylostoma": r"\bankylostom[ae]\b",
-    "trichuris trichiura": r"\btrichuris\s+trichiura\b",
-    "trichuris": r"\btrichuris\b",
+    "ankylostoma duodenale": [r"\bankylostoma\s+duodenale\b", r"\bankylostome\s+duodenale\b"],
+    "ankylostoma": [r"\bankylostoma\b", r"\bankylostome\b"],
+    "trichuris trichiura": [r"\btrichuris\s+trichiura\b"],
+    "trichuris": [r"\btrichuris\b"],
 }
 GENUS_OF = {"ankylostoma duodenale": "ankylostoma", "trichuris trichiura": "trichuris"}
 

@@ -114,6 +114,31 @@ def band_join(anchors: DataFrame, items: DataFrame, keys: list[str], start: str,
     return anchors.join(items, keys).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end)))
 
 
+def near_join(left: DataFrame, right: DataFrame, keys: list[str], at: Column, other: Column, reach: float) -> DataFrame:
+    """Pairs of rows of the same keys whose positions ``at`` (of left) and ``other`` (of right) differ by ``reach`` at most.
+
+    Positions are cut into bins of that width; a left row goes to its own and both neighbouring bins, so rows meet on an equality and far ones never do.
+    """
+    cell = lambda c: F.floor(c / reach)
+    a = left.withColumn("_at", at).withColumn("_cell", F.explode(F.sequence(cell(F.col("_at")) - 1, cell(F.col("_at")) + 1)))
+    b = right.withColumn("_other", other).withColumn("_cell", cell(F.col("_other")))
+    return a.join(b, [*keys, "_cell"]).where(F.abs(F.col("_at") - F.col("_other")) <= reach).drop("_at", "_other", "_cell")
+
+
+def two_key_match(df: DataFrame, facts: DataFrame, keys: list[str], alternatives: list[list[Column]], on: list[str], value: str, order: str) -> DataFrame:
+    """Left join to facts that are known under several forms of one key; adds ``value`` and ``matched``.
+
+    ``alternatives`` are the forms of the key ``on``, in the order in which a row of ``facts`` writes them; of all that write one key the last by ``order``, and of one row's forms the later, counts.
+    """
+    forms = F.array(*(F.struct(F.lit(i).alias("form"), *(c.alias(n) for c, n in zip(form, on))) for i, form in enumerate(alternatives)))
+    written = facts.select(*keys, F.col(value).alias("_value"), F.col(order).alias("_order"), F.explode(forms).alias("_f")).select(*keys, "_value", F.struct("_order", "_f.form", "_value").alias("_order"), *(F.col(f"_f.{n}").alias(f"_k{i}") for i, n in enumerate(on)))
+    known = written.groupBy(*keys, *(f"_k{i}" for i in range(len(on)))).agg(F.max_by(F.struct("_value"), "_order").alias("_hit"))
+    known = known.select(*(F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)), *(f"_k{i}" for i in range(len(on))), "_hit")
+    same = [F.col(k) == F.col(f"_g{i}") for i, k in enumerate(keys)] + [F.col(n).eqNullSafe(F.col(f"_k{i}")) for i, n in enumerate(on)]
+    joined = df.join(known, same, "left")
+    return joined.select(*df.columns, F.col("_hit._value").alias(value + "_found"), F.col("_hit").isNotNull().alias("matched"))
+
+
 def unpivot_pairs(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """``keys, field, value``: one row per column, values as strings."""
     pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in columns)))

@@ -73,18 +73,6 @@ def fixture(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "doc_id string, page_number int, final_text string, native_text string")
 
 
-def stool_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.extract(fixture(spark))["stool_results"]
-
-
-def stool_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.export(documents.extract(fixture(spark)))
-
-
-def hospital_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.extract(fixture(spark))["hospital_results"].select("doc_id", "ordinal", "analyte", "value_raw", "value_numeric", "unit", "reference_range.low", "reference_range.high", "result_kind", "observation_date")
-
-
 def stool_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = documents.head.document_lines(fixture(spark)).where("doc_id = 'stool'").select("doc_id", F.explode("pages").alias("p")).select("doc_id", "p.page_number", "p.lines", F.lit("native").alias("text_source"))
     return segments.finished(segments.stool_blocks(lines))
@@ -103,4 +91,4 @@ def confidence_jitter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (stool_pipeline, stool_document, hospital_machine, stool_blocks, ocr_row_assembly, confidence_jitter)}
+    return {f.__name__: f for f in (confidence_jitter,)}

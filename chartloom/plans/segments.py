@@ -232,6 +232,47 @@ def generic_blocks(blocks: DataFrame, tables: DataFrame, images: DataFrame, page
     return paged.select("doc_id", "page_number", F.explode(F.array_compact(F.concat(ones, of_tables, bands, of_images))).alias("b")).select("doc_id", "page_number", "b.*")
 
 
+def companion_titles(titles: DataFrame, blocks: DataFrame) -> DataFrame:
+    """titles(doc_id, page_number, pos, bbox, max_font_size) with ``companion_pos``: the leftmost bold text beside it, to its right, at its height and no smaller.
+
+    blocks(doc_id, page_number, pos, bbox, max_font_size, is_bold).  Heights differ by 20 at most, so titles and texts meet by bands of the page.
+    """
+    side = blocks.where("is_bold").select("doc_id", "page_number", F.col("pos").alias("_pos"), F.col("bbox").alias("_b"), F.col("max_font_size").alias("_size"))
+    pairs = rel.near_join(titles, side, ["doc_id", "page_number"], F.col("bbox.y0"), F.col("_b.y0"), 20.0)
+    pairs = pairs.where((F.col("_pos") != F.col("pos")) & (F.col("_size") >= F.col("max_font_size") - 0.5) & (F.col("_b.x0") > F.col("bbox.x0") + 40))
+    best = pairs.groupBy("doc_id", "page_number", "pos").agg(F.min_by("_pos", F.struct("_b.x0", "_pos")).alias("companion_pos"))
+    return titles.join(best, ["doc_id", "page_number", "pos"], "left")
+
+
+def titles_above(images: DataFrame, blocks: DataFrame) -> DataFrame:
+    """images(doc_id, page_number, image_id, bbox) with ``title_pos``: the lowest bold text that ends from 25 above to 5 below the image's top, over it or within 20 beside it."""
+    side = blocks.where("is_bold").select("doc_id", "page_number", F.col("pos").alias("_pos"), F.col("bbox").alias("_b"))
+    pairs = rel.near_join(images, side, ["doc_id", "page_number"], F.col("bbox.y0") - 10, F.col("_b.y1"), 15.0)
+    pairs = pairs.where((F.col("_b.x1") >= F.col("bbox.x0") - 20) & (F.col("_b.x0") <= F.col("bbox.x1") + 20))
+    best = pairs.groupBy("doc_id", "page_number", "image_id").agg(F.max_by("_pos", F.struct("_b.y1", -F.col("_pos"))).alias("title_pos"))
+    return images.join(best, ["doc_id", "page_number", "image_id"], "left")
+
+
+def next_boundaries(starts: DataFrame, blocks: DataFrame, tables: DataFrame, stops: DataFrame, page_height: float = 842.0) -> DataFrame:
+    """starts(doc_id, page_number, pos, y0, max_font_size, companion_pos) with ``end_y`` and ``end_kind``: what ends the section that starts there.
+
+    That is the nearest below of bold texts no smaller than the start's (its companion title not counted), tables(doc_id, page_number, y0), stops(doc_id, page_number, y0), and 95 % of the page.
+    A page's candidates are gathered once, in order of height, and each start looks for its first; no pair of them becomes a row.
+    """
+    none = F.lit(None)
+    as_candidate = lambda df, kind, y, size, pos: df.select("doc_id", "page_number", F.struct(y.cast("double").alias("y"), F.lit(kind).alias("kind"), size.cast("double").alias("size"), pos.cast("bigint").alias("pos")).alias("c"))
+    every = (
+        as_candidate(blocks.where("is_bold"), 0, F.col("bbox.y0"), F.col("max_font_size"), F.col("pos")).unionByName(as_candidate(tables, 1, F.col("y0"), none, none)).unionByName(as_candidate(stops, 2, F.col("y0"), none, none))
+    )
+    gathered = every.groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list("c")).alias("_c"))
+    fits = lambda c: (c["y"] > F.col("y0")) & ((c["kind"] > 0) | ((c["size"] >= F.col("max_font_size")) & ~c["pos"].eqNullSafe(F.col("companion_pos"))))
+    first = F.get(F.filter("_c", fits), F.lit(0))
+    found = starts.join(gathered, ["doc_id", "page_number"], "left").withColumn("_first", first)
+    near = F.col("_first.y") <= page_height * 0.95
+    kinds = F.array(F.lit("title"), F.lit("table"), F.lit("stop"))
+    return found.select(*starts.columns, F.when(near, F.col("_first.y")).otherwise(page_height * 0.95).alias("end_y"), F.when(near, F.get(kinds, F.col("_first.kind"))).otherwise("page").alias("end_kind"))
+
+
 def validation_fields(blocks: DataFrame, images: DataFrame, page_width: float = 595.0, reach: float = 80.0) -> DataFrame:
     """doc_id, validated_by, specialty, has_signature, has_stamp: the first two lines under the validation title on the left, and the images' roles."""
     title = anchors(blocks, VALIDATION_TITLES[:1], ["document_synthetique"], 842.0).withColumn("end_y", F.least("end_y", F.col("start_y") + reach))

@@ -108,7 +108,7 @@ def results(docs: DataFrame, headers: DataFrame, jitter: bool = False) -> tuple[
 def entities(value: Column) -> Column:
     """Sorted parasite names in a text; a genus gives way to its species."""
     plain = F.replace(text.label(F.coalesce(value, F.lit(""))), F.lit("_"), F.lit(" "))
-    named = F.array_compact(F.array(*(F.when(plain.rlike(p), F.lit(n)) for n, p in dims.PARASITES.items())))
+    named = F.array_compact(F.array(*(F.when(plain.rlike("|".join(p)), F.lit(n)) for n, p in dims.PARASITES.items())))
     redundant = F.array_compact(F.array(*(F.when(F.array_contains(named, s), F.lit(g)) for s, g in dims.GENUS_OF.items())))
     return F.array_sort(F.array_except(named, redundant))
 
@@ -144,3 +144,13 @@ def logical_table(found: DataFrame, preview: int = 5) -> DataFrame:
     record = F.struct("row_index", F.struct(F.col("section_name").alias("section"), F.col("analyte").alias("parameter"), F.col("value_raw").alias("result"), "result_kind").alias("r"))
     rows = found.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(record)), lambda x: x["r"]).alias("records"))
     return rows.select("doc_id", F.lit("logical_results_p001_01").alias("table_id"), F.lit("parasitology_results").alias("table_role"), F.array(*map(F.lit, columns)).alias("columns"), F.size("records").alias("row_count"), F.lit(len(columns)).alias("column_count"), "records", F.slice("records", 1, preview).alias("preview"))
+
+
+def projected_records(records: DataFrame, found: DataFrame) -> DataFrame:
+    """records(doc_id, section, parameter, result, result_kind) of logical tables with the kind of the result that they show.
+
+    A record names its section by code or by title; of the results (doc_id, row_index, section, section_name, parameter, result, result_kind) that fit one key the last counts, and its kind replaces the record's own.
+    """
+    parts = [F.col("parameter"), F.col("result")]
+    matched = rel.two_key_match(records, found, ["doc_id"], [[F.col("section"), *parts], [F.col("section_name"), *parts]], ["section", "parameter", "result"], "result_kind", "row_index")
+    return matched.withColumn("result_kind", F.when(F.col("matched"), F.col("result_kind_found")).otherwise(F.col("result_kind"))).drop("result_kind_found")

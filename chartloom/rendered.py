@@ -530,6 +530,72 @@ def image_rasters(lines: DataFrame) -> DataFrame:
     return visuals.without_rasters(images).select("doc_id", "xref", "page_coverage")
 
 
+def _titled(lines: DataFrame) -> DataFrame:
+    """Order lines as texts with a font; titles are the bold ones."""
+    size, bold = (F.col("l_partkey") % 5 + 8).cast("double").alias("max_font_size"), (F.col("l_partkey") % 4 == 0).alias("is_bold")
+    x, y = (F.col("l_quantity") * 10), (F.col("l_partkey") % 90).cast("double")
+    box = geometry.box(x, y, x + 100, y + 12).alias("bbox")
+    return lines.select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page_number"), (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("pos"), box, size, bold, F.col("l_suppkey").alias("k"))
+
+
+_TITLED_SQL = "(SELECT l_orderkey AS doc_id, l_linenumber * 1000000 + l_partkey AS pos, l_quantity * 10 AS x0, CAST(l_partkey % 90 AS DOUBLE) AS y0, l_quantity * 10 + 100 AS x1, CAST(l_partkey % 90 + 12 AS DOUBLE) AS y1, l_partkey % 5 + 8 AS size, l_partkey % 4 = 0 AS bold, l_suppkey AS k FROM lineitem)"
+
+
+@_query(
+    f"""WITH b AS {_TITLED_SQL} SELECT t.doc_id, t.pos, (SELECT arg_min(c.pos, (c.x0, c.pos)) FROM b c WHERE c.doc_id = t.doc_id AND c.pos <> t.pos AND c.bold AND c.size >= t.size - 0.5 AND abs(c.y0 - t.y0) <= 20 AND c.x0 > t.x0 + 40) AS companion_pos FROM b t WHERE t.bold""",
+    "lineitem",
+)
+def companion_titles(lines: DataFrame) -> DataFrame:
+    """The title beside each title of a page."""
+    boxed = _titled(lines)
+    return segments.companion_titles(boxed.where("is_bold"), boxed).select("doc_id", "pos", "companion_pos")
+
+
+@_query(
+    f"""WITH b AS {_TITLED_SQL} SELECT i.doc_id, i.pos AS image_id, (SELECT arg_max(t.pos, (t.y1, -t.pos)) FROM b t WHERE t.doc_id = i.doc_id AND t.bold AND t.y1 <= i.y0 + 5 AND i.y0 - t.y1 <= 25 AND t.x1 >= i.x0 - 20 AND t.x0 <= i.x1 + 20) AS title_pos FROM b i WHERE i.k % 3 = 0""",
+    "lineitem",
+)
+def titles_above_images(lines: DataFrame) -> DataFrame:
+    """The title right above each image."""
+    boxed = _titled(lines)
+    return segments.titles_above(boxed.where("k % 3 = 0").select("doc_id", "page_number", F.col("pos").alias("image_id"), "bbox"), boxed).select("doc_id", "image_id", "title_pos")
+
+
+@_query(
+    f"""WITH b AS {_TITLED_SQL}, s AS (SELECT *, (SELECT arg_min(c.pos, (c.x0, c.pos)) FROM b c WHERE c.doc_id = t.doc_id AND c.pos <> t.pos AND c.bold AND c.size >= t.size - 0.5 AND abs(c.y0 - t.y0) <= 20 AND c.x0 > t.x0 + 40) AS companion FROM b t WHERE t.bold),
+    c AS (SELECT s.doc_id, s.pos, b.y0 AS y, 0 AS kind FROM s JOIN b ON s.doc_id = b.doc_id AND b.bold AND b.y0 > s.y0 AND b.size >= s.size AND b.pos IS DISTINCT FROM s.companion UNION ALL SELECT s.doc_id, s.pos, b.y0, 1 FROM s JOIN b ON s.doc_id = b.doc_id AND b.k % 5 = 0 AND b.y0 > s.y0
+      UNION ALL SELECT s.doc_id, s.pos, b.y0, 2 FROM s JOIN b ON s.doc_id = b.doc_id AND b.k % 7 = 0 AND b.y0 > s.y0),
+    n AS (SELECT doc_id, pos, min(y) AS y, arg_min(kind, (y, kind)) AS kind FROM c GROUP BY 1, 2)
+    SELECT s.doc_id, s.pos, CASE WHEN y <= 80 * 0.95::DOUBLE THEN y ELSE 80 * 0.95::DOUBLE END AS end_y, CASE WHEN y <= 80 * 0.95::DOUBLE THEN (['title', 'table', 'stop'])[kind + 1] ELSE 'page' END AS end_kind FROM s LEFT JOIN n USING (doc_id, pos)""",
+    "lineitem",
+)
+def next_boundaries(lines: DataFrame) -> DataFrame:
+    """Where the section of each title ends: at a title, a table, a stop or the page's end."""
+    boxed = _titled(lines)
+    starts = segments.companion_titles(boxed.where("is_bold"), boxed).select("doc_id", "page_number", "pos", F.col("bbox.y0").alias("y0"), "max_font_size", "companion_pos")
+    at = lambda when: boxed.where(when).select("doc_id", "page_number", F.col("bbox.y0").alias("y0"))
+    return segments.next_boundaries(starts, boxed, at("k % 5 = 0"), at("k % 7 = 0"), 80.0).select("doc_id", "pos", "end_y", "end_kind")
+
+
+@_query(
+    """WITH f AS (SELECT l_orderkey AS doc_id, l_linenumber * 10000000 + l_partkey AS n, l_returnflag AS section, l_linestatus AS title, 'p' || l_partkey % 2 AS parameter, 'v' || l_suppkey % 2 AS result, CASE WHEN l_partkey % 9 > 0 THEN 'kind ' || l_linenumber END AS kind FROM lineitem),
+    k AS (SELECT doc_id, key, parameter, result, arg_max({'kind': kind}, (n, form)).kind AS kind FROM (SELECT doc_id, n, parameter, result, kind, unnest([section, title]) AS key, unnest([0, 1]) AS form FROM f) GROUP BY ALL),
+    r AS (SELECT o_orderkey AS doc_id, unnest(['A', 'N', 'R', 'O', 'F', 'X']) AS section, 'p' || o_custkey % 2 AS parameter, 'v' || o_orderkey % 2 AS result FROM orders)
+    SELECT r.doc_id, r.section, r.parameter, r.result, k.doc_id IS NOT NULL AS matched, CASE WHEN k.doc_id IS NOT NULL THEN kind ELSE 'own' END AS result_kind FROM r LEFT JOIN k ON r.doc_id = k.doc_id AND r.section = k.key AND r.parameter = k.parameter AND r.result = k.result""",
+    "orders",
+    "lineitem",
+)
+def logical_record_kinds(orders: DataFrame, lines: DataFrame) -> DataFrame:
+    """Records of logical tables, which name sections by code or title, with the kinds of their results; some fit by code, some by title, some by both, some by none."""
+    found = lines.select(
+        F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber").cast("long") * 10_000_000 + F.col("l_partkey")).alias("row_index"), F.col("l_returnflag").alias("section"), F.col("l_linestatus").alias("section_name"), F.concat(F.lit("p"), (F.col("l_partkey") % 2).cast("string")).alias("parameter"),
+        F.concat(F.lit("v"), (F.col("l_suppkey") % 2).cast("string")).alias("result"), F.when(F.col("l_partkey") % 9 > 0, F.concat(F.lit("kind "), F.col("l_linenumber").cast("string"))).alias("result_kind"),
+    )
+    sections = F.explode(F.array(*map(F.lit, "ANROFX"))).alias("section")
+    records = orders.select(_o().alias("doc_id"), sections, F.concat(F.lit("p"), (F.col("o_custkey") % 2).cast("string")).alias("parameter"), F.concat(F.lit("v"), (_o() % 2).cast("string")).alias("result"), F.lit("own").alias("result_kind"))
+    return stool.projected_records(records, found).select("doc_id", "section", "parameter", "result", "matched", "result_kind")
+
+
 _NEAR = ("Cachet du service", "Validation médicale", "Échographie abdominale", "Vue analytique", "nothing", "nothing", "nothing", "nothing", "nothing")
 _KINDS = [("stamp_or_seal", "validation", False), ("signature", "validation", False), ("medical_illustration", "clinical_visual", True), ("clinical_chart", "analytics", True), ("logo_or_branding", "branding", False), ("clinical_chart", "analytics", True), ("signature", "validation", False), ("stamp_or_seal", "validation", False), ("unknown", "unknown", False)]
 _PLACES = [(1, 0, 0, 10, 10)] * 4 + [(1, 0, 10, 40, 30), (2, 0, 50, 40, 70), (3, 10, 50, 30, 60), (3, 60, 50, 70, 60), (1, 0, 50, 10, 60)]
