@@ -18,6 +18,7 @@ DOCUMENT_FIELDS = {
     "sample_label": (r"^NATURE\s+DE\s+PR[ÉE]L[ÈE]VEMENT\s*:?", True), "validated_by": (r"Valid[ée]\(e\)\s*par\s*:?", False), "printed_by": (r"^Imprim[ée]\s+par\s*:?", False), "edited_by": (r"^Edit[ée]\(e\)\s+par\s*:?", False),
 }
 # How the hospital's reports name the institution.
+STOOL_EXAM = "EXAMEN PARASITOLOGIQUE DES SELLES"
 COUNTRY, MINISTRY, ORGANIZATION, DEPARTMENT, WEBSITE = "Maroc", "Ministère de la santé et de la protection sociale", "Centre Hospitalo-Universitaire Mohammed VI - Oujda", "Laboratoire Central", "www.chuoujda.ma"
 
 
@@ -89,7 +90,8 @@ def header(docs: DataFrame) -> DataFrame:
     base = base.withColumn("age_source", F.when(F.col("computed_age").isNotNull(), "computed_from_birth_date").when(F.col("reported_age").isNotNull(), "reported"))
     base = base.withColumn("patient_field", identity.named_field("patient_id", F.col("patient_id"))).withColumn("encounter_type", identity.encounter_type(F.col("origin")))
     actor = F.when(F.col("validated_by").isNotNull(), "explicit_validator_present").when(F.col("edited_by").isNotNull() | F.col("printed_by").isNotNull(), "edition_only").otherwise("missing")
-    return base.withColumn("validation_actor_status", actor).drop("_d", "lines")
+    exam = F.when(text.label(F.array_join("lines", "\n")).contains("examen_parasitologique_des_selles"), STOOL_EXAM)
+    return base.withColumn("exam_name", exam).withColumn("validation_actor_status", actor).drop("_d", "lines")
 
 
 def facility(docs: DataFrame) -> DataFrame:

@@ -108,28 +108,81 @@ def export(r: Relations) -> DataFrame:
     return out.select("doc_id", documents.compact_json("document_type", "page_count", "patient", "report", "facility", "validation", "results", "blocks", "tables", "images", "validation_report", "judged").alias("document"))
 
 
-def block_fields(found: DataFrame) -> DataFrame:
-    """doc_id, block_type, fields: what a stool report's section blocks hold as named values, from its results."""
-    kind = F.concat("section", F.lit("_block"))
-    entry = F.struct(F.col("row_index").alias("o"), F.struct(F.col("analyte").alias("key"), F.col("value_raw").alias("value")).alias("e"))
-    return found.groupBy("doc_id", kind.alias("block_type")).agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["e"])).alias("fields"))
+#: Fields of a stool report's blocks that come from its header and facility: name of the field and the column that holds it.
+FACILITY_FIELDS = ["country", "ministry", "organization", "department", "laboratory", "website", "phone", "fax"]
+PATIENT_FIELDS = {
+    "patient_id": "patient_id", "patient_name": "patient", "birth_date": "birth_iso", "reported_age": "reported_age", "computed_age_at_request_date": "computed_age", "age_consistency_status": "age_status", "sex": "sex", "origin": "origin", "service": "service", "prescriber": "prescriber",
+    "request_date": "request_iso", "received_date": "received_iso", "sample_id": "sample_id", "sample_type": "specimen", "sample_label": "sample_label",
+}
+METADATA_FIELDS = {
+    "exam_name": "exam_name", "sample_id": "sample_id", "request_date": "request_iso", "received_date": "received_iso", "origin": "origin", "service": "service", "prescriber": "prescriber", "sample_type": "specimen", "sample_label": "sample_label", "print_date": "print_iso", "printed_by": "printed_by",
+    "edited_date": "edited_iso", "edited_by": "edited_by",
+}
+SAMPLE_FIELDS = {"exam_name": "exam_name", "sample_id": "sample_id", "sample_type": "specimen"}
+EDITION_FIELDS = {"edited_by": "edited_by", "edited_date": "edited_iso", "printed_by": "printed_by", "print_date": "print_iso"}
+_SOURCE = "native_text_section_parser"
+
+
+def block_fields(extracted: Relations) -> DataFrame:
+    """doc_id, block_type, structured_fields (a JSON object): what each of the ten blocks of a stool report holds as named values; names without a value are left out.
+
+    One row per document carries header, facility and results (its own only), and its ten objects are expressions over that row.
+    """
+    view = stool.result_view(extracted["stool_results"])
+    rows = _listed(view, ["row_index"], [c for c in view.columns if c != "doc_id"], "_results")
+    head_row = extracted["header"].withColumn("patient_id", F.col("patient_field.canonical"))
+    place = extracted["facility"].select("doc_id", F.struct(*FACILITY_FIELDS).alias("_facility"))
+    docs = extracted["documents"].where("document_type = 'parasitology_stool_report'").select("doc_id").join(head_row, "doc_id", "left").join(place, "doc_id", "left").join(rows, "doc_id", "left")
+    source = F.lit(_SOURCE).alias("source")
+    named = lambda fields: documents.compact_json(*(F.col(c).alias(n) for n, c in fields.items()), source)
+    of = lambda section: F.filter("_results", lambda r: r["section"] == section)
+    listed = lambda section: documents.compact_json(F.coalesce(of(section), F.expr("slice(_results, 1, 0)")).alias("results"), F.coalesce(F.size(of(section)), F.lit(0)).alias("result_count"), source)
+    single = lambda section: documents.compact_json(F.get(of(section), F.lit(0)).alias("result"), source)
+    last = F.get(of("final_result"), F.lit(0))
+    objects = {
+        "facility_block": documents.compact_json(*(F.col(f"_facility.{c}").alias(c) for c in FACILITY_FIELDS), source),
+        "patient_info_block": named(PATIENT_FIELDS),
+        "report_metadata_block": named(METADATA_FIELDS),
+        "sample_block": documents.compact_json(*(F.col(c).alias(n) for n, c in SAMPLE_FIELDS.items()), F.coalesce(F.nullif("sample_label", F.lit("")), F.lit("SELLES N°1")).alias("sample_label"), source),
+        "macroscopic_exam_block": listed("macroscopic_exam"),
+        "microscopic_exam_block": listed("microscopic_exam"),
+        "enrichment_exam_block": single("enrichment_exam"),
+        "staining_exam_block": single("staining_exam"),
+        "final_result_block": documents.compact_json(F.lit("RÉSULTAT FINAL").alias("parameter"), last["result"].alias("result"), last["result_kind"].alias("result_kind"), last["clinical_significance"].alias("clinical_significance"), source),
+        "edition_block": named(EDITION_FIELDS),
+    }
+    return docs.select("doc_id", F.explode(F.map_from_arrays(F.array(*map(F.lit, objects)), F.array(*objects.values()))).alias("block_type", "structured_fields"))
+
+
+def projected_blocks(extracted: Relations) -> DataFrame:
+    """The blocks of stool reports with their structured fields; a block that has some shows its plain text as normalised and as index text."""
+    pages = extracted["lines"].where("document_type = 'parasitology_stool_report'").select("doc_id", F.explode("pages").alias("p")).select("doc_id", "p.page_number", "p.lines", F.lit("native").alias("text_source"))
+    found = segments.finished(segments.stool_blocks(pages)).join(block_fields(extracted), ["doc_id", "block_type"], "left")
+    has = F.col("structured_fields").isNotNull()
+    return found.withColumn("normalized_text", F.when(has, F.col("text"))).withColumn("index_text", F.when(has, F.col("text")).otherwise(F.col("index_text")))
 
 
 def export_all(extracted: Relations) -> DataFrame:
-    """doc_id, document: one JSON string per document of ``documents.extract``, stool and hospital reports and all others, each in the view of its type."""
+    """doc_id, document: one JSON string per document of ``documents.extract``, stool and hospital reports and all others, each in the view of its type.
+
+    A stool report's blocks stand in the document and again in its pages, both with their fields.
+    """
     view = stool.result_view(extracted["stool_results"])
     stool_rows = _listed(view, ["row_index"], [c for c in view.columns if c != "doc_id"], "stool_results")
     numbers = _listed(extracted["hospital_results"], ["ordinal"], ["analyte", "value_raw", "value_numeric", "unit", "reference_range", "result_kind", "observation_date", "page_number"], "results")
-    fields = _listed(block_fields(extracted["stool_results"]), ["block_type"], ["block_type", "fields"], "blocks")
+    shown = ["block_id", "block_type", "section_title", "text", "normalized_text", "index_text", "page_number", "is_indexable", "confidence", "confidence_score", F.parse_json("structured_fields").alias("structured_fields")]
+    blocks = _listed(projected_blocks(extracted), ["block_id"], shown, "blocks")
     patient = F.struct(F.col("patient").alias("name"), F.col("patient_field.canonical").alias("patient_id"), F.col("birth_iso").alias("birth_date"), "age", "age_status", "sex")
-    report = F.struct("sample_id", "sample_label", F.col("request_iso").alias("request_date"), F.col("received_iso").alias("received_date"), F.col("edited_iso").alias("edited_date"), "edited_by", "prescriber", "encounter_type", "validation_actor_status")
+    report = F.struct("exam_name", "sample_id", "sample_label", F.col("request_iso").alias("request_date"), F.col("received_iso").alias("received_date"), F.col("edited_iso").alias("edited_date"), "edited_by", "prescriber", "encounter_type", "validation_actor_status")
     headed = extracted["header"].select("doc_id", patient.alias("patient"), report.alias("report"))
     checks = extracted["consistency"].select("doc_id", F.struct("status", "detected", "message").alias("consistency_checks"))
     place = extracted["facility"].select("doc_id", F.struct("country", "organization", "department", "laboratory", "phone").alias("facility"))
+    numbered = extracted["lines"].select("doc_id", F.transform("pages", lambda p: p["page_number"]).alias("_numbers"))
     out = extracted["documents"]
-    for side in (headed, place, stool_rows, numbers, fields, checks):
+    for side in (headed, place, stool_rows, numbers, blocks, checks, numbered):
         out = out.join(side, "doc_id", "left")
+    pages = F.transform("_numbers", lambda n: F.struct(n.alias("page_number"), F.filter("blocks", lambda b: b["page_number"] == n).alias("blocks")))
     stool_part = F.col("document_type") == "parasitology_stool_report"
     parts = lambda *columns: documents.compact_json("document_type", "page_count", "patient", "report", "facility", *columns)
-    document = F.when(stool_part, parts(F.col("stool_results").alias("results"), "blocks", "consistency_checks")).otherwise(parts("results"))
+    document = F.when(stool_part, parts(F.col("stool_results").alias("results"), "blocks", pages.alias("pages"), "consistency_checks")).otherwise(parts("results"))
     return out.select("doc_id", "document_type", document.alias("document"))

@@ -907,17 +907,59 @@ def generic_documents(customer: DataFrame) -> DataFrame:
 
 
 @_query(
-    f"""SELECT CAST(c_custkey AS VARCHAR) AS doc_id, CASE WHEN c_custkey % 3 = 0 THEN 'parasitology_stool_report' ELSE 'biology_report' END AS document_type, c_name AS patient, CASE WHEN c_custkey % 3 = 0 THEN 8 ELSE 3 END AS results, CASE WHEN c_custkey % 3 = 0 THEN 5 ELSE -1 END AS blocks,
-    CASE WHEN c_custkey % 3 = 0 THEN {_COLOUR} END AS colour FROM customer""",
+    f"""SELECT CAST(c_custkey AS VARCHAR) AS doc_id, CASE WHEN c_custkey % 3 = 0 THEN 'parasitology_stool_report' ELSE 'biology_report' END AS document_type, c_name AS patient, CASE WHEN c_custkey % 3 = 0 THEN 8 ELSE 3 END AS results, CASE WHEN c_custkey % 3 = 0 THEN 10 ELSE -1 END AS blocks,
+    CASE WHEN c_custkey % 3 = 0 THEN 10 ELSE -1 END AS page_blocks, CASE WHEN c_custkey % 3 = 0 THEN {_COLOUR} END AS colour FROM customer""",
     "customer",
 )
 def export_by_type(customer: DataFrame) -> DataFrame:
-    """Documents of several types in one extraction, each exported in its own view."""
+    """Documents of several types in one extraction, each exported in its own view; blocks on document and page with their fields."""
     pages_ = stool_pages(customer.where("c_custkey % 3 = 0")).union(hospital_pages(customer.where("c_custkey % 3 > 0")))
-    schema = "document_type string, patient struct<name string>, results array<struct<row_index int>>, blocks array<struct<block_type string, fields map<string,string>>>"
-    d = documents.export(documents.extract(pages_)).select("doc_id", F.from_json("document", schema).alias("d"))
-    colour = F.get(F.filter("d.blocks", lambda b: b["block_type"] == "macroscopic_exam_block"), F.lit(0))["fields"]
-    return d.select("doc_id", "d.document_type", F.col("d.patient.name").alias("patient"), F.size("d.results").alias("results"), F.coalesce(F.size("d.blocks"), F.lit(-1)).alias("blocks"), F.try_element_at(colour, F.lit("Couleur")).alias("colour"))
+    block = "array<struct<block_type string, structured_fields struct<results array<struct<result string>>>>>"
+    schema = f"document_type string, patient struct<name string>, results array<struct<row_index int>>, blocks {block}, pages array<struct<blocks {block}>>"
+    d = documents.export(documents.extract(pages_, share=True)).select("doc_id", F.from_json("document", schema).alias("d"))
+    inner = F.get("d.pages", F.lit(0))["blocks"]
+    colour = F.get(F.filter(inner, lambda b: b["block_type"] == "macroscopic_exam_block"), F.lit(0))["structured_fields"]["results"][0]["result"]
+    count = lambda c: F.coalesce(F.size(c), F.lit(-1))
+    return d.select("doc_id", "d.document_type", F.col("d.patient.name").alias("patient"), F.size("d.results").alias("results"), count("d.blocks").alias("blocks"), count(inner).alias("page_blocks"), colour.alias("colour"))
+
+
+_HEAD_JSON = "'\"request_date\":\"2024-06-03T10:15:00\",\"received_date\":\"2024-06-03T11:00:00\"'"
+_SAMPLE = "'\"sample_id\":\"' || (c_custkey + 240000) || '\"'"
+
+
+def _result_json(row: int, section: str, title: str, name: str, value: str, kind: str, meaning: str, abnormal: str) -> str:
+    """The first names of a result's object, up to its meaning."""
+    return f"""'{{"row_index":{row},"parameter":"{name}","result":"' || {value} || '","section":"{section}","section_name":"{title}","result_kind":"' || {kind} || '","clinical_significance":"' || {meaning} || '","abnormal":' || {abnormal}"""
+
+
+_STAIN_KIND = "CASE WHEN c_custkey % 3 = 1 THEN 'qualitative' ELSE 'microscopy_finding' END"
+_STAIN_MEANING = "CASE WHEN c_custkey % 3 = 1 THEN 'not_significant_or_expected' ELSE 'parasite_elements_detected' END"
+
+
+@_query(
+    f"SELECT {_ID}, block_type, fields FROM "
+    + _rows_sql(
+        "block_type, fields",
+        [
+            """'facility_block', '{"country":"Maroc","organization":"Centre Hospitalo-Universitaire Mohammed VI - Oujda","department":"Laboratoire Central","laboratory":"Laboratoire de Parasitologie Mycologie","source":"native_text_section_parser"}'""",
+            f"""'patient_info_block', '{{"patient_id":"' || c_custkey || '","patient_name":"' || c_name || '","birth_date":"' || (1940 + c_custkey % 60) || '-02-01","reported_age":40,"computed_age_at_request_date":' || (84 - c_custkey % 60) || ',"age_consistency_status":"' || CASE WHEN abs(44 - c_custkey % 60) <= 1 THEN 'consistent' ELSE 'inconsistent_with_birth_date' END || '","sex":"F","origin":"Externe","prescriber":"Dr. X",' || {_HEAD_JSON} || ',' || {_SAMPLE} || ',"sample_type":"SELLES","sample_label":"SELLES N°1","source":"native_text_section_parser"}}'""",
+            f"""'report_metadata_block', '{{"exam_name":"EXAMEN PARASITOLOGIQUE DES SELLES",' || {_SAMPLE} || ',' || {_HEAD_JSON} || ',"origin":"Externe","prescriber":"Dr. X","sample_type":"SELLES","sample_label":"SELLES N°1","edited_date":"2024-06-04T12:04:25","edited_by":"A B","source":"native_text_section_parser"}}'""",
+            f"""'sample_block', '{{"exam_name":"EXAMEN PARASITOLOGIQUE DES SELLES",' || {_SAMPLE} || ',"sample_type":"SELLES","sample_label":"SELLES N°1","source":"native_text_section_parser"}}'""",
+            f"""'macroscopic_exam_block', '{{"results":[' || {_result_json(1, "macroscopic_exam", "EXAMEN MACROSCOPIQUE", "Couleur", _COLOUR, "'qualitative'", "'not_significant_or_expected'", "'false'")}""",
+            f"""'microscopic_exam_block', '{{"results":[' || {_result_json(4, "microscopic_exam", "EXAMEN MICROSCOPIQUE", "Leucocytes", _WHITE, "'microscopy_finding'", "CASE WHEN c_custkey % 2 = 0 THEN 'inflammatory_finding' ELSE 'normal_or_absent_finding' END", "CAST(c_custkey % 2 = 0 AS VARCHAR)")}""",
+            f"""'enrichment_exam_block', '{{"result":' || {_result_json(6, "enrichment_exam", "EXAMEN APRÈS ENRICHISSEMENT", "EXAMEN APRÈS ENRICHISSEMENT", "'Négatif'", "'qualitative'", "'not_significant_or_expected'", "'false'")}""",
+            f"""'staining_exam_block', '{{"result":' || {_result_json(7, "staining_exam", "EXAMEN APRÈS COLORATION", "EXAMEN APRÈS COLORATION", _STAIN, _STAIN_KIND, _STAIN_MEANING, "CAST(c_custkey % 3 <> 1 AS VARCHAR)")}""",
+            f"""'final_result_block', '{{"parameter":"RÉSULTAT FINAL","result":"' || {_FINAL} || '","result_kind":"pathogen_identification","clinical_significance":"pathogen_detected","source":"native_text_section_parser"}}'""",
+            """'edition_block', '{"edited_by":"A B","edited_date":"2024-06-04T12:04:25","source":"native_text_section_parser"}'""",
+        ],
+    ),
+    "customer",
+)
+def stool_block_fields(customer: DataFrame) -> DataFrame:
+    """Named values of the ten blocks of each stool report; objects of results up to the first one's meaning."""
+    found = pipeline.block_fields(documents.extract(stool_pages(customer), share=True))
+    cut = F.when(F.col("block_type").isin("macroscopic_exam_block", "microscopic_exam_block", "enrichment_exam_block", "staining_exam_block"), F.regexp_extract("structured_fields", '^.*?"abnormal":(?:true|false)', 0)).otherwise(F.col("structured_fields"))
+    return found.select("doc_id", "block_type", cut.alias("fields"))
 
 
 # -- sources and sinks ----------------------------------------------------------------------------------------------------
