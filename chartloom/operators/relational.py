@@ -178,3 +178,25 @@ def set_agreement(final: Column, earlier: Column) -> Column:
         .when(F.arrays_overlap(final, earlier), "partial_overlap")
         .otherwise("discordant_findings")
     )
+
+
+def diff_tables(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:
+    """Where two tables differ, cell by cell: ``keys, field, reason, expected, actual``.
+
+    Rows are matched by ``keys`` (null equals null) in a full outer join.  Reasons: ``missing_row`` and ``extra_row`` (field null), ``missing_column`` (a field that actual lacks), ``missing_value``,
+    ``extra_value``, ``different_value``.  Values are compared as JSON where they are nested, as strings otherwise.
+    """
+    shown = lambda df, c: F.to_json(F.struct(F.col(c).alias("v"))) if dict(df.dtypes)[c].startswith(("struct", "array", "map")) else F.col(c).cast("string")
+    fields = [c for c in expected.columns if c not in keys]
+    a = expected.select(*(F.col(k).alias(f"_a{i}") for i, k in enumerate(keys)), F.array(*(shown(expected, c) for c in fields)).cast("array<string>").alias("_want"))
+    b = actual.select(*(F.col(k).alias(f"_b{i}") for i, k in enumerate(keys)), F.array(*(shown(actual, c) if c in actual.columns else F.lit(None) for c in fields)).cast("array<string>").alias("_have"))
+    joined = a.join(b, [F.col(f"_a{i}").eqNullSafe(F.col(f"_b{i}")) for i in range(len(keys))], "full")
+    cell = lambda field, reason, want, have: F.struct(field.cast("string").alias("field"), F.lit(reason).alias("reason") if isinstance(reason, str) else reason.alias("reason"), want.alias("expected"), have.alias("actual"))
+    none = F.lit(None).cast("string")
+    cells = []
+    for i, c in enumerate(fields):
+        want, have = F.get("_want", F.lit(i)), F.get("_have", F.lit(i))
+        reason = F.lit("missing_column") if c not in actual.columns else F.when(have.isNull(), "missing_value").when(want.isNull(), "extra_value").otherwise("different_value")
+        cells.append(F.when(~want.eqNullSafe(have), cell(F.lit(c), reason, want, have)))
+    found = F.when(F.col("_have").isNull(), F.array(cell(none, "missing_row", none, none))).when(F.col("_want").isNull(), F.array(cell(none, "extra_row", none, none))).otherwise(F.array_compact(F.array(*cells)) if cells else F.array().cast("array<struct<field:string,reason:string,expected:string,actual:string>>"))
+    return joined.select(*(F.coalesce(f"_a{i}", f"_b{i}").alias(k) for i, k in enumerate(keys)), F.explode(found).alias("_d")).select(*keys, "_d.*")

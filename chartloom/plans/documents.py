@@ -12,6 +12,7 @@ from chartloom.operators import relational as rel
 from chartloom.plans import header as head
 from chartloom.plans import hospital, stool
 from chartloom.sources import stages
+from chartloom.sources.store import DocumentStore
 
 
 def relative_path(value: Column, root: str) -> Column:
@@ -44,6 +45,27 @@ def synced_checks(checks: Column, root: Column) -> Column:
     return F.coalesce(checks, root)
 
 
+def with_consistency_checks(stored: DataFrame) -> DataFrame:
+    """stored(doc_id, document JSON) with the parasite check of each document's own results as its ``consistency_checks``; nothing else in a document changes.
+
+    Results are those of the stool view (section, parameter, result); a document without any is left as it is.
+    """
+    shape = "struct<results array<struct<section string, parameter string, result string>>>"
+    rows = stored.select("doc_id", F.explode(F.from_json("document", shape.removeprefix("struct<").removesuffix(">"))["results"]).alias("r"))
+    found = rows.where("r.section is not null").select("doc_id", "r.section", F.col("r.parameter").alias("analyte"), F.col("r.result").alias("value_raw"))
+    checks = stool.consistency(found).select("doc_id", F.to_json(F.struct("status", "detected", "message")).alias("_checks"))
+    joined = stored.join(checks, "doc_id", "left")
+    parts = F.from_json("document", "map<string,variant>")
+    rest = F.map_filter(parts, lambda k, _: k != "consistency_checks")
+    merged = F.map_concat(rest, F.create_map(F.lit("consistency_checks"), F.parse_json("_checks")))
+    return joined.withColumn("document", F.when(F.col("_checks").isNotNull(), F.to_json(merged)).otherwise(F.col("document"))).select(*stored.columns)
+
+
+def inject_checks(store: DocumentStore, level: str = "documents") -> None:
+    """Puts the checks into all stored documents; a run that fails leaves the store as it was."""
+    store.update(level, with_consistency_checks)
+
+
 class Relations(dict):
     """Named relations; each is planned when it is first asked for.  Those named in ``shared`` are used by several others and staged, until ``release``."""
 

@@ -151,6 +151,36 @@ def document_issues(documents: DataFrame, results: DataFrame, blocks: DataFrame,
     return issues([on_documents, on_sections, on_results, on_pages])
 
 
+#: What can be asked of a value in a document.
+FACTS = ("equals", "absent", "present", "contains", "lacks", "size")
+
+
+def unmet_facts(documents: DataFrame, expected: list[tuple[str, str, object]]) -> DataFrame:
+    """``doc_id, path, rule, expected, actual, reason`` of what documents(doc_id, document JSON) do not fulfil.
+
+    ``expected``: (JSON path, rule, value); rules: equals, absent, present, contains and lacks (a part of a text), size (of an array).  Reasons: ``absent``, ``unexpected``, ``different``, ``not_contained``,
+    ``contained``, ``wrong_size``, ``invalid_document``.  A document is parsed once and every fact is an expression over it, so facts join nothing.
+    """
+    held = F.try_parse_json("document")
+    checks = []
+    for path, rule, value in expected:
+        if rule not in FACTS:
+            raise ValueError(f"{rule}: not one of {FACTS}")
+        want = F.lit(None if value is None else str(value)).cast("string")
+        found = F.try_variant_get("_v", path, "string")
+        found = F.coalesce(found, F.to_json(F.try_variant_get("_v", path, "variant")))
+        if rule == "size":
+            found = F.size(F.try_variant_get("_v", path, "array<variant>")).cast("string")
+        there = found.isNotNull()
+        reason = {
+            "equals": F.when(~there, "absent").when(found != want, "different"), "absent": F.when(there, "unexpected"), "present": F.when(~there, "absent"), "contains": F.when(~there, "absent").when(~F.contains(found, want), "not_contained"),
+            "lacks": F.when(F.contains(found, want), "contained"), "size": F.when(~there, "absent").when(found != want, "wrong_size"),
+        }[rule]
+        reason = F.when(F.col("_v").isNull(), "invalid_document").otherwise(reason)
+        checks.append(F.when(reason.isNotNull(), F.struct(F.lit(path).alias("path"), F.lit(rule).alias("rule"), want.alias("expected"), found.alias("actual"), reason.alias("reason"))))
+    return documents.select("doc_id", held.alias("_v")).select("doc_id", F.explode(F.array_compact(F.array(*checks))).alias("_f")).select("doc_id", "_f.*")
+
+
 def failed_documents(failures: DataFrame) -> DataFrame:
     """Issues of documents whose extraction broke off (doc_id, error); their score is 0 whatever else is known of them."""
     return rule(26, "FAIL", "extraction_exception", failures, message=F.col("error"))
