@@ -17,7 +17,7 @@ from chartloom.plans import documents, generic, ocr_tables, pages, pipeline, qa,
 from chartloom.plans import header as head
 from chartloom.plans.documents import Relations
 from chartloom.queries import _query
-from chartloom.sources import readers
+from chartloom.sources import readers, store
 
 
 def _pick(key: Column, *values: str | None) -> Column:
@@ -45,13 +45,16 @@ STAINED = ("Présence d'oeufs d'Ankylostoma duodenale", "Négatif", "Trichuris t
 FINAL = ("TRICHURIS TRICHIURA", "Ankylostoma duodenale", "Négatif", "ABSENCE")
 
 
-def stool_pages(customer: DataFrame) -> DataFrame:
+def stool_pages(customer: DataFrame, noisy: bool = False) -> DataFrame:
+    """A stool report per customer; ``noisy``: with a result twice, one more whose name is a value, and an empty title before the final result's value."""
+    more = ["Couleur", F.concat(F.lit(": "), _pick(_k(), *COLOURS)), "Absence", ": Molle", "couleur :", F.concat(F.lit(": "), F.upper(_pick(_k(), *COLOURS)))] if noisy else []
+    title = [": Résultat final"] if noisy else []
     lines = [
         F.concat(F.lit("IP Patient : "), _k().cast("string")), F.concat(F.lit("Patient : "), "c_name"), F.concat(F.lit("Né(e) le : 01/02/"), (F.lit(1940) + _k() % 60).cast("string"), F.lit(" - 40 ans")), "Sexe : F", "Origine : Externe", "Prescripteur : Dr. X",
         "Date Demande : 03/06/2024 10:15", "Date Réception : 03/06/2024 11:00", F.concat(F.lit("N° d'échantillon : "), (_k() + 240_000).cast("string")), "Nature : SELLES", "LABORATOIRE CENTRAL", "Laboratoire de Parasitologie Mycologie",
         "Centre Hospitalo-Universitaire Mohammed VI - Oujda", "EXAMEN PARASITOLOGIQUE DES SELLES", "ECHANTILLON BIOLOGIQUE", "NATURE DE PRÉLÈVEMENT : SELLES N°1", "EXAMEN MACROSCOPIQUE", "Couleur", F.concat(F.lit(": "), _pick(_k(), *COLOURS)), "Consistance", ": Molle",
-        "Glaire", ": Présence", "EXAMEN MICROSCOPIQUE", "Leucocytes", F.concat(F.lit(": "), _pick(_k(), *WHITE_CELLS)), "Hématies", ": Absence", "EXAMEN APRÈS ENRICHISSEMENT", ": Négatif", "EXAMEN APRÈS COLORATION", F.concat(F.lit(": "), _pick(_k(), *STAINED)),
-        "RÉSULTAT FINAL", F.concat(F.lit(": "), _pick(_k(), *FINAL)), "Le : 04/06/2024 12:04:25", "Edité(e) par : A B",
+        "Glaire", ": Présence", *more, "EXAMEN MICROSCOPIQUE", "Leucocytes", F.concat(F.lit(": "), _pick(_k(), *WHITE_CELLS)), "Hématies", ": Absence", "EXAMEN APRÈS ENRICHISSEMENT", ": Négatif", "EXAMEN APRÈS COLORATION", F.concat(F.lit(": "), _pick(_k(), *STAINED)),
+        "RÉSULTAT FINAL", *title, F.concat(F.lit(": "), _pick(_k(), *FINAL)), "Le : 04/06/2024 12:04:25", "Edité(e) par : A B",
     ]
     return customer.select(_k().cast("string").alias("doc_id"), F.lit(1).alias("page_number"), _text(lines).alias("final_text"), F.lit(None).cast("string").alias("native_text"))
 
@@ -169,6 +172,19 @@ def stool_checks(customer: DataFrame) -> DataFrame:
     return joined.select("doc_id", F.col("raw_result_rows").cast("int").alias("raw_rows"), F.col("canonical_result_rows").cast("int").alias("canonical_rows"), F.col("false_positive_result_rows").cast("int").alias("false_rows"), F.col("section_count").cast("int").alias("sections"), names("final_result").alias("final_names"), names("staining_exam").alias("stained_names"), "status")
 
 
+@_query(
+    f"SELECT {_ID}, CASE WHEN c_custkey % 2 = 0 THEN 11 ELSE 8 END AS raw_rows, 8 AS canonical_rows, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END AS false_rows, CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 0 END AS removed, 'Couleur=' || {_COLOUR} || ',Consistance=Molle,Glaire=Présence' AS macroscopic, {_FINAL} AS final FROM customer",
+    "customer",
+)
+def stool_noise(customer: DataFrame) -> DataFrame:
+    """Repeated results count once, in any spelling; a name that is a value is a false positive; a title is no final result."""
+    e = documents.extract(stool_pages(customer.where("c_custkey % 2 = 0"), noisy=True).union(stool_pages(customer.where("c_custkey % 2 = 1"))), share=True)
+    part = lambda section, said: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("section") == section, F.struct("row_index", said.alias("s"))))), lambda x: x["s"]), ",")
+    found = e["stool_results"].groupBy("doc_id").agg(part("macroscopic_exam", F.concat_ws("=", "analyte", "value_raw")).alias("macroscopic"), part("final_result", F.col("value_raw")).alias("final"))
+    n = lambda c, name: F.col(c).cast("int").alias(name)
+    return e["stool_stats"].join(found, "doc_id").select("doc_id", n("raw_result_rows", "raw_rows"), n("canonical_result_rows", "canonical_rows"), n("false_positive_result_rows", "false_rows"), n("duplicate_rows_removed", "removed"), "macroscopic", "final")
+
+
 @_query(f"SELECT {_ID}, 8 AS row_count, 4 AS column_count, count(*) FILTER (row_index <= 5) AS previewed, md5(string_agg(analyte || '=' || value_raw || '/' || result_kind, ';' ORDER BY row_index)) AS body FROM {_STOOL_SQL} GROUP BY c_custkey", "customer")
 def stool_logical_table(customer: DataFrame) -> DataFrame:
     t = stool.logical_table(documents.extract(stool_pages(customer))["stool_results"])
@@ -596,6 +612,50 @@ def logical_record_kinds(orders: DataFrame, lines: DataFrame) -> DataFrame:
     return stool.projected_records(records, found).select("doc_id", "section", "parameter", "result", "matched", "result_kind")
 
 
+@_query(
+    """WITH b AS (SELECT l_orderkey AS doc_id, l_linenumber * 1000000 + l_partkey AS pos, 'p' || lpad(CAST(l_partkey AS VARCHAR), 7, '0') AS t, l_quantity * 10 AS x0, CAST(l_partkey % 90 AS DOUBLE) AS y0 FROM lineitem),
+    s AS (SELECT doc_id, x0 < 250 AS leftmost, pos, t FROM b WHERE y0 >= 20 AND y0 < 70)
+    SELECT doc_id, CASE WHEN leftmost THEN 'patient_info_block' ELSE 'report_info_block' END AS block_type, string_agg(t, chr(10) ORDER BY pos) AS body, CAST(max(n) AS INTEGER) AS sources FROM (SELECT doc_id, leftmost, t, min(pos) AS pos, sum(count(*)) OVER (PARTITION BY doc_id, leftmost) AS n FROM s GROUP BY doc_id, leftmost, t) GROUP BY 1, 2""",
+    "lineitem",
+)
+def column_blocks(lines: DataFrame) -> DataFrame:
+    """A band of a page split at its middle."""
+    x, y = F.col("l_quantity") * 10, (F.col("l_partkey") % 90).cast("double")
+    blocks = lines.select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page_number"), (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("pos"), F.concat(F.lit("p"), F.lpad(F.col("l_partkey").cast("string"), 7, "0")).alias("text"), geometry.box(x, y, x + 50, y + 10).alias("bbox"), F.lit("ocr").alias("source"))
+    bands = blocks.select("doc_id", "page_number").distinct().select("*", F.lit(20.0).alias("start_y"), F.lit(70.0).alias("end_y"))
+    return segments.column_blocks(blocks, bands, 500.0).select("doc_id", "block_type", F.col("text").alias("body"), "sources")
+
+
+@_query(
+    """WITH v AS (SELECT CAST(c_custkey AS VARCHAR) AS doc_id, CAST(500 + c_custkey % 100 AS DOUBLE) AS y FROM customer WHERE c_custkey % 3 > 0)
+    SELECT doc_id, 'visual_p001_01' AS image_id, 'signature' AS image_type, 48::DOUBLE AS x0, y + 20 AS y0, 252::DOUBLE AS x1, 885::DOUBLE AS y1, 'ocr_visual' AS lineage FROM v UNION ALL SELECT doc_id, 'visual_p001_02', 'stamp', 348, y + 20, 516, 885, 'ocr_visual' FROM v""",
+    "customer",
+)
+def scanned_visuals(customer: DataFrame) -> DataFrame:
+    """What is cropped from recognised pages, as images with where they come from."""
+    doc = _k().cast("string").alias("doc_id")
+    y = (_k() % 100).cast("double") + 500
+    said = F.explode(F.array(F.struct(F.lit(1).alias("pos"), F.when(_k() % 3 > 0, "Validation médicale").otherwise("other").alias("text"), geometry.box(F.lit(60.0), y - 12, F.lit(200.0), y).alias("bbox")), F.struct(F.lit(2).alias("pos"), F.lit("Document synthétique").alias("text"), geometry.box(F.lit(60.0), F.lit(900.0), F.lit(200.0), F.lit(912.0)).alias("bbox")))).alias("b")
+    blocks = customer.select(doc, F.lit(1).alias("page_number"), said).select("doc_id", "page_number", "b.*")
+    pages_ = customer.select(doc, F.lit(1).alias("page_number"), F.lit(600.0).alias("width"), F.lit(1000.0).alias("height"), F.lit("ocr").alias("text_source"))
+    crops = visuals.scan_crops(pages_, blocks).withColumn("visual_type", F.col("label")).withColumn("role", F.lit("validation")).withColumn("is_indexable", F.lit(False))
+    return documents.visual_as_image(crops).select("doc_id", "image_id", "image_type", F.round("bbox.x0", 6).alias("x0"), F.round("bbox.y0", 6).alias("y0"), F.round("bbox.x1", 6).alias("x1"), F.round("bbox.y1", 6).alias("y1"), "lineage")
+
+
+@_query(
+    f"""SELECT {_ID}, CASE WHEN c_custkey % 4 > 0 THEN 'Dr. ' || c_custkey END AS validated_by, CASE WHEN c_custkey % 4 > 1 THEN c_mktsegment END AS specialty, c_custkey % 3 = 0 AS has_signature, c_custkey % 3 = 1 AS has_stamp FROM customer""",
+    "customer",
+)
+def validation_fields(customer: DataFrame) -> DataFrame:
+    """The lines under the validation title, on the left and near it, and the images beside them."""
+    doc = _k().cast("string").alias("doc_id")
+    rows = [(F.lit("Validation médicale"), 60, 600), (F.when(_k() % 4 > 0, F.concat(F.lit("Dr. "), _k().cast("string"))), 60, 620), (F.when(_k() % 4 > 1, F.col("c_mktsegment")), 60, 640), (F.lit("right"), 400, 630), (F.lit("far"), 60, 690)]
+    said = F.posexplode(F.array(*(F.struct(t.alias("text"), geometry.box(F.lit(float(x)), F.lit(float(y)), F.lit(x + 90.0), F.lit(y + 10.0)).alias("bbox")) for t, x, y in rows))).alias("pos", "b")
+    blocks = customer.select(doc, F.lit(1).alias("page_number"), said).select("doc_id", "page_number", "pos", "b.*").where("text is not null")
+    images = customer.select(doc, _pick(_k(), "signature", "stamp_or_seal", "unknown").alias("type"))
+    return segments.validation_fields(blocks, images)
+
+
 _NEAR = ("Cachet du service", "Validation médicale", "Échographie abdominale", "Vue analytique", "nothing", "nothing", "nothing", "nothing", "nothing")
 _KINDS = [("stamp_or_seal", "validation", False), ("signature", "validation", False), ("medical_illustration", "clinical_visual", True), ("clinical_chart", "analytics", True), ("logo_or_branding", "branding", False), ("clinical_chart", "analytics", True), ("signature", "validation", False), ("stamp_or_seal", "validation", False), ("unknown", "unknown", False)]
 _PLACES = [(1, 0, 0, 10, 10)] * 4 + [(1, 0, 10, 40, 30), (2, 0, 50, 40, 70), (3, 10, 50, 30, 60), (3, 60, 50, 70, 60), (1, 0, 50, 10, 60)]
@@ -1001,6 +1061,83 @@ def table_sink(customer: DataFrame) -> DataFrame:
     return read.groupBy(F.element_at("record", "doc").alias("doc_id"), F.substring_index("table_id", "_", 1).alias("table_id")).agg(F.count("*").cast("int").alias("n_records"))
 
 
+@_query(
+    """SELECT n_nationkey, n_name AS name, ['name', 'region'] AS keys, n_regionkey AS region, 'root' || CAST(n_nationkey % 2 AS VARCHAR) AS checks, true AS has_json, false AS has_none FROM nation""",
+    "nation",
+)
+def document_source(nation: DataFrame) -> DataFrame:
+    """Stored JSON documents with the keys that each has; root checks mirror those of the report where it has any; optional libraries."""
+    path = _folder(nation, "source")
+    key = F.col("n_nationkey")
+    nation.select(key, F.to_json(F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))).alias("value")).repartition(1).write.partitionBy("n_nationkey").text(path)
+    read = readers.documents(nation.sparkSession, path, "name string, region int", "*.txt")
+    checks = documents.synced_checks(F.when(F.col("n") % 2 == 0, "root0"), F.lit("root1"))
+    number = F.regexp_extract("path", r"n_nationkey=(\d+)", 1).cast("int")
+    return read.withColumn("n", number).select(F.col("n").alias("n_nationkey"), "document.name", "keys", "document.region", checks.alias("checks"), F.lit(readers.available("json")).alias("has_json"), F.lit(readers.available("no_such_library")).alias("has_none"))
+
+
+@_query("SELECT CAST(c_custkey AS VARCHAR) AS doc_id, CASE WHEN c_custkey % 10 = 0 THEN 'new' ELSE 'old' END AS version, CASE WHEN c_custkey % 10 = 0 THEN 'new' ELSE 'old' END AS page_version, CASE WHEN c_custkey % 10 = 0 THEN 1 ELSE 2 END AS pages FROM customer", "customer")
+def document_store_levels(customer: DataFrame) -> DataFrame:
+    """Documents and pages in one store: every tenth document written again with fewer pages, all others as they were at both levels."""
+    kept = store.DocumentStore(customer.sparkSession, _folder(customer, "store"), buckets=8)
+
+    def levels(rows: DataFrame, version: str, pages_: int) -> dict[str, DataFrame]:
+        docs = rows.select(_k().cast("string").alias("doc_id"), F.lit(version).alias("version"))
+        return {"documents": docs, "pages": docs.select("*", F.explode(F.sequence(F.lit(1), F.lit(pages_))).alias("page_number"))}
+
+    kept.write(**levels(customer, "old", 2))
+    kept.write(**levels(customer.where("c_custkey % 10 = 0"), "new", 1))
+    shown = kept.read("pages").groupBy("doc_id").agg(F.max("version").alias("page_version"), F.count("*").cast("int").alias("pages"))
+    return kept.read("documents").join(shown, "doc_id", "full")
+
+
+@_query(
+    f"""SELECT {_ID}, CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN {_STAIN_NAMES} = '' THEN 'consistent' WHEN {_FINAL_NAMES} = '' THEN 'needs_review' WHEN {_FINAL_NAMES} = {_STAIN_NAMES} THEN 'consistent' ELSE 'discordant_findings' END AS status,
+    CASE WHEN c_custkey % 5 > 0 THEN {_FINAL_NAMES} END AS final_names, c_name AS name, c_acctbal AS balance FROM customer""",
+    "customer",
+)
+def stored_checks(customer: DataFrame) -> DataFrame:
+    """Parasite checks put into stored documents in place; what else they hold stays."""
+    kept = store.DocumentStore(customer.sparkSession, _folder(customer, "checked"), buckets=8)
+    row = lambda section, said: F.struct(F.lit(section).alias("section"), F.lit("x").alias("parameter"), said.alias("result"))
+    found = F.when(_k() % 5 > 0, F.array(row("staining_exam", _pick(_k(), *STAINED)), row("final_result", _pick(_k(), *FINAL))))
+    stored = customer.select(_k().cast("string").alias("doc_id"), F.to_json(F.struct(F.col("c_name").alias("name"), F.struct(F.col("c_acctbal").alias("balance")).alias("account"), found.alias("results"))).alias("document"))
+    kept.write(documents=stored)
+    documents.inject_checks(kept)
+    d = kept.read("documents").select("doc_id", F.from_json("document", "name string, account struct<balance double>, consistency_checks struct<status string, detected map<string,array<string>>>").alias("d"))
+    names = F.array_join(F.try_element_at("d.consistency_checks.detected", F.lit("final_result")), ",")
+    return d.select("doc_id", "d.consistency_checks.status", names.alias("final_names"), "d.name", "d.account.balance")
+
+
+@_query(
+    f"""SELECT doc_id, path, reason, actual FROM (SELECT {_ID}, '$.results[7].result' AS path, 'different' AS reason, {_FINAL} AS actual FROM customer WHERE c_custkey % 4 > 0 UNION ALL SELECT {_ID}, '$.patient.age_status', 'different', 'inconsistent_with_birth_date' FROM customer WHERE abs(44 - c_custkey % 60) > 1
+    UNION ALL SELECT {_ID}, '$.blocks[4].text', 'not_contained', 'EXAMEN MACROSCOPIQUE Couleur : ' || {_COLOUR} || ' Consistance : Molle Glaire : Présence' FROM customer WHERE c_custkey % 3 > 0 UNION ALL SELECT {_ID}, '$.patient.name', 'unexpected', c_name FROM customer
+    UNION ALL SELECT {_ID}, '$.blocks[8].text', 'contained', 'RÉSULTAT FINAL : ' || {_FINAL} FROM customer WHERE c_custkey % 4 = 3)""",
+    "customer",
+)
+def golden_facts(customer: DataFrame) -> DataFrame:
+    """Facts that exported stool reports should hold, and what is said where they do not."""
+    exported = documents.export(documents.extract(stool_pages(customer), share=True))
+    expected = [
+        ("$.document_type", "equals", "parasitology_stool_report"), ("$.results", "size", 8), ("$.results[7].result", "equals", FINAL[0]), ("$.results[0].unit", "absent", None), ("$.patient.age_status", "equals", "consistent"), ("$.patient.address", "absent", None), ("$.patient.name", "absent", None),
+        ("$.report.sample_label", "equals", "SELLES N°1"), ("$.blocks", "size", 10), ("$.blocks[4].text", "contains", "Marron"), ("$.blocks[8].text", "lacks", "ABSENCE"), ("$.blocks[9].structured_fields.edited_by", "equals", "A B"), ("$.pages[0].blocks[9].structured_fields.edited_by", "equals", "A B"), ("$.consistency_checks.status", "present", None),
+    ]
+    return qa.unmet_facts(exported, expected).select("doc_id", "path", "reason", "actual")
+
+
+@_query(
+    """SELECT o_orderkey, NULL AS field, 'missing_row' AS reason, NULL AS expected, NULL AS actual FROM orders WHERE o_orderkey % 50 = 0 UNION ALL SELECT -1 - o_orderkey, NULL, 'extra_row', NULL, NULL FROM orders WHERE o_orderkey % 40 = 0
+    UNION ALL SELECT o_orderkey, 'o_orderstatus', 'different_value', o_orderstatus, o_orderstatus || '?' FROM orders WHERE o_orderkey % 50 > 0 AND o_orderkey % 7 = 0 UNION ALL SELECT o_orderkey, 'o_orderpriority', 'missing_value', o_orderpriority, NULL FROM orders WHERE o_orderkey % 50 > 0 AND o_orderkey % 11 = 0""",
+    "orders",
+)
+def table_differences(orders: DataFrame) -> DataFrame:
+    """Where a table differs from what is expected, cell by cell."""
+    want = orders.select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    status, priority = F.when(_o() % 7 == 0, F.concat("o_orderstatus", F.lit("?"))).otherwise(F.col("o_orderstatus")), F.when(_o() % 11 > 0, F.col("o_orderpriority"))
+    have = want.where("o_orderkey % 50 > 0").select("o_orderkey", status.alias("o_orderstatus"), priority.alias("o_orderpriority")).unionByName(want.where("o_orderkey % 40 = 0").withColumn("o_orderkey", -1 - _o()))
+    return rel.diff_tables(want, have, ["o_orderkey"])
+
+
 @_query("SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, CASE WHEN o_totalprice > 490000 THEN 'FAIL' ELSE 'PASS' END AS status FROM orders", "orders")
 def qa_report_sink(orders: DataFrame) -> DataFrame:
     """The quality report as JSON, read back."""

@@ -54,9 +54,9 @@ def column_named(df: DataFrame, aliases: list[str], required: bool = True) -> st
     return found
 
 
-def documents(spark: SparkSession, root: str, schema: str | None = None) -> DataFrame:
-    """JSON documents root/*/document.json with their path and raw text (for rules about which keys exist)."""
-    raw = spark.read.text(f"{root.rstrip('/')}/*/document.json", wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
+def documents(spark: SparkSession, root: str, schema: str | None = None, name: str = "document.json") -> DataFrame:
+    """JSON documents root/*/document.json (or files of another ``name``) with their path and raw text (for rules about which keys exist)."""
+    raw = spark.read.text(f"{root.rstrip('/')}/*/{name}", wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
     raw = raw.withColumn("keys", F.json_object_keys("raw"))
     return raw if schema is None else raw.withColumn("document", F.from_json("raw", schema))
 
