@@ -260,7 +260,7 @@ def pseudonym(value: Column, key: str) -> Column:
 def with_pseudonyms(docs: DataFrame, key: str, text_column: str = "text", count_column: str | None = None) -> DataFrame:
     """``docs`` with pseudonyms in the text; with ``count_column``, also how many values were replaced (long).
 
-    The key is the caller's secret.  Texts without digit or ``@``, null and empty texts included, pass through unread by the patterns; texts may have any length.  Of overlapping
+    The key is the caller's secret.  Texts without a digit, ``@``, ``=``, ``:`` or the beginning of an access key, null and empty texts included, pass through unread by the patterns; texts may have any length.  Of overlapping
     candidates the leftmost wins, then the first of ``PATTERNS``, then the longest valid card or IBAN.  Dates outside 1900 to 2099, dates with one-digit days or months or with month names,
     and domains of e-mail addresses stay.  Rows are independent, whatever their other columns are called: repeated rows repeat their result, an empty table gives an empty one.
     A column named ``count_column`` is replaced.
@@ -268,7 +268,7 @@ def with_pseudonyms(docs: DataFrame, key: str, text_column: str = "text", count_
     anything = "(?<![A-Za-z0-9])(?:" + "|".join(PATTERNS.values()) + ")"  # values start where no word goes on: one look at most places
     found = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[text_column].alias("original"))
     original = F.col("original")
-    suspect = F.coalesce(original.rlike("[0-9@=:]"), F.lit(False))
+    suspect = F.coalesce(original.rlike("[0-9@=:]|AKIA|ASIA"), F.lit(False))
     escaped = original
     for plain, written in _ESCAPED.items():
         escaped = F.replace(escaped, F.lit(plain), F.lit(written))
