@@ -22,12 +22,13 @@ from pyspark.sql.window import Window
 from chartloom.llm.shared import materialize
 
 BITS = 64
-#: Most rows and queries of a block; lookups made at a time.
-BLOCK_ROWS, BLOCK_QUERIES, LOOKUPS = 1 << 20, 1 << 16, 1 << 21
+#: Most rows and queries of a block; lookups made, and rows that they find looked at, at a time.
+BLOCK_ROWS, BLOCK_QUERIES, LOOKUPS, HITS = 1 << 20, 1 << 16, 1 << 21, 1 << 20
 
 
 def sign_code(vector: Column) -> Column:
-    """Bit i is set where component i of the vector (at most 64 used) is above zero; null for a null vector."""
+    """Bit i is set where component i of the vector is above zero; null for a null vector, an error for one of more than 64 components."""
+    vector = F.when(F.size(vector) > BITS, F.raise_error(F.lit(f"a sign code has {BITS} bits at most"))).otherwise(vector)
     bits = F.transform(F.slice(vector, 1, BITS), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
     return F.aggregate(bits, F.lit(0).cast("bigint"), lambda code, bit: code.bitwiseOR(bit))
 
@@ -71,6 +72,19 @@ def search(codes: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int) -> t
     kth = np.full(q, BITS + 1)
     active = np.arange(q)
     m = len(index.segments)
+
+    def pruned() -> None:
+        """Keeps the k nearest of what was found so far, and the kth distances."""
+        nonlocal best_q, best_row, best_d
+        order = np.lexsort((ids[best_row], best_d, best_q))
+        best_q, best_row, best_d = best_q[order], best_row[order], best_d[order]
+        new = np.flatnonzero(np.r_[True, best_q[1:] != best_q[:-1]]) if len(best_q) else np.zeros(0, np.int64)
+        rank = np.arange(len(best_q)) - np.repeat(new, np.diff(np.r_[new, len(best_q)]))
+        full = rank == k - 1
+        kth[best_q[full]] = best_d[full]
+        keep = rank < k
+        best_q, best_row, best_d = best_q[keep], best_row[keep], best_d[keep]
+
     for radius in range(BITS + 1):
         for j, (at, width) in enumerate(index.segments):
             if not len(active) or radius > width:
@@ -80,26 +94,24 @@ def search(codes: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int) -> t
             for part in range(0, len(active), step):
                 some = active[part : part + step]
                 looked = (index.values(queries[some], at, width)[:, None] ^ masks[None, :]).ravel()
-                begin = index.starts[j][looked]
-                count = index.starts[j][looked + 1] - begin
-                total = int(count.sum())
-                if not total:
-                    continue
-                which = np.repeat(np.repeat(some, len(masks)), count)
-                ends = np.cumsum(count)
-                row = index.by[j][np.arange(total) + np.repeat(begin - (ends - count), count)]
-                difference = index.codes[row] ^ queries[which]
-                distance = np.bitwise_count(difference).astype(np.int64)
-                near = (distance <= kth[which]) & index.first_found(difference, radius, j)
-                best_q, best_row, best_d = np.r_[best_q, which[near]], np.r_[best_row, row[near]], np.r_[best_d, distance[near]]
-            order = np.lexsort((ids[best_row], best_d, best_q))
-            best_q, best_row, best_d = best_q[order], best_row[order], best_d[order]
-            new = np.flatnonzero(np.r_[True, best_q[1:] != best_q[:-1]]) if len(best_q) else np.zeros(0, np.int64)
-            rank = np.arange(len(best_q)) - np.repeat(new, np.diff(np.r_[new, len(best_q)]))
-            full = rank == k - 1
-            kth[best_q[full]] = best_d[full]
-            keep = rank < k
-            best_q, best_row, best_d = best_q[keep], best_row[keep], best_d[keep]
+                counts = index.starts[j][looked + 1] - index.starts[j][looked]
+                met = np.flatnonzero(counts)
+                asking, looked, counts = np.repeat(some, len(masks))[met], looked[met], counts[met]
+                all_ends = np.cumsum(counts)
+                start = 0
+                while start < len(counts):  # slices by the number of rows found; a value that many rows share is a slice of its own
+                    stop = max(start + 1, int(np.searchsorted(all_ends, (all_ends[start - 1] if start else 0) + HITS, side="right")))
+                    count = counts[start:stop]
+                    which, begin, ends = np.repeat(asking[start:stop], count), index.starts[j][looked[start:stop]], np.cumsum(count)
+                    row = index.by[j][np.arange(int(ends[-1])) + np.repeat(begin - (ends - count), count)]
+                    difference = index.codes[row] ^ queries[which]
+                    distance = np.bitwise_count(difference).astype(np.int64)
+                    near = (distance <= kth[which]) & index.first_found(difference, radius, j)
+                    best_q, best_row, best_d = np.r_[best_q, which[near]], np.r_[best_row, row[near]], np.r_[best_d, distance[near]]
+                    if len(best_q) > HITS + k * q:
+                        pruned()
+                    start = stop
+            pruned()
             active = active[kth[active] > m * radius + j]
     return best_q, ids[best_row], best_d
 
@@ -108,8 +120,10 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """``rows(id, code)`` and ``queries(query_id, code)`` to ``query_id, rank, id, distance``: the k nearest rows, ties by id.
 
     A row that is itself a query is among its own answers.  Rows and queries with a null id or code are left out.  With fewer
-    than k rows, all are returned.  Repeated rows count once, repeated queries are answered each.
+    than k rows, all are returned.  Repeated rows count once, repeated queries are answered each.  An empty table of either kind gives an empty result; other columns are ignored, whatever their
+    names.  Memory is bounded whatever the codes: rows that lookups find are looked at ``HITS`` at a time.
     """
+    rows, queries = rows.select("id", "code"), queries.select("query_id", "code")
     by_code = Window.partitionBy("code").orderBy("id")
     rows = rows.where("id is not null and code is not null").dropDuplicates(["id", "code"]).withColumn("_n", F.row_number().over(by_code)).where(F.col("_n") <= k).drop("_n")
     rows = materialize(rows, "hamming-rows")
