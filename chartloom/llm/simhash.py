@@ -190,16 +190,18 @@ def keep_representatives(docs: DataFrame, shingle: int = 3, similar_percent: int
 
     Links are those of ``near_duplicates``; with ``similar_percent``, all those of that Jaccard similarity or more (``similar``).
 
-    Columns are those of ``docs``.  Of repeated rows with one id, one stays, that with the smallest text.
-    Rows with a null id cannot be linked and stay.
+    Columns are those of ``docs``, whatever their names.  Of repeated rows with one id, one stays, that with the smallest text (null first).
+    Rows with a null id cannot be linked and stay.  Null and empty texts are like each other; texts may have any length.  An empty table gives an empty one.
     """
     linked = near_duplicates(docs, shingle) if similar_percent is None else similar_components(docs, shingle, similar_percent)
     groups = linked.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
     groups = materialize(groups, "simhash-kept")
     # merged at every size: which ids stay grows with the documents, so it is never broadcast
-    found = docs.join(groups.hint("merge"), F.col("doc_id") == F.col("_kept"))
-    unlinked = docs.where("doc_id is null")
+    boxed = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_doc"))
+    found = boxed.join(groups.hint("merge"), F.col("_doc.doc_id") == F.col("_kept"))
+    out = [F.col("_doc")[c].alias(c) for c in docs.columns]
+    unlinked = docs.where(docs["doc_id"].isNull())
     if groups.where("_rows > 1").isEmpty():
-        return found.select(*docs.columns).unionByName(unlinked)
-    ranked = found.where("_rows > 1").withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_row = 1")
-    return found.where("_rows = 1").select(*docs.columns).unionByName(ranked.select(*docs.columns)).unionByName(unlinked)
+        return found.select(*out).unionByName(unlinked)
+    ranked = found.where("_rows > 1").withColumn("_nth", F.row_number().over(Window.partitionBy("_kept").orderBy("_doc.text"))).where("_nth = 1")
+    return found.where("_rows = 1").select(*out).unionByName(ranked.select(*out)).unionByName(unlinked)

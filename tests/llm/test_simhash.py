@@ -93,3 +93,13 @@ def test_representatives_and_empty_tables(spark):
     assert simhash.keep_representatives(docs.limit(0)).count() == 0
     nulls = simhash.near_duplicates(frame(spark, [(None, "a b c d", "en", "a", 1, 1, 1, "g", "x"), (4, "a b c d", None, None, None, None, None, None, None)])).collect()
     assert sorted((r.doc_id is None, r.component_id) for r in nulls) == [(False, 4), (True, None)]
+
+
+def test_representatives_of_clashing_names_and_empty_tables(spark):
+    rows = [(1, "a b c d e f", 1, 2, 3), (2, "a b c d e f", 1, 2, 3), (3, "other words here now", 1, 2, 3), (3, "another", 1, 2, 3), (None, "no id", 1, 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _kept int, _rows int, _doc int")
+    for percent in (None, 80):
+        kept = simhash.keep_representatives(docs, 3 if percent is None else 5, percent)
+        assert kept.columns == docs.columns
+        assert sorted((r.doc_id or 0, r.text, r._kept) for r in kept.collect()) == [(0, "no id", 1), (1, "a b c d e f", 1), (3, "another", 1)]
+        assert simhash.keep_representatives(docs.limit(0), 3 if percent is None else 5, percent).count() == 0
