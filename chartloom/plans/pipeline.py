@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartloom import dims
-from chartloom.functions import text
+from chartloom.functions import identity, text
 from chartloom.plans import documents, generic, ocr_tables, qa, results, segments, stool, tables, visuals
 from chartloom.plans import header as head
 from chartloom.plans.documents import Relations
@@ -83,6 +83,46 @@ def extract(pages: DataFrame, blocks: DataFrame, cells: DataFrame, images: DataF
     )
 
 
+#: Fields of a record as a hospital header has them: field, column, rule of its name.
+HEADER_FIELDS = {
+    "patient": [("name", "patient", ""), ("patient_id", "patient_id", "patient_id"), ("birth_date", "birth_date", "birth_date"), ("age", "age", ""), ("sex", "sex", "sex"), ("age_consistency_status", "age_status", "")],
+    "report": [
+        ("exam_name", "exam_name", ""), ("sample_id", "sample_id", ""), ("sample_type", "specimen", ""), ("sample_label", "sample_label", ""), ("request_date", "request_iso", ""), ("received_date", "received_iso", ""), ("edited_date", "edited_iso", ""), ("print_date", "print_iso", ""),
+        ("encounter_type", "origin", "encounter_type"), ("prescriber", "prescriber", ""), ("specialty", "specialty", "specialty"),
+    ],
+    "validation": [("validated_by", "validated_by", ""), ("edited_by", "edited_by", ""), ("printed_by", "printed_by", ""), ("actor_status", "validation_actor_status", "")],
+}
+
+
+def _normal_fields(rows: DataFrame) -> DataFrame:
+    """rows(doc_id, document_type, record, field, rule, value, source) with the value as raw, canonical and status, by the rule of its field; fields without a value fall out."""
+    rules = [rule for fields in HEADER_FIELDS.values() for *_, rule in fields if rule]
+    named = rows.where("coalesce(value, '') <> ''").withColumn("_f", identity.named_by_rule(rules, F.col("rule"), F.col("value")))
+    return named.select("doc_id", "document_type", "record", "field", "_f.raw", "_f.canonical", "_f.normalization_status", "source")
+
+
+def records(extracted: Relations, generic_reports: Relations) -> DataFrame:
+    """doc_id, document_type, record (patient, report, validation), field, raw, canonical, normalization_status, source: the records of documents of every kind as one relation.
+
+    Stool and hospital reports have their fields from the header (``extracted`` of ``documents.extract``), all others from tables, blocks and the first page (``generic_reports`` of
+    ``extract``), whose validator is the one under the validation title, else the report's prescriber.  A document's kind decides which of the two it is in; each field keeps where it came from.
+    """
+    kinds = extracted["documents"].select("doc_id", "document_type")
+    headed = extracted["header"].join(kinds, "doc_id")
+    every = F.array(*(F.struct(F.lit(record).alias("record"), F.lit(field).alias("field"), F.lit(rule).alias("rule"), F.col(column).cast("string").alias("value")) for record, fields in HEADER_FIELDS.items() for field, column, rule in fields))
+    from_header = _normal_fields(headed.select("doc_id", "document_type", F.explode(every).alias("x")).select("doc_id", "document_type", "x.*", F.lit("header").alias("source")))
+
+    def of(record: str, wanted: dict) -> DataFrame:
+        held = F.array(*(F.struct(F.lit(f).alias("field"), *(F.col(f"{f}.{c}").alias(c) for c in ("raw", "canonical", "normalization_status")), F.try_element_at("sources", F.lit(f)).alias("source")) for f in wanted))
+        rows = generic_reports[record].select("doc_id", F.explode(held).alias("x")).select("doc_id", F.lit(record).alias("record"), "x.*")
+        return rows.where("raw is not null")
+
+    signed = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("raw"), F.col(f).alias("canonical"), F.lit("as_extracted").alias("normalization_status"), F.lit("block").alias("source")) for f in ("validated_by", "specialty")))
+    validators = generic_reports["validation"].select("doc_id", F.lit("validation").alias("record"), F.explode(signed).alias("x")).select("doc_id", "record", "x.*").where("raw is not null")
+    others = of("patient", generic.PATIENT).unionByName(of("report", generic.REPORT)).unionByName(validators).join(generic_reports["documents"].select("doc_id", "document_type"), "doc_id")
+    return from_header.unionByName(others)
+
+
 def _listed(rows: DataFrame, order: list[str], columns: list[str | Column], name: str) -> DataFrame:
     """One array of structs per document, in order."""
     item = F.struct(F.struct(*order).alias("o"), F.struct(*columns).alias("v"))

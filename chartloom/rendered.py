@@ -1022,6 +1022,35 @@ def stool_block_fields(customer: DataFrame) -> DataFrame:
     return found.select("doc_id", "block_type", cut.alias("fields"))
 
 
+def _record_sql(when: str, record: str, values: dict[str, str], source: str, sources: dict[str, str] | None = None) -> str:
+    rows = ", ".join(f"('{f}', CAST({v} AS VARCHAR), '{(sources or {}).get(f, source)}')" for f, v in values.items())
+    return f"SELECT CAST(c_custkey AS VARCHAR) AS doc_id, '{record}' AS record, f.* FROM customer, LATERAL (VALUES {rows}) AS f(field, canonical, source) WHERE {when}"
+
+
+_STOOL, _HOSPITAL, _OTHER = ("c_custkey % 3 = 0", "c_custkey % 3 = 1", "c_custkey % 3 = 2")
+_RECORDS_SQL = " UNION ALL ".join(
+    [
+        _record_sql(_STOOL, "patient", {"name": "c_name", "patient_id": "c_custkey", "birth_date": "(1940 + c_custkey % 60) || '-02-01'", "age": "84 - c_custkey % 60", "sex": "'F'", "age_consistency_status": "CASE WHEN abs(44 - c_custkey % 60) <= 1 THEN 'consistent' ELSE 'inconsistent_with_birth_date' END"}, "header"),
+        _record_sql(_STOOL, "report", {"exam_name": "'EXAMEN PARASITOLOGIQUE DES SELLES'", "sample_id": "c_custkey + 240000", "sample_type": "'SELLES'", "sample_label": "'SELLES N°1'", "request_date": "'2024-06-03T10:15:00'", "received_date": "'2024-06-03T11:00:00'", "edited_date": "'2024-06-04T12:04:25'", "encounter_type": "'External'", "prescriber": "'Dr. X'", "specialty": "'LABORATOIRE DE PARASITOLOGIE MYCOLOGIE'"}, "header"),
+        _record_sql(_STOOL, "validation", {"edited_by": "'A B'", "actor_status": "'edition_only'"}, "header"),
+        _record_sql(_HOSPITAL, "patient", {"name": "c_name", "patient_id": "c_custkey", "age_consistency_status": "'unknown'"}, "header"),
+        _record_sql(_HOSPITAL, "report", {"sample_id": "c_custkey + 980000", "request_date": "'2024-06-05T08:00:00'"}, "header"),
+        _record_sql(_HOSPITAL, "validation", {"actor_status": "'missing'"}, "header"),
+        _record_sql(_OTHER, "patient", {"name": "c_name", "patient_id": _UUID_SQL, "birth_date": "(1950 + c_custkey % 40) || '-03-07'", "age": "c_custkey % 90", "sex": _pick_sql("c_custkey", "F", "M", "?")}, "table"),
+        _record_sql(_OTHER, "report", {"report_id": "'RAP' || c_custkey", "report_date": "'2023-03-01'", "encounter_type": _pick_sql("c_custkey", "External", "Urgent care"), "specialty": "'MÉDECINE INTERNE'"}, "table"),
+        _record_sql(_OTHER, "validation", {"validated_by": "'Dr. Z'", "specialty": "'CARDIO'"}, "block"),
+    ]
+)
+
+
+@_query(_RECORDS_SQL, "customer")
+def records_of_all_kinds(customer: DataFrame) -> DataFrame:
+    """Patient, report and validation of stool, hospital and other reports as one relation; each field with its source."""
+    pages_ = stool_pages(customer.where("c_custkey % 3 = 0")).union(hospital_pages(customer.where("c_custkey % 3 = 1")))
+    found = pipeline.records(documents.extract(pages_, share=True), _generic_report(customer.where("c_custkey % 3 = 2")))
+    return found.select("doc_id", "record", "field", "canonical", "source")
+
+
 # -- sources and sinks ----------------------------------------------------------------------------------------------------
 
 
