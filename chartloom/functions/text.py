@@ -48,8 +48,8 @@ def clean_text(value: Column) -> Column:
 
 
 def inline(value: Column) -> Column:
-    """Cleaned text on one line; spaces that this brings together stay."""
-    return strip(F.translate(clean_text(value), "\n", " "))
+    """Cleaned text on one line; spaces that this brings together stay.  Cleaned text ends with no line feed, so nothing is left to strip."""
+    return F.translate(clean_text(value), "\n", " ")
 
 
 def without_accents(value: Column) -> Column:
@@ -65,13 +65,15 @@ def without_accents(value: Column) -> Column:
 
 
 def key(line: Column) -> Column:
-    """The label of a text that is on one line already."""
     return F.btrim(F.regexp_replace(without_accents(F.lower(line)), "[^a-z0-9]+", "_"), F.lit("_"))
 
 
 def label(value: Column) -> Column:
-    """The key by which texts are compared: lower case, no accents, every other run of characters one underscore."""
-    return key(inline(value))
+    """The key by which texts are compared: lower case, no accents, every other run of characters one underscore.
+
+    What cleaning a text changes (white space, line ends, NUL) is in those runs, so the text is not cleaned first.
+    """
+    return key(value)
 
 
 def lines(value: Column) -> Column:
