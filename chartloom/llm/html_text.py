@@ -1,15 +1,17 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one per block element.  A line weighs its length, up to ``CAP``; lines of menus, notices, adverts and the like weigh
-nothing, lines inside an ``article`` or ``main`` element weigh ``RAISE`` more.  The sum over a sliding window of lines jumps where the article
-begins (surge) and falls to nothing where it ends (dive); what lies between is kept.  Raised lines lift the level of the whole page: what
-weighs little beside them counts as nothing, so a page's marked article leaves out the lines around it, and a teaser does not leave out long paragraphs.
+Markup is stripped into lines, one per block element, with the lines that it leaves empty: one between neighbours, and one more for each level of nesting between them.
+Elements marked as menus, notices, adverts, comments and the like are stripped with their text, as scripts are.  A line weighs its length, up to ``CAP``, a line of links nothing.
+The sum over a sliding window of lines jumps where the article begins (surge) and falls to nothing where it ends (dive); what lies between is kept, from the first line that makes the sum
+jump to the last before it falls: short lines of bare containers before and after those are the page's frame.  Where the windows inside an ``article`` or ``main`` element reach a third of what
+the others reach, its lines weigh ``RAISE`` more and those around it nothing; a teaser does not reach that.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from typing import NamedTuple
 
 import pandas as pd
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WINDOW, SURGE = 3, 86
+#: Least length of a line that makes the sum jump whatever its element is.
+EDGE = SURGE // WINDOW
 #: Most that a line's length weighs; what a line inside the marked article weighs more.
 CAP = 3 * SURGE
 RAISE = 3 * CAP
@@ -29,6 +33,9 @@ BLOCKS = (
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul caption"
 )
+#: Blocks that hold running text (the others are containers, whose nesting makes empty lines), and those that only a list has.
+TEXTUAL = "address blockquote caption dd dl dt figcaption h1 h2 h3 h4 h5 h6 hr ol p pre summary table tbody td tfoot th thead tr ul"
+LISTED = "li option"
 BOILERPLATE = "nav footer aside dialog menu button search"
 #: These may also hold the article (a form around a whole page).
 WRAPPERS = "form header"
@@ -50,6 +57,7 @@ P_SCOPE = "table td th caption button object article main body html"
 
 _words = lambda x: frozenset(x.split())
 _RAW, _SILENT, _BLOCKS, _BOILERPLATE, _WRAPPERS, _VOID = map(_words, (RAW_TEXT, SILENT, BLOCKS, BOILERPLATE, WRAPPERS, VOID))
+_TEXTUAL, _LISTED = _words(TEXTUAL), _words(LISTED)
 _COMMENTS, _P_SCOPE = _words(COMMENT_MARKS), _words(P_SCOPE)
 _MARKS, _BESIDE = _words(MARKS) | _COMMENTS, _words(BESIDE)
 _ENDED_BY = {k: (_words(a), _words(b)) for k, (a, b) in ENDED_BY.items()}
@@ -65,9 +73,12 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _QUOTED, _HIDDEN = re.compile(r"\"[^\"]*\"|'[^']*'"), re.compile(r"\bhidden\b")
+_UNSEEN = re.compile(r"\bstyle\s*=\s*[\"']?[^\"'>]*\b(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 
 #: How far a place is from the article: nothing marks it; a mark that an article inside lifts; a mark that nothing lifts.
 _PLAIN, _MARKED, _OUT = 0, 1, 2
+#: What a line's innermost block is.
+_BARE, _ITEM, _TEXT = 0, 1, 2
 
 
 class Line(NamedTuple):
@@ -75,12 +86,18 @@ class Line(NamedTuple):
     inside: bool  #: of an article or main element
     marked: bool  #: as boilerplate
     linked: bool  #: mostly link text
+    depth: int = 0  #: containers around it
+    kind: int = _TEXT
+    owner: int = 0  #: number of its innermost block (0: the page)
 
 
 class _State(NamedTuple):
     silent: bool
     mark: int
     inside: bool
+    depth: int = 0
+    kind: int = _BARE
+    owner: int = 0
 
 
 def mark_of(attributes: str) -> int:
@@ -93,6 +110,8 @@ def mark_of(attributes: str) -> int:
                 found = max(found, _OUT if parts & _COMMENTS else _MARKED)
     if found < _OUT and "hidden" in attributes and _HIDDEN.search(_QUOTED.sub("", attributes)):
         found = _OUT
+    if found < _OUT and "style" in attributes.lower() and _UNSEEN.search(attributes):
+        found = _OUT
     return found
 
 
@@ -101,8 +120,10 @@ class _Reader:
 
     def __init__(self, page: str) -> None:
         self.lines: list[Line] = []
+        self.outer = [0]  #: of each block, the number of the one around it
         self._page, self._parts, self._linked, self._links = page, [], 0, 0
         self._stack: list[tuple[str, _State]] = []  # each with the state outside it
+        self._names: Counter[str] = Counter()  # of the open elements, so that the stack is searched only for what it holds
         self._state = _State(False, _PLAIN, False)
         self._last_end = {m[1].lower(): m.start() for m in re.finditer(r"</([a-zA-Z][a-zA-Z0-9:-]*)", page)}
         at, size = 0, len(page)
@@ -129,14 +150,18 @@ class _Reader:
             raw = "".join(self._parts)
             text = " ".join(html.unescape(raw).split())
             if text:
-                self.lines.append(Line(text, self._state.inside, self._state.mark > _PLAIN, 2 * self._linked > len(raw)))
+                state = self._state
+                self.lines.append(Line(text, state.inside, state.mark > _PLAIN, 2 * self._linked > len(raw), state.depth, state.kind, state.owner))
             self._parts, self._linked = [], 0
 
     def _pop(self, at: int) -> None:
         self._state = self._stack[at][1]
+        self._names.subtract(name for name, _ in self._stack[at:])
         del self._stack[at:]
 
     def _end_implied(self, names: frozenset[str], scope: frozenset[str]) -> None:
+        if not any(self._names[x] for x in names):
+            return None
         for i in range(len(self._stack) - 1, -1, -1):
             open_ = self._stack[i][0]
             if open_ in names:
@@ -154,6 +179,8 @@ class _Reader:
         if block:
             self._break()
             self._links = 0
+        if not self._names[name]:
+            return None
         for i in range(len(self._stack) - 1, -1, -1):
             open_ = self._stack[i][0]
             if open_ == name:
@@ -194,7 +221,7 @@ class _Reader:
         elif name in ("article", "main"):
             own = _OUT if mark and name == "article" else _PLAIN
             outer = state.mark if state.mark == _OUT else _PLAIN
-            new = _State(state.silent, max(own, outer), not own and not outer or state.inside)
+            new = state._replace(mark=max(own, outer), inside=not own and not outer or state.inside)
         elif name in _BOILERPLATE:
             new = state._replace(mark=_OUT)
         elif mark or (name in _WRAPPERS and not (name == "header" and state.inside)):
@@ -202,18 +229,63 @@ class _Reader:
             new = state._replace(mark=max(state.mark, mark)) if block else state._replace(silent=True)
         else:
             new = state
+        if block and name != "body":
+            kind = _TEXT if name in _TEXTUAL else _ITEM if name in _LISTED else _BARE
+            new = new._replace(depth=new.depth + (kind == _BARE), kind=kind, owner=len(self.outer))
+            self.outer.append(state.owner)
         self._stack.append((name, state))
+        self._names[name] += 1
         self._state = new
         return at
 
 
 def lines_of(page: str) -> list[Line]:
-    """All lines of a page in order, those of boilerplate elements included."""
+    """All lines of a page that have text, in order, those of boilerplate elements included."""
     return _Reader(page).lines
 
 
-def weights_of(lines: list[Line]) -> list[int]:
-    return [0 if x.marked or (x.linked and not x.inside) else min(len(x.text), CAP) + (RAISE if x.inside else 0) for x in lines]
+def _window_sums(values: list[int]) -> list[int]:
+    return [sum(values[i : i + WINDOW]) for i in range(len(values))]
+
+
+def empty_between(one: Line, other: Line) -> int:
+    """Lines that markup leaves empty between two neighbours; a dive needs no more than ``WINDOW``."""
+    return min(WINDOW, 1 + abs(one.depth - other.depth))
+
+
+def distribution(lines: list[Line]) -> tuple[list[int], list[int]]:
+    """(weights, places): what each line of a page weighs, empty lines included, and where each of ``lines`` (none of them marked) stands."""
+    lengths, places = [], []
+    for i, line in enumerate(lines):
+        lengths += [0] * (empty_between(lines[i - 1], line) if i else 0)
+        places.append(len(lengths))
+        lengths.append(0 if line.linked and not line.inside else min(len(line.text), CAP))
+    inside = [0] * len(lengths)
+    for place, line in zip(places, lines):
+        inside[place] = lengths[place] if line.inside else 0
+    level, around = (max(_window_sums(x), default=0) for x in (inside, [a - b for a, b in zip(lengths, inside)]))
+    if level and WINDOW * level >= around:
+        return [x + RAISE if x else 0 for x in inside], places
+    return lengths, places
+
+
+def framed(lines: list[Line], kept: list[bool], outer: list[int]) -> list[bool]:
+    """``kept`` without short lines before the first that makes the sum jump and after the last.
+
+    Running text, and lines of ``EDGE`` characters, make it jump; items of a list do so only after such a line.  A line nested in the block whose own text is that long stays with it.
+    """
+    heavy = [False] * len(outer)
+    for line, keep in zip(lines, kept):
+        if keep and line.owner and len(line.text) >= EDGE:
+            heavy[line.owner] = True
+    for i in range(1, len(outer)):  # a block's number is above that of the block around it
+        heavy[i] = heavy[i] or heavy[outer[i]]
+    jumps = [keep and (line.inside or line.kind == _TEXT or len(line.text) >= EDGE or heavy[line.owner]) for line, keep in zip(lines, kept)]
+    if not any(jumps):
+        return kept
+    first = jumps.index(True)
+    last = max(i for i in range(first, len(lines)) if jumps[i] or (kept[i] and lines[i].kind == _ITEM))
+    return [keep and first <= i <= last for i, keep in enumerate(kept)]
 
 
 def kept_lines(weights: list[int]) -> list[bool]:
@@ -222,11 +294,10 @@ def kept_lines(weights: list[int]) -> list[bool]:
     The highest sum of a window is the page's level.  Where it is above what plain lines can reach, lines that weigh less than a third of the difference a line count as
     nothing.  A stretch between two dives (windows that sum to nothing) is kept if a window in it surges: ``SURGE``, or the page's level where that is lower, and three such least lines.
     """
-    window_sums = lambda values: [sum(values[i : i + WINDOW]) for i in range(len(values))]
-    level = max(window_sums(weights), default=0)
+    level = max(_window_sums(weights), default=0)
     least = max(0, level - WINDOW * CAP) // (WINDOW * 3)
     heavy = [w if w >= least else 0 for w in weights]
-    sums = window_sums(heavy)
+    sums = _window_sums(heavy)
     surge = max(min(SURGE, level), WINDOW * least)
     kept, start = [False] * len(weights), 0
     while start < len(sums):
@@ -241,8 +312,12 @@ def kept_lines(weights: list[int]) -> list[bool]:
 
 def main_text(page: str | None) -> str:
     """Article of a page: its lines joined by two line feeds; '' if there is none (null, empty, markup only)."""
-    lines = lines_of(page or "")
-    return "\n\n".join(x.text for x, keep in zip(lines, kept_lines(weights_of(lines))) if keep)
+    reader = _Reader(page or "")
+    lines = [x for x in reader.lines if not x.marked]
+    weights, places = distribution(lines)
+    between = kept_lines(weights)
+    kept = framed(lines, [between[at] for at in places], reader.outer)
+    return "\n\n".join(x.text for x, keep in zip(lines, kept) if keep)
 
 
 def main_text_column(page: Column) -> Column:

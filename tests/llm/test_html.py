@@ -126,3 +126,59 @@ def test_query_over_the_table(spark, tmp_path):
     clashing = spark.createDataFrame([(1, "<p>a</p>", "mine", 7)], "id int, html string, text string, n_chars int")
     assert html_text.with_main_text(clashing).first().asDict() == {"id": 1, "html": "<p>a</p>", "text": "mine", "n_chars": 1, "main_text": "a"}
     assert html_text.with_main_text(clashing.limit(0)).count() == 0
+
+
+FIVE = "".join(f"<p>{LONG}{i}.</p>" for i in range(5))
+
+
+@pytest.mark.parametrize("before", ["<div>Home / About us</div>", "<div>Home</div><div>About us</div>", "<ul><li>Home</li><li>About us</li></ul>", "<div><div>Home</div></div>"])
+@pytest.mark.parametrize("after", ["<div>Terms / Privacy</div>", "<div><div><span>Terms</span> Privacy</div></div>"])
+def test_short_lines_around_an_unmarked_article_are_its_frame(before, after):
+    found = main_text(f"<body>{before}{FIVE}{after}").split("\n\n")
+    assert [x[-2:] for x in found] == [f"{i}." for i in range(5)]
+    titled = main_text(f"<body><div>{before}</div><div><h1>Title</h1>{FIVE}<p>End.</p><ul><li>a</li></ul></div>{after}").split("\n\n")
+    assert (titled[0], titled[-2:], len(titled)) == ("Title", ["End.", "a"], 8)
+
+
+def test_unseen_text_is_stripped():
+    for style in ('style="display:none"', "STYLE='color:red; display : none'", 'style="visibility: hidden"', "hidden"):
+        assert main_text(f"{FIVE}<div {style}><p>{LONG} unseen</p></div>").count("word") == 600, style
+    assert main_text(f'<div style="display:block">{FIVE}</div>').count("word") == 600
+
+
+def test_what_surrounds_an_article_element_is_left_out():
+    for around in (f'<div class="voices"><p>{LONG} reader</p><p>{LONG} reader</p></div>', f"<div>{LONG} block</div>"):
+        assert main_text(f"<article><h1>T</h1>{FIVE}<p>End.</p></article>{around}").split("\n\n")[0::6] == ["T", "End."]
+        assert main_text(f"<div>{around}</div><article><p>{'short article ' * 20}</p></article>{around}") == ("short article " * 20).strip()
+
+
+def test_marked_elements_between_paragraphs_are_no_dive():
+    found = main_text(f"{FIVE}{'<nav>menu</nav>' * 4}<p>The last paragraph of the article.</p>")
+    assert found.endswith("The last paragraph of the article.") and "menu" not in found
+
+
+def test_nesting_makes_empty_lines_and_these_dives():
+    deep = "<div><div><div><p>Far off</p></div></div></div>"
+    assert main_text(f"<div><div><div><div>{FIVE}</div></div></div></div><p>Far off</p>").count("word") == 600
+    assert "Far off" not in main_text(f"<div><div><div><div>{FIVE}</div></div></div></div><p>Far off</p>")
+    assert "Far off" not in main_text(f"{deep}{FIVE}")
+    same = "".join(f"<div><div>{x}</div></div>" for x in (LONG, "short one", LONG, "short two", LONG))
+    assert main_text(same).split("\n\n") == [LONG.strip(), "short one", LONG.strip(), "short two", LONG.strip()]
+
+
+def test_surge_and_dive_decide_on_pages_without_marks():
+    """Pages of a menu, an article and a foot in bare containers: stripping alone keeps all lines, the distribution the article's."""
+    rng, decided = random.Random(5), 0
+    for _ in range(100):
+        wrap = lambda x, n: "<div>" * n + x + "</div>" * n
+        menu = "".join(f"<div>{w}</div>" for w in ("Home", "News", "About us")[: rng.randrange(1, 4)])
+        article = [" ".join(rng.choice(["long", "plain", "words"]) for _ in range(rng.randrange(20, 90))) for _ in range(rng.randrange(2, 7))]
+        page = wrap(menu, rng.randrange(3)) + wrap("".join(f"<p>{x}</p>" for x in article), rng.randrange(4)) + wrap("<div>Imprint</div>", rng.randrange(3))
+        assert main_text(page).split("\n\n") == article
+        decided += [x.text for x in html_text.lines_of(page) if not x.marked] != article
+    assert decided == 100
+
+
+def test_deep_and_long_pages_take_bounded_time():
+    for page in ("<div>" * 50_000 + LONG, f"<div>{'<p>x</p>' * 50_000}</div>", "<div>a" * 20_000):
+        assert main_text(page)
