@@ -4,15 +4,16 @@ Groups (rows with equal texts) stay whole.  Best fit takes items in decreasing o
 the tightest bin that holds one of them stays the tightest until it is full for that size: a size is packed at once for all its groups, and
 what is packed is the histogram of sizes, whatever the number of groups (sizes that differ sum to their square, so no more than
 ``sqrt(2 * bytes)`` of them exist).  Bins are found in a balanced tree of their room; the smallest capacity for which this needs no more than the
-wanted shards is found by bisection.  Groups of one size are numbered, and the number tells the shard.
+wanted shards is found by bisection, over classes of sizes where there are many, and the sizes themselves are packed into that.  Groups of one size are numbered, and the number tells the shard.
 
-Only a group that is larger than a shard cannot stay whole; its rows are dealt by id hash into parts of about 1/``GRAIN`` of a shard.
+A group is never split: one that is larger than an even share has a shard of its own, which is then larger than the others.
 """
 
 from __future__ import annotations
 
 import math
 import random
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,8 +22,11 @@ from pyspark.sql.window import Window
 
 from chartloom.llm.shared import materialize, release, small_side
 
+#: Groups above this part of an even share (``shards * GRAIN`` of them at most) meet their rows by a broadcast; no task gets more of one group's rows than that.
 GRAIN = 128
 ROW_OVERHEAD = 16
+#: More sizes than this are bisected by classes, ``CLASS_STEPS`` to each doubling (sizes up to 2 ** 64 are fewer than 64 times as many classes).
+EXACT_SIZES, CLASS_STEPS = 4096, 128
 #: Rows that one numbering task may hold.
 LANE_ROWS = 100_000
 
@@ -100,6 +104,18 @@ def best_fit_decreasing(histogram: list[tuple[int, int]], capacity: int, most: i
     return placed
 
 
+def _classes(histogram: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """``histogram`` with the sizes of a class taken as their mean."""
+    if len(histogram) <= EXACT_SIZES:
+        return histogram
+    total, count = Counter(), Counter()
+    for size, number in histogram:
+        which = int(CLASS_STEPS * math.log2(size))
+        total[which] += size * number
+        count[which] += number
+    return [(-(-total[c] // count[c]), count[c]) for c in sorted(count, reverse=True)]
+
+
 def pack(histogram: list[tuple[int, int]], shards: int) -> Placed:
     """Best-fit-decreasing with the smallest capacity, to 0.1 %, that needs at most ``shards`` bins; sizes decrease.
 
@@ -117,15 +133,15 @@ def pack(histogram: list[tuple[int, int]], shards: int) -> Placed:
     rest, bins = [(s, n) for s, n in rest[at:] if n], shards - alone
     if not rest:
         return placed
-    low = max(rest[0][0], -(-left // bins))
-    high, best = low, best_fit_decreasing(rest, low, bins)
-    while best is None:
-        high += max(1, high // 64)
-        best = best_fit_decreasing(rest, high, bins)
+    tried = _classes(rest)
+    low = high = max(rest[0][0], -(-left // bins))
+    while best_fit_decreasing(tried, high, bins) is None:
+        low, high = high, high + max(1, high // 64)
     while high - low > max(1, low // 1000):
         middle = (low + high) // 2
-        found = best_fit_decreasing(rest, middle, bins)
-        low, high, best = (low, middle, found) if found is not None else (middle, high, best)
+        low, high = (low, middle) if best_fit_decreasing(tried, middle, bins) is not None else (middle, high)
+    while (best := best_fit_decreasing(rest, high, bins)) is None:  # sizes may need a little more than the means of their classes
+        high += max(1, high // 1000)
     return placed + [(size, alone + which, number) for size, which, number in best]
 
 
@@ -160,7 +176,7 @@ def assign_shards(docs: DataFrame, shards: int = 40, id_column: str = "doc_id",
 
     Size: UTF-8 bytes of the text, however long (null: none), plus 16.  Null and empty texts are one group (no bytes; CRC 0).  Groups of one size are
     told apart by their text's SHA-256.  ``slot`` numbers a shard's rows from 0 without gaps, by an id hash and then by id; repeated rows and rows without an id take
-    slots of their own.  An empty table gives an empty result; other columns are ignored, whatever their names.
+    slots of their own.  A group stays whole whatever its size; one above an even share makes its shard larger than the others, which share the rest evenly.  An empty table gives an empty result; other columns are ignored, whatever their names.
     """
     text = F.coalesce(docs[text_column], F.lit(""))
     narrow = docs.select(
@@ -172,17 +188,17 @@ def assign_shards(docs: DataFrame, shards: int = 40, id_column: str = "doc_id",
     narrow = materialize(narrow, "shard-rows")
     totals = narrow.agg(F.sum("size"), F.count("*")).first()
     total, rows = int(totals[0] or 0), int(totals[1])
-    fair = max(1, math.ceil(total / shards))
-    grain = max(1, fair // GRAIN)
-    large = narrow.groupBy("group_key").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > fair)  # fewer than there are shards
-    large = materialize(large.select("group_key", F.ceil(F.col("bytes") / grain).cast("int").alias("parts")), "shard-large")
-    part = F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit("part")), F.col("parts")).cast("int"), F.lit(0))
-    parted = narrow.join(F.broadcast(large), "group_key", "left").withColumn("part", part).drop("parts")
-    groups = materialize(parted.groupBy("group_key", "part").agg(F.sum("size").alias("bytes")), "shard-groups")
+    groups = materialize(narrow.groupBy("group_key").agg(F.sum("size").alias("bytes")), "shard-groups")
     placed = materialize(_packed(groups.groupBy("bytes").agg(F.count("*").alias("n")), shards), "shard-sizes")
     sides = small_side(placed, placed.count())
-    numbered = _numbered(groups, groups.count(), "bytes", ["group_key", "part"], "nth")
-    sharded = numbered.join(sides, "bytes").where((F.col("nth") >= F.col("first")) & (F.col("nth") < F.col("stop"))).select("group_key", "part", "shard")
-    found = materialize(parted.join(sharded.hint("merge"), ["group_key", "part"]).select("doc_id", "size", "text_crc32", "shard"), "shard-placed")
-    release(narrow, large, groups, placed)
+    numbered = _numbered(groups, groups.count(), "bytes", ["group_key"], "nth")
+    sharded = numbered.join(sides, "bytes").where((F.col("nth") >= F.col("first")) & (F.col("nth") < F.col("stop")))
+    sharded = materialize(sharded.select("group_key", "shard", (F.col("bytes") > total // (shards * GRAIN)).alias("large")), "shard-of-groups")
+    large = F.broadcast(sharded.where("large").select("group_key", F.col("shard").alias("large_shard")))
+    met = narrow.join(large, "group_key", "left")
+    rest = met.where("large_shard is null").drop("large_shard").join(sharded.select("group_key", "shard").hint("merge"), "group_key")
+    columns = ["doc_id", "size", "text_crc32", "shard"]
+    found = met.where("large_shard is not null").withColumnRenamed("large_shard", "shard").select(columns).unionByName(rest.select(columns))
+    found = materialize(found, "shard-placed")
+    release(narrow, groups, placed, sharded)
     return _numbered(found, rows, "shard", ["doc_id", "text_crc32"], "slot").select("doc_id", "size", "text_crc32", "shard", "slot")

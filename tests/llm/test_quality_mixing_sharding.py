@@ -192,6 +192,20 @@ def test_shards_are_packed_as_tight_as_naive_best_fit_allows():
     assert sharding.pack([], 8) == []
 
 
+def test_many_sizes_are_bisected_by_classes_and_packed_exactly():
+    rng = random.Random(8)
+    sizes = [rng.randrange(17, 1 << rng.randrange(6, 24)) for _ in range(30_000)]
+    assert len(set(sizes)) > 2 * sharding.EXACT_SIZES
+    classes = sharding._classes(histogram(sizes))
+    assert len(classes) < sharding.EXACT_SIZES and sum(n for _, n in classes) == len(sizes)
+    placed = sharding.pack(histogram(sizes), 40)
+    assert Counter(s for s, _, n in placed for _ in range(n)) == Counter(sizes)
+    load = Counter()
+    for size, which, number in placed:
+        load[which] += size * number
+    assert len(load) == 40 and max(load.values()) <= 1.003 * sum(sizes) / 40
+
+
 def test_shards_are_even_gapless_and_keep_groups(spark):
     rows = documents(3, 400)
     rows += [(5000 + i, "copy of a very common text " * 3, "en", "a", 1, 1, 1, "g", "x") for i in range(1500)]
@@ -211,9 +225,15 @@ def test_shards_are_even_gapless_and_keep_groups(spark):
         slots[r.shard].append(r.slot)
         of_text[data].add(r.shard)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    assert all(len(v) == 1 for k, v in of_text.items() if not k.startswith(b"copy of"))
-    largest = max(len((r[1] or "").encode()) for r in rows) + 16
-    assert set(load) == set(range(8)) and max(load.values()) <= max(largest, 1.03 * sum(load.values()) / 8)
+    assert all(len(v) == 1 for v in of_text.values())
+    of_group = Counter()
+    for r in found:
+        of_group[(text[r.doc_id] or "").encode() if r.doc_id is not None else b"?%d" % r.text_crc32] += r["size"]
+    (common, largest), (_, second) = of_group.most_common(2)
+    assert common.startswith(b"copy of") and largest > sum(load.values()) / 8
+    (shard,) = of_text[common]
+    assert set(load) == set(range(8)) and load[shard] == largest
+    assert max(v for k, v in load.items() if k != shard) <= max(second, 1.03 * (sum(load.values()) - largest) / 7)
 
 
 def test_empty_tables(spark):
