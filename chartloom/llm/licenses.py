@@ -1,7 +1,7 @@
 """License scan: TF-IDF cosine of headers and licence files to templates, then inheritance from the nearest directory.
 
-What is compared with the templates as sparse TF-IDF vectors: the lines of the whole text that use a licensing word, each alone and, where headers are wrapped, with its neighbours,
-and of licence files (told by name) the title, which is the first two blocks of lines, and the whole text.  Comment marks do not count.  A file that
+What is compared with the templates as sparse TF-IDF vectors: the lines of the whole text that use a licensing word, each alone and, where headers are wrapped, with its neighbours
+(long lines as a whole, and cut where sentences end or licence statements open), and of licence files (told by name) the title, which is the first two blocks of lines, and the whole text.  Comment marks do not count.  A file that
 is mostly licence statement, or a licence file, licenses its directory; a file without a statement of its own takes
 the licence of its nearest ancestor directory that has one.  All of it is DataFrame functions and joins.
 """
@@ -67,18 +67,35 @@ CUES = r"(?i)licen[sc]|permission is hereby|permission to use|redistribut|public
 LICENSE_NAMES = r"(?i)(?:^|/)(?:licen[sc]e|copying|unlicense|notice)(?:[.-][^/]*)?$"
 COMMENT_MARKS = r"""^[\s#/*;%!<>"'-]+|[\s*/<>-]+$"""
 MIN_COSINE, MIN_SHARE = 0.65, 0.3
-#: Most characters of a line that may be part of a wrapped statement; a longer line is compared alone.
+#: Most characters of a line that may be part of a wrapped statement; a longer line is compared alone and in parts.
 WRAPPED = 160
+#: What licence statements open with.
+OPENINGS = [
+    "Distributed under", "Licensed under", "Permission is hereby", "Permission to use", "Redistribution and use", "Released under",
+    "This Source Code Form", "This file is", "This library is", "This program is", "This project is", "This software is", "This work is",
+]
+#: Where a long line is cut, each with what stays of the match.
+CUTS = [(r"([.!?])[ \t]+", r"\1\n"), (r"[ \t]+((?:" + "|".join(OPENINGS) + r")[ \t])", r"\n\1")]
 
 
 def _statements(text: Column, licence_file: Column) -> Column:
     """What of a text is compared with the templates, without repeats."""
 
-    def around(lines: Column) -> Column:
+    def parts(line: Column) -> Column:
+        for pattern, stays in CUTS:
+            line = F.regexp_replace(line, pattern, stays.replace("\\1", "$1").replace("\\n", "\n"))
+        return F.split(line, "\n")
+
+    def windows(lines: Column) -> Column:
         cues = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(CUES))
         wrapped = lambda i: F.when(F.length(F.get(lines, i)) <= WRAPPED, F.get(lines, i))
         run = lambda i, a, b: F.when(F.length(F.get(lines, i)) <= WRAPPED, F.concat_ws(" ", *(wrapped(i + k) for k in range(a, b + 1))))
-        near = F.array_compact(F.flatten(F.transform(cues, lambda i: F.array(F.get(lines, i), run(i, -1, 0), run(i, 0, 1), run(i, -1, 1)))))
+        return F.array_compact(F.flatten(F.transform(cues, lambda i: F.array(F.get(lines, i), run(i, -1, 0), run(i, 0, 1), run(i, -1, 1)))))
+
+    def around(lines: Column) -> Column:
+        long = lambda x: F.length(x) > WRAPPED
+        cut = F.when(F.exists(lines, long), F.flatten(F.transform(lines, lambda x: F.when(long(x), parts(x)).otherwise(F.array(x))))).otherwise(lines)
+        near = F.concat(F.filter(lines, lambda x: long(x) & x.rlike(CUES)), let(cut, windows))
         blocks = F.transform(F.split(F.array_join(lines, "\n"), "\n\n+"), lambda x: F.btrim(F.translate(x, "\n", " ")))
         whole = F.when(licence_file, let(blocks, lambda b: F.array(F.concat_ws(" ", F.slice(b, 1, 2)), F.array_join(b, " ")))).otherwise(F.array().cast("array<string>"))
         return F.array_distinct(F.transform(F.concat(near, whole), lambda x: F.btrim(x)))
@@ -107,13 +124,14 @@ def score_statements(statements: DataFrame, templates: list[tuple[str, str]] = T
     """
     weights, idf = template_weights(statements.sparkSession, templates)
     unknown = F.log(F.lit(1.0 + len(templates))) + 1
-    counts = statements.select("statement", F.explode(_tokens(F.col("statement"))).alias("token")).groupBy("statement", "token").agg(F.count("*").alias("tf"))
+    keyed = statements.select(F.unhex(F.sha2("statement", 256)).alias("key"), "statement")  # a word's row carries the key, not a text that may be long
+    counts = keyed.select("key", F.explode(_tokens(F.col("statement"))).alias("token")).groupBy("key", "token").agg(F.count("*").alias("tf"))
     own = counts.join(F.broadcast(idf), "token", "left").withColumn("w", F.col("tf") * F.coalesce("idf", unknown))
-    norms = own.groupBy("statement").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = own.join(F.broadcast(weights), "token").groupBy("statement", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    scored = dots.join(norms, "statement").withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9))
-    best = scored.groupBy("statement").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("best"))
-    return best.select("statement", F.col("best.license").alias("license"), (-F.col("best.c")).alias("cosine"))
+    norms = own.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = own.join(F.broadcast(weights), "token").groupBy("key", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    scored = dots.join(norms, "key").withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9))
+    best = scored.groupBy("key").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("best"))
+    return keyed.join(best, "key").select("statement", F.col("best.license").alias("license"), (-F.col("best.c")).alias("cosine"))
 
 
 def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, id_column: str = "doc_id", text_column: str = "text", path_column: str = "path") -> DataFrame:

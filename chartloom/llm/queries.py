@@ -215,6 +215,9 @@ def _op3_sql() -> str:
     words = lambda x: f"list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
     spaced = lambda x: f"len(regexp_extract_all({x}, '[^\\x20\\x09-\\x0D]+'))"
     n = len(licenses.TEMPLATES)
+    cut = "x"
+    for pattern, stays in licenses.CUTS:
+        cut = f"regexp_replace({cut}, {quoted(pattern)}, {quoted(stays)}, 'g')".replace("\\n", "' || chr(10) || '")
     return f"""
 WITH templates(template, license, body) AS (VALUES {values}),
 template_counts AS (SELECT template, license, token, count(*) AS tf FROM (SELECT template, license, unnest({words('body')}) AS token FROM templates) GROUP BY ALL),
@@ -225,11 +228,13 @@ lines AS (
   SELECT doc_id, path, {spaced('text')} AS n_words, list_transform(string_split(text, chr(10)), lambda l: regexp_replace(l, {quoted(licenses.COMMENT_MARKS)}, '', 'g')) AS l
   FROM files WHERE regexp_matches(text, '{licenses.CUES}')
 ),
-near AS (SELECT doc_id, path, n_words, l, unnest(list_filter(range(1, len(l) + 1), lambda i: regexp_matches(l[i], '{licenses.CUES}'))) AS i FROM lines),
+parted AS (SELECT doc_id, path, n_words, flatten(list_transform(l, lambda x: CASE WHEN length(x) > {licenses.WRAPPED} THEN string_split({cut}, chr(10)) ELSE [x] END)) AS l FROM lines),
+near AS (SELECT doc_id, path, n_words, l, unnest(list_filter(range(1, len(l) + 1), lambda i: regexp_matches(l[i], '{licenses.CUES}'))) AS i FROM parted),
 stated AS (
   SELECT DISTINCT doc_id, path, n_words, trim(s, ' ') AS statement FROM (
     SELECT doc_id, path, n_words, unnest([m, CASE WHEN short THEN concat_ws(' ', b, m) END, CASE WHEN short THEN concat_ws(' ', m, a) END, CASE WHEN short THEN concat_ws(' ', b, m, a) END]) AS s
     FROM (SELECT *, l[i] AS m, length(l[i]) <= {licenses.WRAPPED} AS short, CASE WHEN i > 1 AND length(l[i - 1]) <= {licenses.WRAPPED} THEN l[i - 1] END AS b, CASE WHEN length(l[i + 1]) <= {licenses.WRAPPED} THEN l[i + 1] END AS a FROM near)
+    UNION ALL SELECT doc_id, path, n_words, unnest(list_filter(l, lambda x: length(x) > {licenses.WRAPPED} AND regexp_matches(x, '{licenses.CUES}'))) FROM lines
   )
 ),
 counts AS (SELECT statement, token, count(*) AS tf FROM (SELECT statement, unnest({words('statement')}) AS token FROM (SELECT DISTINCT statement FROM stated)) GROUP BY ALL),

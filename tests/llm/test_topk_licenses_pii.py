@@ -130,6 +130,39 @@ def test_wrapped_headers_and_licence_files(spark):
     assert found[300].license is found[301].license is found[302].license is None
 
 
+def test_statements_inside_long_lines(spark):
+    mit = next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 900)
+    apache = next(t for n, t in licenses.TEMPLATES if n == "Apache-2.0" and "you may not" in t)
+    words = "plain words of prose " * 10
+    rows = [
+        (1, f"{words}Released under the MIT License. {words}", "MIT"),
+        (2, f"{words.strip()}. {apache} {words}", "Apache-2.0"),
+        (3, f"Intro.\n# {mit}\n{words}", "MIT"),
+        (4, f"{words * 3000}This program is licensed under the GNU General Public License, version 2. {words * 3000}", "GPL-2.0"),
+        (5, f"{words} we talk about licensing at length. {words}", None),
+        (6, f"{words.strip()}! This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. {words}", "MPL-2.0"),
+    ]
+    docs = spark.createDataFrame([(i, f"a/{i}/x.txt", t) for i, t, _ in rows], "doc_id int, path string, text string")
+    assert {r.doc_id: r.license for r in licenses.scan(docs).collect()} == {i: name for i, _, name in rows}
+
+
+def test_scan_of_long_lines_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    from chartloom.llm import queries
+
+    words = "plain words of prose " * 10
+    texts = [t for _, t in licenses.TEMPLATES] + [f"{words}{t} {words}" for _, t in licenses.TEMPLATES] + [f"{words.strip()}. {t}\n{words}\n# {t}" for _, t in licenses.TEMPLATES] + [words, "", None]
+    rows = [(64 * i + j, t, "en", "ab"[i % 2]) for i, t in enumerate(texts) for j in range(1 + i % 2)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op3_licenses(spark, str(tmp_path))
+    with duckdb.connect() as db:
+        db.sql(f"create view documents as from '{tmp_path}/documents.parquet/*.parquet'")
+        told = db.sql(queries.oracle_sql()["op3_licenses"])
+        expected = sorted((tuple(r[told.columns.index(c)] for c in found.columns) for r in told.fetchall()), key=repr)
+    assert sorted((tuple(r) for r in found.collect()), key=repr) == expected and len(expected) == len(rows)
+
+
 def luhn(value):
     digits = [int(c) for c in value if c.isdigit()][::-1]
     return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(digits)) % 10 == 0
