@@ -1,15 +1,15 @@
 """Near duplicates by the Jaccard similarity of their shingles, complete above a least similarity.
 
-At 64 bits a Hamming radius that reaches a similarity of 0.8 is about a third of the fingerprint, which leaves keys of two or three
-bits.  Candidates therefore come from a prefix filter over the shingles in one global order (hash, frequent shingles last): of two sets with
+Candidates come from SimHash: a 1,024-bit fingerprint, equal segments, pigeonring chains and a Hamming radius that reaches the similarity (``wide_simhash``).  Some one pair in a hundred of those just at 0.8 has no segment
+in common, so what is left in different components is then looked at by bounds that lose nothing: a prefix filter over the shingles in one global order (hash, frequent shingles last).  Of two sets with
 ``J >= t``, both have one of the other's shingles among their first ``n - ceil(t * n) + 1``, and they share so many of these that the rest of the
-smaller could make up the overlap.  A 1,024-bit fingerprint holds the parity of the hashes at each bit: two fingerprints differ in no more bits than the sets
-in shingles, so the similarity sets a Hamming radius.  Candidates pass the pigeonring filter for that radius: on the ring of the fingerprint's 64-bit segments
-some chain of consecutive segments must keep within its share of the radius at each of its lengths; then the whole distance is looked at.  These bounds lose nothing; the exact
-Jaccard similarity of what they leave decides.  Shingles count as equal when their 64-bit hashes are equal.
+smaller could make up the overlap.  A 1,024-bit parity fingerprint holds the parity of the hashes at each bit: two of them differ in no more bits than the sets
+in shingles, so the similarity sets a Hamming radius that is exact.  All candidates pass the pigeonring filter for that radius: on the ring of its 64-bit segments
+some chain of consecutive segments must keep within its share of the radius at each of its lengths; then the whole distance is looked at.  The exact
+Jaccard similarity of what the bounds leave decides.  Shingles count as equal when their 64-bit hashes are equal.
 
-Equal sets are one node (named by 64 bits of a 128-bit digest).  Members of a shingle's group are compared with one node first, the one that shares most; only pairs that this leaves in different
-components are looked at in full, so a large group of near copies is not squared.  Texts travel only for pairs that passed all bounds.
+Equal sets are one node (named by 64 bits of a 128-bit digest).  Of a shingle's group only pairs that SimHash left in different components are looked at, so a large group of near copies is not squared.
+Texts travel only for pairs that passed all bounds.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chartloom.llm import wide_simhash
 from chartloom.llm.components import connected_components
 from chartloom.llm.shared import let, materialize, release
 
@@ -94,9 +95,9 @@ _WORDS = [f"p{i}" for i in range(SEGMENTS)]
 
 
 def _features(given: DataFrame, shingle: int, percent: int, last: Sequence[int]) -> DataFrame:
-    """(digest, doc_id, n, prefix, p0, p1, ...) of each row with a word."""
+    """(digest, doc_id, n, prefix, simhash, p0, p1, ...) of each row with a word."""
     frequent = np.sort(np.array(last, dtype=np.int64))
-    names = ["digest", "doc_id", "n", "prefix", *_WORDS]
+    names = ["digest", "doc_id", "n", "prefix", "simhash", *_WORDS]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,11 +110,13 @@ def _features(given: DataFrame, shingle: int, percent: int, last: Sequence[int])
                 prefixes = [_prefix(sets[i], percent, frequent) for i in rows]
                 bounds = np.cumsum([0, *map(len, prefixes)])
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(prefixes), pa.int64()))
+                prints = np.concatenate([wide_simhash.fingerprint_of(sets[i]) for i in rows])
+                wide = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * wide_simhash.WORDS, pa.int32()), pa.array(prints, pa.int64()))
                 parity = np.array([parity_of(sets[i]) for i in rows])
-                columns = [pa.array([digest_of(sets[i]) for i in rows], pa.binary()), pa.array([ids[i] for i in rows], pa.int64()), pa.array([len(sets[i]) for i in rows], pa.int32()), lists]
+                columns = [pa.array([digest_of(sets[i]) for i in rows], pa.binary()), pa.array([ids[i] for i in rows], pa.int64()), pa.array([len(sets[i]) for i in rows], pa.int32()), lists, wide]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(parity[:, k].copy(), pa.int64()) for k in range(SEGMENTS)], names)
 
-    return given.mapInArrow(work, "digest binary, doc_id bigint, n int, prefix array<bigint>, " + ", ".join(f"{w} bigint" for w in _WORDS))
+    return given.mapInArrow(work, "digest binary, doc_id bigint, n int, prefix array<bigint>, simhash array<bigint>, " + ", ".join(f"{w} bigint" for w in _WORDS))
 
 
 def _radius(percent: int) -> Column:
@@ -198,25 +201,20 @@ def similar_components(docs: DataFrame, shingle: int = 5, percent: int = 80) ->
     often = sample.groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") > FREQUENT)
     last = [r.token for r in often.orderBy(F.desc("k"), "token").limit(MOST_FREQUENT).collect()]  # decides the order only
 
-    single = _features(given, shingle, percent, last).groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "prefix", *_WORDS)))
+    single = _features(given, shingle, percent, last).groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "prefix", "simhash", *_WORDS)))
     nodes = materialize(single.withColumn("node", F.xxhash64("digest")).withColumn("fingerprint", F.struct(*_WORDS)).drop(*_WORDS), "similar-nodes")
 
+    prints = nodes.select("node", F.struct("n", "simhash", "fingerprint").alias("prints"))
+    met = _with_both(wide_simhash.candidates(nodes, percent), prints, "prints", "ga", "gb").where(wide_simhash.within_radius(F.col("ga.simhash"), F.col("gb.simhash"), percent))
+    met = met.select("a", "b", F.col("ga.n").alias("na"), F.col("gb.n").alias("nb"), F.col("ga.fingerprint").alias("fa"), F.col("gb.fingerprint").alias("fb"))
+    near = materialize(met.where(_within_chains(percent)).select("a", "b"), "similar-near")
+    links = _verified(near, given, nodes, shingle, percent)
+    release(near)
+
     tokens = nodes.select("node", "n", F.explode("prefix").alias("token"))
     repeated = tokens.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
-    shared = materialize(tokens.join(repeated.hint("merge"), "token"), "similar-tokens")
-
+    shared = materialize(tokens.join(repeated.hint("merge"), "token").drop("k"), "similar-tokens")
     ends = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
-    # the centre of a shingle's group: the node that shares most with others, as an original does among its edited copies
-    scores = shared.groupBy("node").agg(F.sum("k").alias("score"))
-    scored = shared.join(scores.hint("merge"), "node")
-    centres = scored.groupBy("token").agg(F.max_by(F.struct("node", "n"), F.struct("score", "node")).alias("first"))
-    stars = shared.join(centres.hint("merge"), "token").select(F.col("first.node").alias("x"), F.col("first.n").alias("na"), F.col("node").alias("y"), F.col("n").alias("nb")).where("x <> y")
-    stars = stars.where(_sizes_fit(percent)).groupBy("x", "y", "na", "nb").agg(F.count("*").alias("k"))
-    stars = materialize(stars.where(F.col("k") * 4 >= _least_shared(percent)).select(*ends, "na", "nb"), "similar-stars")
-    near = materialize(_with_both(stars, nodes, "fingerprint", "fa", "fb").where(_within_chains(percent)).select("a", "b").distinct(), "similar-near")
-    links = _verified(near, given, nodes, shingle, percent)
-    release(stars, near)
-
     members = connected_components(links)
     placed = materialize(shared.join(members.hint("merge"), "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("c")), "similar-placed")
     release(shared)
