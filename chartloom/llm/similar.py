@@ -188,6 +188,22 @@ def _verified(pairs: DataFrame, given: DataFrame, nodes: DataFrame, shingle: int
     return links
 
 
+def _linked(pairs: DataFrame, given: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that SimHash found and that are similar."""
+    prints = nodes.select("node", F.struct("n", "simhash", "fingerprint").alias("prints"))
+    met = _with_both(pairs, prints, "prints", "ga", "gb").where(wide_simhash.within_radius(F.col("ga.simhash"), F.col("gb.simhash"), percent))
+    met = met.select("a", "b", F.col("ga.n").alias("na"), F.col("gb.n").alias("nb"), F.col("ga.fingerprint").alias("fa"), F.col("gb.fingerprint").alias("fb"))
+    near = materialize(met.where(_within_chains(percent)).select("a", "b"), "similar-near")
+    links = _verified(near, given, nodes, shingle, percent)
+    release(near)
+    return links
+
+
+def _stars(members: DataFrame) -> DataFrame:
+    """Links (a, b) that give the components of ``members`` again."""
+    return members.select(F.col("component").alias("a"), F.col("node").alias("b"))
+
+
 def similar_components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """Every row's ``(doc_id, component_id)``: the smallest id reachable over links of a Jaccard similarity of ``percent`` or more.
 
@@ -204,12 +220,10 @@ def similar_components(docs: DataFrame, shingle: int = 5, percent: int = 80) ->
     single = _features(given, shingle, percent, last).groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "prefix", "simhash", *_WORDS)))
     nodes = materialize(single.withColumn("node", F.xxhash64("digest")).withColumn("fingerprint", F.struct(*_WORDS)).drop(*_WORDS), "similar-nodes")
 
-    prints = nodes.select("node", F.struct("n", "simhash", "fingerprint").alias("prints"))
-    met = _with_both(wide_simhash.candidates(nodes, percent), prints, "prints", "ga", "gb").where(wide_simhash.within_radius(F.col("ga.simhash"), F.col("gb.simhash"), percent))
-    met = met.select("a", "b", F.col("ga.n").alias("na"), F.col("gb.n").alias("nb"), F.col("ga.fingerprint").alias("fa"), F.col("gb.fingerprint").alias("fb"))
-    near = materialize(met.where(_within_chains(percent)).select("a", "b"), "similar-near")
-    links = _verified(near, given, nodes, shingle, percent)
-    release(near)
+    nearest = wide_simhash.candidates(nodes, percent, every=wide_simhash.FIRST_EVERY)
+    members = connected_components(_linked(nearest, given, nodes, shingle, percent))  # large groups of near copies
+    known = nodes.join(members.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    links = _linked(wide_simhash.candidates(known, percent), given, nodes, shingle, percent).unionByName(_stars(members))
 
     tokens = nodes.select("node", "n", F.explode("prefix").alias("token"))
     repeated = tokens.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
@@ -227,11 +241,12 @@ def similar_components(docs: DataFrame, shingle: int = 5, percent: int = 80) ->
     rest = rest.select(*ends, F.least("na", "nb").alias("na"), F.greatest("na", "nb").alias("nb")).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"))
     rest = materialize(rest.where(F.col("k") >= _least_shared(percent)).select("a", "b"), "similar-rest")
     release(placed, open_)
-    both = links.unionByName(_verified(rest, given, nodes, shingle, percent))
+    both = _verified(rest, given, nodes, shingle, percent).unionByName(_stars(members))
 
     of_set = materialize(marked.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).withColumn("node", F.xxhash64("digest")), "similar-sets")
     release(nodes, rest)
     found = of_set.join(connected_components(both).hint("merge"), "node", "left").select("digest", "doc_id", F.coalesce("component", "node").alias("component"))
-    least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # written, so that both sides of the join are shuffled as they are and Spark can split what a large component has
+    least = materialize(found.groupBy("component").agg(F.min("doc_id").alias("component_id")), "similar-least")
     of_digest = found.select("digest", "component").join(least.hint("merge"), "component").select("digest", "component_id")
     return marked.join(of_digest.hint("merge"), "digest").select("doc_id", "component_id")

@@ -7,8 +7,9 @@ The fingerprint is cut into 64 segments of 16 bits on a ring.  Sets meet where a
 filter must hold from there: every chain of consecutive segments keeps within its share of the radius.  Then the whole Hamming distance is looked at.  The caller checks the similarity itself,
 and finds by other bounds what has no segment in common.
 
-The sets that share a segment stand in the order of the segments that follow, and each meets the ``KEY_ROWS`` before it and keeps the nearest that fit; of all its partners it keeps those of most segments.  So a large group of
-near copies is linked along its likest members and never squared.
+The sets that share a segment stand in the order of the segments that follow, and each looks at the ``KEY_ROWS`` before it and takes the nearest that fits as its partner.  So a large group of near copies, or of texts
+nearly that like, gives at most one pair for each member and segment, is linked along its likest members and never squared.  Sets that are known to be linked do not meet: the caller first asks in some of the segments
+(``every``), then in all with the components so far, where the members of a large group no longer take each other's places and each set's partner is of another component.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from pyspark.sql.window import Window
 
 BITS, SEGMENT = 1024, 16
 WORDS, SEGMENTS = BITS // 64, BITS // SEGMENT
-#: Sets before it in a segment's order that a set meets; of those that fit, how many it keeps there (the nearest) and in all (those of most segments).
-KEY_ROWS, NEAREST, PARTNERS = 64, 8, 32
+#: Sets before it in a segment's order among which a set looks for its partner; partners that a set takes at most, one in each segment.
+KEY_ROWS, PARTNERS = 64, SEGMENTS
+#: Before components are known, sets meet in the segments of a multiple of this.
+FIRST_EVERY = 4
 #: Deviations beyond the mean that the radius allows; what small sets may differ more, as their ties are no set bits.
 DEVIATIONS, TIES = 6, 0.04
 #: Hashes counted at a time: their sum fits a byte.
@@ -52,47 +55,47 @@ def radius(percent: int) -> int:
     return ceil(BITS * (apart + TIES) + DEVIATIONS * sqrt(BITS * apart * (1 - apart)))
 
 
-def _keyed(nodes: DataFrame) -> DataFrame:
-    """(key, node, n, after): a row for each segment of a set; ``after`` holds the four segments that follow it on the ring."""
+def _keyed(nodes: DataFrame, every: int) -> DataFrame:
+    """(key, node, component, n, after): a row for each segment of a set that is a multiple of ``every``; ``after`` holds the four segments that follow it on the ring."""
+    own = np.arange(0, SEGMENTS, every)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ring = batch.column(2).flatten().to_numpy().view("<u2").reshape(-1, SEGMENTS).astype(np.uint64)
+            ring = batch.column(3).flatten().to_numpy().view("<u2").reshape(-1, SEGMENTS).astype(np.uint64)
             keys = (np.arange(SEGMENTS, dtype=np.uint64) << np.uint64(SEGMENT)) | ring
             after = sum(np.roll(ring, -k, axis=1) << np.uint64(SEGMENT * (k - 1)) for k in range(1, 5))
-            node, n = (np.repeat(batch.column(i).to_numpy(), SEGMENTS) for i in (0, 1))
-            columns = [keys.ravel().view(np.int64), node, n, after.ravel().view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "n", "after"])
+            node, component, n = (np.repeat(batch.column(i).to_numpy(), len(own)) for i in range(3))
+            columns = [keys[:, own].ravel().view(np.int64), node, component, n, after[:, own].ravel().view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "component", "n", "after"])
 
-    return nodes.select("node", "n", "simhash").mapInArrow(work, "key bigint, node bigint, n int, after bigint")
+    return nodes.select("node", "component", "n", "simhash").mapInArrow(work, "key bigint, node bigint, component bigint, n int, after bigint")
 
 
 def _meets(row: Column, earlier: Column, percent: int) -> Column:
-    """Sizes that fit; and from the equal segment on, each chain of the following segments keeps within its share of the radius."""
+    """Components that differ and sizes that fit; and from the equal segment on, each chain of the following segments keeps within its share of the radius."""
     apart, share = row["after"].bitwiseXOR(earlier["after"]), radius(percent) / SEGMENTS
-    fits = F.least(row["n"], earlier["n"]) * 100 >= F.greatest(row["n"], earlier["n"]) * percent
+    fits = (row["component"] != earlier["component"]) & (F.least(row["n"], earlier["n"]) * 100 >= F.greatest(row["n"], earlier["n"]) * percent)
     for length in range(1, 5):
         part = apart.bitwiseAND(F.lit((1 << SEGMENT * length) - 1)) if length < 4 else apart
         fits = fits & (F.bit_count(part) <= int(share * (length + 1)))
     return fits
 
 
-def candidates(nodes: DataFrame, percent: int) -> DataFrame:
+def candidates(nodes: DataFrame, percent: int, every: int = 1) -> DataFrame:
     """Distinct pairs (a, b), a < b, of ``nodes`` (node, n shingles, simhash as an array of longs) that meet in a segment and keep the chains from there.
 
-    Of the sets before it in a segment's order a set keeps the ``NEAREST`` that fit, and of all its partners the ``PARTNERS`` that it meets in most segments; a pair stays if it is among these of either.
+    Of the sets before it in a segment's order a set takes the nearest that fits.  Sets of one ``component`` (a further column, where something is known) do not meet.
     """
-    row = F.struct("node", "n", "after")
+    if "component" not in nodes.columns:
+        nodes = nodes.withColumn("component", F.col("node"))
+    row = F.struct("node", "component", "n", "after")
     before = Window.partitionBy("key").orderBy("after", "node").rowsBetween(-KEY_ROWS, -1)
-    sized = _keyed(nodes).select(row.alias("row"), F.collect_list(row).over(before).alias("earlier"))
-    fitting = F.reverse(F.filter("earlier", lambda e: _meets(F.col("row"), e, percent))["node"])  # the nearest first
-    near = sized.select(F.col("row.node").alias("x"), F.explode(F.slice(fitting, 1, NEAREST)).alias("y"))
-    pairs = near.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("k"))
-    ends = pairs.select("k", F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e")).select("k", "e.*")
-    best = ends.withColumn("nth", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("k"), "y"))).where(F.col("nth") <= PARTNERS)
-    return best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    sized = _keyed(nodes, every).select(row.alias("row"), F.collect_list(row).over(before).alias("earlier"))
+    fitting = F.filter("earlier", lambda e: _meets(F.col("row"), e, percent))["node"]  # the nearest is the last
+    met = sized.select(F.col("row.node").alias("x"), F.try_element_at(fitting, F.lit(-1)).alias("y")).where("y is not null")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def within_radius(a: Column, b: Column, percent: int) -> Column:

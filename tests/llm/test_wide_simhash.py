@@ -71,3 +71,21 @@ def test_a_large_group_of_near_copies_is_linked_and_not_squared(spark):
         found = {x for p in pairs if reached & set(p) for x in p} - reached
         reached |= found
     assert reached == set(texts)
+
+
+def group_of(spark, components):
+    """Sets 0, 1, ... of these components, whose fingerprints agree in the first five segments and nowhere else."""
+    rng = random.Random(7)
+    signed = lambda word: word - 2**64 if word >> 63 else word
+    rows = [(i, c, 100, [0, *(signed(rng.getrandbits(64) & (2**64 - 2**16 if k == 0 else -1)) for k in range(15))]) for i, c in enumerate(components)]
+    return spark.createDataFrame(rows, "node bigint, component bigint, n int, simhash array<bigint>")
+
+
+def test_a_group_gives_at_most_a_pair_for_each_member_and_segment(spark):
+    pairs = wide_simhash.candidates(group_of(spark, range(200)), 80).collect()
+    assert {(i, i + 1) for i in range(199)} <= {(r.a, r.b) for r in pairs} and len(pairs) <= 199 * 6
+
+
+def test_members_of_a_component_do_not_take_each_others_places(spark):
+    pairs = wide_simhash.candidates(group_of(spark, [0, *[1] * 20]), 80).collect()
+    assert {(r.a, r.b) for r in pairs} == {(0, i) for i in range(1, 21)}
