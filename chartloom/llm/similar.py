@@ -220,10 +220,10 @@ def similar_components(docs: DataFrame, shingle: int = 5, percent: int = 80) ->
     single = _features(given, shingle, percent, last).groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "prefix", "simhash", *_WORDS)))
     nodes = materialize(single.withColumn("node", F.xxhash64("digest")).withColumn("fingerprint", F.struct(*_WORDS)).drop(*_WORDS), "similar-nodes")
 
-    nearest = wide_simhash.candidates(nodes, percent, every=wide_simhash.FIRST_EVERY)
+    nearest = wide_simhash.candidates(nodes, percent, wide_simhash.FIRST)
     members = connected_components(_linked(nearest, given, nodes, shingle, percent))  # large groups of near copies
     known = nodes.join(members.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    links = _linked(wide_simhash.candidates(known, percent), given, nodes, shingle, percent).unionByName(_stars(members))
+    links = _linked(wide_simhash.candidates(known, percent, wide_simhash.LATER), given, nodes, shingle, percent).unionByName(_stars(members))
 
     tokens = nodes.select("node", "n", F.explode("prefix").alias("token"))
     repeated = tokens.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")

@@ -9,12 +9,12 @@ and finds by other bounds what has no segment in common.
 
 The sets that share a segment stand in the order of the segments that follow, and each looks at the ``KEY_ROWS`` before it and takes the nearest that fits as its partner.  So a large group of near copies, or of texts
 nearly that like, gives at most one pair for each member and segment, is linked along its likest members and never squared.  Sets that are known to be linked do not meet: the caller first asks in some of the segments
-(``every``), then in all with the components so far, where the members of a large group no longer take each other's places and each set's partner is of another component.
+(``FIRST``), then in the others with the components so far, where the members of a large group no longer take each other's places and each set's partner is of another component.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from math import acos, ceil, pi, sqrt
 
 import numpy as np
@@ -27,8 +27,9 @@ BITS, SEGMENT = 1024, 16
 WORDS, SEGMENTS = BITS // 64, BITS // SEGMENT
 #: Sets before it in a segment's order among which a set looks for its partner; partners that a set takes at most, one in each segment.
 KEY_ROWS, PARTNERS = 64, SEGMENTS
-#: Before components are known, sets meet in the segments of a multiple of this.
-FIRST_EVERY = 4
+#: Segments in which sets meet before components are known, and after: each segment's rows are shuffled once.
+FIRST = range(0, SEGMENTS, 8)
+LATER = [k for k in range(SEGMENTS) if k not in FIRST]
 #: Deviations beyond the mean that the radius allows; what small sets may differ more, as their ties are no set bits.
 DEVIATIONS, TIES = 6, 0.04
 #: Hashes counted at a time: their sum fits a byte.
@@ -55,9 +56,9 @@ def radius(percent: int) -> int:
     return ceil(BITS * (apart + TIES) + DEVIATIONS * sqrt(BITS * apart * (1 - apart)))
 
 
-def _keyed(nodes: DataFrame, every: int) -> DataFrame:
-    """(key, node, component, n, after): a row for each segment of a set that is a multiple of ``every``; ``after`` holds the four segments that follow it on the ring."""
-    own = np.arange(0, SEGMENTS, every)
+def _keyed(nodes: DataFrame, segments: Sequence[int]) -> DataFrame:
+    """(key, node, component, n, after): a row for each segment of a set among ``segments``; ``after`` holds the four segments that follow it on the ring."""
+    own = np.array(segments)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,8 +84,8 @@ def _meets(row: Column, earlier: Column, percent: int) -> Column:
     return fits
 
 
-def candidates(nodes: DataFrame, percent: int, every: int = 1) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of ``nodes`` (node, n shingles, simhash as an array of longs) that meet in a segment and keep the chains from there.
+def candidates(nodes: DataFrame, percent: int, segments: Sequence[int] = range(SEGMENTS)) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of ``nodes`` (node, n shingles, simhash as an array of longs) that meet in one of the segments and keep the chains from there.
 
     Of the sets before it in a segment's order a set takes the nearest that fits.  Sets of one ``component`` (a further column, where something is known) do not meet.
     """
@@ -92,7 +93,7 @@ def candidates(nodes: DataFrame, percent: int, every: int = 1) -> DataFrame:
         nodes = nodes.withColumn("component", F.col("node"))
     row = F.struct("node", "component", "n", "after")
     before = Window.partitionBy("key").orderBy("after", "node").rowsBetween(-KEY_ROWS, -1)
-    sized = _keyed(nodes, every).select(row.alias("row"), F.collect_list(row).over(before).alias("earlier"))
+    sized = _keyed(nodes, segments).select(row.alias("row"), F.collect_list(row).over(before).alias("earlier"))
     fitting = F.filter("earlier", lambda e: _meets(F.col("row"), e, percent))["node"]  # the nearest is the last
     met = sized.select(F.col("row.node").alias("x"), F.try_element_at(fitting, F.lit(-1)).alias("y")).where("y is not null")
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
