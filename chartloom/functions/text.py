@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from chartloom import dims
 
 _SPACE = r"(?U)[\s\x1c-\x1f]"
+#: A text of visible ASCII and Latin characters with single spaces between its words, or nothing: cleaning leaves it as it is.
+_PLAIN = r"\A(?:[!-~\xa1-\u024f]++(?: [!-~\xa1-\u024f]++)*+)?\z"
 
 
 def _accent_table() -> tuple[str, str, dict[str, str]]:
@@ -48,8 +50,11 @@ def clean_text(value: Column) -> Column:
 
 
 def inline(value: Column) -> Column:
-    """Cleaned text on one line; spaces that this brings together stay.  Cleaned text ends with no line feed, so nothing is left to strip."""
-    return F.translate(clean_text(value), "\n", " ")
+    """Cleaned text on one line; spaces that this brings together stay.  Cleaned text ends with no line feed, so nothing is left to strip.
+
+    Most values are clean, which one pattern tells; only the others go through all steps.
+    """
+    return let(value, lambda x: F.when(x.rlike(_PLAIN), x).otherwise(F.translate(clean_text(x), "\n", " ")))
 
 
 def without_accents(value: Column) -> Column:
@@ -59,13 +64,14 @@ def without_accents(value: Column) -> Column:
         out = x
         for c in "ﬁﬂ":
             out = F.replace(out, F.lit(c), F.lit(_SEVERAL[c]))
-        return F.when(x.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(out, _FROM, _TO), r"\p{M}+", "")).otherwise(x)
+        return F.when(F.length(x) == F.octet_length(x), x).otherwise(F.regexp_replace(F.translate(out, _FROM, _TO), r"\p{M}+", ""))
 
     return let(value, plain)
 
 
 def key(line: Column) -> Column:
-    return F.btrim(F.regexp_replace(without_accents(F.lower(line)), "[^a-z0-9]+", "_"), F.lit("_"))
+    joined = F.regexp_replace(without_accents(F.lower(line)), "[^a-z0-9]+", "_")
+    return let(joined, lambda x: F.when(x.startswith("_") | x.endswith("_"), F.btrim(x, F.lit("_"))).otherwise(x))
 
 
 def label(value: Column) -> Column:
@@ -85,7 +91,8 @@ _FURNITURE = "|".join(dims.BOILERPLATE)
 
 
 def is_boilerplate(value: Column) -> Column:
-    return is_furniture_label(label(value))
+    """Whether a text names furniture of the page; a label has no more bytes than its text, so shorter ones than every name are not labelled."""
+    return F.when(F.octet_length(value) < min(map(len, dims.BOILERPLATE)), False).otherwise(is_furniture_label(label(value)))
 
 
 def is_furniture_label(key: Column) -> Column:
@@ -134,12 +141,18 @@ def ocr_analyte(value: Column) -> Column:
     """Name of an analyte without the usual misreadings."""
     # Misreadings and their repair.
     repairs = [(r"\(Moles/volume\]", "[Moles/volume]"), (r"\bPinema\b", "Plasma"), (r"\bP Plasma\b", "Plasma"), (r"\bJanv\b", ""), (r"\b(?:ae|ys|FANG|earns|seni)\b", ""), (r"^Automated count\s+", ""), (r"\bra\b$", "")]
-    out = inline(value)
-    for pattern, repair in repairs:
-        out = F.regexp_replace(out, f"(?iu){pattern}", repair)
-    for pattern, repair in ((r"\s{2,}", " "), (r"\s+\]", "]"), (r"\[\s+", "["), (r"\s+([,/])", "$1")):
-        out = F.regexp_replace(out, pattern, repair)
-    return F.coalesce(F.btrim(out, F.lit(" -:;,./")), F.lit(""))
+    spaces = [(r"\s{2,}", " "), (r"\s+\]", "]"), (r"\[\s+", "["), (r"\s+([,/])", "$1")]
+
+    def repaired(out: Column) -> Column:
+        for pattern, repair in repairs:
+            out = F.regexp_replace(out, f"(?iu){pattern}", repair)
+        for pattern, repair in spaces:
+            out = F.regexp_replace(out, pattern, repair)
+        return out
+
+    # a name in which nothing is to be repaired is looked at once
+    some = "(?iu)" + "|".join(pattern for pattern, _ in repairs + spaces)
+    return F.coalesce(F.btrim(let(inline(value), lambda x: F.when(x.rlike(some), repaired(x)).otherwise(x)), F.lit(" -:;,./")), F.lit(""))
 
 
 def labelled_value(line: Column, pattern: str) -> Column:

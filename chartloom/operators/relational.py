@@ -19,6 +19,14 @@ def _order(*columns: str | Column) -> Column:
     return F.struct(*columns)
 
 
+def worked_out(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is worked out once a row.
+
+    A column of ``withColumn`` is repeated in every filter that uses it, as filters move below the step that makes it; nothing moves below a generator.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key by ``order`` (null keys are one key); one shuffle with map-side combining."""
     rest = [c for c in df.columns if c not in keys]
@@ -89,11 +97,11 @@ def ranked_dedup(df: DataFrame, keys: list[str], rank: list[Column], ordinal: st
 
 
 def fallback_union(relations: list[DataFrame], key: str) -> DataFrame:
-    """Per key the rows of the first relation that has any; ``tier`` tells which (1 the first)."""
+    """Per key the rows of the first relation that has any; ``tier`` tells which (1 the first).  Rows without a key fall out."""
     tiers = [r.withColumn("tier", F.lit(i + 1)) for i, r in enumerate(relations)]
-    everything = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tiers)
-    best = reduce(lambda a, b: a.union(b), [r.select(key, "tier") for r in tiers]).groupBy(key).agg(F.min("tier").alias("_best"))
-    return everything.join(best, key).where("tier = _best").drop("_best")
+    everything = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tiers).where(F.col(key).isNotNull())
+    # a window, so that no relation is worked out a second time to learn which keys it has
+    return everything.withColumn("_best", F.min("tier").over(Window.partitionBy(key))).where("tier = _best").drop("_best")
 
 
 def look_up(df: DataFrame, dimension: DataFrame, on: list[tuple[str, str]], values: dict[str, object], order: list[str] | None = None) -> DataFrame:

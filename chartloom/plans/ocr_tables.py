@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.functions import identity, parse, text
+from chartloom.operators import relational as rel
 from chartloom.plans import tables
 
 # Labels that open and close the results band, words that do not begin a row, words after which a name goes on, beginnings of header lines.
@@ -27,10 +28,10 @@ def results_band(lines: Column) -> Column:
     marked = F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"), text.label(x).alias("k")))
 
     def cut(m: Column) -> Column:
-        start = F.array_min(F.transform(F.filter(m, lambda r: r["k"].contains(BAND_START)), lambda r: r["i"]))
-        stop = F.array_min(F.transform(F.filter(m, lambda r: (r["i"] > start) & r["k"].rlike(BAND_STOPS)), lambda r: r["i"]))
-        inside = F.filter(m, lambda r: (r["i"] > start) & (r["i"] < F.coalesce(stop, F.size(m))))
-        return F.coalesce(F.transform(inside, lambda r: r["x"]), F.array().cast("array<string>"))
+        first = lambda fits: F.array_min(F.transform(F.filter(m, fits), lambda r: r["i"]))
+        ends = lambda start: F.struct(start.alias("start"), F.coalesce(first(lambda r: (r["i"] > start) & r["k"].rlike(BAND_STOPS)), F.size(m)).alias("stop"))
+        inside = lambda e: F.transform(F.filter(m, lambda r: (r["i"] > e["start"]) & (r["i"] < e["stop"])), lambda r: r["x"])
+        return F.coalesce(text.let(text.let(first(lambda r: r["k"].contains(BAND_START)), ends), inside), F.array().cast("array<string>"))
 
     return text.let(marked, cut)
 
@@ -49,18 +50,26 @@ def begins_row(line: Column) -> Column:
 def _before_date(main: Column) -> Column:
     """struct(head, reference, flag): what stands before a row's date; head is null without a reference."""
     trimmed = F.regexp_replace(F.regexp_replace(main, _DATE, ""), r"[\s:;,.]+$", "")
-    flag = F.nullif(F.regexp_extract(trimmed, r"\b([HL])$", 1), F.lit(""))
-    bare = F.when(flag.isNotNull(), F.regexp_replace(trimmed, r"\s*\b[HL]$", "")).otherwise(F.regexp_replace(trimmed, r"[\s:;,.\\/-]+$", ""))
-    reference = F.nullif(F.regexp_extract(bare, _RANGE, 1), F.lit(""))
-    head = F.when(reference.isNotNull(), text.strip(F.regexp_replace(bare, _RANGE, "")))
-    return F.struct(head.alias("head"), text.inline(reference).alias("reference"), F.coalesce(flag, F.lit("-")).alias("flag"))
+
+    def unflagged(t: Column) -> Column:
+        flagged = lambda flag: F.when(flag != "", F.regexp_replace(t, r"\s*\b[HL]$", "")).otherwise(F.regexp_replace(t, r"[\s:;,.\\/-]+$", ""))
+        return text.let(F.regexp_extract(t, r"\b([HL])$", 1), lambda flag: F.struct(flag.alias("flag"), flagged(flag).alias("bare")))
+
+    def ranged(x: Column) -> Column:
+        def parts(reference: Column) -> Column:
+            head = F.when(reference != "", text.strip(F.regexp_replace(x["bare"], _RANGE, "")))
+            return F.struct(head.alias("head"), text.inline(F.nullif(reference, F.lit(""))).alias("reference"), F.coalesce(F.nullif(x["flag"], F.lit("")), F.lit("-")).alias("flag"))
+
+        return text.let(F.regexp_extract(x["bare"], _RANGE, 1), parts)
+
+    return text.let(text.let(trimmed, unflagged), ranged)
 
 
 def _expects_more(row: Column) -> Column:
     """Whether a row's name, up to its value, ends with a word after which names go on."""
-    head = _before_date(F.concat_ws(" ", row["prefix"], row["main"]))["head"]
-    name = F.coalesce(F.nullif(F.regexp_extract(head, rf"^(.*?)\s+{_NUMBER}(?:\s+(?!{_NUMBER}(?:\s|$))\S+)*$", 1), F.lit("")), head)
-    return F.coalesce(F.element_at(F.split(text.label(name), "_"), -1).isin(*UNFINISHED), F.lit(False))
+    name = lambda head: F.coalesce(F.nullif(F.regexp_extract(head, rf"^(.*?)\s+{_NUMBER}(?:\s+(?!{_NUMBER}(?:\s|$))\S+)*$", 1), F.lit("")), head)
+    named = text.let(_before_date(F.concat_ws(" ", row["prefix"], row["main"]))["head"], name)
+    return F.coalesce(F.element_at(F.split(text.label(named), "_"), -1).isin(*UNFINISHED), F.lit(False))
 
 
 def assembled(lines: Column) -> Column:
@@ -92,12 +101,12 @@ def assembled(lines: Column) -> Column:
 def result_rows(pages: DataFrame) -> DataFrame:
     """pages(doc_id, page_number, lines) to one results record per row, numbers repaired against their range, with what was changed."""
     rows = pages.select("doc_id", "page_number", F.posexplode(assembled(results_band(F.col("lines")))).alias("row", "r"))
-    rows = rows.withColumn("b", _before_date(F.col("r.main"))).where("b.head is not null")
+    rows = rel.worked_out(rows, "b", _before_date(F.col("r.main"))).where("b.head is not null")
     pattern = rf"^(.*\S)\s+({_NUMBER})\s+(\S.*)$"
     part = lambda i: F.nullif(F.regexp_extract("b.head", pattern, i), F.lit(""))
     name = text.ocr_analyte(F.concat_ws(" ", F.nullif("r.prefix", F.lit("")), part(1), F.nullif("r.suffix", F.lit(""))))
-    rows = rows.where(~F.col("b.head").rlike(rf"(?:^|\s){_NUMBER}$")).select(
-        "doc_id", "page_number", "row", name.alias("analyte"), part(2).alias("value"), F.coalesce(parse.normalize_unit(part(3)), F.lit("unknown")).alias("unit"), F.col("b.reference").alias("reference"), F.col("b.flag").alias("flag"), text.inline(F.regexp_extract("r.main", _DATE, 1)).alias("date")
+    rows = rel.worked_out(rows.where(~F.col("b.head").rlike(rf"(?:^|\s){_NUMBER}$")), "analyte", name).select(
+        "doc_id", "page_number", "row", "analyte", part(2).alias("value"), F.coalesce(parse.normalize_unit(part(3)), F.lit("unknown")).alias("unit"), F.col("b.reference").alias("reference"), F.col("b.flag").alias("flag"), text.inline(F.regexp_extract("r.main", _DATE, 1)).alias("date")
     )
     rows = rows.where("analyte <> '' and value is not null").withColumn("_range", parse.reference_range(F.col("reference")))
     fixed = parse.repair_numeric(F.col("value"), F.col("_range.low"), F.col("_range.high"), F.nullif("flag", F.lit("-")))

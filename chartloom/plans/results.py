@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chartloom.functions import confidence, identity, parse, text
 from chartloom.operators import relational as rel
+from chartloom.sources import stages
 
 # Misreadings that make an analyte suspect; columns of a results table.
 SUSPECT = ("ininatedonunt", "pinema", "sarin", "iid", "fang", "seni", "ainantiali", "earns")
@@ -97,10 +98,10 @@ def is_reliable(points: Column) -> Column:
     return ~text.let(text.label(name), bad)
 
 
-def canonical(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+def canonical(raw: DataFrame, share: bool = False) -> tuple[DataFrame, DataFrame]:
     """(reliable canonical results, stats): of equal results the one from the best source, most complete, on the earliest page and row.
 
-    ``duplicate_sources`` lists the others in the order in which they lost.
+    ``duplicate_sources`` lists the others in the order in which they lost.  With ``share``, for callers that use both, the results are staged.
     """
     completeness = sum((F.when(F.coalesce(F.col(c), F.lit("")) != "", 1).otherwise(0) for c in ("analyte", "observation_date", "value_raw", "unit", "reference_range.text")), F.lit(0))
     priority = F.when(F.col("source_kind") == "results_table", 3).when(F.col("source_kind") == "ocr_results_table", 2).otherwise(1)
@@ -116,6 +117,7 @@ def canonical(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     parsed = {"analyte": False, "value_raw": False, "value_numeric": True, "unit": False, "reference_range.text": False, "observation_date": True}
     fields = F.map_from_arrays(F.array(*(F.lit(c.split(".")[0]) for c in parsed)), F.array(*(confidence.field_confidence(F.col(c), F.col("confidence_score"), p) for c, p in parsed.items())))
     kept = kept.withColumn("field_confidence", fields).drop("_points")
+    kept = stages.staged(kept, "canonical_results") if share else kept
     counts = raw.groupBy("doc_id").agg(F.count("*").alias("raw_result_rows")).join(kept.groupBy("doc_id").agg(F.count("*").alias("canonical_result_rows")), "doc_id", "left").na.fill(0)
     return kept, counts.withColumn("duplicate_rows_removed", F.greatest(F.lit(0), F.col("raw_result_rows") - F.col("canonical_result_rows")))
 

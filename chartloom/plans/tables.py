@@ -30,13 +30,16 @@ def shown_name(value: Column) -> Column:
 
 def header_names(cells: Column) -> Column:
     """Shown names of header cells; an empty one is column_i, the nth of equal names gets _n."""
-    names = F.transform(cells, lambda c, i: F.when(c == "", F.concat(F.lit("column_"), (i + 1).cast("string"))).otherwise(shown_name(c)))
+    given = F.transform(cells, lambda c, i: F.when(c == "", F.concat(F.lit("column_"), (i + 1).cast("string"))).otherwise(shown_name(c)))
 
-    def numbered(name: Column, i: Column) -> Column:
-        nth = F.size(F.filter(F.slice(names, 1, i + 1), lambda n: n == name))
-        return F.when(nth > 1, F.concat(name, F.lit("_"), nth.cast("string"))).otherwise(name)
+    def numbered(names: Column) -> Column:
+        def one(name: Column, i: Column) -> Column:
+            nth = F.size(F.filter(F.slice(names, 1, i + 1), lambda n: n == name))
+            return F.when(nth > 1, F.concat(name, F.lit("_"), nth.cast("string"))).otherwise(name)
 
-    return F.transform(names, numbered)
+        return F.when(F.size(F.array_distinct(names)) == F.size(names), names).otherwise(F.transform(names, one))
+
+    return text.let(given, numbered)
 
 
 def is_field_value(rows: Column) -> Column:
@@ -47,7 +50,7 @@ def is_field_value(rows: Column) -> Column:
 
 
 def _normal(cells: Column) -> Column:
-    """struct(columns, records, table_role) of a table's cells; one expression whose steps are bound once, so that a filter on the role does not repeat them."""
+    """struct(columns, records, table_role) of a table's cells; one expression whose steps are bound once."""
     let = text.let
 
     def shaped(rows: Column) -> Column:
@@ -80,7 +83,7 @@ def _normal(cells: Column) -> Column:
 
 def normalized(tables: DataFrame) -> DataFrame:
     """Adds columns (names), records (maps), table_role, is_indexable to doc_id, table_id, cells: blank and repeated rows go, field/value tables are told apart."""
-    found = tables.withColumn("_n", _normal(F.col("cells")))
+    found = rel.worked_out(tables, "_n", _normal(F.col("cells")))
     return found.select("*", "_n.columns", "_n.records", "_n.table_role", (F.col("_n.table_role") == "results_table").alias("is_indexable")).drop("_n")
 
 

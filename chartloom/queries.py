@@ -21,11 +21,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _query(sql: str | None = None, *tables: str):
-    """Register ``f(table, ...)`` under its name, the tables read by name; with the SQL that says the same."""
+def _spread(table: DataFrame) -> DataFrame:
+    """``table`` with its rows dealt over all cores by its first column, the key.
+
+    A file is read by as many tasks as it has row groups, and a million short rows are one of them; that suits a scan, not queries that make a whole document of every row.
+    """
+    return table.repartition(2 * table.sparkSession.sparkContext.defaultParallelism, table.columns[0])
+
+
+def _query(sql: str | None = None, *tables: str, spread: tuple[str, ...] = ()):
+    """Register ``f(table, ...)`` under its name, the tables read by name, those in ``spread`` dealt over all cores; with the SQL that says the same."""
 
     def register(f):
-        _QUERIES[f.__name__] = lambda spark, sf_dir: f(*(_table(spark, sf_dir, t) for t in tables))
+        read = lambda spark, sf_dir, t: _spread(_table(spark, sf_dir, t)) if t in spread else _table(spark, sf_dir, t)
+        _QUERIES[f.__name__] = lambda spark, sf_dir: f(*(read(spark, sf_dir, t) for t in tables))
         if sql:
             _SQL[f.__name__] = sql
         return f

@@ -6,6 +6,7 @@ A renderer writes a document per customer (or order) around that row's own value
 from __future__ import annotations
 
 import uuid
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +17,11 @@ from chartloom.operators import relational as rel
 from chartloom.plans import documents, generic, ocr_tables, pages, pipeline, qa, reports, results, segments, stool, tables, visuals
 from chartloom.plans import header as head
 from chartloom.plans.documents import Relations
-from chartloom.queries import _query
-from chartloom.sources import readers, store
+from chartloom.queries import _query as _plain_query
+from chartloom.sources import readers, stages, store
+
+#: Customers become documents of many lines or tables, so their rows are dealt over all cores first.
+_query = partial(_plain_query, spread=("customer",))
 
 
 def _pick(key: Column, *values: str | None) -> Column:
@@ -166,7 +170,7 @@ _STAIN_NAMES = "(CASE c_custkey % 3 WHEN 0 THEN 'ankylostoma duodenale' WHEN 2 T
 )
 def stool_checks(customer: DataFrame) -> DataFrame:
     """Counts and the parasites of the final result against those of earlier sections."""
-    e = documents.extract(stool_pages(customer))
+    e = documents.extract(stool_pages(customer), share=True)
     names = lambda s: F.array_join(F.try_element_at("detected", F.lit(s)), ",")
     joined = e["stool_stats"].join(e["consistency"], "doc_id")
     return joined.select("doc_id", F.col("raw_result_rows").cast("int").alias("raw_rows"), F.col("canonical_result_rows").cast("int").alias("canonical_rows"), F.col("false_positive_result_rows").cast("int").alias("false_rows"), F.col("section_count").cast("int").alias("sections"), names("final_result").alias("final_names"), names("staining_exam").alias("stained_names"), "status")
@@ -425,8 +429,8 @@ def canonical_results(customer: DataFrame) -> DataFrame:
 @_query(f"SELECT {_ID}, 4 AS raw_rows, 2 AS canonical_rows, 2 AS removed, 2 AS results, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 2 END AS matched, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END AS missing_from_raw, 0 AS raw_only, 0 AS issues FROM customer", "customer")
 def results_validation(customer: DataFrame) -> DataFrame:
     """Counts of the ranked choice, and canonical results against raw ones, of which some documents lack one."""
-    raw = _raw_results(customer)
-    kept, stats = results.canonical(raw)
+    raw = stages.staged(_raw_results(customer), "raw_results")
+    kept, stats = results.canonical(raw, share=True)
     checked = results.validation_report(kept, raw.where("cast(doc_id as bigint) % 2 = 1 or analyte like 'Glucose%'"))
     n = lambda c, name=None: F.col(c).cast("int").alias(name or c)
     return stats.join(checked, "doc_id").select("doc_id", n("raw_result_rows", "raw_rows"), n("canonical_result_rows", "canonical_rows"), n("duplicate_rows_removed", "removed"), n("results"), n("matched"), n("missing_from_raw"), n("raw_only"), n("consistency_issues", "issues"))
