@@ -66,10 +66,10 @@ def finished(blocks: DataFrame) -> DataFrame:
     return shown.withColumn("index_text", index_text(F.col("text"), cleanup)).withColumn("text", clean_block_text(F.col("text"), cleanup)).drop("_c")
 
 
-def _find(lines: Column, title: str) -> Column:
+def _find(labels: Column, title: str) -> Column:
     key = text.without_accents(F.lit(title.lower()))
     key = F.btrim(F.regexp_replace(key, "[^a-z0-9]+", "_"), F.lit("_"))
-    return F.array_min(F.filter(F.transform(lines, lambda x, i: F.when(text.label(x).contains(key), i)), lambda i: i.isNotNull()))
+    return F.array_min(F.filter(F.transform(labels, lambda x, i: F.when(x.contains(key), i)), lambda i: i.isNotNull()))
 
 
 def _slice(lines: Column, start: Column, end: Column | None = None) -> Column:
@@ -80,8 +80,8 @@ def _slice(lines: Column, start: Column, end: Column | None = None) -> Column:
 
 def _metadata(lines: Column, name: str) -> Column:
     pattern = "^" + name.replace("(", r"\(").replace(")", r"\)").replace("°", "[°º]?") + r"\s*:?"
-    value = head.line_value(lines, pattern)
-    return F.concat(F.lit(f"{name}: "), F.coalesce(F.when(~value.contains(":"), value), F.lit("")))
+    shown = text.let(head.line_value(lines, pattern), lambda value: F.when(~value.contains(":"), value))
+    return F.concat(F.lit(f"{name}: "), F.coalesce(shown, F.lit("")))
 
 
 def _meaningful(lines: Column) -> Column:
@@ -95,24 +95,26 @@ def _spec(kind: str, title: str, lines: Column, indexable: bool) -> Column:
 
 def stool_blocks(pages: DataFrame) -> DataFrame:
     """pages(doc_id, page_number, lines, text_source): up to ten blocks per page of a stool report."""
-    lines = F.col("lines")
+    lines, keys = F.col("lines"), F.col("_keys")
     at = {s: F.col(f"_{s}") for s in (*dims.STOOL_SECTIONS, "sample", "footer")}
     titles = {**dims.STOOL_SECTIONS, "sample": "ECHANTILLON BIOLOGIQUE", "footer": "Adresse Web"}
-    found = pages.select("doc_id", "page_number", "lines", "text_source", *(_find(lines, t).alias(f"_{s}") for s, t in titles.items()))
+    keyed = rel.worked_out(pages.select("doc_id", "page_number", "lines", "text_source"), "_keys", F.transform(lines, text.label))
+    found = keyed.select("*", *(_find(keys, t).alias(f"_{s}") for s, t in titles.items()))
     macro, micro, enriched, stained, final = (at[s] for s in dims.STOOL_SECTIONS)
-    said = lambda title, v: F.when(v.isNotNull(), F.array(F.concat(F.lit(f"{title} : "), v))).otherwise(F.array().cast("array<string>"))
+    said = lambda title, v: text.let(v, lambda x: F.when(x.isNotNull(), F.array(F.concat(F.lit(f"{title} : "), x))).otherwise(F.array().cast("array<string>")))
     stain_value = F.when(final.isNotNull(), _meaningful(_slice(lines, stained + 1, final)))
     final_value = _meaningful(F.slice(_slice(lines, final + 1, at["footer"]), 1, 5))
-    edited = F.array_min(F.filter(F.transform(lines, lambda x, i: F.when(text.label(x).startswith("edite_e_par") | (text.label(x).startswith("le_") & (i > F.coalesce(final, F.lit(0)))), i)), lambda i: i.isNotNull()))
-    facility = F.filter(lines, lambda x: text.label(x).rlike(FACILITY) | x.rlike("المملكة|وزارة"))
-    patient = F.array(*(_metadata(lines, n) for n in ("IP Patient", "Patient", "Né(e) le", "Sexe", *METADATA)))
-    meta = F.array(*(_metadata(lines, n) for n in (*METADATA, "Imprimé par", "Edité(e) par")))
+    edited = F.array_min(F.filter(F.transform(keys, lambda k, i: F.when(k.startswith("edite_e_par") | (k.startswith("le_") & (i > F.coalesce(final, F.lit(0)))), i)), lambda i: i.isNotNull()))
+    facility = F.filter(lines, lambda x, i: F.get(keys, i).rlike(FACILITY) | x.rlike("المملكة|وزارة"))
+    found = rel.worked_out(found.withColumn("_edited", edited), "_meta", F.array(*(_metadata(lines, n) for n in METADATA)))
+    patient = F.concat(F.array(*(_metadata(lines, n) for n in ("IP Patient", "Patient", "Né(e) le", "Sexe"))), F.col("_meta"))
+    meta = F.concat(F.col("_meta"), F.array(*(_metadata(lines, n) for n in ("Imprimé par", "Edité(e) par"))))
     specs = F.array(
         _spec("facility_block", "Facility", facility, False), _spec("patient_info_block", "Patient information", patient, False), _spec("report_metadata_block", "Report metadata", meta, False),
         _spec("sample_block", titles["sample"], _slice(lines, at["sample"], macro), True), _spec("macroscopic_exam_block", titles["macroscopic_exam"], _slice(lines, macro, micro), True),
         _spec("microscopic_exam_block", titles["microscopic_exam"], _slice(lines, micro, enriched), True), _spec("enrichment_exam_block", titles["enrichment_exam"], _slice(lines, enriched, stained), True),
         _spec("staining_exam_block", titles["staining_exam"], said(titles["staining_exam"], stain_value), True), _spec("final_result_block", titles["final_result"], said(titles["final_result"], final_value), True),
-        _spec("edition_block", "Edition laboratoire", F.filter(_slice(lines, edited, at["footer"]), lambda x: ~text.label(x).startswith("resultat_final")), False),
+        _spec("edition_block", "Edition laboratoire", F.filter(_slice(lines, F.col("_edited"), at["footer"]), lambda x: ~text.label(x).startswith("resultat_final")), False),
     )
     return _exploded(found, specs)
 
