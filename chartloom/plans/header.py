@@ -32,14 +32,15 @@ def document_lines(pages: DataFrame) -> DataFrame:
 
 def line_value(lines: Column, pattern: str, next_line: bool = True) -> Column:
     """Value of the first line that has the label and a value: the rest of the line, else the next line unless that is a label itself."""
-    after = F.transform(lines, lambda x, i: F.struct(x.alias("x"), F.get(lines, i + 1).alias("after")))
+    labelled = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(f"(?iu){pattern}"), i)), lambda i: i.isNotNull())
 
-    def value(p: Column) -> Column:
-        own = F.nullif(text.labelled_value(p["x"], pattern), F.lit(""))
-        follow = F.when(~p["after"].rlike(r":\s*$"), p["after"]) if next_line else F.lit(None).cast("string")
-        return F.when(p["x"].rlike(f"(?iu){pattern}"), F.coalesce(own, follow))
+    def value(i: Column) -> Column:
+        own = F.nullif(text.labelled_value(F.get(lines, i), pattern), F.lit(""))
+        after = F.get(lines, i + 1)
+        follow = F.when(~after.rlike(r":\s*$"), after) if next_line else F.lit(None).cast("string")
+        return F.coalesce(own, follow)
 
-    return F.get(F.filter(F.transform(after, value), lambda v: v.isNotNull()), F.lit(0))
+    return F.get(F.filter(F.transform(labelled, value), lambda v: v.isNotNull()), F.lit(0))
 
 
 def document_type() -> Column:

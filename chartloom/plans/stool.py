@@ -18,10 +18,10 @@ ORDER = {s: i for i, s in enumerate(dims.STOOL_SECTIONS)}
 _ROW = "struct<section:string,name:string,value:string,line_start:int,line_end:int>"
 
 
-def _section_at(lines: Column, title: str) -> Column:
-    """0-based place of the first line whose label contains the title's; null if there is none."""
+def _section_at(labels: Column, title: str) -> Column:
+    """0-based place of the first of the lines' labels that contains the title's; null if there is none."""
     key = title.lower().replace("è", "e").replace("é", "e").replace(" ", "_")
-    return F.array_min(F.filter(F.transform(lines, lambda x, i: F.when(text.label(x).contains(key), i)), lambda i: i.isNotNull()))
+    return F.array_min(F.filter(F.transform(labels, lambda x, i: F.when(x.contains(key), i)), lambda i: i.isNotNull()))
 
 
 def _is_false(section: Column, name: Column, value: Column) -> Column:
@@ -80,14 +80,15 @@ def results(docs: DataFrame, headers: DataFrame, jitter: bool = False) -> tuple[
     Repeated results (section, name and value alike) count once; rows that are titles or values in disguise are counted as false positives.
     """
     at = {s: F.col(f"_{s}") for s in dims.STOOL_SECTIONS}
-    found = docs.select("doc_id", "first", F.element_at("pages", 1)["page_number"].alias("page_number"), *(_section_at(F.col("first"), t).alias(f"_{s}") for s, t in dims.STOOL_SECTIONS.items()))
+    keyed = rel.worked_out(docs.select("doc_id", "first", F.element_at("pages", 1)["page_number"].alias("page_number")), "_keys", F.transform("first", text.label))
+    found = keyed.select("doc_id", "first", "page_number", *(_section_at(F.col("_keys"), t).alias(f"_{s}") for s, t in dims.STOOL_SECTIONS.items()))
     rows = F.concat(
         _paired("macroscopic_exam", at["macroscopic_exam"], at["microscopic_exam"]), _paired("microscopic_exam", at["microscopic_exam"], at["enrichment_exam"]), _following("enrichment_exam", at["enrichment_exam"]),
         _following("staining_exam", at["staining_exam"]), _final(at["final_result"]),
     )
     parsed = found.select("doc_id", "page_number", F.posexplode(rows).alias("ordinal", "r")).select("doc_id", "page_number", "ordinal", "r.*")
     parsed = parsed.withColumn("analyte", F.btrim(text.inline(F.col("name")), F.lit(": "))).withColumn("value_raw", text.strip(F.regexp_replace(text.inline(F.col("value")), "^:+", "")))
-    parsed = parsed.withColumn("_false", _is_false(F.col("section"), F.col("analyte"), F.col("value_raw")))
+    parsed = rel.worked_out(parsed, "_false", _is_false(F.col("section"), F.col("analyte"), F.col("value_raw")))
     parsed = parsed.withColumn("dedup_key", F.concat_ws("|", text.label(F.col("section")), text.label(F.col("analyte")), text.label(F.col("value_raw"))))
     accepted = rel.keep_first(parsed.where("not _false"), ["doc_id", "dedup_key"], ["ordinal"])
     dates = headers.select("doc_id", parse.parse_iso_date(F.coalesce("request_date", "edited_date")).alias("observation_date"))
