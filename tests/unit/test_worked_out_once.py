@@ -52,3 +52,11 @@ def test_customers_of_one_row_group_are_dealt_over_all_cores(spark, tmp_path):
     tasks = queries._spread(spark.read.parquet(str(tmp_path / "customer.parquet"))).select(F.spark_partition_id().alias("p")).distinct().count()
     assert rows.count() == 4000 and tasks >= spark.sparkContext.defaultParallelism
     assert "Exchange hashpartitioning(c_custkey" in _plan(rows)
+
+
+def test_blocks_of_a_stool_report_label_lines_once_and_look_fields_up_once(spark):
+    from chartloom.plans import segments
+
+    lines = spark.createDataFrame([("a", 1, ["Origine : Externe"], "native")], "doc_id string, page_number int, lines array<string>, text_source string")
+    plan = segments.stool_blocks(lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[^a-z0-9]+") <= 11 and plan.count("^Origine") <= 5  # 26 and 20 with a label for each title and values repeated
